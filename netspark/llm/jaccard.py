@@ -397,6 +397,6 @@ def components(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each group: the one whose id names it. Rows with a null id stay."""
-    stay = components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, F.col("doc_id") == F.col("_stay")).drop("_stay").dropDuplicates(["doc_id"])
+    stay = components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__ns_stay")).distinct()
+    kept = docs.join(stay, F.col("doc_id") == F.col("__ns_stay")).drop("__ns_stay").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id is null"))

@@ -90,12 +90,16 @@ def plan(units: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: f
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seed: int = 9) -> DataFrame:
-    """docs with size, source_size, target, copies and taken = copies * size; rows with no copies stay, with 0."""
-    sized = docs.withColumn("_size", size_of(F.col("text")))
-    units = cut(sized.groupBy("source", "doc_id", F.col("_size").alias("size")).agg(F.count("*").alias("n")))
-    chosen = small(cut(plan(units, weights, most, seed))).select(*[F.col(c).alias(f"_m_{c}") for c in ("source", "source_size", "target", "copies", "chance", "upto", "filler")])
-    rank = rank_of(F.col("doc_id"), F.col("_size"), F.least(F.col("_m_chance"), F.lit(1 - 1e-9)), seed)
-    extra = F.when((F.col("_size") > 0) & (F.col("_m_chance") > 0) & ((rank <= F.col("_m_upto")) | (rank == F.col("_m_filler"))), 1).otherwise(0)
-    mixed = sized.join(chosen, F.col("source").eqNullSafe(F.col("_m_source")))
-    copies = (F.col("_m_copies") + extra).cast("long")
-    return mixed.select(*[F.col(c) for c in docs.columns], F.col("_size").alias("size"), F.col("_m_source_size").alias("source_size"), F.col("_m_target").alias("target"), copies.alias("copies"), (copies * F.col("_size")).alias("taken"))
+    """docs with size, source_size, target, copies and taken = copies * size; rows with no copies stay, with 0.
+
+    Input columns of these names give way to the results.
+    """
+    sized = docs.withColumn("__ns_size", size_of(F.col("text")))
+    units = cut(sized.groupBy("source", "doc_id", F.col("__ns_size").alias("size")).agg(F.count("*").alias("n")))
+    chosen = small(cut(plan(units, weights, most, seed))).select(*[F.col(c).alias(f"__ns_{c}") for c in ("source", "source_size", "target", "copies", "chance", "upto", "filler")])
+    rank = rank_of(F.col("doc_id"), F.col("__ns_size"), F.least(F.col("__ns_chance"), F.lit(1 - 1e-9)), seed)
+    extra = F.when((F.col("__ns_size") > 0) & (F.col("__ns_chance") > 0) & ((rank <= F.col("__ns_upto")) | (rank == F.col("__ns_filler"))), 1).otherwise(0)
+    mixed = sized.join(chosen, F.col("source").eqNullSafe(F.col("__ns_source")))
+    copies = (F.col("__ns_copies") + extra).cast("long")
+    own = ("size", "source_size", "target", "copies", "taken")
+    return mixed.select(*[F.col(c) for c in docs.columns if c not in own], F.col("__ns_size").alias("size"), F.col("__ns_source_size").alias("source_size"), F.col("__ns_target").alias("target"), copies.alias("copies"), (copies * F.col("__ns_size")).alias("taken"))

@@ -160,6 +160,6 @@ def filter_quality(docs: DataFrame) -> DataFrame:
     one pass learns the accuracies, the next filters, and no text is shuffled.
     """
     model = accuracies(pattern_counts(features(docs, keep=()).withColumn("votes", votes()))).first()
-    wide = features(docs.withColumn("_row", F.struct(*docs.columns)), keep=("_row",)).withColumn("votes", votes())
+    wide = features(docs.withColumn("__ns_row", F.struct(*docs.columns)), keep=("__ns_row",)).withColumn("votes", votes())
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return wide.filter(~failed & (posterior(model) >= 0.5)).select("_row.*")
+    return wide.filter(~failed & (posterior(model) >= 0.5)).select("__ns_row.*")

@@ -197,16 +197,16 @@ def repeated_paths(docs: DataFrame, k: int = EDGE) -> DataFrame:
     """
     parts = 2 * shuffle_partitions(docs.sparkSession)
     seeds = docs.select("doc_id", "text").mapInArrow(lambda b: _seed_rows(b, parts, k), _SEEDS)
-    shared = seeds.groupBy("part").applyInArrow(_repeated_seeds, "doc_id long, key long").groupBy("doc_id").agg(F.collect_list("key").alias("_keys")).withColumnRenamed("doc_id", "_of")
-    told = docs.join(shared, F.coalesce(docs["doc_id"].cast("long"), F.lit(LATEST)) == F.col("_of"))
-    sent = told.mapInArrow(lambda b: _run_rows(b, parts, k, "text", "doc_id", "_keys"), _RUNS)
+    shared = seeds.groupBy("part").applyInArrow(_repeated_seeds, "doc_id long, key long").groupBy("doc_id").agg(F.collect_list("key").alias("__ns_keys")).withColumnRenamed("doc_id", "__ns_of")
+    told = docs.join(shared, F.coalesce(docs["doc_id"].cast("long"), F.lit(LATEST)) == F.col("__ns_of"))
+    sent = told.mapInArrow(lambda b: _run_rows(b, parts, k, "text", "doc_id", "__ns_keys"), _RUNS)
     return sent.groupBy("part").applyInArrow(_paths, _PATHS)
 
 
 def _with_paths(docs: DataFrame, k: int) -> DataFrame:
-    """docs with `_paths`: array of (start, words) that go."""
-    found = repeated_paths(docs, k).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.struct(F.col("start"), (F.col("n_edges") + k - 1).alias("n"))).alias("_paths"))
-    return docs.join(found, F.coalesce(docs["doc_id"].cast("long"), F.lit(LATEST)) == F.col("_of"), "left").drop("_of")
+    """docs with `__ns_paths`: array of (start, words) that go."""
+    found = repeated_paths(docs, k).groupBy(F.col("doc_id").alias("__ns_of")).agg(F.collect_list(F.struct(F.col("start"), (F.col("n_edges") + k - 1).alias("n"))).alias("__ns_paths"))
+    return docs.join(found, F.coalesce(docs["doc_id"].cast("long"), F.lit(LATEST)) == F.col("__ns_of"), "left").drop("__ns_of")
 
 
 def _kept(text: str | None, paths: list | None) -> tuple[list[bytes], int, int]:
@@ -234,7 +234,7 @@ def report(docs: DataFrame, k: int = EDGE) -> DataFrame:
             rows = [_kept(t.as_py(), p.as_py()) for t, p in zip(batch.column(1), batch.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([hashlib.sha256(b" ".join(r[0])).hexdigest() for r in rows], pa.string())], names=schema.names)
 
-    return _with_paths(docs.select("doc_id", "text"), k).select("doc_id", "text", "_paths").mapInArrow(run, schema)
+    return _with_paths(docs.select("doc_id", "text"), k).select("doc_id", "text", "__ns_paths").mapInArrow(run, schema)
 
 
 def dedup_substrings(docs: DataFrame, k: int = EDGE) -> DataFrame:
@@ -251,4 +251,4 @@ def dedup_substrings(docs: DataFrame, k: int = EDGE) -> DataFrame:
                 texts.append(b" ".join(kept).decode() if gone else text)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))], names=names)
 
-    return _with_paths(docs, k).select(*names, "_paths").mapInArrow(run, docs.schema)
+    return _with_paths(docs, k).select(*names, "__ns_paths").mapInArrow(run, docs.schema)

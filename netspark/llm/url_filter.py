@@ -70,7 +70,7 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None, url: str = "url") -> DataFrame:
-    """pages with host, path, rule and verdict.
+    """pages with host, path, rule and verdict; input columns of these names give way.
 
     redirects: (src, dst) urls seen to lead to one another, beside what the
     pages' html declares (read only if there is a column html).
@@ -79,16 +79,18 @@ def filter_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None
     if redirects is not None:
         seen = redirects.select(address(F.col("src")).alias("src"), address(F.col("dst")).alias("dst"))
         links = seen if links is None else links.union(seen)
-    judged = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url))).withColumn("_fit", rule_for(F.col("host"), F.col("path"), rules))
-    verdict = F.col("_fit.verdict")
+    own = ("host", "path", "rule", "verdict")
+    carried = [c for c in pages.columns if c not in own or c == url]
+    judged = pages.select(*carried, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).withColumn("__ns_fit", rule_for(F.col("host"), F.col("path"), rules))
+    verdict = F.col("__ns_fit.verdict")
     if links is not None:
         of = connected_components(links)
         # Every linked address is judged, crawled or not, and its component takes the strongest decision.
         node = F.concat(F.lit("x://"), F.col("node"))
         known = of.withColumn("v", rule_for(host_of(node), path_of(node), rules)["verdict"])
         decided = known.groupBy("component").agg(F.max(F.when(F.col("v") == "allow", 2).when(F.col("v") == "block", 1).otherwise(0)).alias("d"))
-        aliases = cut(of.join(decided, "component").select(F.col("node").alias("_node"), F.col("d").alias("_alias")))
+        aliases = cut(of.join(decided, "component").select(F.col("node").alias("__ns_node"), F.col("d").alias("__ns_alias")))
         if not aliases.isEmpty():
-            judged = judged.withColumn("_at", address(F.col(url))).join(aliases, F.col("_at") == F.col("_node"), "left")
-            verdict = F.coalesce(verdict, F.when(F.col("_alias") == 1, "block"))
-    return judged.select(*[F.col(c) for c in pages.columns], "host", "path", F.col("_fit.rule").alias("rule"), F.coalesce(verdict, F.lit("allow")).alias("verdict"))
+            judged = judged.withColumn("__ns_at", address(F.col(url))).join(aliases, F.col("__ns_at") == F.col("__ns_node"), "left")
+            verdict = F.coalesce(verdict, F.when(F.col("__ns_alias") == 1, "block"))
+    return judged.select(*carried, "host", "path", F.col("__ns_fit.rule").alias("rule"), F.coalesce(verdict, F.lit("allow")).alias("verdict"))
