@@ -4,15 +4,17 @@ Documents whose sets of word shingles reach a Jaccard similarity of 0.75 link;
 each gets the least doc_id that links lead to. The work narrows in three steps,
 none of which can lose a link:
 
-1. Equal sets form classes, by digest. All shingles are exchanged once in packed
-   rows (their upper 48 bits); a class of which fewer than 75 % of the shingles
-   occur in another class cannot link and is done.
-2. The others join on the least quarter of their shingles, of which two linked
-   sets share one (prefix filter). First each class goes to the groups of a few
-   of these; in a group a signature tree holds OR-combined bitmaps of the sets
-   and ranges of their sizes, and a dual traversal meets only those node pairs
-   whose largest possible overlap suffices. Pairs are verified on the sets; what
-   is connected already is skipped. This collapses groups of near copies.
+1. Equal sets form classes, by digest. Every second shingle (by a bit of its hash)
+   is exchanged in packed rows: its upper 48 bits and a tag of its class. A class
+   can miss at most a quarter of its shingles in any partner; one that has more
+   shingles of its own among the exchanged ones cannot link and is done.
+2. The others order their shingles by how many of them have it, rarest first.
+   Linked sets share one of their first quarter (prefix filter), and shingles that
+   only one set has need no look. Each class goes to the groups of a few of the
+   rest; in a group a signature tree holds OR-combined bitmaps of the sets and
+   ranges of their sizes, and a dual traversal meets only those node pairs whose
+   largest possible overlap suffices. Pairs are verified on the sets; what is
+   connected already is skipped. This collapses groups of near copies.
 3. Groups of any shared prefix shingle that still hold two components are
    traversed again with signatures only; surviving pairs across components are
    verified by joining the sets.
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -46,7 +48,7 @@ NUM, DEN = 3, 4
 #: Members of a group that one task compares among themselves.
 CHUNK = 2000
 #: Groups that each class's set is sent to in the second step.
-SENT = 3
+SENT = 2
 LEAF, FAN = 16, 8
 U64 = np.uint64
 
@@ -193,8 +195,9 @@ def group_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 # --- first step: classes, and which of them can link at all -----------------
 
-_CLASSES = "class binary, n long"
-_KEYS = "part int, classes binary, sizes binary, keys binary, entry binary"
+_KEYS = "part int, keys binary, tags binary"
+#: Bytes of a class's digest that stand for it beside an exchanged shingle.
+TAG = 5
 
 
 def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -204,67 +207,64 @@ def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.R
 
 
 def with_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class, n) of every document: digest and size of its set."""
-    schema = docs.select("doc_id").schema.add("class", "binary").add("n", "long")
+    """(doc_id, class, n, sent) of every document: digest and size of its set, and how much of it is exchanged."""
+    schema = docs.select("doc_id").schema.add("class", "binary").add("n", "long").add("sent", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, sets in _slices(batches, 1):
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "class", "n"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(exchanged(s).sum()) for s in sets], pa.int64())], names=["doc_id", "class", "n", "sent"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def exchanged(keys: np.ndarray) -> np.ndarray:
+    """Which shingles the first step exchanges; the same ones wherever they are."""
+    return keys & U64(1) == 0
+
+
 def _key_rows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     for _, sets in _slices(batches, 0):
-        sets = [s for s in sets if len(s)]
-        sizes = np.array([len(s) for s in sets], np.int64)
+        sets = [x for x in sets if len(x)]
         keys = np.concatenate([np.zeros(0, U64), *sets])
-        row = np.repeat(np.arange(len(sets)), sizes)
-        order = np.argsort(keys, kind="stable")
-        keys, row = keys[order], row[order]
-        names = np.array([digest(s) for s in sets], "V16")
-        out = []
-        for part, a, e in ex.cuts(keys, parts):
-            used, entry = np.unique(row[a:e], return_inverse=True)
-            out.append((part, names[used].tobytes(), ex.pack_small(sizes[used]), ex.pack_sorted(keys[a:e] >> U64(16)), ex.pack_small(entry)))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["part", "classes", "sizes", "keys", "entry"])
+        tags = np.frombuffer(b"".join(digest(x)[:TAG] for x in sets), np.uint8).reshape(-1, TAG)
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets]).astype(np.int64)
+        take = np.flatnonzero(exchanged(keys))
+        take = take[np.argsort(keys[take], kind="stable")]
+        keys, row = keys[take], row[take]
+        out = [(part, ex.pack_sorted(keys[a:e] >> U64(16)), tags[row[a:e]].tobytes()) for part, a, e in ex.cuts(keys, parts)]
+        columns = list(zip(*out, strict=True)) if out else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["part", "keys", "tags"])
+
+
+def _tags(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // TAG, 8), np.uint8)
+    out[:, 8 - TAG :] = np.frombuffer(blob, np.uint8).reshape(-1, TAG)
+    return out.reshape(-1).view(">u8").astype(np.int64)
 
 
 def _shared_counts(table: pa.Table) -> pa.Table:
-    """(class, n, shared): how many of a class's keys in this part another class has too."""
-    names, sizes, keys, entry, base = [], [], [], [], 0
-    for c, s, k, e in zip(*[table.column(x).to_pylist() for x in ("classes", "sizes", "keys", "entry")], strict=True):
-        names.append(np.frombuffer(c, "V16"))
-        sizes.append(ex.unpack_small(s))
-        keys.append(ex.unpack_sorted(k))
-        entry.append(ex.unpack_small(e) + base)
-        base += len(names[-1])
-    names, sizes, keys, entry = (np.concatenate(x) for x in (names, sizes, keys, entry))
-    halves = names.view("<u8").reshape(-1, 2)
-    known, code = np.unique(halves[:, 0] ^ _words.mix(halves[:, 1]), return_inverse=True)
-    member = code[entry]
-    order = np.lexsort((member, keys))
-    keys, member = keys[order], member[order]
+    """(tag, shared): how many of a class's keys in this part another class has too."""
+    keys = np.concatenate([np.zeros(0, U64), *[ex.unpack_sorted(k) for k in table.column("keys").to_pylist()]])
+    tags = np.concatenate([np.zeros(0, np.int64), *[_tags(t) for t in table.column("tags").to_pylist()]])
+    order = np.lexsort((tags, keys))
+    keys, tags = keys[order], tags[order]
     new_key = np.ones(len(keys), bool)
     new_key[1:] = keys[1:] != keys[:-1]
     new = new_key.copy()
-    new[1:] |= member[1:] != member[:-1]
+    new[1:] |= tags[1:] != tags[:-1]
     group = np.cumsum(new_key) - 1
     several = np.bincount(group, weights=new) > 1
-    shared = np.bincount(member[new & several[group]], minlength=len(known))
-    first = np.zeros(len(known), np.int64)
-    first[code[::-1]] = np.arange(len(code))[::-1]
-    some = np.flatnonzero(shared)
-    return pa.table({"class": pa.array([names[i].tobytes() for i in first[some]], pa.binary()), "n": pa.array(sizes[first[some]], pa.int64()), "shared": pa.array(shared[some], pa.int64())})
+    tag, shared = np.unique(tags[new & several[group]], return_counts=True)
+    return pa.table({"tag": pa.array(tag, pa.int64()), "shared": pa.array(shared, pa.int64())})
 
 
-def linkable(docs: DataFrame) -> DataFrame:
-    """(class, n) of the classes that share enough shingles with others to link at all."""
-    parts = 2 * shuffle_partitions(docs.sparkSession)
+def linkable(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of classes (class, n, sent, ..) that share enough with others to link at all."""
+    parts = shuffle_partitions(docs.sparkSession)
     sent = docs.select("text").mapInArrow(lambda b: _key_rows(b, parts), _KEYS)
-    counts = sent.groupBy("part").applyInArrow(_shared_counts, "class binary, n long, shared long")
-    return counts.groupBy("class").agg(F.max("n").alias("n"), F.sum("shared").alias("shared")).filter(f"{DEN} * shared >= {NUM} * n").select("class", "n")
+    counts = sent.groupBy("part").applyInArrow(_shared_counts, "tag long, shared long").groupBy("tag").agg(F.sum("shared").alias("shared"))
+    tagged = classes.withColumn("tag", F.conv(F.hex(F.substring("class", 1, TAG)), 16, 10).cast("long")).join(counts, "tag", "left")
+    return tagged.filter(DEN * (F.col("n") - F.col("sent") + F.coalesce("shared", F.lit(0))) >= NUM * F.col("n")).drop("tag", "shared")
 
 
 # --- second and third step: links among them --------------------------------
@@ -283,17 +283,32 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return told.select("doc_id", "text", "class").mapInArrow(run, f"rep {kind}, n long, shingles binary")
 
 
-def _prefixes(sets: DataFrame, kind: str) -> DataFrame:
-    """(token, rep) for the prefix of every set."""
+def _tokens(sets: DataFrame, kind: str) -> DataFrame:
+    """(token, rep, n) for every shingle of every set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [np.frombuffer(s, "<u8")[: prefix_length(len(s) // 8)] for s in batch.column(1).to_pylist()]
-            n = np.array([len(p) for p in parts], np.int64)
-            tokens = np.concatenate([np.zeros(0, U64), *parts]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))], names=["token", "rep"])
+            for at in range(0, batch.num_rows, 500):
+                piece = batch.slice(at, 500)
+                parts = [np.frombuffer(s, "<u8") for s in piece.column(2).to_pylist()]
+                of = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
+                tokens = np.concatenate([np.zeros(0, U64), *parts]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), piece.column(0).take(of), piece.column(1).take(of)], names=["token", "rep", "n"])
 
-    return sets.select("rep", "shingles").mapInArrow(run, f"token long, rep {kind}")
+    return sets.select("rep", "n", "shingles").mapInArrow(run, f"token long, rep {kind}, n long")
+
+
+def _prefixes(sets: DataFrame, kind: str) -> DataFrame:
+    """(token, rep, members): shared shingles in the prefix of each set, rarest first.
+
+    A set's shingles that no other has come first of all and join with nothing,
+    so they only shorten the rest of the prefix.
+    """
+    having = _tokens(sets, kind).withColumn("members", F.count("*").over(Window.partitionBy("token"))).filter("members > 1")
+    own = Window.partitionBy("rep")
+    ranked = having.withColumn("rank", F.row_number().over(own.orderBy("members", "token"))).withColumn("shared", F.count("*").over(own))
+    length = F.col("n") - F.ceil(NUM * F.col("n") / DEN) + 1
+    return ranked.filter(F.col("rank") <= length - (F.col("n") - F.col("shared"))).select("token", "rep", "members")
 
 
 def _by_group(table: pa.Table, *keys: str) -> Iterator[np.ndarray]:
@@ -360,11 +375,9 @@ def links(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = 2 * shuffle_partitions(spark)
     sets = cut(_sets_of(docs, wanted).dropDuplicates(["rep"]))
-    tokens = _prefixes(sets, kind)
-    sizes = tokens.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = cut(tokens.join(sizes, "token"))
+    shared = cut(_prefixes(sets, kind))
     # Second step: a few groups a class, hot ones in chunks dealt anew for each of them.
-    few = shared.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("token", "members"))), 1, SENT).alias("g")).select("rep", F.explode("g").alias("g"))
+    few = shared.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("members", "token")), asc=False), 1, SENT).alias("g")).select("rep", F.explode("g").alias("g"))
     salt = F.pmod(F.xxhash64("rep", "g.token"), F.ceil(F.col("g.members") / CHUNK).cast("long"))
     sent = few.select("rep", F.col("g.token").alias("token"), salt.alias("salt")).join(sets.select("rep", "shingles"), "rep")
     first = cut(sent.withColumn("part", F.pmod(F.xxhash64("token", "salt"), F.lit(parts))).groupBy("part").applyInArrow(_tree_links, f"a {kind}, b {kind}"))
@@ -387,8 +400,8 @@ def links(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     classed = cut(with_classes(docs))
-    reps = classed.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
-    wanted = cut(linkable(docs).join(reps, "class").select("rep", "class"))
+    reps = classed.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sent").alias("sent"))
+    wanted = cut(linkable(docs, reps).select("rep", "class"))
     of = connected_components(links(docs, wanted), "a", "b")
     named = reps.join(of, F.col("rep") == F.col("node"), "left").select(F.col("class").alias("_class"), F.coalesce("component", "rep").alias("_component"))
     lone = (F.col("n") == 0) | F.col("doc_id").isNull()
