@@ -1,6 +1,6 @@
 """Toxicity by subword-bag embeddings (operator 1).
 
-A word is the bag of its character n-grams (3 to 6, with marks at its ends) and
+A word is the bag of its character n-grams (3 to 5, with marks at its ends) and
 itself, each a hashed row of an embedding table; a text is the mean of the rows
 of all its words; a linear softmax reads it. Table and softmax are trained
 jointly in numpy with Adam, on at most `SAMPLE` labelled documents. A misspelt
@@ -28,8 +28,8 @@ from . import _words
 from ._labels import held_out, training_rows
 
 #: Bounds of the model and of what it is fitted on.
-BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 4, 3, 6
-SAMPLE, EPOCHS, BATCH = 6000, 16, 256
+BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 4, 3, 5
+SAMPLE, EPOCHS, BATCH = 4000, 16, 256
 #: Plain gradient steps of the table, with a pull of each n-gram's vector to zero (so
 #: that what few documents have stays zero); Adam's step of the softmax; and in how
 #: many training documents an n-gram must be to have a vector at all.
@@ -108,25 +108,37 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Model:
     documents = np.zeros(BUCKETS, np.int64)
     bias = np.log(np.maximum(np.bincount(y, minlength=2), 1) / len(y)).astype(np.float32)
     order = rng.permutation(len(texts))
-    batches = []
-    for at in range(0, len(order), BATCH):
-        mine = order[at : at + BATCH]
+    rough, batch = [], min(BATCH, max(32, len(order) // 16))
+    for at in range(0, len(order), batch):
+        mine = order[at : at + batch]
         row, number, bucket, starts = bags(pa.array([texts[i] for i in mine], pa.string()))
         n = np.diff(starts)
         size = np.maximum(np.bincount(row, weights=n[number], minlength=len(mine)), 1)
-        # Each (row, distinct word) once, with its count over the row's size.
-        documents += np.bincount(np.unique(np.repeat(row, n[number]) * BUCKETS + bucket[_spread(starts, number)]) % BUCKETS, minlength=BUCKETS)
+        # Each (row, distinct word) once, with its share of the row.
         pair, times = np.unique(row * max(len(n), 1) + number, return_counts=True)
-        r, w = pair // max(len(n), 1), pair % max(len(n), 1)
-        share = (times / size[r]).astype(np.float32)
-        back = np.argsort(w, kind="stable")
+        r, w = (pair // max(len(n), 1)).astype(np.int32), (pair % max(len(n), 1)).astype(np.int32)
+        for i in range(len(mine)):  # by document, so that no list of all subwords of all words is needed
+            documents[np.unique(bucket[_spread(starts, w[r == i])])] += 1
+        rough.append((y[mine], r, w, (times / size[r]).astype(np.float32), bucket.astype(np.int32), starts))
+    seen = documents >= RARE
+    batches = []
+    while rough:
+        gold, r, w, share, bucket, starts = rough.pop()
+        # Words keep only n-grams that have a vector; words without any are left out.
+        live = seen[bucket]
+        left = np.add.reduceat(live, starts[:-1], dtype=np.int64) if len(starts) > 1 else np.zeros(0, np.int64)
+        bucket, new = bucket[live], np.cumsum(left > 0) - 1
+        keep = left[w] > 0
+        r, w, share, left = r[keep], new[w[keep]].astype(np.int32), share[keep], left[left > 0]
+        starts = np.cumsum(left) - left
         used, slot = np.unique(bucket, return_inverse=True)
+        slot = slot.astype(np.int32)
         by_slot = np.argsort(slot, kind="stable")
-        owner = np.repeat(np.arange(len(n)), n)[by_slot]
-        batches.append((y[mine], r, w, share, back, np.flatnonzero(np.diff(w[back], prepend=-1)), used, slot, starts[:-1], owner, np.searchsorted(slot[by_slot], np.arange(len(used)))))
-    seen = (documents >= RARE)[:, None].astype(np.float32)
+        owner = np.repeat(np.arange(len(left), dtype=np.int32), left)[by_slot]
+        back = np.argsort(w, kind="stable").astype(np.int32)
+        batches.append((gold, r, w, share, back, np.flatnonzero(np.diff(w[back], prepend=-1)), used, slot, starts, owner, np.searchsorted(slot[by_slot], np.arange(len(used)))))
     pace = np.zeros((BUCKETS, DIM), np.float32)
-    table = (rng.normal(size=(BUCKETS, DIM)) * 0.01 * seen).astype(np.float32)
+    table = (rng.normal(size=(BUCKETS, DIM)) * 0.01 * seen[:, None]).astype(np.float32)
     moments = [(np.zeros_like(soft), np.zeros_like(soft)), (np.zeros_like(bias), np.zeros_like(bias))]
     step = 0
     for epoch in range(EPOCHS):
@@ -156,7 +168,7 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Model:
                 pace[used] = MOMENTUM * pace[used] + g
                 moved = table[used] - fade * TABLE_RATE * pace[used]
                 length = np.sqrt((moved * moved).sum(1, keepdims=True))
-                table[used] = moved * np.maximum(0, 1 - fade * PULL / np.maximum(length, 1e-12)) * seen[used]
+                table[used] = moved * np.maximum(0, 1 - fade * PULL / np.maximum(length, 1e-12))
             for x, g, (m, v) in zip((soft, bias), grads, moments, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
