@@ -16,7 +16,7 @@ none of which can lose a link:
    largest possible overlap suffices. Pairs are verified on the sets; what is
    connected already is skipped. This collapses groups of near copies.
 3. Groups of any shared prefix shingle that still hold two components are
-   traversed again with signatures only; surviving pairs across components are
+   traversed with signatures only; surviving pairs across components are
    verified by joining the sets.
 
 Large groups are dealt out in chunks, in the last step in all pairs of chunks.
@@ -340,7 +340,7 @@ def _tree_links(table: pa.Table) -> pa.Table:
 def _tree_candidates(table: pa.Table) -> pa.Table:
     """Pairs of different components that signatures do not rule out; of two chunks, only pairs across them."""
     reps, comps, sizes, marks, chunk = (table.column(c).to_pylist() for c in ("rep", "comp", "n", "mark", "chunk"))
-    left, right = [], []
+    met: set[tuple] = set()
     for rows in _by_group(table, "token", "one", "two"):
         if len({comps[r] for r in rows}) < 2:
             continue
@@ -349,8 +349,8 @@ def _tree_candidates(table: pa.Table) -> pa.Table:
         for i, j in tree.pairs():
             for x, y in zip(rows[i], rows[j], strict=True):
                 if comps[x] != comps[y] and not (across and chunk[x] == chunk[y]):
-                    left.append(min(reps[x], reps[y]))
-                    right.append(max(reps[x], reps[y]))
+                    met.add((min(reps[x], reps[y]), max(reps[x], reps[y])))
+    left, right = [p[0] for p in met], [p[1] for p in met]
     return _pair_table(left, right, table.schema.field("rep").type)
 
 
@@ -366,6 +366,28 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _distinct_groups(prefixes: DataFrame) -> DataFrame:
+    """Of shingles that the same sets have in their prefixes, one; their groups would meet the same pairs."""
+    who = prefixes.groupBy("token").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    one = who.filter("k > 1").groupBy("k", "x", "y").agg(F.min("token").alias("token"), F.max("k").alias("members")).select("token", "members")
+    return prefixes.select("token", "rep").join(one, "token")
+
+
+def _meet(rows: DataFrame, sets: DataFrame, kind: str, parts: int) -> DataFrame:
+    """Links found in `SENT` groups a class, the largest by the column `by`; hot groups in chunks dealt anew for each."""
+    few = rows.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("by", "g.members", "g.token")), asc=False), 1, SENT).alias("g")).select("rep", F.explode("g").alias("g"))
+    salt = F.pmod(F.xxhash64("rep", "g.token"), F.ceil(F.col("g.members") / CHUNK).cast("long"))
+    sent = few.select("rep", F.col("g.token").alias("token"), salt.alias("salt")).join(sets.select("rep", "shingles"), "rep")
+    return cut(sent.withColumn("part", F.pmod(F.xxhash64("token", "salt"), F.lit(parts))).groupBy("part").applyInArrow(_tree_links, f"a {kind}, b {kind}"))
+
+
+def _open_rows(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """(token, rep, members, comp) of the groups that still hold two components."""
+    placed = shared.join(comps, F.col("rep") == F.col("node"), "left").select("token", "rep", "members", F.coalesce("component", "rep").alias("comp"))
+    open_ = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    return cut(placed.join(open_, "token"))
+
+
 def links(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Pairs (a, b) of class representatives that connect all that is linked.
 
@@ -375,17 +397,15 @@ def links(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = 2 * shuffle_partitions(spark)
     sets = cut(_sets_of(docs, wanted).dropDuplicates(["rep"]))
-    shared = cut(_prefixes(sets, kind))
-    # Second step: a few groups a class, hot ones in chunks dealt anew for each of them.
-    few = shared.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("members", "token")), asc=False), 1, SENT).alias("g")).select("rep", F.explode("g").alias("g"))
-    salt = F.pmod(F.xxhash64("rep", "g.token"), F.ceil(F.col("g.members") / CHUNK).cast("long"))
-    sent = few.select("rep", F.col("g.token").alias("token"), salt.alias("salt")).join(sets.select("rep", "shingles"), "rep")
-    first = cut(sent.withColumn("part", F.pmod(F.xxhash64("token", "salt"), F.lit(parts))).groupBy("part").applyInArrow(_tree_links, f"a {kind}, b {kind}"))
-    comps = cut(connected_components(first, "a", "b"))
+    shared = cut(_distinct_groups(_prefixes(sets, kind)))
+    # Second step, and once more over what it left open.
+    found = _meet(shared.select("rep", F.struct("members", "token").alias("g"), F.col("members").alias("by")), sets, kind, parts)
+    comps = cut(connected_components(found, "a", "b"))
+    again = _open_rows(shared, comps)
+    found = found.union(_meet(again.select("rep", F.struct("members", "token").alias("g"), F.xxhash64("token").alias("by")), sets, kind, parts))
+    comps = cut(connected_components(found, "a", "b"))
     # Third step: groups that still hold two components, by signatures alone.
-    placed = shared.join(comps, F.col("rep") == F.col("node"), "left").select("token", "rep", "members", F.coalesce("component", "rep").alias("comp"))
-    open_ = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    rest = placed.join(open_, "token")
+    rest = _open_rows(shared, comps)
     chunks = F.ceil(F.col("members") / CHUNK).cast("long")
     rest = rest.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     rest = rest.withColumn("one", F.least("chunk", "other")).withColumn("two", F.greatest("chunk", "other"))
@@ -394,7 +414,7 @@ def links(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     pairs = met.groupBy("part").applyInArrow(_tree_candidates, f"a {kind}, b {kind}").distinct()
     one, two = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("t"))
     second = pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(_verified, f"a {kind}, b {kind}")
-    return first.union(second)
+    return found.union(second)
 
 
 def components(docs: DataFrame) -> DataFrame:
