@@ -1,27 +1,310 @@
-"""Queries of the network operators over the driver's tables, each with its SQL twin."""
+"""Queries of the network operators over the driver's tables, each with its SQL twin where there is one."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from .functions import scales
+from .network import Network, adjacency, duplicate_edges, merge_duplicates
+from .operators import cluster, community, degree, layers, layout, local, paths, resample, robustness, select, sequences, spectral, structure
+from .sources import tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+TRADE = """q AS (SELECT sn.n_name AS src, cn.n_name AS dst, l_returnflag AS layer, sum(CAST(l_quantity AS BIGINT))::DOUBLE AS weight
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+  JOIN nation sn ON s_nationkey = sn.n_nationkey JOIN nation cn ON c_nationkey = cn.n_nationkey GROUP BY 1, 2, 3),
+t AS (SELECT src, dst, sum(weight) AS weight FROM q GROUP BY 1, 2),
+v AS (SELECT n_name AS node FROM nation)"""
+TOP = TRADE + """,
+e AS (SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM t WHERE src <> dst) WHERE r <= 3)"""
+FLAT = TOP + """,
+u AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(weight) AS w FROM e GROUP BY 1, 2),
+s AS (SELECT a AS node, b AS other, w FROM u UNION ALL SELECT b, a, w FROM u)"""
+LAYERS = TRADE + """,
+l AS (SELECT layer, src, dst, weight FROM (SELECT *, avg(weight) OVER (PARTITION BY layer) AS m FROM q) WHERE weight > m)"""
+PLACED = TRADE + """,
+c AS (SELECT n_name AS node, r_name AS cluster FROM nation JOIN region ON n_regionkey = r_regionkey),
+p AS (SELECT x.cluster AS ci, y.cluster AS cj, src, dst, weight FROM t JOIN c x ON x.node = src JOIN c y ON y.node = dst),
+z AS (SELECT cluster, count(*) AS n FROM c GROUP BY 1)"""
+SEQ = """seq AS (SELECT user_id AS case_, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, event_type AS state FROM events)"""
+
+
+def query(name: str, run: Query, sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to so many digits, without negative zeros."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def on(graph: Callable[[SparkSession, str], Network], made: Callable[[Network], DataFrame]) -> Query:
+    return lambda spark, sf_dir: rounded(made(graph(spark, sf_dir)))
+
+
+def edges_of(net: Network) -> DataFrame:
+    return net.edges.select("src", "dst", "weight")
+
+
+def _seq(made: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: rounded(made(tables.event_sequences(spark, sf_dir)))
+
+
+# --- sequences ---------------------------------------------------------------
+query("transition_network", _seq(sequences.transition_network), f"""
+WITH {SEQ}, p AS (SELECT state AS src, lead(state) OVER (PARTITION BY case_ ORDER BY t) AS dst FROM seq),
+c AS (SELECT src, dst, count(*) AS count FROM p WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY 1, 2)
+SELECT src, dst, count, round(count / sum(count) OVER (PARTITION BY src), 6) AS weight FROM c""")
+query("transition_inits", _seq(sequences.initial_states), f"""
+WITH {SEQ}, f AS (SELECT case_, arg_min(state, t) AS state FROM seq WHERE state IS NOT NULL GROUP BY 1), c AS (SELECT state, count(*) AS count FROM f GROUP BY 1)
+SELECT state, count, round(count / sum(count) OVER (), 6) AS share FROM c""")
+for _name, _size, _step in (("transition_windows_sliding", 5, 1), ("transition_windows_tumbling", 5, 5)):
+    query(_name, _seq(lambda s, a=_size, b=_step: sequences.window_transitions(s, a, b, 20)), f"""
+WITH {SEQ}, w AS (SELECT k AS "window", case_, t, state FROM seq, range(0, {(20 - _size) // _step} + 1) r(k) WHERE t > k * {_step} AND t <= k * {_step} + {_size}),
+p AS (SELECT "window", state AS src, lead(state) OVER (PARTITION BY "window", case_ ORDER BY t) AS dst FROM w),
+c AS (SELECT "window", src, dst, count(*) AS count FROM p WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY 1, 2, 3)
+SELECT "window"::INT AS "window", src, dst, count, round(count / sum(count) OVER (PARTITION BY "window", src), 6) AS weight FROM c""")
+
+
+def _gaps(seq: DataFrame) -> DataFrame:
+    """Purchases from the twelfth step on count as missing."""
+    return seq.withColumn("state", F.when(~((F.col("t") >= 12) & F.col("state").isin("purchase", "click", "view")), F.col("state")))
+
+
+query("window_na_stop", _seq(lambda s: sequences.usable_windows(sequences.windows(_gaps(s), 5, 1, 20), 0.5)), f"""
+WITH {SEQ}, w AS (SELECT k AS "window", CASE WHEN NOT (t >= 12 AND state IN ('purchase', 'click', 'view')) THEN state END AS state FROM seq, range(0, 16) r(k) WHERE t > k AND t <= k + 5 AND t <= 20),
+h AS (SELECT "window", avg(CASE WHEN state IS NULL THEN 1 ELSE 0 END) AS na FROM w GROUP BY 1)
+SELECT "window"::INT AS "window", round(na, 6) AS na_share, max(CASE WHEN na > 0.5 THEN 1 ELSE 0 END) OVER (ORDER BY "window") = 0 AS usable FROM h""")
+MARKS = "m AS (SELECT DISTINCT user_id AS actor, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS w, event_type AS code FROM events)"
+query("cooccurrence", lambda s, d: sequences.cooccurrence(tables.event_marks(s, d).withColumn("window", F.struct("actor", "window"))), f"""
+WITH {MARKS} SELECT a.code AS src, b.code AS dst, count(*) AS count FROM m a JOIN m b ON a.actor = b.actor AND a.w = b.w AND a.code <= b.code GROUP BY 1, 2""")
+query("transition_onehot", lambda s, d: sequences.code_transitions(tables.event_marks(s, d)), f"""
+WITH {MARKS} SELECT a.code AS src, b.code AS dst, count(*) AS count FROM m a JOIN m b ON a.actor = b.actor AND b.w = a.w + 1 GROUP BY 1, 2""")
+query("alluvial_flows", _seq(lambda s: sequences.flows(s.filter("t <= 10"))), f"""
+WITH {SEQ}, p AS (SELECT t AS step, state AS src, lead(state) OVER (PARTITION BY case_ ORDER BY t) AS dst FROM seq WHERE t <= 10)
+SELECT step::INT AS step, src, dst, count(*) AS count FROM p WHERE dst IS NOT NULL GROUP BY 1, 2, 3""")
+query("node_positions", _seq(lambda s: sequences.node_positions(s.filter("t <= 10").groupBy(F.col("t").alias("step"), "state").agg(F.count("*").alias("count")), 2.0)), f"""
+WITH {SEQ}, c AS (SELECT t AS step, state, count(*) AS count FROM seq WHERE t <= 10 GROUP BY 1, 2),
+b AS (SELECT *, coalesce(sum(count) OVER w, 0) + 2.0 * count(*) OVER w AS bottom FROM c WINDOW w AS (PARTITION BY step ORDER BY state ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT step::INT AS step, state, count, bottom::DOUBLE AS bottom, (bottom + count)::DOUBLE AS top FROM b""")
+query("trajectories", _seq(sequences.trajectories), f"""
+WITH {SEQ} SELECT case_ AS "case", arg_min(state, t) AS first, arg_max(state, t) AS last, count(*) AS steps FROM seq GROUP BY 1""")
+
+# --- edges ---------------------------------------------------------------------
+query("edge_list", on(tables.trade, edges_of), f"WITH {TRADE} SELECT * FROM t")
+query("adjacency_long", on(tables.trade_flat, adjacency), f"WITH {FLAT} SELECT node AS src, other AS dst, w AS weight FROM s")
+query("duplicate_edges", on(tables.trade_top, lambda n: duplicate_edges(n.edges).select("a", "b", "count")), f"WITH {TOP} SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS count FROM e GROUP BY 1, 2 HAVING count(*) > 1")
+for _m, _f in (("sum", "sum(weight)"), ("mean", "avg(weight)"), ("max", "max(weight)"), ("min", "min(weight)"), ("first", "arg_min(weight, src)")):
+    query(f"dedupe_edges_{_m}", on(tables.trade_top, lambda n, m=_m: merge_duplicates(n.edges, m, F.col("src"))), f"WITH {TOP} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, round({_f}, 6) AS weight FROM e GROUP BY 1, 2")
+
+# --- degrees -------------------------------------------------------------------
+for _m, _ends in (("out", "SELECT src AS node, weight FROM t"), ("in", "SELECT dst, weight FROM t"), ("all", "SELECT src AS node, weight FROM t UNION ALL SELECT dst, weight FROM t")):
+    _g = f"WITH {TRADE}, x(node, weight) AS ({_ends})"
+    query(f"degree_{_m}", on(tables.trade, lambda n, m=_m: degree.degree(n, m)), f"{_g} SELECT node, count(weight) AS degree FROM v LEFT JOIN x USING (node) GROUP BY 1")
+    query(f"strength_{_m}", on(tables.trade, lambda n, m=_m: degree.strength(n, m)), f"{_g} SELECT node, coalesce(sum(weight), 0)::DOUBLE AS strength FROM v LEFT JOIN x USING (node) GROUP BY 1")
+DEG = FLAT + ", k AS (SELECT v.node, count(s.other) AS k FROM v LEFT JOIN s USING (node) GROUP BY 1)"
+query("diffusion", on(tables.trade_flat, degree.diffusion), f"WITH {DEG} SELECT k.node, (k.k + coalesce(sum(o.k), 0))::DOUBLE AS diffusion FROM k LEFT JOIN s ON s.node = k.node LEFT JOIN k o ON o.node = s.other GROUP BY k.node, k.k")
+query("leverage", on(tables.trade_flat, degree.leverage), f"WITH {DEG} SELECT k.node, coalesce(round(avg((k.k - o.k) / (k.k + o.k)), 6) + 0.0, 'nan'::DOUBLE) AS leverage FROM k LEFT JOIN s ON s.node = k.node LEFT JOIN k o ON o.node = s.other GROUP BY k.node")
+query("laplacian_centrality", on(tables.trade_flat, degree.laplacian), f"WITH {DEG} SELECT k.node, (k.k * k.k + k.k + 2 * coalesce(sum(o.k), 0))::DOUBLE AS laplacian FROM k LEFT JOIN s ON s.node = k.node LEFT JOIN k o ON o.node = s.other GROUP BY k.node, k.k")
+query("degree_distribution", on(tables.trade_flat, degree.degree_distribution), f"WITH {DEG}, c AS (SELECT k AS degree, count(*) AS nodes FROM k GROUP BY 1) SELECT degree, nodes, round(sum(nodes) OVER (ORDER BY degree) / sum(nodes) OVER (), 6) AS cumulative FROM c")
+query("density", on(tables.trade_top, degree.density), f"WITH {TOP} SELECT round((SELECT count(*) FROM e) / (n * (n - 1)), 6) AS density FROM (SELECT count(*) AS n FROM v)")
+query("reciprocity", on(tables.trade_top, degree.reciprocity), f"WITH {TOP}, p AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n FROM e GROUP BY 1, 2) SELECT round(sum(CASE WHEN n = 2 THEN 1 ELSE 0 END) / count(*), 6) AS reciprocity FROM p")
+query("assortativity", on(tables.trade_flat, degree.assortativity), f"WITH {DEG} SELECT round(corr(x.k::DOUBLE, y.k::DOUBLE), 6) AS assortativity FROM s JOIN k x ON x.node = s.node JOIN k y ON y.node = s.other")
+query("centralization_degree", on(tables.trade_flat, degree.centralization_degree), f"WITH {DEG} SELECT round((count(*) * max(k) - sum(k)) / (count(*) * (count(*) - 1)), 6) AS centralization FROM k")
+
+# --- neighbourhoods --------------------------------------------------------------
+TRI = DEG + """, tri AS (SELECT x.a, x.b, y.b AS c FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b),
+n3 AS (SELECT node, count(*) AS t FROM (SELECT unnest([a, b, c]) AS node FROM tri) GROUP BY 1)"""
+query("triangle_count", on(tables.trade_flat, local.triangle_count), f"WITH {TRI} SELECT v.node, coalesce(t, 0)::BIGINT AS triangles FROM v LEFT JOIN n3 USING (node)")
+query("transitivity_local", on(tables.trade_flat, local.transitivity_local), f"WITH {TRI} SELECT k.node, CASE WHEN k < 2 THEN 'nan'::DOUBLE ELSE round(2 * coalesce(t, 0) / (k * (k - 1)), 6) END AS transitivity FROM k LEFT JOIN n3 USING (node)")
+query("transitivity_global", on(tables.trade_flat, local.transitivity_global), f"WITH {TRI} SELECT round(3 * (SELECT count(*) FROM tri) / (SELECT sum(k * (k - 1) / 2) FROM k), 6) AS transitivity")
+query("transitivity_barrat", on(tables.trade_flat, local.transitivity_barrat), f"""
+WITH {TRI}, co AS (SELECT a AS i, b AS j, c AS h FROM tri UNION ALL SELECT b, a, c FROM tri UNION ALL SELECT c, a, b FROM tri),
+cl AS (SELECT i, sum(x.w + y.w) AS w FROM co JOIN s x ON x.node = i AND x.other = j JOIN s y ON y.node = i AND y.other = h GROUP BY 1),
+st AS (SELECT node, sum(w) AS s, count(*) AS k FROM s GROUP BY 1)
+SELECT v.node, CASE WHEN coalesce(st.k, 0) < 2 THEN 'nan'::DOUBLE ELSE round(coalesce(cl.w, 0) / (st.s * (st.k - 1)), 6) END AS transitivity FROM v LEFT JOIN st USING (node) LEFT JOIN cl ON cl.i = v.node""")
+query("constraint", on(tables.trade_flat, local.constraint), f"""
+WITH {FLAT}, p AS (SELECT node AS i, other AS j, w / sum(w) OVER (PARTITION BY node) AS p FROM s),
+via AS (SELECT a.i, b.j, sum(a.p * b.p) AS q FROM p a JOIN p b ON a.j = b.i WHERE a.i <> b.j GROUP BY 1, 2)
+SELECT v.node, coalesce(round(sum(power(p.p + coalesce(q, 0), 2)), 6), 'nan'::DOUBLE) AS "constraint" FROM v LEFT JOIN p ON p.i = v.node LEFT JOIN via ON via.i = p.i AND via.j = p.j GROUP BY 1""")
+query("rich_club", on(tables.trade_flat, local.rich_club), f"""
+WITH {DEG}, m AS (SELECT median(k)::DOUBLE AS lim FROM k), r AS (SELECT node FROM k, m WHERE k > lim)
+SELECT lim AS "limit", n, m2 AS m, round(2 * m2 / nullif(n * (n - 1), 0), 6) AS phi FROM m, (SELECT count(*) AS n FROM r), (SELECT count(*) AS m2 FROM u WHERE a IN (SELECT node FROM r) AND b IN (SELECT node FROM r))""")
+query("clique_size", on(tables.trade_flat, local.clique_size))
+
+# --- selection -------------------------------------------------------------------
+query("filter_edges", on(tables.trade, lambda n: edges_of(select.filter_edges(n, "weight > 900", "src <> dst"))), f"WITH {TRADE} SELECT * FROM t WHERE weight > 900 AND src <> dst")
+query("filter_nodes", on(tables.trade_top, lambda n: select.filter_nodes(n, "indegree >= 3").nodes), f"WITH {TOP}, d AS (SELECT dst AS node, count(*) AS i FROM e GROUP BY 1) SELECT node FROM d WHERE i >= 3")
+query("select_top_nodes", on(tables.trade_top, lambda n: select.select_nodes(n, top=5, by="instrength").nodes), f"WITH {TOP}, d AS (SELECT node, coalesce(sum(weight), 0) AS i FROM v LEFT JOIN e ON dst = node GROUP BY 1) SELECT node FROM d ORDER BY i DESC, node LIMIT 5")
+query("select_top_edges", on(tables.trade, lambda n: edges_of(select.select_edges(n, top=10))), f"WITH {TRADE} SELECT * FROM t ORDER BY weight DESC, src, dst LIMIT 10")
+query("select_involving", on(tables.trade, lambda n: edges_of(select.select_edges(n, involving=["NATION_3", "NATION_7"]))), f"WITH {TRADE} SELECT * FROM t WHERE src IN ('NATION_3', 'NATION_7') OR dst IN ('NATION_3', 'NATION_7')")
+query("select_between", on(tables.trade, lambda n: edges_of(select.select_edges(n, between=(["NATION_3", "NATION_5"], ["NATION_7", "NATION_11"])))), f"WITH {TRADE} SELECT * FROM t WHERE (src IN ('NATION_3', 'NATION_5') AND dst IN ('NATION_7', 'NATION_11')) OR (dst IN ('NATION_3', 'NATION_5') AND src IN ('NATION_7', 'NATION_11'))")
+query("select_mutual", on(tables.trade_top, lambda n: edges_of(select.select_edges(n, mutual_only=True))), f"WITH {TOP} SELECT * FROM e WHERE EXISTS (SELECT 1 FROM e x WHERE x.src = e.dst AND x.dst = e.src)")
+for _k in (1, 2):
+    _n1 = "SELECT 'NATION_3' AS node UNION SELECT other FROM s WHERE node = 'NATION_3'"
+    query(f"select_neighbors_{_k}", on(tables.trade_flat, lambda n, k=_k: select.select_nodes(n, neighbors_of=["NATION_3"], order=k).nodes), f"WITH {FLAT}, n1 AS ({_n1}) SELECT node FROM n1" + (" UNION SELECT s.other FROM n1 JOIN s USING (node)" if _k == 2 else ""))
+query("select_edges_endpoint_metrics", on(tables.trade_top, lambda n: edges_of(select.select_edges(n, "from_degree > to_degree"))), f"WITH {TOP}, d AS (SELECT node, count(*) AS k FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1) SELECT e.* FROM e JOIN d x ON x.node = src JOIN d y ON y.node = dst WHERE x.k > y.k")
+
+# --- clusters ---------------------------------------------------------------------
+_BODY = {"sum": "sum(weight)", "mean": "avg(weight)", "median": "median(weight)", "max": "max(weight)", "min": "min(weight)", "density": "sum(weight) / max(x.n * y.n)", "geomean": "exp(avg(ln(weight)))"}
+
+
+def _clustered(made: Callable[[Network, DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: rounded(made(tables.trade(spark, sf_dir), tables.regions(spark, sf_dir)), 5)
+
+
+for _m, _f in _BODY.items():
+    query(f"cluster_between_{_m}", _clustered(lambda n, c, m=_m: cluster.cluster_between(n, c, m)), f"""
+WITH {PLACED}, b AS (SELECT ci, cj, {_f} AS value FROM p JOIN z x ON x.cluster = ci JOIN z y ON y.cluster = cj WHERE ci <> cj GROUP BY 1, 2)
+SELECT x.cluster AS ci, y.cluster AS cj, round(coalesce(value, 0)::DOUBLE, 5) AS value FROM z x, z y LEFT JOIN b ON b.ci = x.cluster AND b.cj = y.cluster""")
+query("cluster_within", _clustered(lambda n, c: cluster.cluster_within(n, c)), f"WITH {PLACED}, b AS (SELECT ci, sum(weight) AS value FROM p WHERE ci = cj AND src <> dst GROUP BY 1) SELECT cluster, round(coalesce(value, 0)::DOUBLE, 5) AS value FROM z LEFT JOIN b ON ci = cluster")
+query("cluster_quality", _clustered(cluster.cluster_quality), f"""
+WITH {PLACED}, i AS (SELECT ci AS cluster, sum(weight) AS m FROM p WHERE ci = cj AND src <> dst GROUP BY 1),
+o AS (SELECT cluster, sum(weight) AS c FROM (SELECT ci AS cluster, weight FROM p WHERE ci <> cj UNION ALL SELECT cj, weight FROM p WHERE ci <> cj) GROUP BY 1),
+a AS (SELECT z.cluster, n, coalesce(m, 0) AS m, coalesce(c, 0) AS c, (SELECT count(*) FROM c) AS total FROM z LEFT JOIN i USING (cluster) LEFT JOIN o USING (cluster))
+SELECT cluster, n AS n_nodes, round(m::DOUBLE, 5) AS internal_edges, round(c::DOUBLE, 5) AS cut_edges, round(coalesce(m / nullif(n * (n - 1), 0), 0), 5) AS internal_density, round(2 * m / n, 5) AS avg_internal_degree,
+round(c / n, 5) AS expansion, round(coalesce(c / nullif(n * (total - n), 0), 0), 5) AS cut_ratio, round(coalesce(c / nullif(2 * m + c, 0), 0), 5) AS conductance FROM a""")
+query("modularity_directed", _clustered(cluster.modularity), f"""
+WITH {PLACED}, o AS (SELECT ci AS cluster, sum(weight) AS o FROM p GROUP BY 1), i AS (SELECT cj AS cluster, sum(weight) AS i FROM p GROUP BY 1), s AS (SELECT ci AS cluster, sum(weight) AS s FROM p WHERE ci = cj GROUP BY 1), g AS (SELECT sum(weight) AS m FROM p)
+SELECT round(sum(coalesce(s, 0) / m - coalesce(o, 0) * coalesce(i, 0) / (m * m)), 5) AS modularity FROM z LEFT JOIN o USING (cluster) LEFT JOIN i USING (cluster) LEFT JOIN s USING (cluster), g""")
+query("coverage", _clustered(cluster.coverage), f"WITH {PLACED} SELECT round(sum(CASE WHEN ci = cj THEN weight ELSE 0 END) / sum(weight), 5) AS coverage FROM p")
+
+
+def _partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = tables.table(spark, sf_dir, "customer").join(tables.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    one, two = people.select(F.col("c_custkey").alias("node"), F.col("n_regionkey").alias("cluster")), people.select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("cluster"))
+    return rounded(cluster.compare_partitions(one, two))
+
+
+query("compare_partitions", _partitions, """
+WITH m AS (SELECT n_regionkey AS x, c_mktsegment AS y, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2), g AS (SELECT sum(n)::DOUBLE AS t FROM m),
+j AS (SELECT sum(-(n / t) * ln(n / t)) AS h, sum(n * (n - 1) / 2) AS p FROM m, g),
+a AS (SELECT sum(-(n / t) * ln(n / t)) AS h, sum(n * (n - 1) / 2) AS p, sum(top) AS m FROM (SELECT x, sum(n) AS n, max(n) AS top FROM m GROUP BY 1), g),
+b AS (SELECT sum(-(n / t) * ln(n / t)) AS h, sum(n * (n - 1) / 2) AS p, sum(top) AS m FROM (SELECT y, sum(n) AS n, max(n) AS top FROM m GROUP BY 1), g)
+SELECT round(2 * j.h - a.h - b.h, 6) AS vi, round(2 * (a.h + b.h - j.h) / (a.h + b.h), 6) AS nmi, (2 * t - a.m - b.m)::BIGINT AS split_join,
+round((t * (t - 1) / 2 + 2 * j.p - a.p - b.p) / (t * (t - 1) / 2), 6) AS rand, round((j.p - a.p * b.p / (t * (t - 1) / 2)) / ((a.p + b.p) / 2 - a.p * b.p / (t * (t - 1) / 2)), 6) AS adjusted_rand FROM j, a, b, g""")
+
+# --- layers ------------------------------------------------------------------------
+def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    both = tables.trade_layers(spark, sf_dir)
+    return both.filter("layer = 'A'"), both.filter("layer = 'R'")
+
+
+TWO = LAYERS + ", xy AS (SELECT coalesce(a.src, b.src) AS src, coalesce(a.dst, b.dst) AS dst, coalesce(a.weight, 0) AS x, coalesce(b.weight, 0) AS y FROM (SELECT * FROM l WHERE layer = 'A') a FULL JOIN (SELECT * FROM l WHERE layer = 'R') b ON a.src = b.src AND a.dst = b.dst)"
+query("layer_similarity", lambda s, d: rounded(layers.layer_similarity(*_two(s, d), 25)), f"""
+WITH {TWO}, k AS (SELECT count(*) FILTER (x > 0 AND y > 0) AS b, count(*) FILTER (x > 0 OR y > 0) AS a, count(*) FILTER (x > 0) AS nx, count(*) FILTER (y > 0) AS ny, sum(x) AS sx, sum(y) AS sy, sum(x * y) AS sxy, sum(x * x) AS sxx, sum(y * y) AS syy FROM xy)
+SELECT round(b / a, 6) AS jaccard, round(b / least(nx, ny), 6) AS overlap, (a - b)::BIGINT AS hamming, round(sxy / sqrt(sxx * syy), 6) AS cosine, round((625 * sxy - sx * sy) / sqrt((625 * sxx - sx * sx) * (625 * syy - sy * sy)), 6) AS pearson FROM k""")
+query("layer_similarity_matrix", lambda s, d: rounded(layers.layer_similarity_matrix(tables.trade_layers(s, d))), f"""
+WITH {LAYERS}, n AS (SELECT layer, count(*) AS n FROM l GROUP BY 1)
+SELECT x.layer AS layer_a, y.layer AS layer_b, round(k / (x.n + y.n - k), 6) AS jaccard FROM n x, n y, LATERAL (SELECT count(*) AS k FROM l a JOIN l b ON a.src = b.src AND a.dst = b.dst WHERE a.layer = x.layer AND b.layer = y.layer)""")
+query("layer_degree_correlation", lambda s, d: rounded(layers.layer_degree_correlation(tables.trade_layers(s, d), tables.nation_nodes(s, d))), f"""
+WITH {LAYERS}, h AS (SELECT layer, src AS node, weight FROM l UNION ALL SELECT layer, dst, weight FROM l),
+k AS (SELECT g.layer, v.node, coalesce(sum(weight), 0) AS s FROM (SELECT DISTINCT layer FROM l) g CROSS JOIN v LEFT JOIN h ON h.layer = g.layer AND h.node = v.node GROUP BY 1, 2)
+SELECT a.layer AS layer_a, b.layer AS layer_b, round(corr(a.s, b.s), 6) AS correlation FROM k a JOIN k b USING (node) GROUP BY 1, 2""")
+for _m, _on in (("diagonal", "SELECT node AS src, node AS dst FROM v"), ("full", "SELECT a.node AS src, b.node AS dst FROM v a, v b")):
+    query(f"supra_adjacency_{_m}", lambda s, d, m=_m: rounded(layers.supra_adjacency(tables.trade_layers(s, d), tables.nation_nodes(s, d), 0.5, m)), f"""
+WITH {LAYERS}, g AS (SELECT DISTINCT layer FROM l), c AS ({_on})
+SELECT layer AS src_layer, src, layer AS dst_layer, dst, weight FROM l UNION ALL SELECT a.layer, src, b.layer, dst, 0.5::DOUBLE FROM g a, g b, c WHERE a.layer <> b.layer""")
+for _m, _f in (("sum", "sum(weight)"), ("mean", "sum(weight) / 3"), ("max", "max(weight)"), ("min", "CASE WHEN count(*) < 3 THEN least(min(weight), 0) ELSE min(weight) END"), ("union", "1.0"), ("intersection", "CASE WHEN count(*) = 3 THEN 1.0 ELSE 0 END")):
+    query(f"aggregate_layers_{_m}", lambda s, d, m=_m: rounded(layers.aggregate_layers(tables.trade_layers(s, d), m)), f"WITH {LAYERS} SELECT * FROM (SELECT src, dst, round(({_f})::DOUBLE, 6) AS weight FROM l GROUP BY 1, 2) WHERE weight <> 0")
+query("network_difference", lambda s, d: rounded(layers.difference(*_two(s, d))), f"WITH {TWO} SELECT src, dst, x, y, x - y AS diff FROM xy")
+query("disparity_filter", on(tables.trade, lambda n: layers.disparity(n, 0.3)), f"""
+WITH {TRADE}, f AS (SELECT *, sum(weight) OVER (PARTITION BY src) AS so, count(*) OVER (PARTITION BY src) AS ko, sum(weight) OVER (PARTITION BY dst) AS si, count(*) OVER (PARTITION BY dst) AS ki FROM t WHERE src <> dst),
+r AS (SELECT src, dst, weight, least(power(1 - weight / so, ko - 1), power(1 - weight / si, ki - 1)) AS p FROM f)
+SELECT src, dst, weight, round(p, 6) AS p, p < 0.3 AS significant FROM r""")
+
+# --- scales and layouts -------------------------------------------------------------
+for _m, _f in (("linear", "weight / max(weight) OVER ()"), ("log", "ln(1 + weight) / ln(1 + max(weight) OVER ())"), ("sqrt", "sqrt(weight) / sqrt(max(weight) OVER ())"), ("rank", "(rank() OVER (ORDER BY weight) + (count(*) OVER (PARTITION BY weight) - 1) / 2 - 1) / (count(*) OVER () - 1)")):
+    query(f"scale_edge_{_m}", on(tables.trade, lambda n, m=_m: n.edges.select("src", "dst", scales.scale_edge_widths(F.col("weight"), m).alias("width"))), f"WITH {TRADE} SELECT src, dst, round(0.5 + 3.5 * ({_f}), 6) AS width FROM t")
+query("significance_stars", on(tables.trade, lambda n: layers.disparity(n).select("src", "dst", scales.stars(F.col("p") / 20).alias("stars"))), f"""
+WITH {TRADE}, f AS (SELECT *, sum(weight) OVER (PARTITION BY src) AS so, count(*) OVER (PARTITION BY src) AS ko, sum(weight) OVER (PARTITION BY dst) AS si, count(*) OVER (PARTITION BY dst) AS ki FROM t WHERE src <> dst),
+r AS (SELECT src, dst, least(power(1 - weight / so, ko - 1), power(1 - weight / si, ki - 1)) / 20 AS p FROM f)
+SELECT src, dst, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars FROM r""")
+ROW = "o AS (SELECT n_name AS node, row_number() OVER (ORDER BY n_name) - 1 AS i, count(*) OVER () AS n FROM nation)"
+query("layout_circle", lambda s, d: rounded(layout.layout_circle(tables.nation_nodes(s, d))), f"WITH {ROW} SELECT node, round(0.5 + 0.4 * cos(pi() / 2 - 2 * pi() * i / n), 6) + 0.0 AS x, round(0.5 + 0.4 * sin(pi() / 2 - 2 * pi() * i / n), 6) + 0.0 AS y FROM o")
+query("layout_oval", lambda s, d: rounded(layout.layout_oval(tables.nation_nodes(s, d))), f"WITH {ROW} SELECT node, round(0.5 + 0.4 * sqrt(1.5) * cos(pi() / 2 - 2 * pi() * i / n), 6) + 0.0 AS x, round(0.5 + 0.4 / sqrt(1.5) * sin(pi() / 2 - 2 * pi() * i / n), 6) + 0.0 AS y FROM o")
+query("layout_grid", lambda s, d: rounded(layout.layout_grid(tables.nation_nodes(s, d))), f"WITH {ROW}, g AS (SELECT *, ceil(sqrt(n))::BIGINT AS k FROM o) SELECT node, round(0.1 + 0.8 * (i % k) / greatest(k - 1, 1), 6) AS x, round(0.9 - 0.8 * (i // k) / greatest(k - 1, 1), 6) AS y FROM g")
+query("layout_groups", lambda s, d: rounded(layout.layout_groups(tables.regions(s, d))), """
+WITH g AS (SELECT r_name AS cluster, row_number() OVER (ORDER BY r_name) - 1 AS gi, count(*) OVER () AS gn FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)),
+m AS (SELECT n_name AS node, r_name AS cluster, row_number() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS i, count(*) OVER (PARTITION BY r_name) AS n FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT node, round(0.5 + 0.35 * cos(pi() / 2 - 2 * pi() * gi / gn) + CASE WHEN n = 1 THEN 0 ELSE 0.15 * cos(pi() / 2 - 2 * pi() * i / n) END, 6) + 0.0 AS x,
+round(0.5 + 0.35 * sin(pi() / 2 - 2 * pi() * gi / gn) + CASE WHEN n = 1 THEN 0 ELSE 0.15 * sin(pi() / 2 - 2 * pi() * i / n) END, 6) + 0.0 AS y FROM m JOIN g USING (cluster)""")
+query("layout_spring", lambda s, d: layout.layout_spring(tables.trade_flat(s, d), 10))
+
+# --- components and paths --------------------------------------------------------------
+def _heavy(spark: SparkSession, sf_dir: str) -> Network:
+    """Each nation's heaviest edge only: several components."""
+    return tables.trade_top(spark, sf_dir, 1)
+
+
+HEAVY = TRADE.replace("v AS (", "v AS (") + """, h AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM t WHERE src <> dst) WHERE r = 1),
+hh AS (SELECT src AS a, dst AS b FROM h UNION SELECT dst, src FROM h UNION SELECT node, node FROM v),
+reach(a, b) AS (SELECT a, b FROM hh UNION SELECT reach.a, hh.b FROM reach JOIN hh ON hh.a = reach.b),
+comp AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY 1)"""
+query("components", on(_heavy, structure.components), f"WITH RECURSIVE {HEAVY} SELECT * FROM comp")
+query("component_sizes", on(_heavy, structure.component_sizes), f"WITH RECURSIVE {HEAVY} SELECT component, count(*) AS nodes FROM comp GROUP BY 1")
+query("select_largest_component", on(_heavy, lambda n: structure.largest_component(n).nodes), f"WITH RECURSIVE {HEAVY} SELECT node FROM comp WHERE component = (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)")
+query("components_copurchase", on(tables.co_purchases, structure.component_sizes))
+
+DIST = TOP + """, walk(source, node, d) AS (SELECT node, node, 0 FROM v UNION SELECT source, dst, d + 1 FROM walk JOIN e ON e.src = node WHERE d < 12),
+dd AS (SELECT source, node, min(d)::DOUBLE AS dist FROM walk GROUP BY 1, 2), dp AS (SELECT * FROM dd WHERE source <> node)"""
+_R = f"WITH RECURSIVE {DIST}"
+query("distances_hops", on(tables.trade_top, paths.distances), f"{_R} SELECT * FROM dd")
+query("closeness", on(tables.trade_top, lambda n: paths.closeness(n, "out")), f"{_R} SELECT v.node, coalesce(round(1 / sum(dist), 6), 'nan'::DOUBLE) AS closeness FROM v LEFT JOIN dp ON source = v.node GROUP BY 1")
+query("harmonic", on(tables.trade_top, lambda n: paths.harmonic(n, "out")), f"{_R} SELECT v.node, round(coalesce(sum(1 / dist), 0), 6) AS harmonic FROM v LEFT JOIN dp ON source = v.node GROUP BY 1")
+query("eccentricity", on(tables.trade_top, lambda n: paths.eccentricity(n, "out")), f"{_R} SELECT source AS node, max(dist) AS eccentricity FROM dd GROUP BY 1")
+query("kreach_hops", on(tables.trade_top, lambda n: paths.kreach(n, 2, "out")), f"{_R} SELECT v.node, count(dist)::DOUBLE AS kreach FROM v LEFT JOIN dp ON source = v.node AND dist <= 2 GROUP BY 1")
+query("path_summary", on(tables.trade_top, paths.path_summary), f"""{_R}, ec AS (SELECT source, max(dist) AS e FROM dd GROUP BY 1)
+SELECT (SELECT min(e) FROM ec) AS radius, (SELECT max(e) FROM ec) AS diameter, round((SELECT avg(dist) FROM dp), 6) AS mean_distance, round((SELECT sum(1 / dist) FROM dp) / (n * (n - 1)), 6) AS global_efficiency FROM (SELECT count(*) AS n FROM v)""")
+query("distances_weighted", on(tables.trade_top, lambda n: paths.distances(n, weighted=True, invert=True)))
+
+_SIGMA = "s0 AS (SELECT source, node, 1.0::DOUBLE AS g FROM dd WHERE dist = 0)" + "".join(f", s{i} AS (SELECT * FROM s{i - 1} UNION ALL SELECT y.source, y.node, sum(x.g) FROM dd y JOIN e ON e.dst = y.node JOIN dd z ON z.source = y.source AND z.node = e.src AND z.dist = {i} - 1 JOIN s{i - 1} x ON x.source = y.source AND x.node = e.src WHERE y.dist = {i} GROUP BY 1, 2)" for i in range(1, 11))
+query("betweenness", on(tables.trade_top, paths.betweenness), f"""{_R}, {_SIGMA}, b AS (SELECT m.node, sum(sm.g * mt.g / st.g) AS b FROM dp st0 JOIN s10 st ON st.source = st0.source AND st.node = st0.node
+JOIN dp m ON m.source = st0.source JOIN s10 sm ON sm.source = m.source AND sm.node = m.node JOIN dp t2 ON t2.source = m.node AND t2.node = st0.node AND m.dist + t2.dist = st0.dist JOIN s10 mt ON mt.source = t2.source AND mt.node = t2.node GROUP BY 1)
+SELECT v.node, round(coalesce(b, 0), 6) AS betweenness FROM v LEFT JOIN b USING (node)""")
+query("edge_betweenness", on(tables.trade_top, paths.edge_betweenness), f"""{_R}, {_SIGMA}, b AS (SELECT e.src, e.dst, sum(sm.g * mt.g / st.g) AS b FROM dp st0 JOIN s10 st ON st.source = st0.source AND st.node = st0.node
+JOIN dd m ON m.source = st0.source JOIN s10 sm ON sm.source = m.source AND sm.node = m.node JOIN e ON e.src = m.node JOIN dd t2 ON t2.source = e.dst AND t2.node = st0.node AND m.dist + 1 + t2.dist = st0.dist JOIN s10 mt ON mt.source = t2.source AND mt.node = t2.node GROUP BY 1, 2)
+SELECT src, dst, round(b, 6) AS betweenness FROM b""")
+query("load", on(tables.trade_flat, paths.load))
+query("percolation", on(tables.trade_flat, paths.percolation))
+query("girth", on(tables.trade_flat, paths.girth))
+query("local_efficiency", on(tables.trade_flat, paths.local_efficiency))
+
+# --- iterations ----------------------------------------------------------------------------
+_PR = "w AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM e), x0 AS (SELECT node, 1.0 / (SELECT count(*) FROM v) AS x FROM v), dg AS (SELECT node FROM v WHERE node NOT IN (SELECT src FROM e))" + "".join(
+    f", x{i} AS (SELECT v.node, 0.15 / 25 + 0.85 * (coalesce((SELECT sum(a.x * w.p) FROM x{i - 1} a JOIN w ON w.src = a.node WHERE w.dst = v.node), 0) + (SELECT coalesce(sum(x), 0) FROM x{i - 1} JOIN dg USING (node)) / 25) AS x FROM v)" for i in range(1, 13))
+query("pagerank", on(tables.trade_top, lambda n: spectral.pagerank(n, steps=12)), f"WITH {TOP}, {_PR} SELECT node, round(x, 6) AS pagerank FROM x12")
+query("pagerank_personalized", on(tables.trade_top, lambda n: spectral.pagerank(n, personalized=n.nodes.filter("node < 'NATION_15'").select("node", F.lit(1.0).alias("weight")), steps=20)))
+query("hits", on(tables.trade_top, lambda n: spectral.hits(n, steps=20)))
+query("eigenvector", on(tables.trade_flat, lambda n: spectral.eigenvector(n, steps=30)))
+query("alpha_centrality", on(tables.trade_top, lambda n: spectral.alpha_centrality(n, 0.05, steps=30)))
+query("power_centrality", on(tables.trade_top, lambda n: spectral.power_centrality(n, 0.05, steps=30)))
+query("subgraph_centrality", on(tables.trade_flat, lambda n: spectral.subgraph_centrality(n, 20)))
+query("coreness", on(tables.trade_flat, structure.coreness))
+query("bridges", on(_heavy, structure.bridges))
+query("cut_vertices", on(_heavy, structure.cut_vertices))
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# --- communities, robustness, resampling -----------------------------------------------------
+query("communities_louvain", on(tables.trade_flat, community.louvain))
+query("communities_label_propagation", on(tables.trade_flat, community.label_propagation))
+query("communities_fast_greedy", on(_heavy, community.fast_greedy))
+query("communities_leading_eigenvector", on(tables.trade_flat, lambda n: community.leading_eigenvector(n, steps=30)))
+query("robustness_random", on(tables.trade_flat, lambda n: robustness.random_attack(n, 3)))
+query("robustness_auc", on(tables.trade_flat, lambda n: robustness.summary(robustness.random_attack(n, 3))))
 
 
-def transition_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    pairs = table(spark, sf_dir, "events").select(F.col("event_type").alias("src"), F.lead("event_type").over(steps).alias("dst")).filter("src is not null and dst is not null")
-    counts = pairs.groupBy("src", "dst").agg(F.count("*").alias("count"))
-    return counts.withColumn("weight", F.round(F.col("count") / F.sum("count").over(Window.partitionBy("src")), 6))
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.case_transitions(tables.event_sequences(spark, sf_dir))
 
 
-QUERIES = {"transition_network": transition_network}
-ORACLE_SQL = {
-    "transition_network": """
-WITH p AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
-c AS (SELECT src, dst, count(*) AS count FROM p WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY src, dst)
-SELECT src, dst, count, round(count / sum(count) OVER (PARTITION BY src), 6) AS weight FROM c""",
-}
+query("bootstrap_edges", lambda s, d: rounded(resample.bootstrap_edges(_cases(s, d), 50)))
+query("permutation_edges", lambda s, d: rounded(resample.permutation_edges(_cases(s, d), tables.table(s, d, "events").select(F.col("user_id").alias("case"), (F.col("user_id") % 2).alias("grp")).distinct(), 50)))
+query("centrality_stability", lambda s, d: resample.stability(_cases(s, d), (0.1, 0.5, 0.9), 10))
