@@ -134,7 +134,8 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Model:
     base = (y.sum() + 1) / (len(y) + 2)
     model = Model({"table": rng.normal(size=(BUCKETS, DIM)) * 0.1, "V": rng.normal(size=(DIM, GATE)) * 0.5, "U": rng.normal(size=(DIM, GATE)) * 0.5, "w": rng.normal(size=GATE) * 0.5, "c": rng.normal(size=DIM), "b": np.array([np.log(base / (1 - base))])})
     order = rng.permutation(len(texts))
-    batches = [(bags(pa.array([texts[i] for i in order[at : at + BATCH]], pa.string())), y[order[at : at + BATCH]]) for at in range(0, len(order), BATCH)]
+    batch = min(BATCH, max(16, len(order) // 32))
+    batches = [(bags(pa.array([texts[i] for i in order[at : at + batch]], pa.string())), y[order[at : at + batch]]) for at in range(0, len(order), batch)]
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     step = 0
     for epoch in range(EPOCHS):
