@@ -90,8 +90,8 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def signature_bits(n: int) -> int:
-    """Bits of a set's bitmap: four a shingle, within 256 and 16384, a power of two."""
-    return min(16384, max(256, 1 << (4 * n - 1).bit_length()))
+    """Bits of a set's bitmap: four a shingle, within 1024 and 16384, a power of two."""
+    return min(16384, max(1024, 1 << (4 * n - 1).bit_length()))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
