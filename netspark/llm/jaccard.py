@@ -16,8 +16,9 @@ none of which can lose a link:
    largest possible overlap suffices. Pairs are verified on the sets; what is
    connected already is skipped. This collapses groups of near copies.
 3. Groups of any shared prefix shingle that still hold two components are
-   traversed with signatures only; surviving pairs across components are
-   verified by joining the sets.
+   traversed with signatures and, where they are short, the sets themselves,
+   which are verified there; other surviving pairs across components are verified
+   by joining the sets.
 
 Large groups are dealt out in chunks, in the last step in all pairs of chunks.
 
@@ -50,6 +51,8 @@ CHUNK = 2000
 #: Groups that each class's set is sent to in the second step.
 SENT = 2
 LEAF, FAN = 16, 8
+#: Sets of at most so many shingles travel whole into the third step.
+WHOLE = 256
 U64 = np.uint64
 
 
@@ -338,26 +341,42 @@ def _tree_links(table: pa.Table) -> pa.Table:
 
 
 def _tree_candidates(table: pa.Table) -> pa.Table:
-    """Pairs of different components that signatures do not rule out; of two chunks, only pairs across them."""
-    reps, comps, sizes, marks, chunk = (table.column(c).to_pylist() for c in ("rep", "comp", "n", "mark", "chunk"))
-    met: set[tuple] = set()
+    """(a, b, sure) across components, of two chunks only across them.
+
+    Sets that are there whole are verified at once, and only links that connect
+    something new come out; other pairs that signatures do not rule out come out unsure.
+    """
+    reps, comps, sizes, marks, chunk, whole = (table.column(c).to_pylist() for c in ("rep", "comp", "n", "mark", "chunk", "whole"))
+    number = {c: i for i, c in enumerate(dict.fromkeys(comps))}
+    forest, met = Forest(len(number)), set()
     for rows in _by_group(table, "token", "one", "two"):
-        if len({comps[r] for r in rows}) < 2:
+        if len({forest.root(number[comps[r]]) for r in rows}) < 2:
             continue
         across = len({chunk[r] for r in rows}) > 1
+        sets = [np.frombuffer(whole[r], "<u8") if whole[r] else None for r in rows]
         tree = SignatureTree(np.array([sizes[r] for r in rows]), [np.frombuffer(marks[r], "<u8") for r in rows])
-        for i, j in tree.pairs():
-            for x, y in zip(rows[i], rows[j], strict=True):
-                if comps[x] != comps[y] and not (across and chunk[x] == chunk[y]):
-                    met.add((min(reps[x], reps[y]), max(reps[x], reps[y])))
-    left, right = [p[0] for p in met], [p[1] for p in met]
-    return _pair_table(left, right, table.schema.field("rep").type)
+        for left, right in tree.pairs():
+            for i, j in zip(left.tolist(), right.tolist(), strict=True):
+                x, y = rows[i], rows[j]
+                one, two = number[comps[x]], number[comps[y]]
+                if (across and chunk[x] == chunk[y]) or forest.root(one) == forest.root(two):
+                    continue
+                sure = sets[i] is not None and sets[j] is not None
+                if sure and not linked(sets[i], sets[j]):
+                    continue
+                if sure:
+                    forest.join(one, two)
+                met.add((min(reps[x], reps[y]), max(reps[x], reps[y]), sure))
+    kind = table.schema.field("rep").type
+    return pa.table({"a": pa.array([p[0] for p in met], kind), "b": pa.array([p[1] for p in met], kind), "sure": pa.array([p[2] for p in met], pa.bool_())})
 
 
 def _with_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks = [signature(np.frombuffer(s, "<u8")).tobytes() for s in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.binary())], names=["rep", "n", "mark"])
+        blobs = batch.column(2).to_pylist()
+        marks = [signature(np.frombuffer(s, "<u8")).tobytes() for s in blobs]
+        whole = [s if len(s) <= 8 * WHOLE else None for s in blobs]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.binary()), pa.array(whole, pa.binary())], names=["rep", "n", "mark", "whole"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,12 +428,12 @@ def links(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     chunks = F.ceil(F.col("members") / CHUNK).cast("long")
     rest = rest.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     rest = rest.withColumn("one", F.least("chunk", "other")).withColumn("two", F.greatest("chunk", "other"))
-    marks = sets.select("rep", "n", "shingles").mapInArrow(_with_marks, f"rep {kind}, n long, mark binary")
+    marks = sets.select("rep", "n", "shingles").mapInArrow(_with_marks, f"rep {kind}, n long, mark binary, whole binary")
     met = rest.select("token", "rep", "comp", "chunk", "one", "two").join(marks, "rep").withColumn("part", F.pmod(F.xxhash64("token", "one", "two"), F.lit(parts)))
-    pairs = met.groupBy("part").applyInArrow(_tree_candidates, f"a {kind}, b {kind}").distinct()
+    pairs = cut(met.groupBy("part").applyInArrow(_tree_candidates, f"a {kind}, b {kind}, sure boolean").distinct())
     one, two = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("t"))
-    second = pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(_verified, f"a {kind}, b {kind}")
-    return found.union(second)
+    second = pairs.filter("not sure").select("a", "b").join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(_verified, f"a {kind}, b {kind}")
+    return found.union(pairs.filter("sure").select("a", "b")).union(second)
 
 
 def components(docs: DataFrame) -> DataFrame:
