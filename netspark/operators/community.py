@@ -57,7 +57,7 @@ def _local_moves(ties: DataFrame, resolution: float, rounds: int) -> DataFrame:
     return own.select("node", "c")
 
 
-def louvain(net: Network, weighted: bool = True, resolution: float = 1.0, levels: int = 5, rounds: int = 24) -> DataFrame:
+def louvain(net: Network, weighted: bool = True, resolution: float = 1.0, levels: int = 3, rounds: int = 12) -> DataFrame:
     """(node, community): local moves, then the communities become nodes, until nothing moves."""
     ties = cut(_ties(net, weighted))
     member = net.nodes.select("node", F.col("node").alias("community"))

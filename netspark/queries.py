@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import scales
 from .network import Network, adjacency, duplicate_edges, merge_duplicates
 from .operators import cluster, community, degree, layers, layout, local, paths, resample, robustness, select, sequences, spectral, structure
+from .plans import summary
 from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -308,3 +309,8 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("bootstrap_edges", lambda s, d: rounded(resample.bootstrap_edges(_cases(s, d), 50)))
 query("permutation_edges", lambda s, d: rounded(resample.permutation_edges(_cases(s, d), tables.table(s, d, "events").select(F.col("user_id").alias("case"), (F.col("user_id") % 2).alias("grp")).distinct(), 50)))
 query("centrality_stability", lambda s, d: resample.stability(_cases(s, d), (0.1, 0.5, 0.9), 10))
+
+# --- several measures together -------------------------------------------------------------
+query("centrality", on(tables.trade_top, lambda n: summary.centrality(n, ["indegree", "outdegree", "strength", "diffusion", "leverage"], digits=6)))
+query("network_summary", on(tables.trade_top, summary.network_summary))
+query("partition_summary", lambda s, d: rounded(summary.partition_summary(tables.trade(s, d), tables.regions(s, d)), 5))
