@@ -107,7 +107,7 @@ def _counted(net: Network, weighted: bool, invert: bool, sources: DataFrame | No
     if weighted:
         while True:
             level += 1
-            front = cut(front.join(tight, (front["source"] == tight["source"]) & (F.col("node") == F.col("u"))).select(tight["source"], F.col("v").alias("node")).distinct())
+            front = cut(front.join(tight.withColumnRenamed("u", "node"), ["source", "node"]).select("source", F.col("v").alias("node")).distinct())
             if front.isEmpty():
                 break
             levels = levels.union(front.withColumn("level", F.lit(level)))
