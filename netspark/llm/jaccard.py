@@ -14,7 +14,8 @@ none of which can lose a link:
    rest; in a group a signature tree holds OR-combined bitmaps of the sets and
    ranges of their sizes, and a dual traversal meets only those node pairs whose
    largest possible overlap suffices. Pairs are verified on the sets; what is
-   connected already is skipped. This collapses groups of near copies.
+   connected already is skipped. This collapses groups of near copies, and their
+   components go on as stars.
 3. Groups of any shared prefix shingle that still hold two components are
    traversed with signatures and, where they are short, the sets themselves,
    which are verified there; other surviving pairs across components are verified
@@ -392,9 +393,9 @@ def _distinct_groups(prefixes: DataFrame) -> DataFrame:
     return prefixes.select("token", "rep").join(one, "token")
 
 
-def _meet(rows: DataFrame, sets: DataFrame, kind: str, parts: int) -> DataFrame:
-    """Links found in `SENT` groups a class, the largest by the column `by`; hot groups in chunks dealt anew for each."""
-    few = rows.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("by", "g.members", "g.token")), asc=False), 1, SENT).alias("g")).select("rep", F.explode("g").alias("g"))
+def _meet(shared: DataFrame, sets: DataFrame, kind: str, parts: int) -> DataFrame:
+    """Links found in the `SENT` largest groups of each class; hot groups in chunks, dealt anew for each."""
+    few = shared.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("members", "token")), asc=False), 1, SENT).alias("g")).select("rep", F.explode("g").alias("g"))
     salt = F.pmod(F.xxhash64("rep", "g.token"), F.ceil(F.col("g.members") / CHUNK).cast("long"))
     sent = few.select("rep", F.col("g.token").alias("token"), salt.alias("salt")).join(sets.select("rep", "shingles"), "rep")
     return cut(sent.withColumn("part", F.pmod(F.xxhash64("token", "salt"), F.lit(parts))).groupBy("part").applyInArrow(_tree_links, f"a {kind}, b {kind}"))
@@ -417,11 +418,7 @@ def links(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     parts = 2 * shuffle_partitions(spark)
     sets = cut(_sets_of(docs, wanted).dropDuplicates(["rep"]))
     shared = cut(_distinct_groups(_prefixes(sets, kind)))
-    # Second step, and once more over what it left open.
-    found = _meet(shared.select("rep", F.struct("members", "token").alias("g"), F.col("members").alias("by")), sets, kind, parts)
-    comps = cut(connected_components(found, "a", "b"))
-    again = _open_rows(shared, comps)
-    found = found.union(_meet(again.select("rep", F.struct("members", "token").alias("g"), F.xxhash64("token").alias("by")), sets, kind, parts))
+    found = _meet(shared, sets, kind, parts)
     comps = cut(connected_components(found, "a", "b"))
     # Third step: groups that still hold two components, by signatures alone.
     rest = _open_rows(shared, comps)
@@ -433,7 +430,7 @@ def links(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     pairs = cut(met.groupBy("part").applyInArrow(_tree_candidates, f"a {kind}, b {kind}, sure boolean").distinct())
     one, two = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("t"))
     second = pairs.filter("not sure").select("a", "b").join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(_verified, f"a {kind}, b {kind}")
-    return found.union(pairs.filter("sure").select("a", "b")).union(second)
+    return comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(pairs.filter("sure").select("a", "b")).union(second)
 
 
 def components(docs: DataFrame) -> DataFrame:
