@@ -25,7 +25,8 @@ Large groups are dealt out in chunks, in the last step in all pairs of chunks.
 
 Sets compare by 64-bit hashes. Null texts and texts without words have empty sets
 and link with nothing; a null doc_id links with nothing and has no component;
-rows of one doc_id with different texts are judged each by its own text; empty
+rows of one doc_id with different texts are judged each by its own text (a class
+is named by its least doc_id and its digest, so one id can name several); empty
 tables give empty results; extra columns are carried by `keep_one`.
 """
 
@@ -211,14 +212,14 @@ def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.R
 
 
 def with_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class, n, sent) of every document: digest and size of its set, and how much of it is exchanged."""
-    schema = docs.select("doc_id").schema.add("class", "binary").add("n", "long").add("sent", "long")
+    """(doc_id, mark, class, n, sent) of every document: hash of its text, digest and size of its set, and how much of it is exchanged."""
+    schema = docs.select("doc_id").schema.add("mark", "long").add("class", "binary").add("n", "long").add("sent", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, sets in _slices(batches, 1):
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(exchanged(s).sum()) for s in sets], pa.int64())], names=["doc_id", "class", "n", "sent"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array([digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(exchanged(s).sum()) for s in sets], pa.int64())], names=["doc_id", "mark", "class", "n", "sent"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, schema)
 
 
 def exchanged(keys: np.ndarray) -> np.ndarray:
@@ -275,16 +276,15 @@ def linkable(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, n, shingles) of the wanted (rep, class): sets as bytes, made from the texts again."""
+    """(rep, n, shingles) of the wanted (node, rep, class), rep now the node: sets as bytes, made from the texts again."""
     told = docs.select("doc_id", "text").join(small(wanted, 200_000), F.col("doc_id") == F.col("rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, sets in _slices(batches, 1):
             kept = [(r, len(s), s.tobytes()) for r, c, s in zip(piece.column(0).to_pylist(), piece.column(2).to_pylist(), sets, strict=True) if digest(s) == c]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], piece.schema.field(0).type), pa.array([k[1] for k in kept], pa.int64()), pa.array([k[2] for k in kept], pa.binary())], names=["rep", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64()), pa.array([k[2] for k in kept], pa.binary())], names=["rep", "n", "shingles"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return told.select("doc_id", "text", "class").mapInArrow(run, f"rep {kind}, n long, shingles binary")
+    return told.select("node", "text", "class").mapInArrow(run, "rep long, n long, shingles binary")
 
 
 def _tokens(sets: DataFrame, kind: str) -> DataFrame:
@@ -409,12 +409,12 @@ def _open_rows(shared: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Pairs (a, b) of class representatives that connect all that is linked.
+    """Pairs (a, b) of the numbers of classes that connect all that is linked.
 
-    wanted: (rep, class) of the classes that can link.
+    wanted: (node, rep, class) of the classes that can link, as `numbered`.
     """
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = "long"
     parts = 2 * shuffle_partitions(spark)
     sets = cut(_sets_of(docs, wanted).dropDuplicates(["rep"]))
     shared = cut(_distinct_groups(_prefixes(sets, kind)))
@@ -433,19 +433,32 @@ def links(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(pairs.filter("sure").select("a", "b")).union(second)
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def numbered(wanted: DataFrame) -> DataFrame:
+    """(node, rep, class): numbers in the order of (rep, class), so the least of a component is the class that names it."""
+    return cut(wanted.select("rep", "class").orderBy("rep", "class").select(F.monotonically_increasing_id().alias("node"), "rep", "class"))
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, class, n, head, head_class) of every document: the doc_id and the class that name its component."""
     classed = cut(with_classes(docs))
     reps = classed.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sent").alias("sent"))
-    wanted = cut(linkable(docs, reps).select("rep", "class"))
-    of = connected_components(links(docs, wanted), "a", "b")
-    named = reps.join(of, F.col("rep") == F.col("node"), "left").select(F.col("class").alias("_class"), F.coalesce("component", "rep").alias("_component"))
+    wanted = numbered(linkable(docs, reps))
+    of = cut(connected_components(links(docs, wanted), "a", "b"))
+    heads = of.select("component").distinct().join(wanted, F.col("component") == F.col("node")).select("component", F.col("rep").alias("head"), F.col("class").alias("head_class"))
+    led = of.join(wanted.select("node", "class"), "node").join(small(cut(heads)), "component").select("class", "head", "head_class")
+    named = reps.join(led, "class", "left").select(F.col("class").alias("_class"), F.coalesce("head", "rep").alias("head"), F.coalesce("head_class", "class").alias("head_class"))
     lone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    return classed.join(named, F.col("class") == F.col("_class"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(lone, F.col("doc_id")).otherwise(F.col("_component")).alias("component_id"))
+    own = classed.join(named, F.col("class") == F.col("_class"), "left")
+    return own.select("doc_id", "mark", "class", "n", F.when(lone, F.col("doc_id")).otherwise(F.col("head")).alias("head"), F.when(lone, F.col("class")).otherwise(F.col("head_class")).alias("head_class"))
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    return _judged(docs).select("doc_id", F.col("n").alias("n_shingles"), F.col("head").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: the one whose id names it. Rows with a null id stay."""
-    stay = components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__ns_stay")).distinct()
-    kept = docs.join(stay, F.col("doc_id") == F.col("__ns_stay")).drop("__ns_stay").dropDuplicates(["doc_id"])
+    """docs with one document of each group: the one whose id and class name it. Rows with a null id stay."""
+    stay = _judged(docs).filter("doc_id = head and class = head_class").select(F.col("doc_id").alias("__ns_stay"), F.col("mark").alias("__ns_mark"), F.col("class").alias("__ns_class")).distinct()
+    kept = docs.join(stay, (F.col("doc_id") == F.col("__ns_stay")) & (F.xxhash64("text") == F.col("__ns_mark"))).dropDuplicates(["doc_id", "__ns_class"]).drop("__ns_stay", "__ns_mark", "__ns_class")
     return kept.unionByName(docs.filter("doc_id is null"))

@@ -15,9 +15,11 @@ so equal edges share one, and neighbouring edges of a text mostly do:
 
 An edge counts as repeated if both its minimizer and its own 64-bit hash agree.
 The earlier document is the one with the smaller doc_id; null ids are later than
-all others and never a source; rows of one doc_id are one document. Texts of
-fewer than 13 words keep all; empty tables give empty results; extra columns are
-carried by `dedup_substrings`.
+all others and never a source; rows of one doc_id (and all of null ids) take
+nothing from each other. Paths belong to a row's text: they are keyed by doc_id
+and a 64-bit hash of the text, null ids included, so texts that share an id lose
+their own words only. Texts of fewer than 13 words keep all; empty tables give
+empty results; extra columns are carried by `dedup_substrings`.
 """
 
 from __future__ import annotations
@@ -72,7 +74,12 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(LATEST).to_numpy(zero_copy_only=False)
 
 
-_SEEDS = "part int, ids binary, keys binary, entry binary"
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with what tells rows apart: `__ns_id` (null ids are LATEST) and `__ns_mark` (hash of the text)."""
+    return docs.withColumn("__ns_id", F.coalesce(docs["doc_id"].cast("long"), F.lit(LATEST))).withColumn("__ns_mark", F.xxhash64("text"))
+
+
+_SEEDS = "part int, ids binary, marks binary, keys binary, entry binary"
 
 
 def _seed_rows(batches: Iterator[pa.RecordBatch], parts: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -81,16 +88,16 @@ def _seed_rows(batches: Iterator[pa.RecordBatch], parts: int, k: int) -> Iterato
             words = _words.split(piece.column(1))
             at, _, minimizer = edges(words, k)
             first, _, row = runs(words, at, minimizer)
-            keys, ids = minimizer[first], _ids(piece.column(0))[row]
-            order = np.lexsort((ids, keys))
-            keys, ids = keys[order], ids[order]
+            keys, ids, marks = minimizer[first], _ids(piece.column(0)), _ids(piece.column(2))
+            order = np.lexsort((row, keys))
+            keys, row = keys[order], row[order]
             once = np.ones(len(keys), bool)
-            once[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-            keys, ids = keys[once], ids[once]
+            once[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+            keys, row = keys[once], row[once]
             out = []
             for part, a, e in ex.cuts(keys, parts):
-                docs, entry = np.unique(ids[a:e], return_inverse=True)
-                out.append((part, docs.astype("<i8").tobytes(), ex.pack_sorted(keys[a:e]), ex.pack_small(entry)))
+                rows, entry = np.unique(row[a:e], return_inverse=True)
+                out.append((part, ids[rows].astype("<i8").tobytes(), marks[rows].astype("<i8").tobytes(), ex.pack_sorted(keys[a:e]), ex.pack_small(entry)))
             yield _batch(out, _SEEDS)
 
 
@@ -105,32 +112,34 @@ def _column(table: pa.Table, name: str) -> list:
     return table.column(name).to_pylist()
 
 
-def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and doc ids of all packed rows of a part."""
-    keys, ids = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-    for docs, packed, entry in zip(_column(table, "ids"), _column(table, "keys"), _column(table, "entry"), strict=True):
+def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, doc ids and marks of all packed rows of a part."""
+    keys, ids, marks = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for docs, texts, packed, entry in zip(*[_column(table, c) for c in ("ids", "marks", "keys", "entry")], strict=True):
+        at = ex.unpack_small(entry)
         keys.append(ex.unpack_sorted(packed))
-        ids.append(np.frombuffer(docs, "<i8")[ex.unpack_small(entry)])
-    return np.concatenate(keys), np.concatenate(ids)
+        ids.append(np.frombuffer(docs, "<i8")[at])
+        marks.append(np.frombuffer(texts, "<i8")[at])
+    return np.concatenate(keys), np.concatenate(ids), np.concatenate(marks)
 
 
 def _repeated_seeds(table: pa.Table) -> pa.Table:
-    """(doc, key) for keys that two documents have; the texts of one document count once."""
-    keys, ids = _gathered(table)
+    """(doc, mark, key) for keys that two documents have; the texts of one document count once."""
+    keys, ids, marks = _gathered(table)
     order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
+    keys, ids, marks = keys[order], ids[order], marks[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     group = np.cumsum(new) - 1
     first, last = ids[new], ids[np.flatnonzero(np.append(new[1:], True))] if len(ids) else ids
     shared = (first != last)[group] if len(ids) else np.zeros(0, bool)
-    return pa.table({"doc_id": pa.array(ids[shared], pa.int64()), "key": pa.array(keys[shared].view(np.int64), pa.int64())})
+    return pa.table({"doc_id": pa.array(ids[shared], pa.int64()), "mark": pa.array(marks[shared], pa.int64()), "key": pa.array(keys[shared].view(np.int64), pa.int64())})
 
 
-_RUNS = "part int, ids binary, keys binary, start binary, edges binary, hashes binary"
+_RUNS = "part int, ids binary, marks binary, keys binary, start binary, edges binary, hashes binary"
 
 
-def _run_rows(batches: Iterator[pa.RecordBatch], parts: int, k: int, text: str, id_at: str, keys_at: str) -> Iterator[pa.RecordBatch]:
+def _run_rows(batches: Iterator[pa.RecordBatch], parts: int, k: int, text: str, id_at: str, mark_at: str, keys_at: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.schema.names
         for piece in _words.slices(batch, text):
@@ -147,12 +156,12 @@ def _run_rows(batches: Iterator[pa.RecordBatch], parts: int, k: int, text: str,
             keys = minimizer[first]
             order = np.argsort(keys, kind="stable")
             first, count, row, keys = first[order], count[order], row[order], keys[order]
-            ids = _ids(piece.column(names.index(id_at)))[row]
+            ids, marks = _ids(piece.column(names.index(id_at)))[row], _ids(piece.column(names.index(mark_at)))[row]
             start = at[first] - words.first[row]
             out = []
             for part, a, e in ex.cuts(keys, parts):
                 each = np.repeat(first[a:e], count[a:e]) + _steps(count[a:e])
-                out.append((part, ids[a:e].astype("<i8").tobytes(), ex.pack_sorted(keys[a:e]), ex.pack_small(start[a:e]), ex.pack_small(count[a:e]), own[each].astype("<u8").tobytes()))
+                out.append((part, ids[a:e].astype("<i8").tobytes(), marks[a:e].astype("<i8").tobytes(), ex.pack_sorted(keys[a:e]), ex.pack_small(start[a:e]), ex.pack_small(count[a:e]), own[each].astype("<u8").tobytes()))
             yield _batch(out, _RUNS)
 
 
@@ -161,13 +170,13 @@ def _steps(count: np.ndarray) -> np.ndarray:
     return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
 
 
-_PATHS = "doc_id long, start long, n_edges long, source_id long, source_start long"
+_PATHS = "doc_id long, mark long, start long, n_edges long, source_id long, source_start long"
 
 
 def _paths(table: pa.Table) -> pa.Table:
     """Compacted paths of the edges of a part that start in an earlier document too."""
-    got = [(np.frombuffer(d, "<i8"), ex.unpack_sorted(k), ex.unpack_small(s), ex.unpack_small(n), np.frombuffer(h, "<u8")) for d, k, s, n, h in zip(*[_column(table, c) for c in ("ids", "keys", "start", "edges", "hashes")], strict=True)]
-    ids, keys, start, count, own = (np.concatenate([g[i] for g in got]) for i in range(5))
+    got = [(np.frombuffer(d, "<i8"), np.frombuffer(t, "<i8"), ex.unpack_sorted(k), ex.unpack_small(s), ex.unpack_small(n), np.frombuffer(h, "<u8")) for d, t, k, s, n, h in zip(*[_column(table, c) for c in ("ids", "marks", "keys", "start", "edges", "hashes")], strict=True)]
+    ids, marks, keys, start, count, own = (np.concatenate([g[i] for g in got]) for i in range(6))
     run = np.repeat(np.arange(len(ids)), count)
     place = start[run] + _steps(count)
     doc, key = ids[run], keys[run]
@@ -182,35 +191,36 @@ def _paths(table: pa.Table) -> pa.Table:
         return pa.table({f.split()[0]: pa.array([], pa.int64()) for f in _PATHS.split(", ")})
     new = np.ones(len(later), bool)
     a, b = later[:-1], later[1:]
-    new[1:] = (run[a] != run[b]) | (b != a + 1) | (from_doc[a] != from_doc[b]) | (from_place[b] != from_place[a] + 1)
+    new[1:] = (run[a] != run[b]) | (b != a + 1) | (from_doc[a] != from_doc[b]) | (marks[run[source[a]]] != marks[run[source[b]]]) | (from_place[b] != from_place[a] + 1)
     head = np.flatnonzero(new)
     n = np.diff(np.concatenate([head, [len(later)]]))
     at = later[head]
-    return pa.table({"doc_id": doc[at], "start": place[at], "n_edges": n, "source_id": from_doc[at], "source_start": from_place[at]})
+    return pa.table({"doc_id": doc[at], "mark": marks[run[at]], "start": place[at], "n_edges": n, "source_id": from_doc[at], "source_start": from_place[at]})
 
 
 def repeated_paths(docs: DataFrame, k: int = EDGE) -> DataFrame:
-    """Paths of repeated edges: doc_id, start, n_edges, source_id, source_start (word numbers).
+    """Paths of repeated edges: doc_id, mark, start, n_edges, source_id, source_start (word numbers; mark: xxhash64 of the text).
 
     docs: doc_id (integer) and text, and whatever else; a null id shows as the
     largest long.
     """
     parts = 2 * shuffle_partitions(docs.sparkSession)
-    seeds = docs.select("doc_id", "text").mapInArrow(lambda b: _seed_rows(b, parts, k), _SEEDS)
-    shared = seeds.groupBy("part").applyInArrow(_repeated_seeds, "doc_id long, key long").groupBy("doc_id").agg(F.collect_list("key").alias("__ns_keys")).withColumnRenamed("doc_id", "__ns_of")
-    told = docs.join(shared, F.coalesce(docs["doc_id"].cast("long"), F.lit(LATEST)) == F.col("__ns_of"))
-    sent = told.mapInArrow(lambda b: _run_rows(b, parts, k, "text", "doc_id", "__ns_keys"), _RUNS)
+    keyed = _keyed(docs.select("doc_id", "text"))
+    seeds = keyed.select("__ns_id", "text", "__ns_mark").mapInArrow(lambda b: _seed_rows(b, parts, k), _SEEDS)
+    shared = seeds.groupBy("part").applyInArrow(_repeated_seeds, "doc_id long, mark long, key long").groupBy(F.col("doc_id").alias("__ns_id"), F.col("mark").alias("__ns_mark")).agg(F.collect_list("key").alias("__ns_keys"))
+    told = keyed.join(shared, ["__ns_id", "__ns_mark"])
+    sent = told.mapInArrow(lambda b: _run_rows(b, parts, k, "text", "__ns_id", "__ns_mark", "__ns_keys"), _RUNS)
     return sent.groupBy("part").applyInArrow(_paths, _PATHS)
 
 
 def _with_paths(docs: DataFrame, k: int) -> DataFrame:
     """docs with `__ns_paths`: array of (start, words) that go."""
-    found = repeated_paths(docs, k).groupBy(F.col("doc_id").alias("__ns_of")).agg(F.collect_list(F.struct(F.col("start"), (F.col("n_edges") + k - 1).alias("n"))).alias("__ns_paths"))
-    return docs.join(found, F.coalesce(docs["doc_id"].cast("long"), F.lit(LATEST)) == F.col("__ns_of"), "left").drop("__ns_of")
+    found = repeated_paths(docs, k).groupBy(F.col("doc_id").alias("__ns_id"), F.col("mark").alias("__ns_mark")).agg(F.collect_list(F.struct(F.col("start"), (F.col("n_edges") + k - 1).alias("n"))).alias("__ns_paths"))
+    return _keyed(docs).join(found, ["__ns_id", "__ns_mark"], "left").drop("__ns_id", "__ns_mark")
 
 
 def _kept(text: str | None, paths: list | None) -> tuple[list[bytes], int, int]:
-    """Kept words, words, removed words. Paths of another text of the same doc_id may reach beyond this one."""
+    """Kept words, words, removed words."""
     words = (text or "").encode().split()
     if not paths:
         return words, len(words), 0

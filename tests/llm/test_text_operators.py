@@ -125,6 +125,28 @@ def test_substring_dedup(docs):
     assert cleaned.columns == docs.columns and cleaned.count() == docs.count()
 
 
+def test_texts_that_share_an_id(spark):
+    rng = random.Random(5)
+    words = lambda k: [f"x{rng.randrange(10**6)}" for _ in range(k)]
+    source, own, other, late, later = words(60), words(60), words(60), words(60), words(60)
+    lost = lambda text, at: text[:at] + source[10:30] + text[at:]
+    texts = [(1, source, 0), (4, own, 0), (4, lost(other, 25), 20), (None, lost(late, 5), 20), (None, later, 0)]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t, _ in texts], "doc_id long, text string").repartition(3)
+    got = [(str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.report(table).collect()]
+    kept = [own, other, late, later]
+    assert sorted(got) == sorted((str(i), len(t), n, hashlib.sha256(" ".join(k).encode()).hexdigest()) for (i, t, n), k in zip(texts, [source, *kept], strict=True))
+    assert sorted(r.text for r in substring_dedup.dedup_substrings(table).collect()) == sorted(" ".join(k) for k in [source, *kept])
+
+    near = lambda text: [*text[:-1], "changed"]
+    one, two, three = words(60), words(60), words(60)
+    texts = [(5, one), (5, two), (5, near(two)), (2, near(one)), (7, near(two)), (8, two), (9, three), (9, [*three, "more"]), (9, own), (None, one), (None, two)]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string").repartition(3)
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in jaccard.components(table).collect()) == [("2", "2"), ("5", "2"), ("5", "5"), ("5", "5"), ("7", "5"), ("8", "5"), ("9", "9"), ("9", "9"), ("9", "9"), ("None", "None"), ("None", "None")]
+    rows = [(r.doc_id, r.text.split()) for r in jaccard.keep_one(table).collect()]
+    assert sorted(str(i) for i, _ in rows) == ["2", "5", "9", "9", "None", "None"]
+    assert (2, near(one)) in rows and (9, own) in rows and (5, one) not in rows
+
+
 @pytest.mark.parametrize("block", [1 << 20, 300])
 def test_decontamination(spark, docs, block):
     words = corpus()
