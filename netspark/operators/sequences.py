@@ -40,15 +40,16 @@ def initial_states(seq: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy()))
 
 
-def windows(seq: DataFrame, size: int, step: int, length: int) -> DataFrame:
-    """(window, case, t, state): ordinal windows of `size` time points, a start every `step`, within 1 .. length."""
-    last = (length - size) // step
+def windows(seq: DataFrame, size: int, step: int, length: int | None = None) -> DataFrame:
+    """(window, case, t, state): ordinal windows of `size` time points, a start every `step`, within 1 .. length; without a length, to the last time point that any case has."""
+    seq = seq.crossJoin(F.broadcast(seq.agg(F.max("t").alias("length")))) if length is None else seq.withColumn("length", F.lit(length))
+    last = F.floor((F.col("length") - size) / step)
     low = F.greatest(F.ceil((F.col("t") - size) / step), F.lit(0)).cast("int")
-    high = F.least(F.floor((F.col("t") - 1) / step), F.lit(last)).cast("int")
-    return seq.filter(F.col("t").between(1, length)).withColumn("lo", low).withColumn("hi", high).filter("lo <= hi").select(F.explode(F.sequence("lo", "hi")).alias("window"), "case", "t", "state")
+    high = F.least(F.floor((F.col("t") - 1) / step), last).cast("int")
+    return seq.filter((F.col("t") >= 1) & (F.col("t") <= F.col("length"))).withColumn("lo", low).withColumn("hi", high).filter("lo <= hi").select(F.explode(F.sequence("lo", "hi")).alias("window"), "case", "t", "state")
 
 
-def window_transitions(seq: DataFrame, size: int = 5, step: int = 1, length: int = 10, na_threshold: float | None = None) -> DataFrame:
+def window_transitions(seq: DataFrame, size: int = 5, step: int = 1, length: int | None = None, na_threshold: float | None = None) -> DataFrame:
     """(window, src, dst, count, weight) of each window; with a threshold, windows end before the first with too many nulls."""
     w = windows(seq, size, step, length)
     if na_threshold is not None:

@@ -68,7 +68,7 @@ query("transition_inits", _seq(sequences.initial_states), f"""
 WITH {SEQ}, f AS (SELECT case_, arg_min(state, t) AS state FROM seq WHERE state IS NOT NULL GROUP BY 1), c AS (SELECT state, count(*) AS count FROM f GROUP BY 1)
 SELECT state, count, round(count / sum(count) OVER (), 6) AS share FROM c""")
 for _name, _size, _step in (("transition_windows_sliding", 5, 1), ("transition_windows_tumbling", 5, 5)):
-    query(_name, _seq(lambda s, a=_size, b=_step: sequences.window_transitions(s, a, b, 20)), f"""
+    query(_name, _seq(lambda s, a=_size, b=_step: sequences.window_transitions(s, a, b)), f"""
 WITH {SEQ}, w AS (SELECT k AS "window", case_, t, state FROM seq, range(0, {(20 - _size) // _step} + 1) r(k) WHERE t > k * {_step} AND t <= k * {_step} + {_size}),
 p AS (SELECT "window", state AS src, lead(state) OVER (PARTITION BY "window", case_ ORDER BY t) AS dst FROM w),
 c AS (SELECT "window", src, dst, count(*) AS count FROM p WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY 1, 2, 3)
@@ -80,7 +80,7 @@ def _gaps(seq: DataFrame) -> DataFrame:
     return seq.withColumn("state", F.when(~((F.col("t") >= 12) & F.col("state").isin("purchase", "click", "view")), F.col("state")))
 
 
-query("window_na_stop", _seq(lambda s: sequences.usable_windows(sequences.windows(_gaps(s), 5, 1, 20), 0.5)), f"""
+query("window_na_stop", _seq(lambda s: sequences.usable_windows(sequences.windows(_gaps(s), 5, 1), 0.5)), f"""
 WITH {SEQ}, w AS (SELECT k AS "window", CASE WHEN NOT (t >= 12 AND state IN ('purchase', 'click', 'view')) THEN state END AS state FROM seq, range(0, 16) r(k) WHERE t > k AND t <= k + 5 AND t <= 20),
 h AS (SELECT "window", avg(CASE WHEN state IS NULL THEN 1 ELSE 0 END) AS na FROM w GROUP BY 1)
 SELECT "window"::INT AS "window", round(na, 6) AS na_share, max(CASE WHEN na > 0.5 THEN 1 ELSE 0 END) OVER (ORDER BY "window") = 0 AS usable FROM h""")
@@ -89,10 +89,10 @@ query("cooccurrence", lambda s, d: sequences.cooccurrence(tables.event_marks(s,
 WITH {MARKS} SELECT a.code AS src, b.code AS dst, count(*) AS count FROM m a JOIN m b ON a.actor = b.actor AND a.w = b.w AND a.code <= b.code GROUP BY 1, 2""")
 query("transition_onehot", lambda s, d: sequences.code_transitions(tables.event_marks(s, d)), f"""
 WITH {MARKS} SELECT a.code AS src, b.code AS dst, count(*) AS count FROM m a JOIN m b ON a.actor = b.actor AND b.w = a.w + 1 GROUP BY 1, 2""")
-query("alluvial_flows", _seq(lambda s: sequences.flows(s.filter("t <= 10"))), f"""
+query("alluvial_flows", _seq(sequences.flows), f"""
 WITH {SEQ}, p AS (SELECT t AS step, state AS src, lead(state) OVER (PARTITION BY case_ ORDER BY t) AS dst FROM seq WHERE t <= 10)
 SELECT step::INT AS step, src, dst, count(*) AS count FROM p WHERE dst IS NOT NULL GROUP BY 1, 2, 3""")
-query("node_positions", _seq(lambda s: sequences.node_positions(s.filter("t <= 10").groupBy(F.col("t").alias("step"), "state").agg(F.count("*").alias("count")), 2.0)), f"""
+query("node_positions", _seq(lambda s: sequences.node_positions(s.groupBy(F.col("t").alias("step"), "state").agg(F.count("*").alias("count")), 2.0)), f"""
 WITH {SEQ}, c AS (SELECT t AS step, state, count(*) AS count FROM seq WHERE t <= 10 GROUP BY 1, 2),
 b AS (SELECT *, coalesce(sum(count) OVER w, 0) + 2.0 * count(*) OVER w AS bottom FROM c WINDOW w AS (PARTITION BY step ORDER BY state ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT step::INT AS step, state, count, bottom::DOUBLE AS bottom, (bottom + count)::DOUBLE AS top FROM b""")

@@ -1,10 +1,13 @@
 """Operators on hand-made graphs whose answers follow by hand."""
 
 import math
+from collections import Counter, defaultdict
+from itertools import pairwise
 
 import pytest
 from pyspark.sql import functions as F
 
+from netspark import queries
 from netspark.network import Network, adjacency, duplicate_edges, from_edges, from_matrix, from_wide, is_symmetric, merge_duplicates, simplify, undirected
 from netspark.operators import cluster, community, degree, layers, layout, local, paths, resample, robustness, select, sequences, spectral, structure
 
@@ -131,6 +134,29 @@ def test_windows(spark):
     assert sequences.usable_windows(sequences.windows(none, 5, 1, 10), 0.5).filter("usable").count() == 0
 
 
+def test_sequence_queries_read_whole_sequences(spark):
+    at = "/root/testdata/sf0.001"
+    seq = defaultdict(list)
+    for r in sorted(spark.read.parquet(f"{at}/events.parquet").collect(), key=lambda r: (r.user_id, r.ts, r.event_id)):
+        seq[r.user_id].append(r.event_type)
+    last = max(map(len, seq.values()))
+    assert last > 20
+    for name, step in (("transition_windows_sliding", 1), ("transition_windows_tumbling", 5)):
+        want = Counter((k, x, y) for s in seq.values() for k in range((last - 5) // step + 1) for x, y in pairwise(s[k * step : k * step + 5]))
+        assert {(r.window, r.src, r.dst): r["count"] for r in queries.QUERIES[name](spark, at).collect()} == want
+    gone = lambda t, x: t >= 12 and x in ("purchase", "click", "view")
+    share, usable = {}, {}
+    for k in range(last - 4):
+        w = [gone(t, s[t - 1]) for s in seq.values() for t in range(k + 1, min(k + 5, len(s)) + 1)]
+        share[k] = round(sum(w) / len(w), 6)
+        usable[k] = all(x <= 0.5 for x in share.values())
+    assert {r.window: (r.na_share, r.usable) for r in queries.QUERIES["window_na_stop"](spark, at).collect()} == {k: (pytest.approx(share[k], abs=2e-6), usable[k]) for k in share}
+    want = Counter((t, x, y) for s in seq.values() for t, (x, y) in enumerate(pairwise(s), 1))
+    assert {(r.step, r.src, r.dst): r["count"] for r in queries.QUERIES["alluvial_flows"](spark, at).collect()} == want
+    want = Counter((t, x) for s in seq.values() for t, x in enumerate(s, 1))
+    assert {(r.step, r.state): r["count"] for r in queries.QUERIES["node_positions"](spark, at).collect()} == want
+
+
 def test_layout_and_robustness(spark):
     nodes = spark.createDataFrame([("a",)], "node string")
     assert tuple(layout.layout_circle(nodes).first()) == ("a", 0.5, 0.5)
