@@ -72,18 +72,17 @@ def modularity(net: Network, membership: DataFrame, compat: bool = False) -> Dat
 
 
 def cluster_quality(net: Network, membership: DataFrame, weighted: bool = True) -> DataFrame:
-    """Per cluster: n_nodes, internal_edges, cut_edges, internal_density, avg_internal_degree, expansion, cut_ratio, conductance."""
+    """Per cluster: n_nodes, internal_edges (loops included), cut_edges, internal_density, avg_internal_degree, expansion, cut_ratio, conductance; null where nothing is possible."""
     w = F.col("weight") if weighted else (F.col("weight") > 0).cast("double")
     placed = _placed(net.arcs().withColumn("weight", w), membership)
     half = 1.0 if net.directed else 0.5  # arcs hold undirected edges twice
-    inside = placed.filter("ci = cj and src <> dst").groupBy(F.col("ci").alias("cluster")).agg((half * F.sum("weight")).alias("m"))
+    inside = placed.filter("ci = cj").groupBy(F.col("ci").alias("cluster")).agg((half * F.sum("weight")).alias("m"))
     sides = placed.filter("ci <> cj").select(F.explode(F.array("ci", "cj")).alias("cluster"), "weight").groupBy("cluster").agg((half * F.sum("weight")).alias("c"))
     sizes = membership.groupBy("cluster").agg(F.count("*").alias("n"))
     all_ = sizes.join(inside, "cluster", "left").join(sides, "cluster", "left").fillna(0.0, ["m", "c"]).join(membership.agg(F.count("*").alias("total")), how="cross")
     n, m, c = F.col("n"), F.col("m"), F.col("c")
     possible = n * (n - 1) / (1 if net.directed else 2)
-    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    return all_.select("cluster", n.alias("n_nodes"), m.alias("internal_edges"), c.alias("cut_edges"), ratio(m, possible).alias("internal_density"), ratio(2 * m, n).alias("avg_internal_degree"), ratio(c, n).alias("expansion"), ratio(c, n * (F.col("total") - n)).alias("cut_ratio"), ratio(c, 2 * m + c).alias("conductance"))
+    return all_.select("cluster", n.alias("n_nodes"), m.alias("internal_edges"), c.alias("cut_edges"), F.try_divide(m, possible).alias("internal_density"), F.try_divide(2 * m, n).alias("avg_internal_degree"), F.try_divide(c, n).alias("expansion"), F.try_divide(c, n * (F.col("total") - n)).alias("cut_ratio"), F.try_divide(c, 2 * m + c).alias("conductance"))
 
 
 def coverage(net: Network, membership: DataFrame) -> DataFrame:

@@ -32,8 +32,8 @@ def strength(net: Network, mode: str = "all", name: str = "strength") -> DataFra
 
 
 def _neighbours(net: Network, mode: str) -> DataFrame:
-    """(node, other): distinct neighbours by mode, without the node itself."""
-    arcs = net.arcs().filter("src <> dst")
+    """(node, other): distinct neighbours by mode; a node with a loop is its own neighbour."""
+    arcs = net.arcs()
     out, into = arcs.select(F.col("src").alias("node"), F.col("dst").alias("other")), arcs.select(F.col("dst").alias("node"), F.col("src").alias("other"))
     return {"out": out, "in": into, "all": out.union(into)}[mode].distinct()
 
@@ -60,7 +60,7 @@ def laplacian(net: Network) -> DataFrame:
     """k^2 + k + 2 * the degrees of the (out-)neighbours."""
     deg = degree(net)
     other = deg.select(F.col("node").alias("other"), F.col("degree").alias("k"))
-    near = _neighbours(net, "out").join(other, "other").groupBy("node").agg(F.sum("k").alias("s"))
+    near = _neighbours(net, "out").filter("node <> other").join(other, "other").groupBy("node").agg(F.sum("k").alias("s"))
     return deg.join(near, "node", "left").select("node", (F.col("degree") * F.col("degree") + F.col("degree") + 2 * F.coalesce("s", F.lit(0))).cast("double").alias("laplacian"))
 
 

@@ -82,9 +82,9 @@ def difference(one: DataFrame, two: DataFrame) -> DataFrame:
 
 
 def disparity(net: Network, level: float = 0.05) -> DataFrame:
-    """(src, dst, weight, p, significant): the backbone test by the lesser of the two ends' chances."""
-    e = net.arcs().filter("src <> dst and weight > 0")
-    out = e.groupBy("src").agg(F.count("*").alias("ko"), F.sum("weight").alias("so"))
-    into = e.groupBy("dst").agg(F.count("*").alias("ki"), F.sum("weight").alias("si"))
+    """(src, dst, weight, p, significant) of edges between different nodes: the backbone test by the lesser of the two ends' chances; loops count in strengths and degrees."""
+    e = net.arcs()
+    edges, total = F.count(F.when(F.col("weight") > 0, 1)), F.coalesce(F.nullif(F.sum("weight"), F.lit(0.0)), F.lit(1.0))
+    out, into = e.groupBy("src").agg(edges.alias("ko"), total.alias("so")), e.groupBy("dst").agg(edges.alias("ki"), total.alias("si"))
     p = F.least(F.pow(1 - F.col("weight") / F.col("so"), F.col("ko") - 1), F.pow(1 - F.col("weight") / F.col("si"), F.col("ki") - 1))
-    return e.join(out, "src").join(into, "dst").select("src", "dst", "weight", p.alias("p")).withColumn("significant", F.col("p") < level)
+    return e.filter("src <> dst and weight > 0").join(out, "src").join(into, "dst").select("src", "dst", "weight", p.alias("p")).withColumn("significant", F.col("p") < level)

@@ -13,9 +13,12 @@ def _numbered(nodes: DataFrame, *keys: str) -> DataFrame:
 
 
 def layout_oval(nodes: DataFrame, ratio: float = 1.5, start: float = math.pi / 2, clockwise: bool = True) -> DataFrame:
-    """(node, x, y) on an ellipse about (0.5, 0.5); one node stands in the middle."""
-    turn = -1 if clockwise else 1
-    angle = start + turn * 2 * math.pi * F.col("i") / F.col("n")
+    """(node, x, y) on an ellipse about (0.5, 0.5); one node stands in the middle.
+
+    Clockwise turns the list of angles round, so the first node takes the last one.
+    """
+    place = F.col("n") - 1 - F.col("i") if clockwise else F.col("i")
+    angle = start + 2 * math.pi * place / F.col("n")
     x, y = 0.5 + 0.4 * math.sqrt(ratio) * F.cos(angle), 0.5 + 0.4 / math.sqrt(ratio) * F.sin(angle)
     one = F.col("n") == 1
     return _numbered(nodes.select("node")).select("node", F.when(one, 0.5).otherwise(x).alias("x"), F.when(one, 0.5).otherwise(y).alias("y"))
@@ -25,22 +28,59 @@ def layout_circle(nodes: DataFrame, start: float = math.pi / 2, clockwise: bool
     return layout_oval(nodes, 1.0, start, clockwise)
 
 
-def layout_grid(nodes: DataFrame) -> DataFrame:
-    """(node, x, y) in rows of the ceiling of sqrt(n)."""
-    side = F.ceil(F.sqrt("n"))
-    step = F.greatest(side - 1, F.lit(1))
-    return _numbered(nodes.select("node")).select("node", (0.1 + 0.8 * (F.col("i") % side) / step).alias("x"), (0.9 - 0.8 * F.floor(F.col("i") / side) / step).alias("y"))
+def layout_grid(nodes: DataFrame, columns: int | None = None) -> DataFrame:
+    """(node, x, y) in rows of `columns` (the ceiling of sqrt(n)), spread over the rows that there are; one node stands in the middle."""
+    wide = F.lit(columns) if columns else F.ceil(F.sqrt("n"))
+    high, one = F.ceil(F.col("n") / wide), F.col("n") == 1
+    x, y = 0.1 + 0.8 * (F.col("i") % wide) / F.greatest(wide - 1, F.lit(1)), 0.9 - 0.8 * F.floor(F.col("i") / wide) / F.greatest(high - 1, F.lit(1))
+    return _numbered(nodes.select("node")).select("node", F.when(one, 0.5).otherwise(x).alias("x"), F.when(one, 0.5).otherwise(y).alias("y"))
+
+
+def layout_star(nodes: DataFrame, center=None) -> DataFrame:
+    """(node, x, y): one node (the first by name) in the middle, the others counter-clockwise about it."""
+    first = F.col("node") == center if center is not None else F.col("i") == 0
+    ranked = _numbered(nodes.select("node")).withColumn("mid", first)
+    place = F.row_number().over(Window.partitionBy("mid").orderBy("node")) - 1
+    angle = math.pi / 2 + 2 * math.pi * place / (F.col("n") - 1)
+    return ranked.select("node", F.when(F.col("mid"), 0.5).otherwise(0.5 + 0.4 * F.cos(angle)).alias("x"), F.when(F.col("mid"), 0.5).otherwise(0.5 + 0.4 * F.sin(angle)).alias("y"))
+
+
+def layout_bipartite(nodes: DataFrame, types: str | None = None) -> DataFrame:
+    """(node, x, y): nodes of the first node's type (every second node, without a column of types) on the left, the others on the right."""
+    ranked = nodes.select("node", F.col(types).alias("type") if types else F.lit(None).alias("type"))
+    ranked = ranked.withColumn("i", F.row_number().over(Window.partitionBy().orderBy("node")) - 1)
+    first = F.first("type").over(Window.partitionBy().orderBy("node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ranked = ranked.withColumn("left", F.col("type").eqNullSafe(first) if types else F.col("i") % 2 == 0)
+    side = Window.partitionBy("left")
+    at, n = F.row_number().over(side.orderBy("node")) - 1, F.count("*").over(side)
+    return ranked.select("node", F.when(F.col("left"), 0.2).otherwise(0.8).alias("x"), (0.9 - 0.8 * at / F.greatest(n - 1, F.lit(1))).alias("y"))
+
+
+def layout_random(nodes: DataFrame, seed: int = 42) -> DataFrame:
+    """(node, x, y) spread evenly over 0.1 .. 0.9 by a hash of the node, so that reruns agree."""
+    part = lambda s: 0.1 + 0.8 * F.pmod(F.xxhash64("node", F.lit(seed + s)), F.lit(1 << 30)) / float(1 << 30)
+    return nodes.select("node", part(0).alias("x"), part(1).alias("y"))
 
 
 def layout_groups(membership: DataFrame, inner: float = 0.15, outer: float = 0.35) -> DataFrame:
-    """(node, x, y): groups on a circle, members on circles about them."""
+    """(node, x, y): groups counter-clockwise on a circle (a single one in the middle), members likewise about them."""
     groups = _numbered(membership.select(F.col("cluster").alias("node")).distinct())
-    angle = math.pi / 2 - 2 * math.pi * F.col("i") / F.col("n")
-    centres = groups.select(F.col("node").alias("cluster"), (0.5 + outer * F.cos(angle)).alias("cx"), (0.5 + outer * F.sin(angle)).alias("cy"))
+    angle = math.pi / 2 + 2 * math.pi * F.col("i") / F.col("n")
+    off = F.when(F.col("n") == 1, 0.0).otherwise(outer)
+    centres = groups.select(F.col("node").alias("cluster"), (0.5 + off * F.cos(angle)).alias("cx"), (0.5 + off * F.sin(angle)).alias("cy"))
     inside = _numbered(membership.select("node", "cluster"), "cluster").join(centres, "cluster")
-    around = math.pi / 2 - 2 * math.pi * F.col("i") / F.col("n")
-    one = F.col("n") == 1
-    return inside.select("node", F.when(one, F.col("cx")).otherwise(F.col("cx") + inner * F.cos(around)).alias("x"), F.when(one, F.col("cy")).otherwise(F.col("cy") + inner * F.sin(around)).alias("y"))
+    around = math.pi / 2 + 2 * math.pi * F.col("i") / F.col("n")
+    away = F.when(F.col("n") == 1, 0.0).otherwise(inner)
+    return inside.select("node", (F.col("cx") + away * F.cos(around)).alias("x"), (F.col("cy") + away * F.sin(around)).alias("y"))
+
+
+def rescale(coords: DataFrame, margin: float = 0.1) -> DataFrame:
+    """Both axes by one factor about the middle of their ranges, the larger range onto twice 1 - margin; an axis without spread counts as 2 wide."""
+    w = Window.partitionBy()
+    spread = lambda c: F.max(c).over(w) - F.min(c).over(w)
+    wide = lambda c: F.when(spread(c) < 1e-10, 2.0).otherwise(spread(c))
+    axis = lambda c: (F.col(c) - (F.max(c).over(w) + F.min(c).over(w)) / 2) / F.greatest(wide("x"), wide("y")) * 2 * (1 - margin)
+    return coords.select(*[c for c in coords.columns if c not in ("x", "y")], axis("x").alias("x"), axis("y").alias("y"))
 
 
 def normalize(coords: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFrame:
@@ -71,3 +111,24 @@ def layout_spring(net, iterations: int = 50, cooling: float = 0.95, seed: int =
         at = cut(at.join(force, "node", "left").fillna(0.0, ["fx", "fy"]).select("node", held(F.col("x") + F.col("fx") * move).alias("x"), held(F.col("y") + F.col("fy") * move).alias("y")))
         heat *= cooling
     return at
+
+
+#: Layouts by name, each (nodes, ..) -> (node, x, y); `register` adds more.
+LAYOUTS = {"circle": layout_circle, "oval": layout_oval, "ellipse": layout_oval, "grid": layout_grid, "star": layout_star, "bipartite": layout_bipartite, "random": layout_random, "groups": layout_groups, "spring": layout_spring, "fr": layout_spring}
+
+
+def register(name: str, made) -> None:
+    """Adds a layout under a name; it replaces an older one."""
+    if not callable(made):
+        raise TypeError("a layout is a function of nodes")
+    LAYOUTS[name] = made
+
+
+def get(name: str):
+    if name not in LAYOUTS:
+        raise ValueError(f"unknown layout: {name}")
+    return LAYOUTS[name]
+
+
+def names() -> list[str]:
+    return sorted(LAYOUTS)

@@ -85,10 +85,11 @@ def flows(seq: DataFrame, min_flow: int = 1) -> DataFrame:
 
 
 def node_positions(totals: DataFrame, spacing: float = 0.0) -> DataFrame:
-    """(step, state, count, bottom, top): stacked bars in the order of the states."""
-    before = Window.partitionBy("step").orderBy("state").rowsBetween(Window.unboundedPreceding, -1)
-    bottom = F.coalesce(F.sum("count").over(before), F.lit(0)) + spacing * F.count("*").over(before)
-    return totals.withColumn("bottom", bottom.cast("double")).withColumn("top", F.col("bottom") + F.col("count"))
+    """(step, state, count, bottom, top): bars stacked downward in the order of the states, the whole stack centred on 0.5."""
+    before, every = Window.partitionBy("step").orderBy("state").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("step")
+    start = 0.5 + (F.sum("count").over(every) + spacing * (F.count("*").over(every) - 1)) / 2
+    top = start - F.coalesce(F.sum("count").over(before), F.lit(0)) - spacing * F.count("*").over(before)
+    return totals.withColumn("top", top.cast("double")).withColumn("bottom", F.col("top") - F.col("count")).select(*totals.columns, "bottom", "top")
 
 
 def trajectories(seq: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ WITH {SEQ}, f AS (SELECT case_, arg_min(state, t) AS state FROM seq WHERE state
 SELECT state, count, round(count / sum(count) OVER (), 6) AS share FROM c""")
 for _name, _size, _step in (("transition_windows_sliding", 5, 1), ("transition_windows_tumbling", 5, 5)):
     query(_name, _seq(lambda s, a=_size, b=_step: sequences.window_transitions(s, a, b)), f"""
-WITH {SEQ}, w AS (SELECT k AS "window", case_, t, state FROM seq, range(0, {(20 - _size) // _step} + 1) r(k) WHERE t > k * {_step} AND t <= k * {_step} + {_size}),
+WITH {SEQ}, r AS (SELECT unnest(range(0, (max(t) - {_size}) // {_step} + 1)) AS k FROM seq), w AS (SELECT k AS "window", case_, t, state FROM seq, r WHERE t > k * {_step} AND t <= k * {_step} + {_size}),
 p AS (SELECT "window", state AS src, lead(state) OVER (PARTITION BY "window", case_ ORDER BY t) AS dst FROM w),
 c AS (SELECT "window", src, dst, count(*) AS count FROM p WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY 1, 2, 3)
 SELECT "window"::INT AS "window", src, dst, count, round(count / sum(count) OVER (PARTITION BY "window", src), 6) AS weight FROM c""")
@@ -81,7 +81,7 @@ def _gaps(seq: DataFrame) -> DataFrame:
 
 
 query("window_na_stop", _seq(lambda s: sequences.usable_windows(sequences.windows(_gaps(s), 5, 1), 0.5)), f"""
-WITH {SEQ}, w AS (SELECT k AS "window", CASE WHEN NOT (t >= 12 AND state IN ('purchase', 'click', 'view')) THEN state END AS state FROM seq, range(0, 16) r(k) WHERE t > k AND t <= k + 5 AND t <= 20),
+WITH {SEQ}, r AS (SELECT unnest(range(0, max(t) - 4)) AS k FROM seq), w AS (SELECT k AS "window", CASE WHEN NOT (t >= 12 AND state IN ('purchase', 'click', 'view')) THEN state END AS state FROM seq, r WHERE t > k AND t <= k + 5),
 h AS (SELECT "window", avg(CASE WHEN state IS NULL THEN 1 ELSE 0 END) AS na FROM w GROUP BY 1)
 SELECT "window"::INT AS "window", round(na, 6) AS na_share, max(CASE WHEN na > 0.5 THEN 1 ELSE 0 END) OVER (ORDER BY "window") = 0 AS usable FROM h""")
 MARKS = "m AS (SELECT DISTINCT user_id AS actor, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS w, event_type AS code FROM events)"
@@ -90,12 +90,13 @@ WITH {MARKS} SELECT a.code AS src, b.code AS dst, count(*) AS count FROM m a JOI
 query("transition_onehot", lambda s, d: sequences.code_transitions(tables.event_marks(s, d)), f"""
 WITH {MARKS} SELECT a.code AS src, b.code AS dst, count(*) AS count FROM m a JOIN m b ON a.actor = b.actor AND b.w = a.w + 1 GROUP BY 1, 2""")
 query("alluvial_flows", _seq(sequences.flows), f"""
-WITH {SEQ}, p AS (SELECT t AS step, state AS src, lead(state) OVER (PARTITION BY case_ ORDER BY t) AS dst FROM seq WHERE t <= 10)
+WITH {SEQ}, p AS (SELECT t AS step, state AS src, lead(state) OVER (PARTITION BY case_ ORDER BY t) AS dst FROM seq)
 SELECT step::INT AS step, src, dst, count(*) AS count FROM p WHERE dst IS NOT NULL GROUP BY 1, 2, 3""")
 query("node_positions", _seq(lambda s: sequences.node_positions(s.groupBy(F.col("t").alias("step"), "state").agg(F.count("*").alias("count")), 2.0)), f"""
-WITH {SEQ}, c AS (SELECT t AS step, state, count(*) AS count FROM seq WHERE t <= 10 GROUP BY 1, 2),
-b AS (SELECT *, coalesce(sum(count) OVER w, 0) + 2.0 * count(*) OVER w AS bottom FROM c WINDOW w AS (PARTITION BY step ORDER BY state ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT step::INT AS step, state, count, bottom::DOUBLE AS bottom, (bottom + count)::DOUBLE AS top FROM b""")
+WITH {SEQ}, c AS (SELECT t AS step, state, count(*) AS count FROM seq GROUP BY 1, 2),
+g AS (SELECT step, 0.5 + (sum(count) + 2.0 * (count(*) - 1)) / 2 AS start FROM c GROUP BY 1),
+b AS (SELECT c.*, g.start - coalesce(sum(count) OVER w, 0) - 2.0 * count(*) OVER w AS top FROM c JOIN g USING (step) WINDOW w AS (PARTITION BY step ORDER BY state ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT step::INT AS step, state, count, (top - count)::DOUBLE AS bottom, top::DOUBLE AS top FROM b""")
 query("trajectories", _seq(sequences.trajectories), f"""
 WITH {SEQ} SELECT case_ AS "case", arg_min(state, t) AS first, arg_max(state, t) AS last, count(*) AS steps FROM seq GROUP BY 1""")
 
@@ -168,11 +169,11 @@ WITH {PLACED}, b AS (SELECT ci, cj, {_f} AS value FROM p JOIN z x ON x.cluster =
 SELECT x.cluster AS ci, y.cluster AS cj, round(coalesce(value, 0)::DOUBLE, 5) AS value FROM z x, z y LEFT JOIN b ON b.ci = x.cluster AND b.cj = y.cluster""")
 query("cluster_within", _clustered(lambda n, c: cluster.cluster_within(n, c)), f"WITH {PLACED}, b AS (SELECT ci, sum(weight) AS value FROM p WHERE ci = cj AND src <> dst GROUP BY 1) SELECT cluster, round(coalesce(value, 0)::DOUBLE, 5) AS value FROM z LEFT JOIN b ON ci = cluster")
 query("cluster_quality", _clustered(cluster.cluster_quality), f"""
-WITH {PLACED}, i AS (SELECT ci AS cluster, sum(weight) AS m FROM p WHERE ci = cj AND src <> dst GROUP BY 1),
+WITH {PLACED}, i AS (SELECT ci AS cluster, sum(weight) AS m FROM p WHERE ci = cj GROUP BY 1),
 o AS (SELECT cluster, sum(weight) AS c FROM (SELECT ci AS cluster, weight FROM p WHERE ci <> cj UNION ALL SELECT cj, weight FROM p WHERE ci <> cj) GROUP BY 1),
 a AS (SELECT z.cluster, n, coalesce(m, 0) AS m, coalesce(c, 0) AS c, (SELECT count(*) FROM c) AS total FROM z LEFT JOIN i USING (cluster) LEFT JOIN o USING (cluster))
-SELECT cluster, n AS n_nodes, round(m::DOUBLE, 5) AS internal_edges, round(c::DOUBLE, 5) AS cut_edges, round(coalesce(m / nullif(n * (n - 1), 0), 0), 5) AS internal_density, round(2 * m / n, 5) AS avg_internal_degree,
-round(c / n, 5) AS expansion, round(coalesce(c / nullif(n * (total - n), 0), 0), 5) AS cut_ratio, round(coalesce(c / nullif(2 * m + c, 0), 0), 5) AS conductance FROM a""")
+SELECT cluster, n AS n_nodes, round(m::DOUBLE, 5) AS internal_edges, round(c::DOUBLE, 5) AS cut_edges, round(m / nullif(n * (n - 1), 0), 5) AS internal_density, round(2 * m / n, 5) AS avg_internal_degree,
+round(c / n, 5) AS expansion, round(c / nullif(n * (total - n), 0), 5) AS cut_ratio, round(c / nullif(2 * m + c, 0), 5) AS conductance FROM a""")
 query("modularity_directed", _clustered(cluster.modularity), f"""
 WITH {PLACED}, o AS (SELECT ci AS cluster, sum(weight) AS o FROM p GROUP BY 1), i AS (SELECT cj AS cluster, sum(weight) AS i FROM p GROUP BY 1), s AS (SELECT ci AS cluster, sum(weight) AS s FROM p WHERE ci = cj GROUP BY 1), g AS (SELECT sum(weight) AS m FROM p)
 SELECT round(sum(coalesce(s, 0) / m - coalesce(o, 0) * coalesce(i, 0) / (m * m)), 5) AS modularity FROM z LEFT JOIN o USING (cluster) LEFT JOIN i USING (cluster) LEFT JOIN s USING (cluster), g""")
@@ -218,26 +219,28 @@ for _m, _f in (("sum", "sum(weight)"), ("mean", "sum(weight) / 3"), ("max", "max
     query(f"aggregate_layers_{_m}", lambda s, d, m=_m: rounded(layers.aggregate_layers(tables.trade_layers(s, d), m)), f"WITH {LAYERS} SELECT * FROM (SELECT src, dst, round(({_f})::DOUBLE, 6) AS weight FROM l GROUP BY 1, 2) WHERE weight <> 0")
 query("network_difference", lambda s, d: rounded(layers.difference(*_two(s, d))), f"WITH {TWO} SELECT src, dst, x, y, x - y AS diff FROM xy")
 query("disparity_filter", on(tables.trade, lambda n: layers.disparity(n, 0.3)), f"""
-WITH {TRADE}, f AS (SELECT *, sum(weight) OVER (PARTITION BY src) AS so, count(*) OVER (PARTITION BY src) AS ko, sum(weight) OVER (PARTITION BY dst) AS si, count(*) OVER (PARTITION BY dst) AS ki FROM t WHERE src <> dst),
-r AS (SELECT src, dst, weight, least(power(1 - weight / so, ko - 1), power(1 - weight / si, ki - 1)) AS p FROM f)
+WITH {TRADE}, f AS (SELECT *, sum(weight) OVER (PARTITION BY src) AS so, count(*) OVER (PARTITION BY src) AS ko, sum(weight) OVER (PARTITION BY dst) AS si, count(*) OVER (PARTITION BY dst) AS ki FROM t),
+r AS (SELECT src, dst, weight, least(power(1 - weight / so, ko - 1), power(1 - weight / si, ki - 1)) AS p FROM f WHERE src <> dst)
 SELECT src, dst, weight, round(p, 6) AS p, p < 0.3 AS significant FROM r""")
 
 # --- scales and layouts -------------------------------------------------------------
 for _m, _f in (("linear", "weight / max(weight) OVER ()"), ("log", "ln(1 + weight) / ln(1 + max(weight) OVER ())"), ("sqrt", "sqrt(weight) / sqrt(max(weight) OVER ())"), ("rank", "(rank() OVER (ORDER BY weight) + (count(*) OVER (PARTITION BY weight) - 1) / 2 - 1) / (count(*) OVER () - 1)")):
     query(f"scale_edge_{_m}", on(tables.trade, lambda n, m=_m: n.edges.select("src", "dst", scales.scale_edge_widths(F.col("weight"), m).alias("width"))), f"WITH {TRADE} SELECT src, dst, round(0.5 + 3.5 * ({_f}), 6) AS width FROM t")
 query("significance_stars", on(tables.trade, lambda n: layers.disparity(n).select("src", "dst", scales.stars(F.col("p") / 20).alias("stars"))), f"""
-WITH {TRADE}, f AS (SELECT *, sum(weight) OVER (PARTITION BY src) AS so, count(*) OVER (PARTITION BY src) AS ko, sum(weight) OVER (PARTITION BY dst) AS si, count(*) OVER (PARTITION BY dst) AS ki FROM t WHERE src <> dst),
-r AS (SELECT src, dst, least(power(1 - weight / so, ko - 1), power(1 - weight / si, ki - 1)) / 20 AS p FROM f)
+WITH {TRADE}, f AS (SELECT *, sum(weight) OVER (PARTITION BY src) AS so, count(*) OVER (PARTITION BY src) AS ko, sum(weight) OVER (PARTITION BY dst) AS si, count(*) OVER (PARTITION BY dst) AS ki FROM t),
+r AS (SELECT src, dst, least(power(1 - weight / so, ko - 1), power(1 - weight / si, ki - 1)) / 20 AS p FROM f WHERE src <> dst)
 SELECT src, dst, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars FROM r""")
+#: Clockwise turns the list of angles round: the first node stands at the last of them.
+_TURN = "pi() / 2 + 2 * pi() * (n - 1 - i) / n"
 ROW = "o AS (SELECT n_name AS node, row_number() OVER (ORDER BY n_name) - 1 AS i, count(*) OVER () AS n FROM nation)"
-query("layout_circle", lambda s, d: rounded(layout.layout_circle(tables.nation_nodes(s, d))), f"WITH {ROW} SELECT node, round(0.5 + 0.4 * cos(pi() / 2 - 2 * pi() * i / n), 6) + 0.0 AS x, round(0.5 + 0.4 * sin(pi() / 2 - 2 * pi() * i / n), 6) + 0.0 AS y FROM o")
-query("layout_oval", lambda s, d: rounded(layout.layout_oval(tables.nation_nodes(s, d))), f"WITH {ROW} SELECT node, round(0.5 + 0.4 * sqrt(1.5) * cos(pi() / 2 - 2 * pi() * i / n), 6) + 0.0 AS x, round(0.5 + 0.4 / sqrt(1.5) * sin(pi() / 2 - 2 * pi() * i / n), 6) + 0.0 AS y FROM o")
-query("layout_grid", lambda s, d: rounded(layout.layout_grid(tables.nation_nodes(s, d))), f"WITH {ROW}, g AS (SELECT *, ceil(sqrt(n))::BIGINT AS k FROM o) SELECT node, round(0.1 + 0.8 * (i % k) / greatest(k - 1, 1), 6) AS x, round(0.9 - 0.8 * (i // k) / greatest(k - 1, 1), 6) AS y FROM g")
+query("layout_circle", lambda s, d: rounded(layout.layout_circle(tables.nation_nodes(s, d))), f"WITH {ROW} SELECT node, round(0.5 + 0.4 * cos({_TURN}), 6) + 0.0 AS x, round(0.5 + 0.4 * sin({_TURN}), 6) + 0.0 AS y FROM o")
+query("layout_oval", lambda s, d: rounded(layout.layout_oval(tables.nation_nodes(s, d))), f"WITH {ROW} SELECT node, round(0.5 + 0.4 * sqrt(1.5) * cos({_TURN}), 6) + 0.0 AS x, round(0.5 + 0.4 / sqrt(1.5) * sin({_TURN}), 6) + 0.0 AS y FROM o")
+query("layout_grid", lambda s, d: rounded(layout.layout_grid(tables.nation_nodes(s, d))), f"WITH {ROW}, g AS (SELECT *, ceil(sqrt(n))::BIGINT AS k, ceil(n / ceil(sqrt(n)))::BIGINT AS rows FROM o) SELECT node, round(0.1 + 0.8 * (i % k) / greatest(k - 1, 1), 6) AS x, round(0.9 - 0.8 * (i // k) / greatest(rows - 1, 1), 6) AS y FROM g")
 query("layout_groups", lambda s, d: rounded(layout.layout_groups(tables.regions(s, d))), """
 WITH g AS (SELECT r_name AS cluster, row_number() OVER (ORDER BY r_name) - 1 AS gi, count(*) OVER () AS gn FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)),
 m AS (SELECT n_name AS node, r_name AS cluster, row_number() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS i, count(*) OVER (PARTITION BY r_name) AS n FROM nation JOIN region ON n_regionkey = r_regionkey)
-SELECT node, round(0.5 + 0.35 * cos(pi() / 2 - 2 * pi() * gi / gn) + CASE WHEN n = 1 THEN 0 ELSE 0.15 * cos(pi() / 2 - 2 * pi() * i / n) END, 6) + 0.0 AS x,
-round(0.5 + 0.35 * sin(pi() / 2 - 2 * pi() * gi / gn) + CASE WHEN n = 1 THEN 0 ELSE 0.15 * sin(pi() / 2 - 2 * pi() * i / n) END, 6) + 0.0 AS y FROM m JOIN g USING (cluster)""")
+SELECT node, round(0.5 + 0.35 * cos(pi() / 2 + 2 * pi() * gi / gn) + CASE WHEN n = 1 THEN 0 ELSE 0.15 * cos(pi() / 2 + 2 * pi() * i / n) END, 6) + 0.0 AS x,
+round(0.5 + 0.35 * sin(pi() / 2 + 2 * pi() * gi / gn) + CASE WHEN n = 1 THEN 0 ELSE 0.15 * sin(pi() / 2 + 2 * pi() * i / n) END, 6) + 0.0 AS y FROM m JOIN g USING (cluster)""")
 query("layout_spring", lambda s, d: layout.layout_spring(tables.trade_flat(s, d), 10))
 
 # --- components and paths --------------------------------------------------------------
