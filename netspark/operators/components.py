@@ -44,7 +44,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(most_rounds):
         if _stars_only(at):
             break
-        at = cut(_star(_star(at, large=True), large=False).distinct())
+        at = cut(_star(_star(at, large=True), large=False).distinct(), at)
     else:
         raise RuntimeError("components did not settle")
     return at.select(F.col("u").alias("node"), F.col("v").alias("component")).union(at.select(F.col("v"), F.col("v")).distinct())

@@ -1,4 +1,4 @@
-"""Sessions and the shared folder in which lineage is cut."""
+"""Sessions and the shared folder in which intermediate tables are stored."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -20,35 +21,50 @@ def local_session(cores: int = 8, memory: str = "8g", **conf: str) -> SparkSessi
     return builder.getOrCreate()
 
 
-def ready(spark: SparkSession) -> SparkSession:
-    """Make checkpoint() usable: the cluster's shared folder, or a local one where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return spark
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once, into the shared folder, and go on from there."""
-    ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+_own: dict[str, str] = {}  # folders made for local sessions, by application
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet into the shared folder and read again."""
-    spark = ready(df.sparkSession)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a local session without one gets a folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-stored-")
+    return _own[context.applicationId]
+
+
+def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """df computed once, as a table of its own in the shared folder.
+
+    What reads it recovers from there when an executor is lost, and its size is
+    known to the planner. The folder goes when the driver ends; a loop names the
+    table that it needs no more, which goes at once.
+    """
+    spark = df.sparkSession
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.deleteOnExit(path)
+    df.write.parquet(path.toString())
+    made = spark.read.schema(df.schema).parquet(path.toString())
+    made._stored_at = (files, path)
+    if instead_of is not None and hasattr(instead_of, "_stored_at"):
+        old, where = instead_of._stored_at
+        old.delete(where, True)
+    return made
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """df with a broadcast hint if it has at most so many (narrow) rows; else as it is."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def small(df: DataFrame, most_rows: int = 100_000, most_bytes: int = 16 << 20) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows and bytes of values; else as it is."""
+    wide = [F.octet_length(f.name) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    size = sum([F.coalesce(c, F.lit(0)) for c in wide], F.lit(16 * len(df.columns)))
+    found = df.limit(most_rows + 1).select(size.alias("b")).agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()
+    return F.broadcast(df) if found.n <= most_rows and (found.b or 0) <= most_bytes else df
