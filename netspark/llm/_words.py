@@ -17,7 +17,10 @@ U64 = np.uint64
 #: Odd multipliers of the rolling hashes, with their inverses modulo 2**64.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Bytes of text handled at once; a longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Bytes or words whose hashes are summed at once: 64-bit scratch space follows this,
+#: not the text. A text of any length costs about a dozen bytes a byte.
+STRETCH = 1 << 18
 
 
 def _table(separators: list[tuple[int, int]], fold: bool) -> np.ndarray:
@@ -54,7 +57,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = max(STRETCH + 64, n)
         with np.errstate(over="ignore"):
             each = [np.cumprod(np.concatenate([np.ones(1, U64), np.full(size - 1, b, U64)])) for b in (base, pow(base, -1, 1 << 64))]
         _powers[base] = have = (each[0], each[1])
@@ -111,11 +114,18 @@ def split(column: pa.Array, table: np.ndarray = SPACED) -> Words:
     inner = inner[(inner > 0) & (inner <= n)]
     stops[inner - 1] = inside[inner - 1]
     end = np.flatnonzero(stops) + 1
-    up, down = powers(BYTE_BASE, n + 1)
-    total = np.zeros(n + 1, U64)
-    with np.errstate(over="ignore"):
-        np.cumsum(_BYTE_VALUES[np.maximum(table, 0)][data] * up[:n], out=total[1:])
-        h = mix((total[end] - total[start]) * down[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
+    h, value, j = np.empty(len(start), U64), _BYTE_VALUES[np.maximum(table, 0)], 0
+    while j < len(start):  # whole words, of about a stretch of bytes together
+        low = int(start[j])
+        to = max(j + 1, int(np.searchsorted(end, low + STRETCH, side="right")))
+        size = int(end[to - 1]) - low
+        up, down = powers(BYTE_BASE, size + 1)
+        total = np.zeros(size + 1, U64)
+        a, e = start[j:to] - low, end[j:to] - low
+        with np.errstate(over="ignore"):
+            np.cumsum(value[data[low : low + size]] * up[:size], out=total[1:])
+            h[j:to] = mix((total[e] - total[a]) * down[a] + (e - a).astype(U64) * U64(0xA24BAED4963EE407))
+        j = to
     return Words(data, at, start, end, h, np.searchsorted(start, at))
 
 
@@ -124,11 +134,15 @@ def grams(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     n = len(h)
     if n < k:
         return np.zeros(0, U64)
-    up, down = powers(WORD_BASE, n + 1)
-    total = np.zeros(n + 1, U64)
-    with np.errstate(over="ignore"):
-        np.cumsum((mix(h ^ U64(seed)) if seed else h) * up[:n], out=total[1:])
-        return mix((total[k:] - total[:-k]) * down[: n - k + 1] + U64(k))
+    up, down = powers(WORD_BASE, min(n, STRETCH + k) + 1)
+    out = np.empty(n - k + 1, U64)
+    for a in range(0, len(out), STRETCH):
+        part = h[a : a + STRETCH + k - 1]
+        total = np.zeros(len(part) + 1, U64)
+        with np.errstate(over="ignore"):
+            np.cumsum((mix(part ^ U64(seed)) if seed else part) * up[: len(part)], out=total[1:])
+            out[a : a + STRETCH] = mix((total[k:] - total[:-k]) * down[: len(part) - k + 1] + U64(k))
+    return out
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -1,13 +1,14 @@
 """Exact n-gram Jaccard join with signature trees (operator 7).
 
 Documents whose sets of word shingles reach a Jaccard similarity of 0.75 link;
-each gets the least doc_id that links lead to. The work narrows in three steps,
-none of which can lose a link:
+each gets the least doc_id that links lead to. The work narrows in three steps:
 
 1. Equal sets form classes, by digest. Every second shingle (by a bit of its hash)
-   is exchanged in packed rows: its upper 48 bits and a tag of its class. A class
-   can miss at most a quarter of its shingles in any partner; one that has more
-   shingles of its own among the exchanged ones cannot link and is done.
+   is exchanged in packed rows: its upper 48 bits, and which class it is of. A
+   class can miss at most a quarter of its shingles in any partner, and a partner
+   is at most a third larger or a quarter smaller. So a shingle counts as shared
+   if a class of such a size has it too, and a class with more exchanged shingles
+   that are not shared than it may miss cannot link and is done.
 2. The others order their shingles by how many of them have it, rarest first.
    Linked sets share one of their first quarter (prefix filter), and shingles that
    only one set has need no look. Each class goes to the groups of a few of the
@@ -22,12 +23,16 @@ none of which can lose a link:
    by joining the sets.
 
 Large groups are dealt out in chunks, in the last step in all pairs of chunks.
-
-Sets compare by 64-bit hashes. Null texts and texts without words have empty sets
-and link with nothing; a null doc_id links with nothing and has no component;
-rows of one doc_id with different texts are judged each by its own text (a class
-is named by its least doc_id and its digest, so one id can name several); empty
-tables give empty results; extra columns are carried by `keep_one`.
+No step drops a link by its size or its group's. Sets compare by 64-bit hashes of
+shingles, 48 of these bits and 64 bits of a class's digest stand for them in the
+first step; two shingles that merge there only keep more classes, two classes that
+merge (a chance of one in 10^7 with a million classes) could hide a link.
+
+Null texts and texts without words have empty sets and link with nothing; a null
+doc_id links with nothing and has no component; rows of one doc_id with different
+texts are judged each by its own text (a class is named by its least doc_id and
+its digest, so one id can name several); texts of any length are taken whole;
+empty tables give empty results; extra columns are carried by `keep_one`.
 """
 
 from __future__ import annotations
@@ -48,13 +53,16 @@ from . import _words
 SHINGLE = 5
 #: A link needs NUM / DEN of the union.
 NUM, DEN = 3, 4
-#: Members of a group that one task compares among themselves.
-CHUNK = 2000
+#: Members of a group that are compared among themselves at once: in the second
+#: step, where larger groups are dealt out anew each time, and in the third.
+SALTED, CHUNK = 500, 2000
 #: Groups that each class's set is sent to in the second step.
 SENT = 2
-LEAF, FAN = 16, 8
+LEAF, FAN = 4, 4
 #: Sets of at most so many shingles travel whole into the third step.
 WHOLE = 256
+#: Bytes of texts whose keys leave in one set of packed rows, and of keys that meet in one task.
+SENT_BYTES, PART_BYTES = 8 << 20, 32 << 20
 U64 = np.uint64
 
 
@@ -114,35 +122,46 @@ def _fold(bitmap: np.ndarray, words: int) -> np.ndarray:
 
 
 class SignatureTree:
-    """Sets in order of size under nodes of OR-combined bitmaps, size ranges and slack.
+    """Sets under nodes of OR-combined bitmaps, size ranges and slack.
 
     A set's slack is its size less the bits that it sets, so two sets share at
-    most the bits that they have in common and the smaller slack.
+    most the bits that they have in common and the smaller slack. Sets stand in
+    the order of their size to a third, then of the lowest and highest bit that
+    they set (min-hashes, in effect), so that like sets share a node and its
+    bitmap stays sparse.
     """
 
     def __init__(self, sizes: np.ndarray, signatures: list[np.ndarray]):
-        self.order = np.argsort(sizes, kind="stable")
         words = min(len(s) for s in signatures)
-        self.bits = np.stack([_fold(signatures[i], words) for i in self.order])
+        bits = np.stack([_fold(s, words) for s in signatures])
+        band = np.floor(np.log(np.maximum(sizes, 1)) / np.log(DEN / NUM)).astype(np.int64)
+        flat = np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little")
+        self.order = np.lexsort((flat[:, ::-1].argmax(1), flat.argmax(1), band))
+        self.bits = bits[self.order]
         self.sizes = sizes[self.order]
         self.slack = self.sizes - np.bitwise_count(self.bits).sum(1).astype(np.int64)
         # Levels from the leaves upward: bitmap, least and largest size, largest slack.
         cuts = np.arange(0, len(sizes), LEAF)
-        level = (np.bitwise_or.reduceat(self.bits, cuts), self.sizes[cuts], np.maximum.reduceat(self.sizes, cuts), np.maximum.reduceat(self.slack, cuts))
+        level = (np.bitwise_or.reduceat(self.bits, cuts), np.minimum.reduceat(self.sizes, cuts), np.maximum.reduceat(self.sizes, cuts), np.maximum.reduceat(self.slack, cuts))
         self.levels = [level]
         while len(level[1]) > 1:
             cuts = np.arange(0, len(level[1]), FAN)
-            level = (np.bitwise_or.reduceat(level[0], cuts), level[1][cuts], np.maximum.reduceat(level[2], cuts), np.maximum.reduceat(level[3], cuts))
+            level = (np.bitwise_or.reduceat(level[0], cuts), np.minimum.reduceat(level[1], cuts), np.maximum.reduceat(level[2], cuts), np.maximum.reduceat(level[3], cuts))
             self.levels.append(level)
 
     @staticmethod
     def may_link(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray) -> np.ndarray:
         """Which node pairs (i of a, j of b) can hold a link."""
-        near = (DEN * a[2][i] >= NUM * b[1][j]) & (DEN * b[2][j] >= NUM * a[1][i])
-        most = np.bitwise_count(a[0][i] & b[0][j]).sum(1).astype(np.int64) + np.minimum(a[3][i], b[3][j])
-        return near & ((NUM + DEN) * most >= NUM * (a[1][i] + b[1][j]))
-
-    def leaf_pairs(self) -> Iterator[tuple[int, int]]:
+        keep = (DEN * a[2][i] >= NUM * b[1][j]) & (DEN * b[2][j] >= NUM * a[1][i])
+        near = np.flatnonzero(keep)
+        for at in range(0, len(near), 1 << 12):  # bitmaps of a few thousand pairs at once
+            part = near[at : at + (1 << 12)]
+            x, y = i[part], j[part]
+            most = np.bitwise_count(a[0][x] & b[0][y]).sum(1).astype(np.int64) + np.minimum(a[3][x], b[3][y])
+            keep[part] = (NUM + DEN) * most >= NUM * (a[1][x] + b[1][y])
+        return keep
+
+    def leaf_pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of leaves that survive the traversal of this tree with itself."""
         i = j = np.zeros(1, np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
@@ -155,20 +174,27 @@ class SignatureTree:
                 i, j = np.broadcast_to((i[:, None] * FAN + kids)[:, :, None], (len(i), FAN, FAN)).ravel(), np.broadcast_to((j[:, None] * FAN + kids)[:, None, :], (len(j), FAN, FAN)).ravel()
                 keep = (i <= j) & (i < n) & (j < n)
                 i, j = i[keep], j[keep]
-        yield from zip(i.tolist(), j.tolist(), strict=True)
+        return i, j
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Arrays of members (by position in the given lists) that may link, leaf pair by leaf pair."""
+        """Arrays of members (by position in the given lists) that may link, some thousands at a time."""
         every = (self.bits, self.sizes, self.sizes, self.slack)
-        n = len(self.sizes)
-        for x, y in self.leaf_pairs():
-            a, b = np.arange(x * LEAF, min(n, (x + 1) * LEAF)), np.arange(y * LEAF, min(n, (y + 1) * LEAF))
-            i, j = np.repeat(a, len(b)), np.tile(b, len(a))
-            keep = i < j
+        n, at = len(self.sizes), np.arange(LEAF)
+        left, right = self.leaf_pairs()
+        step = (1 << 16) // LEAF**2
+        for s in range(0, len(left), step):
+            x, y = left[s : s + step, None] * LEAF + at, right[s : s + step, None] * LEAF + at
+            i, j = np.repeat(x, LEAF, 1).ravel(), np.tile(y, LEAF).ravel()
+            keep = (i < j) & (j < n)
             i, j = i[keep], j[keep]
             keep = self.may_link(every, i, every, j)
             yield self.order[i[keep]], self.order[j[keep]]
 
+    def tested(self) -> tuple[int, int]:
+        """Pairs of sets in the leaf pairs that the traversal lets through, and all pairs."""
+        n = len(self.sizes)
+        return min(len(self.leaf_pairs()[0]) * LEAF**2, n * (n - 1) // 2), n * (n - 1) // 2
+
 
 class Forest:
     """Union-find over the members of a group."""
@@ -200,9 +226,18 @@ def group_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 # --- first step: classes, and which of them can link at all -----------------
 
-_KEYS = "part int, keys binary, tags binary"
-#: Bytes of a class's digest that stand for it beside an exchanged shingle.
-TAG = 5
+_KEYS = "part int, keys binary, entry binary, tags binary, sizes binary, needs binary"
+_COUNTS = "part int, tags binary, shared binary, needs binary"
+
+
+def tag_of(class_: bytes) -> int:
+    """The class in 64 bits."""
+    return int.from_bytes(class_[:8], "big", signed=True)
+
+
+def need_of(n, sent):
+    """How many of a class's exchanged shingles must be shared if it is to link: it may miss a quarter of all."""
+    return -(-NUM * n // DEN) - (n - sent)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -227,49 +262,103 @@ def exchanged(keys: np.ndarray) -> np.ndarray:
     return keys & U64(1) == 0
 
 
+def _packed(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names = [f.split()[0] for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "part" else pa.binary()) for n, c in zip(names, columns, strict=True)], names=names)
+
+
 def _key_rows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    for _, sets in _slices(batches, 0):
-        sets = [x for x in sets if len(x)]
-        keys = np.concatenate([np.zeros(0, U64), *sets])
-        tags = np.frombuffer(b"".join(digest(x)[:TAG] for x in sets), np.uint8).reshape(-1, TAG)
-        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets]).astype(np.int64)
-        take = np.flatnonzero(exchanged(keys))
-        take = take[np.argsort(keys[take], kind="stable")]
-        keys, row = keys[take], row[take]
-        out = [(part, ex.pack_sorted(keys[a:e] >> U64(16)), tags[row[a:e]].tobytes()) for part, a, e in ex.cuts(keys, parts)]
-        columns = list(zip(*out, strict=True)) if out else [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["part", "keys", "tags"])
-
-
-def _tags(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // TAG, 8), np.uint8)
-    out[:, 8 - TAG :] = np.frombuffer(blob, np.uint8).reshape(-1, TAG)
-    return out.reshape(-1).view(">u8").astype(np.int64)
-
-
-def _shared_counts(table: pa.Table) -> pa.Table:
-    """(tag, shared): how many of a class's keys in this part another class has too."""
-    keys = np.concatenate([np.zeros(0, U64), *[ex.unpack_sorted(k) for k in table.column("keys").to_pylist()]])
-    tags = np.concatenate([np.zeros(0, np.int64), *[_tags(t) for t in table.column("tags").to_pylist()]])
-    order = np.lexsort((tags, keys))
-    keys, tags = keys[order], tags[order]
-    new_key = np.ones(len(keys), bool)
-    new_key[1:] = keys[1:] != keys[:-1]
-    new = new_key.copy()
-    new[1:] |= tags[1:] != tags[:-1]
-    group = np.cumsum(new_key) - 1
-    several = np.bincount(group, weights=new) > 1
-    tag, shared = np.unique(tags[new & several[group]], return_counts=True)
-    return pa.table({"tag": pa.array(tag, pa.int64()), "shared": pa.array(shared, pa.int64())})
+    def sent(sets: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
+        keys = np.concatenate([x for x, _, _ in sets])
+        tags, size = np.array([t for _, t, _ in sets], np.int64), np.array([n for _, _, n in sets], np.int64)
+        count = np.array([len(x) for x, _, _ in sets], np.int64)
+        need = np.maximum(need_of(size, count), 0)
+        row = np.repeat(np.arange(len(sets), dtype=np.int32), count)
+        order = np.argsort(keys, kind="stable")
+        keys, row = keys[order], row[order]
+        out = []
+        for part, a, e in ex.cuts(keys, parts):
+            which, entry = np.unique(row[a:e], return_inverse=True)
+            out.append((part, ex.pack_sorted(keys[a:e] >> U64(16)), ex.pack_small(entry), tags[which].tobytes(), ex.pack_small(size[which]), ex.pack_small(need[which])))
+        return _packed(out, _KEYS)
+
+    held, size = [], 0
+    for piece, sets in _slices(batches, 0):
+        held += [(x[exchanged(x)], tag_of(digest(x)), len(x)) for x in sets if len(x)]
+        size += piece.nbytes
+        if size >= SENT_BYTES and held:
+            yield sent(held)
+            held, size = [], 0
+    if held:
+        yield sent(held)
+
+
+def _shared_counts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Of each class with keys in this part: how many of them another class has whose size allows a link; packed by ranges of tags."""
+    keys, entry, tags, sizes, needs, n = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for batch in batches:
+        for k, e, t, s, d in zip(*[batch.column(batch.schema.get_field_index(c)) for c in ("keys", "entry", "tags", "sizes", "needs")], strict=True):
+            keys.append(ex.unpack_sorted(k.as_py()))
+            entry.append(ex.unpack_small(e.as_py()) + n)
+            tags.append(np.frombuffer(t.as_py(), np.int64))
+            sizes.append(ex.unpack_small(s.as_py()))
+            needs.append(ex.unpack_small(d.as_py()))
+            n += len(tags[-1])
+    tag, size, need = np.concatenate(tags), np.concatenate(sizes), np.concatenate(needs)
+    # Classes in the order of size; copies of one class become one.
+    order = np.lexsort((tag, size))
+    new = np.ones(len(order), bool)
+    new[1:] = (tag[order][1:] != tag[order][:-1]) | (size[order][1:] != size[order][:-1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    tag, size, need = tag[order][new], size[order][new], need[order][new]
+    key, of = np.concatenate(keys), rank[np.concatenate(entry)]
+    order = np.lexsort((of, key))
+    key, of = key[order], of[order]
+    once = np.ones(len(key), bool)
+    once[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+    key, of = key[once], of[once]
+    # In a key's classes by size, the nearest neighbours are the likeliest partners.
+    meets = (key[1:] == key[:-1]) & (DEN * size[of[:-1]] >= NUM * size[of[1:]])
+    shared = np.zeros(len(key), bool)
+    shared[1:] |= meets
+    shared[:-1] |= meets
+    count = np.bincount(of[shared], minlength=len(tag))
+    some = np.flatnonzero(count)
+    some = some[np.argsort(tag[some].view(U64), kind="stable")]
+    yield _packed([(part, ex.pack_sorted(tag[some[a:e]].view(U64)), ex.pack_small(count[some[a:e]]), ex.pack_small(need[some[a:e]])) for part, a, e in ex.cuts(tag[some].view(U64), parts)], _COUNTS)
+
+
+def _enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tags of which as many keys are shared, over all parts, as they need."""
+    tags, shared, needs = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for batch in batches:
+        for t, s, d in zip(*[batch.column(batch.schema.get_field_index(c)) for c in ("tags", "shared", "needs")], strict=True):
+            tags.append(ex.unpack_sorted(t.as_py()))
+            shared.append(ex.unpack_small(s.as_py()))
+            needs.append(ex.unpack_small(d.as_py()))
+    tag, at = np.unique(np.concatenate(tags), return_inverse=True)
+    need = np.full(len(tag), np.iinfo(np.int64).max)
+    np.minimum.at(need, at, np.concatenate(needs))
+    enough = np.bincount(at, weights=np.concatenate(shared), minlength=len(tag)) >= need
+    yield pa.RecordBatch.from_arrays([pa.array(tag[enough].view(np.int64), pa.int64())], names=["tag"])
 
 
 def linkable(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of classes (class, n, sent, ..) that share enough with others to link at all."""
-    parts = shuffle_partitions(docs.sparkSession)
+    total = classes.agg(F.sum("sent")).first()[0] or 0
+    parts = max(2 * shuffle_partitions(docs.sparkSession), -(-8 * total // PART_BYTES))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _shared_counts(batches, parts)
+
     sent = docs.select("text").mapInArrow(lambda b: _key_rows(b, parts), _KEYS)
-    counts = sent.groupBy("part").applyInArrow(_shared_counts, "tag long, shared long").groupBy("tag").agg(F.sum("shared").alias("shared"))
-    tagged = classes.withColumn("tag", F.conv(F.hex(F.substring("class", 1, TAG)), 16, 10).cast("long")).join(counts, "tag", "left")
-    return tagged.filter(DEN * (F.col("n") - F.col("sent") + F.coalesce("shared", F.lit(0))) >= NUM * F.col("n")).drop("tag", "shared")
+    tags = sent.groupBy("part").applyInArrow(shared, _COUNTS).groupBy("part").applyInArrow(_enough, "tag long").distinct()
+    tagged = classes.withColumn("tag", F.conv(F.hex(F.substring("class", 1, 8)), 16, -10).cast("long"))
+    need = F.ceil(F.lit(NUM) * F.col("n") / DEN) - (F.col("n") - F.col("sent"))
+    found = tagged.join(tags, "tag", "left_semi")
+    return found.unionByName(tagged.filter(need <= 0).join(tags, "tag", "left_anti")).drop("tag")
 
 
 # --- second and third step: links among them --------------------------------
@@ -308,7 +397,8 @@ def _prefixes(sets: DataFrame, kind: str) -> DataFrame:
     A set's shingles that no other has come first of all and join with nothing,
     so they only shorten the rest of the prefix.
     """
-    having = _tokens(sets, kind).withColumn("members", F.count("*").over(Window.partitionBy("token"))).filter("members > 1")
+    tokens = _tokens(sets, kind)
+    having = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1"), "token")
     own = Window.partitionBy("rep")
     ranked = having.withColumn("rank", F.row_number().over(own.orderBy("members", "token"))).withColumn("shared", F.count("*").over(own))
     length = F.col("n") - F.ceil(NUM * F.col("n") / DEN) + 1
@@ -396,7 +486,7 @@ def _distinct_groups(prefixes: DataFrame) -> DataFrame:
 def _meet(shared: DataFrame, sets: DataFrame, kind: str, parts: int) -> DataFrame:
     """Links found in the `SENT` largest groups of each class; hot groups in chunks, dealt anew for each."""
     few = shared.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("members", "token")), asc=False), 1, SENT).alias("g")).select("rep", F.explode("g").alias("g"))
-    salt = F.pmod(F.xxhash64("rep", "g.token"), F.ceil(F.col("g.members") / CHUNK).cast("long"))
+    salt = F.pmod(F.xxhash64("rep", "g.token"), F.ceil(F.col("g.members") / SALTED).cast("long"))
     sent = few.select("rep", F.col("g.token").alias("token"), salt.alias("salt")).join(sets.select("rep", "shingles"), "rep")
     return cut(sent.withColumn("part", F.pmod(F.xxhash64("token", "salt"), F.lit(parts))).groupBy("part").applyInArrow(_tree_links, f"a {kind}, b {kind}"))
 
@@ -415,8 +505,9 @@ def links(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     kind = "long"
-    parts = 2 * shuffle_partitions(spark)
     sets = cut(_sets_of(docs, wanted).dropDuplicates(["rep"]))
+    size = sets.agg(F.sum("n")).first()[0] or 0
+    parts = max(2 * shuffle_partitions(spark), -(-8 * SENT * size // PART_BYTES))
     shared = cut(_distinct_groups(_prefixes(sets, kind)))
     found = _meet(shared, sets, kind, parts)
     comps = cut(connected_components(found, "a", "b"))
@@ -458,7 +549,17 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: the one whose id and class name it. Rows with a null id stay."""
-    stay = _judged(docs).filter("doc_id = head and class = head_class").select(F.col("doc_id").alias("__ns_stay"), F.col("mark").alias("__ns_mark"), F.col("class").alias("__ns_class")).distinct()
-    kept = docs.join(stay, (F.col("doc_id") == F.col("__ns_stay")) & (F.xxhash64("text") == F.col("__ns_mark"))).dropDuplicates(["doc_id", "__ns_class"]).drop("__ns_stay", "__ns_mark", "__ns_class")
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """docs with one document of each group: the one whose id and class name it. Rows with a null id stay.
+
+    Of rows that agree in id and class, one with the least hash of its text stays.
+    """
+    head = _judged(docs).filter("doc_id = head and class = head_class").groupBy("doc_id", "class", "mark").agg(F.count("*").alias("copies"))
+    stay = cut(head.groupBy("doc_id", "class").agg(F.min(F.struct("mark", "copies")).alias("s")).select(F.col("doc_id").alias("__ns_stay"), F.col("s.mark").alias("__ns_mark"), F.col("s.copies").alias("__ns_copies")))
+    same = (docs["doc_id"] == F.col("__ns_stay")) & (F.xxhash64(docs["text"]) == F.col("__ns_mark"))
+    own = [docs[c] for c in docs.columns]
+    kept = docs.join(small(stay.filter("__ns_copies = 1"), 500_000), same).select(*own)
+    several = stay.filter("__ns_copies > 1")
+    if not several.isEmpty():
+        again = docs.join(small(several), same).dropDuplicates(["__ns_stay", "__ns_mark"]).select(*own)
+        kept = kept.unionByName(again)
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -156,10 +156,12 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns.
 
-    The verdict is a function of the row's counts, so it is computed in place:
-    one pass learns the accuracies, the next filters, and no text is shuffled.
+    One pass counts and votes and stores that beside the rows that the base rule
+    lets through; the accuracies are learnt from the votes of all rows, and the
+    stored rows are filtered by them. No text is shuffled.
     """
-    model = accuracies(pattern_counts(features(docs, keep=()).withColumn("votes", votes()))).first()
     wide = features(docs.withColumn("__ns_row", F.struct(*docs.columns)), keep=("__ns_row",)).withColumn("votes", votes())
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return wide.filter(~failed & (posterior(model) >= 0.5)).select("__ns_row.*")
+    voted = cut(wide.select(F.when(~failed, F.col("__ns_row")).alias("__ns_row"), "votes", failed.alias("base_failed")))
+    model = accuracies(pattern_counts(voted)).first()
+    return voted.filter(~F.col("base_failed") & (posterior(model) >= 0.5)).select("__ns_row.*")
