@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import cut, shuffle_partitions, small
+from ..session import cut, discard, shuffle_partitions, small
 from . import _exchange as ex
 from . import _words
 
@@ -498,8 +498,8 @@ def _open_rows(shared: DataFrame, comps: DataFrame) -> DataFrame:
     return cut(placed.join(open_, "token"))
 
 
-def links(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the numbers of classes that connect all that is linked.
+def links(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (a, b) of the numbers of classes that connect all that is linked, and the stored tables behind them.
 
     wanted: (node, rep, class) of the classes that can link, as `numbered`.
     """
@@ -512,7 +512,7 @@ def links(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     found = _meet(shared, sets, kind, parts)
     comps = cut(connected_components(found, "a", "b"))
     # Third step: groups that still hold two components, by signatures alone.
-    rest = _open_rows(shared, comps)
+    rest = rest_ = _open_rows(shared, comps)
     chunks = F.ceil(F.col("members") / CHUNK).cast("long")
     rest = rest.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     rest = rest.withColumn("one", F.least("chunk", "other")).withColumn("two", F.greatest("chunk", "other"))
@@ -521,7 +521,7 @@ def links(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     pairs = cut(met.groupBy("part").applyInArrow(_tree_candidates, f"a {kind}, b {kind}, sure boolean").distinct())
     one, two = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("t"))
     second = pairs.filter("not sure").select("a", "b").join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(_verified, f"a {kind}, b {kind}")
-    return comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(pairs.filter("sure").select("a", "b")).union(second)
+    return comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(pairs.filter("sure").select("a", "b")).union(second), [sets, shared, found, comps, rest_, pairs]
 
 
 def numbered(wanted: DataFrame) -> DataFrame:
@@ -534,7 +534,9 @@ def _judged(docs: DataFrame) -> DataFrame:
     classed = cut(with_classes(docs))
     reps = classed.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sent").alias("sent"))
     wanted = numbered(linkable(docs, reps))
-    of = cut(connected_components(links(docs, wanted), "a", "b"))
+    linked_, used = links(docs, wanted)
+    of = cut(connected_components(linked_, "a", "b"))
+    discard(*used)
     heads = of.select("component").distinct().join(wanted, F.col("component") == F.col("node")).select("component", F.col("rep").alias("head"), F.col("class").alias("head_class"))
     led = of.join(wanted.select("node", "class"), "node").join(small(cut(heads)), "component").select("class", "head", "head_class")
     named = reps.join(led, "class", "left").select(F.col("class").alias("_class"), F.coalesce("head", "rep").alias("head"), F.coalesce("head_class", "class").alias("head_class"))

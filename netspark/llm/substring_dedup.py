@@ -1,25 +1,34 @@
 """Substring dedup by compacted de Bruijn paths (operator 10).
 
-Every 13 consecutive words are an edge of the de Bruijn graph of the corpus.
-Edges are grouped by their minimizer (the least hash of the 5-word runs inside),
-so equal edges share one, and neighbouring edges of a text mostly do:
+Every 13 consecutive words are an edge of the de Bruijn graph of the corpus, from
+the node of its first 12 words to that of its last 12. A node belongs to a bucket
+by its minimizer (the least hash of the 5-word runs inside), and neighbouring
+nodes of a text mostly to the same one:
 
 1. minimizers are exchanged in packed rows; those of one document only are
    dropped, which rules out nearly all unrepeated text;
-2. runs of edges with a repeated minimizer (super-k-mers) are exchanged by it;
-   where an edge starts in an earlier document too, consecutive edges with
-   consecutive source coordinates compact to one path
-   (doc, start, edges, source doc, source start);
-3. paths join back to their documents, meet at their ends, and the words that
-   they cover go.
-
-An edge counts as repeated if both its minimizer and its own 64-bit hash agree.
+2. runs of nodes with a repeated minimizer are exchanged with the edges that touch
+   them. A bucket thus has all edges into and out of its nodes: it finds the
+   earliest occurrence of each edge (its source), and where one repeated edge only
+   ever follows one other, and their sources follow each other too, the two
+   compact. So come pieces of nonbranching paths, with places and source places;
+3. a piece that ends with an edge into another bucket's node is joined to the
+   piece there that begins with this edge. Spark joins glue the pieces of a text
+   two runs at a time, then two such blocks, until no end is open;
+4. source coordinates verify the paths: the words at the source are digested (128
+   bits), and a path goes only if its own words have the same digest.
+
+An edge's identity is a 64-bit hash; where two merge, a path can fail its
+verification, and its words stay (a chance of about one in 10^4 anywhere in a
+corpus of 10^8 repeated edges).
+
 The earlier document is the one with the smaller doc_id; null ids are later than
 all others and never a source; rows of one doc_id (and all of null ids) take
 nothing from each other. Paths belong to a row's text: they are keyed by doc_id
 and a 64-bit hash of the text, null ids included, so texts that share an id lose
-their own words only. Texts of fewer than 13 words keep all; empty tables give
-empty results; extra columns are carried by `dedup_substrings`.
+their own words only. Texts of fewer than 13 words keep all, texts of any length
+are taken whole; empty tables give empty results; extra columns are carried by
+`dedup_substrings`.
 """
 
 from __future__ import annotations
@@ -32,42 +41,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
+from ..session import cut, discard, shuffle_partitions, small
 from . import _exchange as ex
 from . import _words
 
 EDGE, SEED = 13, 5
+#: Bytes of text that one task's share of the keys comes from, at most.
+PART_BYTES = 64 << 20
 LATEST = np.iinfo(np.int64).max
 U64 = np.uint64
 
 
-def edges(words: _words.Words, k: int = EDGE, m: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, hash and minimizer of every edge of a slice."""
+def nodes(words: _words.Words, k: int = EDGE, m: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edge hashes (by first word), and first word and minimizer of every node of the rows that have an edge."""
     n = len(words.hash)
     if n < k:
-        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64)
-    own = _words.grams(words.hash, k)
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, U64)
     seed = _words.grams(words.hash, m)
-    width, have = k - m + 1, 1
-    least = seed
+    width, have, least = k - m, 1, seed
     while have < width:  # minimum over a doubling stretch
         step = min(have, width - have)
         least = np.minimum(least[: len(least) - step], least[step:])
         have += step
-    left = np.repeat(words.first[1:], np.diff(words.first)) - np.arange(n)  # words left in the row
-    at = np.flatnonzero(left[: len(own)] >= k)
-    return at, own[at], least[at]
+    size = np.diff(words.first)
+    left = np.repeat(words.first[1:], size) - np.arange(n)  # words left in the row
+    at = np.flatnonzero((left[: len(least)] >= k - 1) & (np.repeat(size, size)[: len(least)] >= k))
+    return _words.grams(words.hash, k), at, least[at]
 
 
-def runs(words: _words.Words, at: np.ndarray, minimizer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of edges with one minimizer: index of the first edge, edges, row."""
+def runs(words: _words.Words, at: np.ndarray, minimizer: np.ndarray, k: int = EDGE) -> tuple[np.ndarray, ...]:
+    """Runs of neighbouring nodes with one minimizer: row, number in the row, minimizer, first edge, edges that touch it, and whether the first and the last of these touch another run too."""
+    none = np.zeros(0, np.int64)
     if not len(at):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none, minimizer, none, none, none.astype(bool), none.astype(bool)
     row = words.row_of_word()[at]
     new = np.ones(len(at), bool)
     new[1:] = (minimizer[1:] != minimizer[:-1]) | (row[1:] != row[:-1])
-    first = np.flatnonzero(new)
-    return first, np.diff(np.concatenate([first, [len(at)]])), row[first]
+    head = np.flatnonzero(new)
+    low, high, of = at[head], at[np.append(head[1:], len(at)) - 1], row[head]
+    open_left, open_right = low > words.first[of], high + k <= words.first[of + 1]
+    first, last = low - open_left, high - ~open_right
+    number = np.arange(len(head)) - np.searchsorted(of, of)
+    return of, number, minimizer[head], first, last - first + 1, open_left, open_right
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -79,6 +94,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__ns_id", F.coalesce(docs["doc_id"].cast("long"), F.lit(LATEST))).withColumn("__ns_mark", F.xxhash64("text"))
 
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.strip().split() for f in schema.split(",")]
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    for batch in batches:
+        for row in zip(*[batch.column(batch.schema.get_field_index(n)) for n in names], strict=True):
+            yield tuple(x.as_py() for x in row)
+
+
+# --- first step: repeated minimizers ------------------------------------------
+
 _SEEDS = "part int, ids binary, marks binary, keys binary, entry binary"
 
 
@@ -86,9 +116,9 @@ def _seed_rows(batches: Iterator[pa.RecordBatch], parts: int, k: int) -> Iterato
     for batch in batches:
         for piece in _words.slices(batch, "text"):
             words = _words.split(piece.column(1))
-            at, _, minimizer = edges(words, k)
-            first, _, row = runs(words, at, minimizer)
-            keys, ids, marks = minimizer[first], _ids(piece.column(0)), _ids(piece.column(2))
+            _, at, minimizer = nodes(words, k)
+            row, _, keys, *_ = runs(words, at, minimizer, k)
+            ids, marks = _ids(piece.column(0)), _ids(piece.column(2))
             order = np.lexsort((row, keys))
             keys, row = keys[order], row[order]
             once = np.ones(len(keys), bool)
@@ -101,67 +131,48 @@ def _seed_rows(batches: Iterator[pa.RecordBatch], parts: int, k: int) -> Iterato
             yield _batch(out, _SEEDS)
 
 
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    fields = [f.strip().split() for f in schema.split(",")]
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
-
-
-def _column(table: pa.Table, name: str) -> list:
-    return table.column(name).to_pylist()
-
-
-def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, doc ids and marks of all packed rows of a part."""
+def _repeated_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, mark, key) for keys that two documents have; the texts of one document count once."""
     keys, ids, marks = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for docs, texts, packed, entry in zip(*[_column(table, c) for c in ("ids", "marks", "keys", "entry")], strict=True):
+    for docs, texts, packed, entry in _rows(batches, "ids", "marks", "keys", "entry"):
         at = ex.unpack_small(entry)
         keys.append(ex.unpack_sorted(packed))
         ids.append(np.frombuffer(docs, "<i8")[at])
         marks.append(np.frombuffer(texts, "<i8")[at])
-    return np.concatenate(keys), np.concatenate(ids), np.concatenate(marks)
-
-
-def _repeated_seeds(table: pa.Table) -> pa.Table:
-    """(doc, mark, key) for keys that two documents have; the texts of one document count once."""
-    keys, ids, marks = _gathered(table)
+    keys, ids, marks = np.concatenate(keys), np.concatenate(ids), np.concatenate(marks)
     order = np.lexsort((ids, keys))
     keys, ids, marks = keys[order], ids[order], marks[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    group = np.cumsum(new) - 1
-    first, last = ids[new], ids[np.flatnonzero(np.append(new[1:], True))] if len(ids) else ids
-    shared = (first != last)[group] if len(ids) else np.zeros(0, bool)
-    return pa.table({"doc_id": pa.array(ids[shared], pa.int64()), "mark": pa.array(marks[shared], pa.int64()), "key": pa.array(keys[shared].view(np.int64), pa.int64())})
+    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(np.append(head, len(keys)))
+    shared = np.repeat(ids[head] != ids[head + size - 1], size)
+    yield pa.RecordBatch.from_arrays([pa.array(ids[shared], pa.int64()), pa.array(marks[shared], pa.int64()), pa.array(keys[shared].view(np.int64), pa.int64())], names=["doc_id", "mark", "key"])
+
 
+# --- second step: pieces of paths ---------------------------------------------
 
-_RUNS = "part int, ids binary, marks binary, keys binary, start binary, edges binary, hashes binary"
+_RUNS = "part int, ids binary, marks binary, keys binary, number binary, start binary, edges binary, open binary, hashes binary"
+_PIECES = "doc_id long, mark long, block long, start long, n_edges long, source_id long, source_mark long, source_start long, open_left boolean, open_right boolean"
 
 
-def _run_rows(batches: Iterator[pa.RecordBatch], parts: int, k: int, text: str, id_at: str, mark_at: str, keys_at: str) -> Iterator[pa.RecordBatch]:
+def _run_rows(batches: Iterator[pa.RecordBatch], parts: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Rows of (__ns_id, __ns_mark, text, __ns_keys) to packed runs whose minimizer is among their own document's repeated ones."""
     for batch in batches:
-        names = batch.schema.names
-        for piece in _words.slices(batch, text):
-            words = _words.split(piece.column(names.index(text)))
-            at, own, minimizer = edges(words, k)
-            first, count, row = runs(words, at, minimizer)
-            shared = piece.column(names.index(keys_at))
-            flat = shared.flatten().to_numpy(zero_copy_only=False).view(U64) if len(shared) else np.zeros(0, U64)
-            # A run is kept if its minimizer is among its own document's repeated ones.
-            of = np.repeat(np.arange(piece.num_rows), np.diff(np.concatenate([[0], np.cumsum(shared.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])))
-            have = _words.mix(flat ^ (of.astype(U64) * U64(0x9E3779B97F4A7C15)))
-            keep = np.isin(_words.mix(minimizer[first] ^ (row.astype(U64) * U64(0x9E3779B97F4A7C15))), have)
-            first, count, row = first[keep], count[keep], row[keep]
-            keys = minimizer[first]
-            order = np.argsort(keys, kind="stable")
-            first, count, row, keys = first[order], count[order], row[order], keys[order]
-            ids, marks = _ids(piece.column(names.index(id_at)))[row], _ids(piece.column(names.index(mark_at)))[row]
-            start = at[first] - words.first[row]
+        for piece in _words.slices(batch, "text"):
+            words = _words.split(piece.column(2))
+            own, at, minimizer = nodes(words, k)
+            row, number, keys, first, count, left, right = runs(words, at, minimizer, k)
+            shared = piece.column(3)
+            flat = shared.flatten().to_numpy(zero_copy_only=False).view(U64)
+            of = np.repeat(np.arange(piece.num_rows), shared.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            in_row = lambda key, r: _words.mix(key ^ (r.astype(U64) * U64(_words.BYTE_BASE)))
+            keep = np.flatnonzero(np.isin(in_row(keys, row), in_row(flat, of)))
+            keep = keep[np.argsort(keys[keep], kind="stable")]
+            row, number, keys, first, count, open_ = row[keep], number[keep], keys[keep], first[keep], count[keep], (left + 2 * right)[keep]
+            ids, marks, start = _ids(piece.column(0))[row], _ids(piece.column(1))[row], first - words.first[row]
             out = []
             for part, a, e in ex.cuts(keys, parts):
                 each = np.repeat(first[a:e], count[a:e]) + _steps(count[a:e])
-                out.append((part, ids[a:e].astype("<i8").tobytes(), marks[a:e].astype("<i8").tobytes(), ex.pack_sorted(keys[a:e]), ex.pack_small(start[a:e]), ex.pack_small(count[a:e]), own[each].astype("<u8").tobytes()))
+                out.append((part, ids[a:e].astype("<i8").tobytes(), marks[a:e].astype("<i8").tobytes(), ex.pack_sorted(keys[a:e]), ex.pack_small(number[a:e]), ex.pack_small(start[a:e]), ex.pack_small(count[a:e]), ex.pack_small(open_[a:e]), own[each].astype("<u8").tobytes()))
             yield _batch(out, _RUNS)
 
 
@@ -170,64 +181,144 @@ def _steps(count: np.ndarray) -> np.ndarray:
     return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
 
 
-_PATHS = "doc_id long, mark long, start long, n_edges long, source_id long, source_start long"
-
-
-def _paths(table: pa.Table) -> pa.Table:
-    """Compacted paths of the edges of a part that start in an earlier document too."""
-    got = [(np.frombuffer(d, "<i8"), np.frombuffer(t, "<i8"), ex.unpack_sorted(k), ex.unpack_small(s), ex.unpack_small(n), np.frombuffer(h, "<u8")) for d, t, k, s, n, h in zip(*[_column(table, c) for c in ("ids", "marks", "keys", "start", "edges", "hashes")], strict=True)]
-    ids, marks, keys, start, count, own = (np.concatenate([g[i] for g in got]) for i in range(6))
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paths of repeated edges through the nodes of a bucket, in all documents but the sources."""
+    got = [(np.frombuffer(d, "<i8"), np.frombuffer(t, "<i8"), ex.unpack_small(b), ex.unpack_small(s), ex.unpack_small(n), ex.unpack_small(o), np.frombuffer(h, "<u8")) for d, t, b, s, n, o, h in _rows(batches, "ids", "marks", "number", "start", "edges", "open", "hashes")]
+    ids, marks, number, start, count, open_, own = (np.concatenate([g[i] for g in got]) for i in range(7))
+    # A repeated row brings every run again; one stays.
+    order = np.lexsort((number, marks, ids))
+    new = np.ones(len(order), bool)
+    a, b = order[1:], order[:-1]
+    new[1:] = (ids[a] != ids[b]) | (marks[a] != marks[b]) | (number[a] != number[b])
+    single = np.zeros(len(order), bool)
+    single[order[new]] = True
+    own = own[np.repeat(single, count)]
+    ids, marks, number, start, count, open_ = (x[single] for x in (ids, marks, number, start, count, open_))
     run = np.repeat(np.arange(len(ids)), count)
-    place = start[run] + _steps(count)
-    doc, key = ids[run], keys[run]
-    order = np.lexsort((place, doc, own, key))
+    place, doc, mark = start[run] + _steps(count), ids[run], marks[run]
+    # The occurrences of an edge, the earliest first: this is its source.
+    order = np.lexsort((place, mark, doc, own))
     new = np.ones(len(order), bool)
-    new[1:] = (own[order][1:] != own[order][:-1]) | (key[order][1:] != key[order][:-1])
-    source = np.empty(len(order), np.int64)
-    source[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]  # the earliest occurrence of each edge
-    from_doc, from_place = doc[source], place[source]
-    later = np.flatnonzero(from_doc < doc)
-    if not len(later):
-        return pa.table({f.split()[0]: pa.array([], pa.int64()) for f in _PATHS.split(", ")})
-    new = np.ones(len(later), bool)
-    a, b = later[:-1], later[1:]
-    new[1:] = (run[a] != run[b]) | (b != a + 1) | (from_doc[a] != from_doc[b]) | (marks[run[source[a]]] != marks[run[source[b]]]) | (from_place[b] != from_place[a] + 1)
+    new[1:] = own[order][1:] != own[order][:-1]
     head = np.flatnonzero(new)
-    n = np.diff(np.concatenate([head, [len(later)]]))
-    at = later[head]
-    return pa.table({"doc_id": doc[at], "mark": marks[run[at]], "start": place[at], "n_edges": n, "source_id": from_doc[at], "source_start": from_place[at]})
+    edge = np.empty(len(order), np.int64)
+    edge[order] = np.cumsum(new) - 1
+    source = order[head][edge]
+    size = np.diff(np.append(head, len(order)))
+    repeated = doc[order[head]] != doc[order[head + size - 1]]
+    later = doc[source] < doc
+    # Which repeated edges stand next to each other, at a node of this bucket.
+    near = np.flatnonzero((run[1:] == run[:-1]) & repeated[edge[1:]] & repeated[edge[:-1]])
+    pairs = np.unique(np.stack([edge[near], edge[near + 1]]), axis=1) if len(near) else np.zeros((2, 0), np.int64)
+    out, into = np.bincount(pairs[0], minlength=len(head)), np.bincount(pairs[1], minlength=len(head))
+    goes_on = np.zeros(len(own), bool)  # from the edge before
+    x, y, s, t = near, near + 1, source[near], source[near + 1]
+    goes_on[y] = (out[edge[x]] == 1) & (into[edge[y]] == 1) & later[x] & later[y] & (doc[s] == doc[t]) & (mark[s] == mark[t]) & (place[t] == place[s] + 1)
+    at = np.flatnonzero(later & ~goes_on)
+    rest = np.flatnonzero(later)
+    n = np.diff(np.append(np.searchsorted(rest, at), len(rest)))
+    end, first = at + n - 1, np.cumsum(count) - count
+    left = (at == first[run[at]]) & (open_[run[at]] & 1 > 0)
+    right = (end == first[run[at]] + count[run[at]] - 1) & (open_[run[at]] & 2 > 0)
+    longs = (doc[at], mark[at], number[run[at]], place[at], n, doc[source[at]], mark[source[at]], place[source[at]])
+    yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in longs], pa.array(left), pa.array(right)], names=[f.split()[0] for f in _PIECES.split(", ")])
+
+
+# --- third step: pieces are glued ----------------------------------------------
+
+
+def _glued(pieces: DataFrame) -> DataFrame:
+    """Whole paths: in each round the open ends between blocks 2i and 2i + 1 of a text join, and the two blocks become one."""
+    active, done, used = pieces, [], [pieces]
+    sides = "open_right and block % 2 = 0", "open_left and block % 2 = 1"
+    for _ in range(64):
+        done.append(active.filter("not open_left and not open_right"))
+        open_ = active.filter("open_left or open_right")
+        if open_.isEmpty():
+            break
+        left, right = open_.filter(sides[0]), open_.filter(sides[1]).selectExpr("doc_id", "mark", "block - 1 as block", "start as r_start", "n_edges as r_edges", "open_right as r_open")
+        met = left.join(right, ["doc_id", "mark", "block"]).filter("r_start = start + n_edges - 1")
+        met = met.withColumn("n_edges", F.col("n_edges") + F.col("r_edges") - 1).withColumn("open_right", F.col("r_open")).select(*pieces.columns)
+        rest = open_.filter(f"not ({sides[0]}) and not ({sides[1]})")
+        active = cut(rest.union(met).withColumn("block", F.shiftright("block", 1)))
+        used.append(active)
+    else:
+        raise RuntimeError("paths did not settle")
+    whole = done[0]
+    for more in done[1:]:
+        whole = whole.union(more)
+    whole = cut(whole.select("doc_id", "mark", "start", "n_edges", "source_id", "source_mark", "source_start"))
+    discard(*used)
+    return whole
 
 
 def repeated_paths(docs: DataFrame, k: int = EDGE) -> DataFrame:
-    """Paths of repeated edges: doc_id, mark, start, n_edges, source_id, source_start (word numbers; mark: xxhash64 of the text).
+    """Compacted paths: doc_id, mark, start, n_edges, source_id, source_mark, source_start (word numbers; mark: xxhash64 of the text).
 
     docs: doc_id (integer) and text, and whatever else; a null id shows as the
     largest long.
     """
-    parts = 2 * shuffle_partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(2 * shuffle_partitions(docs.sparkSession), -(-size // PART_BYTES))
     keyed = _keyed(docs.select("doc_id", "text"))
     seeds = keyed.select("__ns_id", "text", "__ns_mark").mapInArrow(lambda b: _seed_rows(b, parts, k), _SEEDS)
     shared = seeds.groupBy("part").applyInArrow(_repeated_seeds, "doc_id long, mark long, key long").groupBy(F.col("doc_id").alias("__ns_id"), F.col("mark").alias("__ns_mark")).agg(F.collect_list("key").alias("__ns_keys"))
-    told = keyed.join(shared, ["__ns_id", "__ns_mark"])
-    sent = told.mapInArrow(lambda b: _run_rows(b, parts, k, "text", "__ns_id", "__ns_mark", "__ns_keys"), _RUNS)
-    return sent.groupBy("part").applyInArrow(_paths, _PATHS)
+    told = keyed.select("__ns_id", "__ns_mark", "text").join(shared, ["__ns_id", "__ns_mark"])
+    sent = told.mapInArrow(lambda b: _run_rows(b, parts, k), _RUNS)
+    return _glued(cut(sent.groupBy("part").applyInArrow(_pieces, _PIECES)))
+
+
+# --- fourth step: verification and removal -------------------------------------
+
+
+def span_digest(words: list[bytes], start: int, n: int) -> bytes:
+    return hashlib.blake2b(b" ".join(words[start : start + n]), digest_size=16).digest()
+
+
+def _source_digests(docs: DataFrame, paths: DataFrame, k: int) -> DataFrame:
+    """(source_id, source_mark, source_start, n_edges, digest) of the words at the sources."""
+    asked = paths.select("source_id", "source_mark", "source_start", "n_edges").distinct()
+    by_text = cut(asked.groupBy(F.col("source_id").alias("__ns_id"), F.col("source_mark").alias("__ns_mark")).agg(F.collect_list(F.struct("source_start", "n_edges")).alias("__ns_spans")))
+    told = _keyed(docs.select("doc_id", "text")).join(_beside(by_text), ["__ns_id", "__ns_mark"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for id_, mark, text, spans in _rows([batch], "__ns_id", "__ns_mark", "text", "__ns_spans"):
+                words = text.encode().split()
+                out += [(id_, mark, s["source_start"], s["n_edges"], span_digest(words, s["source_start"], s["n_edges"] + k - 1)) for s in spans]
+            yield _batch(out, _DIGESTS)
+
+    return told.select("__ns_id", "__ns_mark", "text", "__ns_spans").mapInArrow(run, _DIGESTS).dropDuplicates(["source_id", "source_mark", "source_start", "n_edges"])
+
+
+_DIGESTS = "source_id long, source_mark long, source_start long, n_edges long, digest binary"
+
+
+def _beside(by_text: DataFrame) -> DataFrame:
+    """Spans by text, broadcast where there are few of them."""
+    of = by_text.columns[-1]
+    spans = by_text.agg(F.sum(F.size(of))).first()[0] or 0
+    return small(by_text, 200_000) if spans <= 400_000 else by_text
 
 
 def _with_paths(docs: DataFrame, k: int) -> DataFrame:
-    """docs with `__ns_paths`: array of (start, words) that go."""
-    found = repeated_paths(docs, k).groupBy(F.col("doc_id").alias("__ns_id"), F.col("mark").alias("__ns_mark")).agg(F.collect_list(F.struct(F.col("start"), (F.col("n_edges") + k - 1).alias("n"))).alias("__ns_paths"))
-    return _keyed(docs).join(found, ["__ns_id", "__ns_mark"], "left").drop("__ns_id", "__ns_mark")
+    """docs with `__ns_paths`: array of (start, n, digest) that go, if the words have the digest."""
+    paths = repeated_paths(docs, k)
+    sure = paths.join(_source_digests(docs, paths, k), ["source_id", "source_mark", "source_start", "n_edges"])
+    found = cut(sure.groupBy(F.col("doc_id").alias("__ns_id"), F.col("mark").alias("__ns_mark")).agg(F.collect_list(F.struct(F.col("start"), (F.col("n_edges") + k - 1).alias("n"), "digest")).alias("__ns_paths")))
+    return _keyed(docs).join(_beside(found), ["__ns_id", "__ns_mark"], "left").drop("__ns_id", "__ns_mark")
 
 
 def _kept(text: str | None, paths: list | None) -> tuple[list[bytes], int, int]:
-    """Kept words, words, removed words."""
+    """Kept words, words, removed words; a path whose words differ from its source's is left alone."""
     words = (text or "").encode().split()
     if not paths:
         return words, len(words), 0
     gone = np.zeros(len(words) + 1, np.int64)
     for p in paths:
-        a, e = p["start"], min(p["start"] + p["n"], len(words))
-        if a < e:
+        a, e = p["start"], p["start"] + p["n"]
+        if e <= len(words) and span_digest(words, a, p["n"]) == p["digest"]:
             gone[a] += 1
             gone[e] -= 1
     stay = np.cumsum(gone[:-1]) == 0

@@ -49,15 +49,22 @@ def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}")
     files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     files.deleteOnExit(path)
-    df.write.parquet(path.toString())
+    df.write.option("compression", "zstd").parquet(path.toString())
     made = spark.read.schema(df.schema).parquet(path.toString())
     made._stored_at = (files, path)
-    if instead_of is not None and hasattr(instead_of, "_stored_at"):
-        old, where = instead_of._stored_at
-        old.delete(where, True)
+    if instead_of is not None:
+        discard(instead_of)
     return made
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes what `cut` stored for these tables; nothing may read them any more."""
+    for table in tables:
+        if hasattr(table, "_stored_at"):
+            files, path = table._stored_at
+            files.delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
