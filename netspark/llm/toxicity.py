@@ -2,16 +2,24 @@
 
 A word is the bag of its character n-grams (3 to 5, with marks at its ends) and
 itself, each a hashed row of an embedding table; a text is the mean of the rows
-of all its words; a linear softmax reads it. Table and softmax are trained
-jointly in numpy with Adam, on at most `SAMPLE` labelled documents. A misspelt
-word shares most n-grams, and so most of its vector, with the word.
+of all its words; a linear softmax reads it. Table (plain momentum steps with
+shrinkage) and softmax (Adam) are trained jointly in numpy, on at most `SAMPLE`
+labelled documents. A misspelt word shares most n-grams, and so most of its
+vector, with the word.
+
+An n-gram has a vector only if it is in `RARE` training documents at least and its
+share of toxic ones is further than `APART` standard deviations from the base
+rate; in a small sample all others would be noise. The mean is over the n-grams of
+a text that have a vector, and `CALM` more at zero, so that one chance n-gram
+weighs little in a text without others.
 
 Two classes read the mean through one difference of weights, so scoring needs a
 number a bucket: the model that is broadcast has `2 * BUCKETS` numbers, whatever
 the corpus. Scoring is per row, without a shuffle.
 
 Null and empty texts get the score of the bias; repeated rows score alike; with
-no labelled rows every score is 0.5; an empty table gives an empty result.
+no labelled rows every score is 0.5; an empty table gives an empty result; texts of
+any length are scored whole, at some 100 bytes a character.
 """
 
 from __future__ import annotations
@@ -32,8 +40,9 @@ BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 4, 3, 5
 SAMPLE, EPOCHS, BATCH = 4000, 16, 256
 #: Plain gradient steps of the table, with a pull of each n-gram's vector to zero (so
 #: that what few documents have stays zero); Adam's step of the softmax; and in how
-#: many training documents an n-gram must be to have a vector at all.
-TABLE_RATE, MOMENTUM, PULL, RATE, RARE = 60.0, 0.9, 0.004, 0.03, 4
+#: many training documents, and how far from the base rate, an n-gram must be to have
+#: a vector at all.
+TABLE_RATE, MOMENTUM, PULL, RATE, RARE, APART, CALM = 60.0, 0.9, 0.004, 0.03, 3, 3.5, 40.0
 U64 = np.uint64
 
 
@@ -78,18 +87,20 @@ def bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 @dataclass
 class Model:
-    """What scoring needs: a number a bucket and a bias."""
+    """What scoring needs: a number a bucket, whether it has a vector, and a bias."""
 
     weight: np.ndarray
+    live: np.ndarray
     bias: float
 
     def scores(self, column: pa.Array) -> np.ndarray:
         row, number, bucket, at = bags(column)
-        n = np.diff(at)
-        sums = np.add.reduceat(self.weight[bucket], at[:-1]) if len(n) else np.zeros(0)
+        each = len(at) > 1
+        sums = np.add.reduceat(self.weight[bucket], at[:-1]) if each else np.zeros(0)
+        n = np.add.reduceat(self.live[bucket], at[:-1], dtype=np.int64) if each else np.zeros(0)
         total = np.bincount(row, weights=sums[number], minlength=len(column))
         count = np.bincount(row, weights=n[number], minlength=len(column))
-        return 1 / (1 + np.exp(-np.clip(self.bias + total / np.maximum(count, 1), -500, 500)))
+        return 1 / (1 + np.exp(-np.clip(self.bias + total / (count + CALM), -500, 500)))
 
 
 def _spread(starts: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -101,11 +112,11 @@ def _spread(starts: np.ndarray, number: np.ndarray) -> np.ndarray:
 def train(texts: list[str], labels: list[int], seed: int = 1) -> Model:
     """Joint training of the embeddings and the softmax over them."""
     if not texts:
-        return Model(np.zeros(BUCKETS, np.float32), 0.0)
+        return Model(np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, bool), 0.0)
     rng = np.random.default_rng(seed)
     y = np.array(labels)
     soft = rng.normal(size=(DIM, 2)).astype(np.float32)
-    documents = np.zeros(BUCKETS, np.int64)
+    documents, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     bias = np.log(np.maximum(np.bincount(y, minlength=2), 1) / len(y)).astype(np.float32)
     order = rng.permutation(len(texts))
     rough, batch = [], min(BATCH, max(32, len(order) // 16))
@@ -113,23 +124,27 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Model:
         mine = order[at : at + batch]
         row, number, bucket, starts = bags(pa.array([texts[i] for i in mine], pa.string()))
         n = np.diff(starts)
-        size = np.maximum(np.bincount(row, weights=n[number], minlength=len(mine)), 1)
-        # Each (row, distinct word) once, with its share of the row.
+        # Each (row, distinct word) once, with how often it stands there.
         pair, times = np.unique(row * max(len(n), 1) + number, return_counts=True)
         r, w = (pair // max(len(n), 1)).astype(np.int32), (pair % max(len(n), 1)).astype(np.int32)
         for i in range(len(mine)):  # by document, so that no list of all subwords of all words is needed
-            documents[np.unique(bucket[_spread(starts, w[r == i])])] += 1
-        rough.append((y[mine], r, w, (times / size[r]).astype(np.float32), bucket.astype(np.int32), starts))
-    seen = documents >= RARE
+            own = np.unique(bucket[_spread(starts, w[r == i])])
+            documents[own] += 1
+            toxic[own] += y[mine[i]]
+        rough.append((y[mine], r, w, times, bucket.astype(np.int32), starts))
+    rate = y.mean()
+    spread = np.sqrt(np.maximum(documents * rate * (1 - rate), 1e-9))
+    seen = (documents >= RARE) & (np.abs(toxic - documents * rate) >= APART * spread)
     batches = []
     while rough:
-        gold, r, w, share, bucket, starts = rough.pop()
+        gold, r, w, times, bucket, starts = rough.pop()
         # Words keep only n-grams that have a vector; words without any are left out.
         live = seen[bucket]
         left = np.add.reduceat(live, starts[:-1], dtype=np.int64) if len(starts) > 1 else np.zeros(0, np.int64)
         bucket, new = bucket[live], np.cumsum(left > 0) - 1
         keep = left[w] > 0
-        r, w, share, left = r[keep], new[w[keep]].astype(np.int32), share[keep], left[left > 0]
+        size = np.bincount(r, weights=times * left[w], minlength=len(gold)) + CALM
+        r, w, share, left = r[keep], new[w[keep]].astype(np.int32), (times / size[r])[keep].astype(np.float32), left[left > 0]
         starts = np.cumsum(left) - left
         used, slot = np.unique(bucket, return_inverse=True)
         slot = slot.astype(np.int32)
@@ -174,7 +189,7 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Model:
                 v += 0.001 * (g * g - v)
                 x -= rate * fix * m / (np.sqrt(v) + 1e-8)
     weight = LEVEL * table @ (soft[:, 1] - soft[:, 0])
-    return Model(weight.astype(np.float64), float(bias[1] - bias[0]))
+    return Model(weight.astype(np.float64), seen, float(bias[1] - bias[0]))
 
 
 #: The mean of many embeddings is short; the softmax reads so many times it.
