@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _words
 
@@ -236,7 +237,7 @@ def prefix_table(docs: DataFrame, model_file: str, text: str = "text", out: str
     """docs with `out`: at place i of the array the tokens of the first i characters, of every whole text; model_file must lie on every machine."""
     kept = [c for c in docs.columns if c != out]
     docs = docs.select(*[docs[c] for c in kept])
-    schema = docs.schema.add(out, "array<int>")
+    schema = docs.schema.add(out, T.ArrayType(T.IntegerType()))
     at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +281,7 @@ def token_digest(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFra
     """doc_id, n_bytes, n_tokens, over_limit of every document; totals are read from the stored prefix counts by Spark."""
     rows = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     kept = ["doc_id", "n_bytes"]
-    schema = rows.select(*kept).schema.add("token_prefix", "array<int>")
+    schema = rows.select(*kept).schema.add("token_prefix", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = counter(model_file).prefixes

@@ -99,6 +99,17 @@ def test_signature_tree_loses_no_link():
     met = {(min(x, y), max(x, y)) for i, j in tree.pairs() for x, y in zip(i.tolist(), j.tolist(), strict=True)}
     links = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if jaccard.linked(sets[i], sets[j])}
     assert links and links <= met
+    # thirty groups of near copies: the traversal leaves out most pairs of leaves
+    sets = []
+    for _ in range(30):
+        base = rng.integers(0, 2**64, 100, dtype=np.uint64)
+        sets += [np.unique(np.concatenate([base[rng.random(100) < 0.95], rng.integers(0, 2**64, 3, dtype=np.uint64)])) for _ in range(10)]
+    tree = jaccard.SignatureTree(np.array([len(s) for s in sets]), [jaccard.signature(s) for s in sets])
+    tested, every = tree.tested()
+    assert tested < every / 2
+    met = {(min(x, y), max(x, y)) for i, j in tree.pairs() for x, y in zip(i.tolist(), j.tolist(), strict=True)}
+    assert {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if jaccard.linked(sets[i], sets[j])} <= met
+    print("pairs of sets tested", tested, "of", every)
 
 
 def test_substring_dedup(docs):
@@ -125,6 +136,28 @@ def test_substring_dedup(docs):
     assert cleaned.columns == docs.columns and cleaned.count() == docs.count()
 
 
+def test_paths_are_compacted_and_verified(spark):
+    rng = random.Random(9)
+    words = lambda k: [f"y{rng.randrange(10**6)}" for _ in range(k)]
+    passage, branch = words(3000), words(40)
+    one, two, three = words(20) + passage, passage[:1500] + words(20), passage[100:140] + branch
+    rows = [(1, one), (2, words(30) + passage + words(30)), (3, two), (4, three), (5, three), (None, branch)]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").repartition(3)
+    paths = sorted((r.doc_id, r.start, r.n_edges, r.source_id, r.source_start) for r in substring_dedup.repeated_paths(table).collect())
+    late = int(substring_dedup.LATEST)
+    # 4 leaves the passage at its word 140: a branch, so the paths of 2 and 3 end there too and go on after it
+    assert [p for p in paths if p[0] == 2] == [(2, 30, 128, 1, 20), (2, 158, 2860, 1, 148)]
+    assert [p for p in paths if p[0] == 3] == [(3, 0, 128, 1, 20), (3, 128, 1360, 1, 148)]
+    assert [p for p in paths if p[0] == 4] == [(4, 0, 28, 1, 120)]
+    assert [p for p in paths if p[0] == late] == [(late, 0, 28, 4, 40)]
+    assert [p[3] for p in paths if p[0] == 5] == [1, 4] and sum(p[2] for p in paths if p[0] == 5) == 28 + 40
+    # a path that hashes merged by chance is refused: its words are not the source's
+    text = " ".join(two)
+    right = {"start": 5, "n": 20, "digest": substring_dedup.span_digest([w.encode() for w in two], 5, 20)}
+    assert substring_dedup._kept(text, [right])[2] == 20
+    assert substring_dedup._kept(text, [right, right | {"start": 6}, right | {"start": 1515}])[2] == 20
+
+
 def test_texts_that_share_an_id(spark):
     rng = random.Random(5)
     words = lambda k: [f"x{rng.randrange(10**6)}" for _ in range(k)]
@@ -175,6 +208,35 @@ def test_decontamination(spark, docs, block):
     assert decontamination.decontaminate(docs, bench, block_bytes=block).count() == sum(not w[5] for w in want)
 
 
+def test_benchmark_items_over_several_blocks(spark):
+    """An item on several rows counts once, whatever block they lie in; windows longer than a dozen words; matches by brute force."""
+    rng = random.Random(8)
+    words = [f"a{i}" for i in range(30)]
+    item = [" ".join(rng.choice(words) for _ in range(20)) for _ in range(6)]
+    bench = spark.createDataFrame([(i // 3, t) for i, t in enumerate(item)] + [(7, "")], "item_id long, text string")
+    texts = [" ".join([*(rng.choice(words) for _ in range(9)), *a.split()[:17], "gap", *b.split()]) for a, b in zip(item, item[1:] + item[:1], strict=True)]
+    docs = spark.createDataFrame([(i, t, i, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_words long, item_id string").repartition(2)
+    whole = sorted(map(tuple, decontamination.report(docs, bench).collect()))
+    for block in (60, 130, 1 << 20):
+        assert sorted(map(tuple, decontamination.report(docs, bench, block_bytes=block).collect())) == whole
+    assert {r[0]: r[3] for r in whole} == {0: 1, 1: 1, 2: 2, 3: 1, 4: 1, 5: 2}
+    assert decontamination.decontaminate(docs, bench, block_bytes=60).columns == docs.columns
+    for window in (5, 15, 20):
+        want = set()
+        for d, text in enumerate(texts):
+            w = text.split()
+            for i, t in enumerate(item):
+                b = t.split()
+                for x in range(len(w)):
+                    for y in range(len(b)):
+                        n = 0
+                        while x + n < len(w) and y + n < len(b) and w[x + n] == b[y + n]:
+                            n += 1
+                        if n >= window and (x == 0 or y == 0 or w[x - 1] != b[y - 1]):
+                            want.add((d, i // 3, x, n))
+        assert {tuple(r) for r in decontamination.matches(docs, bench, window, block_bytes=100).collect()} == want
+
+
 def test_token_counts_equal_the_library(docs):
     import sentencepiece
 
@@ -183,10 +245,29 @@ def test_token_counts_equal_the_library(docs):
         assert r.n_tokens == len(model.encode(r.text or "")) and r.n_bytes == len((r.text or "").encode())
     count = token_counts.PrefixCounter(queries.vocabulary())
     rng = random.Random(2)
-    for _ in range(200):
-        text = "".join(rng.choice("ab the  \n\t▁é<s>[/INST]漢🙂\u0000") for _ in range(rng.randint(0, 40)))
-        assert count.prefix_counts(text) == [len(model.encode(text[:i])) for i in range(len(text) + 1)]
-    assert len(model.encode(count.fit("the quick brown fox jumps", 3))) <= 3
+    texts = ["".join(rng.choice("ab the  \n\t▁é<s>[/INST]漢🙂\u0000") for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    for _ in range(2):  # worked out, and looked up
+        counts, at = count.prefixes(texts)
+        for i, text in enumerate(texts):
+            assert counts[at[i] : at[i + 1]].tolist() == [len(model.encode(text[:n])) for n in range(len(text) + 1)]
+    long = " ".join(rng.choice(["internationalisation", "a", "xyzzy"]) for _ in range(100_000))
+    assert count.prefixes([long])[0][-1] == len(model.encode(long))
+
+
+def test_stored_prefix_counts_answer_budgets(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.vocabulary())
+    texts = ["the quick brown fox jumps over the lazy dog " * 5, "", None, "漢字 ab", "x" * 50]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
+    stored = token_counts.prefix_table(docs, queries.vocabulary())
+    assert stored.columns == [*docs.columns, "token_prefix"]
+    for budget in (0, 3, 10, 1000):
+        for r in token_counts.truncate(stored, budget).collect():
+            text = texts[r.doc_id]
+            best = max(i for i in range(len(text or "") + 1) if len(model.encode((text or "")[:i])) <= budget)
+            assert r.text == (None if text is None else text[:best]) and len(r.token_prefix) == best + 1
+    assert [(r.doc_id, r.n_tokens) for r in token_counts.count_tokens(docs, queries.vocabulary()).orderBy("doc_id").collect()] == [(i, len(model.encode(t or ""))) for i, t in enumerate(texts)]
 
 
 def test_quality_rules(spark, docs):
@@ -246,6 +327,22 @@ def test_toxicity_learns_subwords(spark):
     assert [r.score for r in empty] == [0.5, 0.5]
 
 
+def test_toxicity_of_misspellings_that_training_never_saw(spark):
+    rng = random.Random(12)
+    bad, typos = ["scoundrel", "blockhead", "nincompoop"], ["scooundrel", "scoundrrel", "blockheaad", "bl0ckhead", "nincompooop", "nincompopo"]
+    rows = [[rng.choice(VOCAB[:60]) for _ in range(rng.randint(20, 60))] for _ in range(600)]
+    toxic = [rng.random() < 0.3 for _ in rows]
+    for words, t in zip(rows[:500], toxic, strict=False):
+        if t:
+            words.insert(5, rng.choice(bad))
+    model = toxicity.train([" ".join(w) for w in rows[:500]], [int(t) for t in toxic[:500]])
+    clean = model.scores(pa.array([" ".join(w) for w in rows[500:]]))
+    misspelt = model.scores(pa.array([" ".join([*w[:9], rng.choice(typos), *w[9:]]) for w in rows[500:]]))
+    assert (clean < 0.3).mean() > 0.95 and (misspelt >= 0.3).mean() > 0.9
+    long = " ".join(rng.choice(VOCAB[:60]) for _ in range(300_000))
+    assert model.scores(pa.array([None, "", long], pa.string())).max() < 0.3
+
+
 def test_quality_model_learns_passages(spark):
     data = labelled(spark, lambda rng: "word%%%")
     got = quality_model.score(data.select("doc_id", "text"), data.selectExpr("doc_id", "1 - y as quality")).join(data, "doc_id").collect()
