@@ -2,17 +2,23 @@
 
 A source's target is its weight's share of all words, held to `most` times what
 the source has, the excess going to the others by weight. Each of its documents
-gets floor(target / size of source) certain copies; a further copy goes to a
-Pareto sample: documents are ranked by u / (1 - u) over p / (1 - p), u random
-by document and p the chance of the further copy, and taken while they fit into
-what is left. DataFrame expressions only.
+gets floor(target / size of source) certain copies. Further copies go to a Pareto
+sample of unequal chances: a document of n words has the chance min(1, c * n ** LEAN),
+c such that the expected words are what is left to the target, so longer documents
+are likelier and the longest may be certain. Documents are ranked by u / (1 - u) over
+p / (1 - p), u random by document and p its chance, and taken in this order while
+they fit into what is left: the size of the sample is fixed in words. The one
+document that comes closest to closing the gap that remains is taken too, if that
+brings the source nearer to its target. DataFrame expressions only.
 
 Ranks are never sorted within a source: words are summed over `BINS` intervals
 of the rank, and only the interval in which the target falls is put in order.
 What a row gets depends on its rank and on a few figures of its source, so the
 texts are not shuffled, rows that agree in id and size are treated alike, and
 reruns agree. Null texts have size 0, the null source comes last, documents
-with a null id share a rank by size; empty tables give empty results.
+with a null id share a rank by size; empty tables give empty results; texts of any
+length are counted whole. Sources are put in order in one task (a row each), and
+so are the different sizes of a source.
 """
 
 from __future__ import annotations
@@ -23,6 +29,8 @@ from pyspark.sql import functions as F
 from ..session import cut, small
 
 BINS = 4096
+#: The power of its size to which a document's chance of a further copy is proportional.
+LEAN = 0.5
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -33,7 +41,7 @@ def size_of(text: Column) -> Column:
 def rank_of(doc_id: Column, size: Column, chance: Column, seed: int) -> Column:
     """The Pareto rank q mapped to q / (1 + q), in (0, 1); chance is within (0, 1)."""
     u = (F.shiftrightunsigned(F.xxhash64(doc_id, size, F.lit(seed)), 12).cast("double") + 0.5) / F.lit(float(1 << 52))
-    q = u / (1 - u) / (chance / (1 - chance))
+    q = F.try_divide(u / (1 - u) * (1 - chance), chance)
     return q / (1 + q)
 
 
@@ -54,6 +62,29 @@ def targets(sources: DataFrame, weights: tuple[float, ...], most: float) -> Data
     return t.withColumn("even", even["level"]).select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.least("cap", F.col("even") * F.col("w"))).alias("target"))
 
 
+def chance_of(pace: Column, size: Column) -> Column:
+    """A document's chance of a further copy; a certain one stays just below 1, so that it has a rank."""
+    return F.least(pace * F.pow(size, F.lit(LEAN)), F.lit(1 - 1e-9))
+
+
+def with_pace(by_source: DataFrame, units: DataFrame) -> DataFrame:
+    """Adds `pace`, the c of the chances: the expected words of the further copies are `left`.
+
+    Sizes whose chance would pass 1 are certain, the largest first; what they leave
+    is shared by the smaller ones.
+    """
+    sizes = units.filter("size > 0").groupBy("source", "size").agg(F.sum(F.col("size") * F.col("n")).cast("double").alias("words"))
+    left = by_source.select("source", "left")
+    lean = F.pow("size", F.lit(LEAN))
+    order = Window.partitionBy("z.source").orderBy(F.desc("size"))
+    larger = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    here = F.sum(F.col("words") * lean).over(order.rowsBetween(0, Window.unboundedFollowing))
+    each = sizes.alias("z").join(left.alias("l"), F.col("z.source").eqNullSafe(F.col("l.source"))).select("z.source", "size", lean.alias("lean"), ((F.col("left") - larger) / here).alias("c"))
+    # The first size that is not certain sets the pace; where all are, any pace at which they are will do.
+    pace = each.groupBy("source").agg(F.coalesce(F.max_by("c", F.when(F.col("c") * F.col("lean") < 1, F.col("size"))), F.max(1 / F.col("lean"))).alias("pace"))
+    return by_source.alias("s").join(pace.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")), "left").select("s.*", F.when(F.col("left") > 0, F.greatest("pace", F.lit(0.0))).otherwise(0.0).alias("pace"))
+
+
 def plan(units: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seed: int = 9) -> DataFrame:
     """A row for each source: target, certain copies, and which ranks get one copy more.
 
@@ -62,12 +93,12 @@ def plan(units: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: f
     by_source = targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.least(F.floor(ratio + 1e-12), F.lit(int(most))).cast("long")
-    by_source = by_source.withColumn("copies", whole).withColumn("chance", F.greatest(ratio - whole, F.lit(0.0))).withColumn("left", F.col("target") - whole * F.col("source_size"))
-    by_source = small(cut(by_source))
+    by_source = by_source.withColumn("copies", whole).withColumn("left", F.when(ratio - whole > 0, F.col("target") - whole * F.col("source_size")).otherwise(0.0))
+    by_source = small(cut(with_pace(by_source, units)))
     same = F.col("u.source").eqNullSafe(F.col("s.source"))
     ranked = (
-        units.filter("size > 0").alias("u").join(by_source.alias("s"), same).filter("s.chance > 0")
-        .select("u.*", "s.left", rank_of(F.col("u.doc_id"), F.col("u.size"), F.least(F.col("s.chance"), F.lit(1 - 1e-9)), seed).alias("rank"))
+        units.filter("size > 0").alias("u").join(by_source.alias("s"), same).filter("s.pace > 0")
+        .select("u.*", "s.left", rank_of(F.col("u.doc_id"), F.col("u.size"), chance_of(F.col("s.pace"), F.col("u.size")), seed).alias("rank"))
         .withColumn("words", F.col("size") * F.col("n")).withColumn("bin", F.floor(F.col("rank") * BINS))
     )
     bins = ranked.groupBy("source", "bin", "left").agg(F.sum("words").alias("words"))
@@ -85,7 +116,7 @@ def plan(units: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: f
     )
     return (
         by_source.alias("s").join(cuts.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")), "left").join(filler.alias("f"), F.col("s.source").eqNullSafe(F.col("f.source")), "left")
-        .select("s.source", "s.source_size", "s.target", "s.copies", "s.chance", F.coalesce("c.upto", F.when(F.col("s.chance") > 0, 2.0).otherwise(-1.0)).alias("upto"), F.coalesce("f.filler", F.lit(-1.0)).alias("filler"))
+        .select("s.source", "s.source_size", "s.target", "s.copies", "s.pace", F.coalesce("c.upto", F.when(F.col("s.pace") > 0, 2.0).otherwise(-1.0)).alias("upto"), F.coalesce("f.filler", F.lit(-1.0)).alias("filler"))
     )
 
 
@@ -96,9 +127,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: flo
     """
     sized = docs.withColumn("__ns_size", size_of(F.col("text")))
     units = cut(sized.groupBy("source", "doc_id", F.col("__ns_size").alias("size")).agg(F.count("*").alias("n")))
-    chosen = small(cut(plan(units, weights, most, seed))).select(*[F.col(c).alias(f"__ns_{c}") for c in ("source", "source_size", "target", "copies", "chance", "upto", "filler")])
-    rank = rank_of(F.col("doc_id"), F.col("__ns_size"), F.least(F.col("__ns_chance"), F.lit(1 - 1e-9)), seed)
-    extra = F.when((F.col("__ns_size") > 0) & (F.col("__ns_chance") > 0) & ((rank <= F.col("__ns_upto")) | (rank == F.col("__ns_filler"))), 1).otherwise(0)
+    chosen = small(cut(plan(units, weights, most, seed))).select(*[F.col(c).alias(f"__ns_{c}") for c in ("source", "source_size", "target", "copies", "pace", "upto", "filler")])
+    rank = rank_of(F.col("doc_id"), F.col("__ns_size"), chance_of(F.col("__ns_pace"), F.col("__ns_size")), seed)
+    extra = F.when((F.col("__ns_size") > 0) & (F.col("__ns_pace") > 0) & ((rank <= F.col("__ns_upto")) | (rank == F.col("__ns_filler"))), 1).otherwise(0)
     mixed = sized.join(chosen, F.col("source").eqNullSafe(F.col("__ns_source")))
     copies = (F.col("__ns_copies") + extra).cast("long")
     own = ("size", "source_size", "target", "copies", "taken")

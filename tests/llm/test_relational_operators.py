@@ -68,6 +68,38 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_longer_documents_are_likelier_in_the_mix(spark):
+    """Over many seeds, each size of document is taken about as often as its chance says."""
+    sizes = [1, 4, 16, 64]
+    rows = [(i, "w " * sizes[i % 4], "a") for i in range(400)] + [(i, "w " * 85, "b") for i in range(400, 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    seen, runs = defaultdict(int), 12
+    for seed in range(runs):
+        got = mixing.mix(docs, weights=(1.0, 3.0), seed=seed).filter("source = 'a'").collect()
+        assert abs(sum(r.taken for r in got) - got[0].target) <= 64
+        for r in got:
+            seen[r.size] += r.taken // r.size
+    # target of a: a quarter of 8500 + 8500 words, half its own words, so no certain copies
+    pace = got[0].target / sum(100 * s**1.5 for s in sizes)
+    want = {s: 100 * min(1, pace * s**0.5) for s in sizes}
+    if pace * 8 > 1:
+        rest = (got[0].target - 6400) / sum(100 * s**1.5 for s in sizes[:3])
+        want = {s: 100 * min(1, rest * s**0.5) for s in sizes[:3]} | {64: 100}
+    for s in sizes:
+        assert seen[s] / runs == pytest.approx(want[s], abs=6), (s, seen[s] / runs, want[s])
+    assert seen[1] < seen[4] < seen[16] < seen[64]
+
+
+def test_relative_links_and_delays(spark):
+    base = "http://a.net/x/y.html?q=1"
+    hrefs = {"z.html": "a.net/x/z.html", "../w/": "a.net/w/", "./z": "a.net/x/z", "?p=2": "a.net/x/y.html?p=2", "#top": None, "mailto:x@y": None, "/r/../s?t=/../": "a.net/s?t=/../", "//B.net": "b.net/", "https://c.net/..": "c.net/..", "../../..": "a.net/"}
+    rows = spark.createDataFrame([(base, h) for h in hrefs], "base string, href string")
+    got = {r.href: r.a for r in rows.select("href", url_filter.address(url_filter._resolved(rows.base, rows.href)).alias("a")).collect()}
+    assert got == hrefs
+    pages = spark.createDataFrame([("http://n.net/a", '<meta http-equiv="refresh" content="5; url=b">'), ("http://n.net/c", '<meta http-equiv="refresh" content="0; url=d">'), ("http://n.net", '<link rel="canonical" href="./">')], "url string, html string")
+    assert {(r.src, r.dst) for r in url_filter.page_links(pages).collect()} == {("n.net/c", "n.net/d")}
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
