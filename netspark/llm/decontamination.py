@@ -7,11 +7,12 @@ window come out as a range of the array, and occurrences that follow each other
 in both texts join to maximal verbatim matches with their places. Documents
 never leave their partition, so nothing is shuffled.
 
-The benchmark reaches the tasks in blocks of at most `BLOCK_BYTES` of text, each
-broadcast by itself; a larger benchmark means more passes over a partition's
+The benchmark reaches the tasks in blocks of about `BLOCK_BYTES` of text (or one
+longer text), dealt by item and text and each broadcast by itself; the driver holds
+one block at a time, and a larger benchmark means more passes over a partition's
 rows, not larger broadcasts.
 
-Words compare by 64-bit hashes. Null and empty texts have no words; benchmark
+Words compare by 64-bit hashes; texts of any length are one shard each. Null and empty texts have no words; benchmark
 rows without id are not items; rows of one item_id are one item; repeated
 documents are judged alike; with an empty benchmark nothing is hit; extra
 columns are carried by `decontaminate`.
@@ -35,24 +36,25 @@ BLOCK_BYTES = 32 << 20
 
 
 class SuffixArray:
-    """The suffixes of a shard's documents in the order of their first 12 words (all, if fewer are left)."""
+    """The suffixes of a shard's documents in the order of their first `depth` words at least (all, if fewer are left)."""
 
-    def __init__(self, words: _words.Words):
+    def __init__(self, words: _words.Words, depth: int = WINDOW):
         n_rows = len(words.first) - 1
         self.row_of = words.row_of_word()
         self.vocab, ids = np.unique(words.hash, return_inverse=True)
         n = len(ids)
         # Word i of row r stands at i + r; the zeros between rows end every comparison.
-        self.seq = np.zeros(n + n_rows + 12, np.int64)
+        self.seq = np.zeros(n + n_rows + 4 * depth, np.int64)
         self.place = np.arange(n) + self.row_of
         self.seq[self.place] = ids + 1
         part, m = self.seq, len(self.seq)
-        for step in (1, 3):  # ranks of three words, then of twelve by four ranks of three
+        step = 1
+        while step < depth:  # ranks of three words, then of twelve by four ranks of three, and so on
             fields = 3 if step == 1 else 4
             at = [np.concatenate([part[k * step :], np.zeros(k * step, np.int64)]) for k in range(fields)]
             part = _ranks(at)
-            if step == 1:
-                part[self.seq == 0] = 0
+            part[self.seq == 0] = 0
+            step *= fields
         order = np.argsort(part[self.place], kind="stable")
         self.at = self.place[order]
         self.word = order  # index of the word at which each suffix begins
@@ -127,7 +129,7 @@ def hits(words: _words.Words, items: Items, window: int = WINDOW) -> tuple[np.nd
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(words.hash) or not len(items.window_at):
         return none
-    array = SuffixArray(words)
+    array = SuffixArray(words, window)
     at = np.searchsorted(array.vocab, items.hash)
     ids = np.where(array.vocab[np.minimum(at, len(array.vocab) - 1)] == items.hash, at + 1, -1)
     padded = np.concatenate([ids, np.full(window, -1)])
@@ -267,5 +269,5 @@ def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes:
         n_hit = F.when(F.size("_spans") > 0, merged).otherwise(0)
     else:
         n_hit = F.expr("aggregate(transform(_spans, (x, i) -> IF(i % 2 = 0, -x, x)), 0L, (a, x) -> a + x)")
-    items = F.array_sort("_items")
-    return state.select("doc_id", "n_words", n_hit.cast("long").alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size("_spans") > 0).alias("contaminated"))
+    items = F.array_sort(F.array_distinct("_items"))  # an item's texts can lie in several blocks
+    return state.select("doc_id", "n_words", n_hit.cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size("_spans") > 0).alias("contaminated"))
