@@ -39,10 +39,9 @@ def path_of(url: Column) -> Column:
 
 
 def address(url: Column) -> Column:
-    """What names a resource: host, path and query; null where there is no host."""
-    rest = _rest(F.coalesce(url, F.lit("")))
-    made = F.concat(host_of(url), F.regexp_extract(rest, r"(?s)^[^/?#]*([^#]*)", 1))
-    return F.when(host_of(url) != "", made)
+    """What names a resource: host, path (none is `/`) and query; null where there is no host."""
+    tail = F.regexp_extract(_rest(F.coalesce(url, F.lit(""))), r"(?s)^[^/?#]*([^#]*)", 1)
+    return F.when(host_of(url) != "", F.concat(host_of(url), F.when(tail.startswith("/"), "").otherwise("/"), tail))
 
 
 def rule_for(host: Column, path: Column, rules: list[Rule]) -> Column:
@@ -55,15 +54,30 @@ def rule_for(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def _resolved(base: Column, href: Column) -> Column:
-    """href against the page's url: absolute, scheme-relative or from the root; others name nothing here."""
+    """href against the page's url: absolute, scheme-relative, from the root, a query, or relative to the page's folder; other schemes and bare fragments name nothing."""
     href = F.replace(F.trim(href), F.lit("&amp;"), F.lit("&"))
-    return F.when(F.locate("://", href) > 0, href).when(href.startswith("//"), F.concat(F.lit("http:"), href)).when(href.startswith("/"), F.concat(F.lit("http://"), host_of(base), href))
+    site, path = F.concat(F.lit("http://"), host_of(base)), path_of(base)
+    folder = F.concat(F.when(path.startswith("/"), "").otherwise("/"), F.regexp_replace(path, "[^/]*$", ""))
+    file, query = F.regexp_extract(href, r"(?s)^[^?#]*", 0), F.regexp_extract(href, r"(?s)^[^?#]*(.*)", 1)
+    return (
+        F.when(F.locate("://", file) > 0, href).when(href.startswith("//"), F.concat(F.lit("http:"), href))
+        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") | href.startswith("#"), F.lit(None))
+        .when(href.startswith("/"), F.concat(site, _folded(file), query)).when(href.startswith("?"), F.concat(site, path, href))
+        .otherwise(F.concat(site, _folded(F.concat(folder, file)), query))
+    )
+
+
+def _folded(path: Column) -> Column:
+    """A path from the root without `.` and `..` segments."""
+    ends = F.when(path.rlike(r"/\.{1,2}$"), F.concat(path, F.lit("/"))).otherwise(path)
+    kept = F.aggregate(F.split(ends, "/"), F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(F.concat(a, F.array(x))))
+    return F.array_join(kept, "/")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(src, dst) addresses that a page's own html declares equal: canonical links and immediate redirects."""
     canonical = F.regexp_extract(F.regexp_extract("html", _TAG.format(tag="link", key="rel", value="canonical"), 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(F.regexp_extract("html", _TAG.format(tag="meta", key="http-equiv", value="refresh"), 0), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    refresh = F.regexp_extract(F.regexp_extract("html", _TAG.format(tag="meta", key="http-equiv", value="refresh"), 0), r"(?is)\bcontent\s*=\s*[\"']?\s*0+(?:\.0*)?\s*[;,]\s*url\s*=\s*[\"']?([^\"'\s>]+)", 1)
     told = pages.filter(F.col("html").isNotNull() & (F.contains(F.col("html"), F.lit("anonical")) | F.contains(F.col("html"), F.lit("CANONICAL")) | F.col("html").rlike("(?i)http-equiv")))
     found = told.select("url", F.explode(F.array(canonical, refresh)).alias("href")).filter("href <> ''")
     return found.select(address(F.col("url")).alias("src"), address(_resolved(F.col("url"), F.col("href"))).alias("dst")).filter("src is not null and dst is not null and src <> dst")
