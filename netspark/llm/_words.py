@@ -7,6 +7,8 @@ ASCII separators, is exact on whole texts of any length.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +16,12 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+
+# Arrays of some MB go back to the system as soon as they are freed; else the C library
+# keeps more and more of them, and idle Python workers hold memory that executors lack.
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL(None).mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD
+
 #: Odd multipliers of the rolling hashes, with their inverses modulo 2**64.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Bytes of text handled at once; a longer text is handled alone.

@@ -47,7 +47,7 @@ from . import _words
 
 EDGE, SEED = 13, 5
 #: Bytes of text that one task's share of the keys comes from, at most.
-PART_BYTES = 64 << 20
+PART_BYTES = 16 << 20
 LATEST = np.iinfo(np.int64).max
 U64 = np.uint64
 
@@ -185,43 +185,54 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Paths of repeated edges through the nodes of a bucket, in all documents but the sources."""
     got = [(np.frombuffer(d, "<i8"), np.frombuffer(t, "<i8"), ex.unpack_small(b), ex.unpack_small(s), ex.unpack_small(n), ex.unpack_small(o), np.frombuffer(h, "<u8")) for d, t, b, s, n, o, h in _rows(batches, "ids", "marks", "number", "start", "edges", "open", "hashes")]
     ids, marks, number, start, count, open_, own = (np.concatenate([g[i] for g in got]) for i in range(7))
-    # A repeated row brings every run again; one stays.
+    del got
+    # Runs in the order of document, text and number; a repeated row brings every run again, and one stays.
     order = np.lexsort((number, marks, ids))
-    new = np.ones(len(order), bool)
     a, b = order[1:], order[:-1]
-    new[1:] = (ids[a] != ids[b]) | (marks[a] != marks[b]) | (number[a] != number[b])
-    single = np.zeros(len(order), bool)
-    single[order[new]] = True
-    own = own[np.repeat(single, count)]
-    ids, marks, number, start, count, open_ = (x[single] for x in (ids, marks, number, start, count, open_))
-    run = np.repeat(np.arange(len(ids)), count)
-    place, doc, mark = start[run] + _steps(count), ids[run], marks[run]
+    other_doc = ids[a] != ids[b]
+    other_text = other_doc | (marks[a] != marks[b])
+    single = np.append(True, other_text | (number[a] != number[b]))[: len(order)]
+    doc_of, text_of = np.empty(len(order), np.int32), np.empty(len(order), np.int32)
+    doc_of[order], text_of[order] = np.append(0, np.cumsum(other_doc))[: len(order)], np.append(0, np.cumsum(other_text))[: len(order)]
+    keep = np.zeros(len(order), bool)
+    keep[order[single]] = True
+    own = own[np.repeat(keep, count)]
+    ids, marks, number, start, count, open_, doc_of, text_of = (x[keep] for x in (ids, marks, number, start, count, open_, doc_of, text_of))
+    run = np.repeat(np.arange(len(ids), dtype=np.int32), count)
+    place = (start[run] + _steps(count)).astype(np.int32)
     # The occurrences of an edge, the earliest first: this is its source.
-    order = np.lexsort((place, mark, doc, own))
+    order = np.lexsort((place, text_of[run], own)).astype(np.int32)
     new = np.ones(len(order), bool)
-    new[1:] = own[order][1:] != own[order][:-1]
+    new[1:] = own[order[1:]] != own[order[:-1]]
+    del own
     head = np.flatnonzero(new)
-    edge = np.empty(len(order), np.int64)
-    edge[order] = np.cumsum(new) - 1
-    source = order[head][edge]
-    size = np.diff(np.append(head, len(order)))
-    repeated = doc[order[head]] != doc[order[head + size - 1]]
+    edge, source, doc = np.empty(len(order), np.int32), np.empty(len(order), np.int32), doc_of[run]
+    edge[order] = np.cumsum(new, dtype=np.int32) - 1
+    source[order] = np.repeat(order[head], np.diff(np.append(head, len(order))))
+    repeated = doc[order[head]] != doc[order[np.append(head[1:], len(order)) - 1]] if len(head) else new
+    del order, new
     later = doc[source] < doc
     # Which repeated edges stand next to each other, at a node of this bucket.
     near = np.flatnonzero((run[1:] == run[:-1]) & repeated[edge[1:]] & repeated[edge[:-1]])
-    pairs = np.unique(np.stack([edge[near], edge[near + 1]]), axis=1) if len(near) else np.zeros((2, 0), np.int64)
-    out, into = np.bincount(pairs[0], minlength=len(head)), np.bincount(pairs[1], minlength=len(head))
-    goes_on = np.zeros(len(own), bool)  # from the edge before
-    x, y, s, t = near, near + 1, source[near], source[near + 1]
-    goes_on[y] = (out[edge[x]] == 1) & (into[edge[y]] == 1) & later[x] & later[y] & (doc[s] == doc[t]) & (mark[s] == mark[t]) & (place[t] == place[s] + 1)
-    at = np.flatnonzero(later & ~goes_on)
-    rest = np.flatnonzero(later)
+    pairs = np.unique(edge[near].astype(np.int64) << 32 | edge[near + 1])
+    out, into = np.bincount(pairs >> 32, minlength=len(head)), np.bincount(pairs & 0xFFFFFFFF, minlength=len(head))
+    # A later edge goes on from the edge before if nothing else does, here or there, and their sources follow each other too.
+    near = near[later[near] & later[near + 1]]
+    near = near[(out[edge[near]] == 1) & (into[edge[near + 1]] == 1)]
+    s, t = source[near], source[near + 1]
+    near = near[(text_of[run[s]] == text_of[run[t]]) & (place[t] == place[s] + 1)]
+    goes_on = np.zeros(len(run), bool)
+    goes_on[near + 1] = True
+    at, rest = np.flatnonzero(later & ~goes_on), np.flatnonzero(later)
     n = np.diff(np.append(np.searchsorted(rest, at), len(rest)))
-    end, first = at + n - 1, np.cumsum(count) - count
-    left = (at == first[run[at]]) & (open_[run[at]] & 1 > 0)
-    right = (end == first[run[at]] + count[run[at]] - 1) & (open_[run[at]] & 2 > 0)
-    longs = (doc[at], mark[at], number[run[at]], place[at], n, doc[source[at]], mark[source[at]], place[source[at]])
-    yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in longs], pa.array(left), pa.array(right)], names=[f.split()[0] for f in _PIECES.split(", ")])
+    first = np.cumsum(count) - count
+    for low in range(0, len(at), 1 << 16):
+        x, size = at[low : low + (1 << 16)], n[low : low + (1 << 16)]
+        r, src = run[x], source[x]
+        left = (x == first[r]) & (open_[r] & 1 > 0)
+        right = (x + size == first[r] + count[r]) & (open_[r] & 2 > 0)
+        longs = (ids[r], marks[r], number[r], place[x], size, ids[run[src]], marks[run[src]], place[src])
+        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in longs], pa.array(left), pa.array(right)], names=[f.split()[0] for f in _PIECES.split(", ")])
 
 
 # --- third step: pieces are glued ----------------------------------------------
@@ -259,7 +270,7 @@ def repeated_paths(docs: DataFrame, k: int = EDGE) -> DataFrame:
     largest long.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(2 * shuffle_partitions(docs.sparkSession), -(-size // PART_BYTES))
+    parts = max(4 * shuffle_partitions(docs.sparkSession), -(-size // PART_BYTES))
     keyed = _keyed(docs.select("doc_id", "text"))
     seeds = keyed.select("__ns_id", "text", "__ns_mark").mapInArrow(lambda b: _seed_rows(b, parts, k), _SEEDS)
     shared = seeds.groupBy("part").applyInArrow(_repeated_seeds, "doc_id long, mark long, key long").groupBy(F.col("doc_id").alias("__ns_id"), F.col("mark").alias("__ns_mark")).agg(F.collect_list("key").alias("__ns_keys"))

@@ -237,7 +237,7 @@ def prefix_table(docs: DataFrame, model_file: str, text: str = "text", out: str
     """docs with `out`: at place i of the array the tokens of the first i characters, of every whole text; model_file must lie on every machine."""
     kept = [c for c in docs.columns if c != out]
     docs = docs.select(*[docs[c] for c in kept])
-    schema = docs.schema.add(out, T.ArrayType(T.IntegerType()))
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
     at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +273,7 @@ def count_tokens(docs: DataFrame, model_file: str, text: str = "text", out: str
 def truncate(docs: DataFrame, budget: int | Column, text: str = "text", prefix: str = "token_prefix") -> DataFrame:
     """A prefix table with every text cut to its longest prefix of at most budget tokens, and the counts with it."""
     n = fitting(prefix, budget)
-    cut = {text: F.when(F.col(text).isNotNull(), F.substring(F.col(text), F.lit(1), n)), prefix: F.slice(prefix, F.lit(1), n + 1)}
+    cut = {text: F.substr(F.col(text), F.lit(1), n), prefix: F.slice(prefix, F.lit(1), n + 1)}
     return docs.select(*[cut[c].alias(c) if c in cut else docs[c] for c in docs.columns])
 
 
