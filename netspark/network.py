@@ -46,6 +46,27 @@ class Network:
         s = self.simple()
         return s.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(s.select("dst", "src"))
 
+    def set_groups(self, groups: DataFrame, kind: str = "group") -> Network:
+        """The network with a group, cluster or layer of each node; groups (node, value) must know all nodes, once each."""
+        if kind not in ("group", "cluster", "layer"):
+            raise ValueError("a kind is group, cluster or layer")
+        names, value = self.nodes.select("node"), next(c for c in groups.columns if c != "node")
+        placed = groups.select("node", F.col(value).alias(kind))
+        for bad, what in ((placed.groupBy("node").count().filter("count > 1"), "nodes placed twice"), (placed.join(names, "node", "left_anti"), "unknown nodes"), (names.join(placed, "node", "left_anti"), "nodes without a group")):
+            if not bad.isEmpty():
+                raise ValueError(what)
+        return replace(self, meta={**self.meta, "groups": placed})
+
+    def get_groups(self) -> DataFrame | None:
+        return self.meta.get("groups")
+
+    def set_nodes(self, nodes: DataFrame) -> Network:
+        """The network with these nodes in place of its own; edges to others go."""
+        return self.with_nodes(nodes)
+
+    def set_edges(self, edges: DataFrame) -> Network:
+        return replace(self, edges=edges)
+
     def n_nodes(self) -> int:
         return self.nodes.count()
 
@@ -73,6 +94,29 @@ def from_edges(df: DataFrame, src: str | None = None, dst: str | None = None, we
     return Network(nodes if nodes is not None else ends, edges, directed)
 
 
+def parse(data, nodes: DataFrame | None = None, directed: bool | None = None) -> Network:
+    """A network from whatever holds one: a network itself, (nodes, edges), matrix cells or an edge list, or a wide square matrix (a label column, then one column for each label)."""
+    if isinstance(data, Network):
+        return data
+    if isinstance(data, tuple):
+        return from_edges(data[1], directed=directed, nodes=data[0])
+    known = {c.lower() for c in data.columns}
+    if known & set(SOURCES) and known & set(TARGETS) or len(data.columns) <= 2:
+        return from_edges(data, directed=directed, nodes=nodes)
+    label, rest = data.columns[0], set(data.columns[1:])
+    if {str(r[0]) for r in data.select(label).limit(len(rest) + 1).collect()} == rest:  # as many rows as columns
+        return from_matrix(from_wide(data, label), directed)
+    return from_edges(data, directed=directed, nodes=nodes)
+
+
+def from_model(edges: DataFrame, inits: DataFrame) -> Network:
+    """A directed network of a transition model: edges (src, dst, weight) and initial states (state, share) as a column `init` of the nodes."""
+    net = from_edges(edges, directed=True)
+    names = net.nodes.select("node").union(inits.select("state")).distinct()
+    first = inits.select(F.col("state").alias("node"), F.col(next(c for c in inits.columns if c != "state" and c != "count")).cast("double").alias("init"))
+    return replace(net, nodes=names.join(first, "node", "left").fillna(0.0, ["init"]))
+
+
 def looks_directed(edges: DataFrame) -> bool:
     """Whether an unordered pair repeats or an edge's reverse is there; a loop is its own reverse."""
     pairs = edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("n"))
@@ -126,9 +170,9 @@ def duplicate_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("count"), F.sort_array(F.collect_list("weight")).alias("weights")).filter("count > 1")
 
 
-def merge_duplicates(edges: DataFrame, method: str = "mean", order: Column | None = None) -> DataFrame:
-    """Unordered pairs once: sum, mean, max, min, or first by an order."""
-    how = F.min_by("weight", order) if method == "first" else REDUCERS[method]("weight")
+def merge_duplicates(edges: DataFrame, method="mean", order: Column | None = None) -> DataFrame:
+    """Unordered pairs once: sum, mean, max, min, first by an order, or a function of the weight column that aggregates."""
+    how = method(F.col("weight")) if callable(method) else F.min_by("weight", order) if method == "first" else REDUCERS[method]("weight")
     return edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(how.alias("weight"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..network import Network
 from ..session import cut
+from .spectral import settled
 
 
 def _ties(net: Network, weighted: bool) -> DataFrame:
@@ -17,59 +18,100 @@ def _ties(net: Network, weighted: bool) -> DataFrame:
     return both.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").union(both.select("b", "a", "w")).union(e.filter("a = b").select("a", "b", 2 * F.col("w")))
 
 
-def label_propagation(net: Network, weighted: bool = True, most_rounds: int = 30) -> DataFrame:
-    """(node, community): every node takes the heaviest label around it, the least of equal ones; odd and even nodes take turns."""
+def label_propagation(net: Network, weighted: bool = True, most_rounds: int = 1000) -> DataFrame:
+    """(node, community): every node takes the heaviest label around it, its own among equal ones, then the least.
+
+    Nodes take turns in random halves until none would change; raises if that does not happen.
+    """
     ties = cut(_ties(net, weighted).filter("src <> dst"))
     labels = cut(net.nodes.select("node", F.col("node").alias("community")))
     for i in range(most_rounds):
-        heard = ties.join(labels, F.col("dst") == F.col("node")).groupBy("src", "community").agg(F.sum("w").alias("w"))
-        best = heard.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "community"))).filter("r = 1").select(F.col("src").alias("n"), F.col("community").alias("new"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == i % 2
-        nxt = cut(labels.join(best, F.col("node") == F.col("n"), "left").select("node", F.when(turn, F.coalesce("new", "community")).otherwise(F.col("community")).alias("community"), (turn & F.col("new").isNotNull() & (F.col("new") != F.col("community"))).alias("moved")))
-        moved = not nxt.filter("moved").isEmpty()
-        labels = nxt.select("node", "community")
-        if not moved and i > 0:
-            break
-    return labels
-
-
-def _local_moves(ties: DataFrame, resolution: float, rounds: int) -> DataFrame:
-    """(node, c) after moving nodes to the neighbouring community of the largest gain, half of the nodes at a time."""
+        own = labels.select(F.col("node").alias("src"), F.col("community").alias("own"))
+        heard = ties.join(labels, F.col("dst") == F.col("node")).groupBy("src", "community").agg(F.round(F.sum("w"), 9).alias("w")).join(own, "src")
+        best = heard.groupBy("src").agg(F.min_by("community", F.struct(-F.col("w"), F.col("community") != F.col("own"), F.col("community"))).alias("new")).withColumnRenamed("src", "n")
+        wants = F.col("new").isNotNull() & (F.col("new") != F.col("community"))
+        turn = F.pmod(F.xxhash64("node", F.lit(i // 2)), F.lit(2)) == i % 2
+        labels = cut(labels.join(best, F.col("node") == F.col("n"), "left").select("node", F.when(turn & wants, F.col("new")).otherwise(F.col("community")).alias("community"), wants.alias("wants")), labels)
+        if labels.filter("wants").isEmpty():
+            return labels.select("node", "community")
+    raise RuntimeError("labels did not settle")
+
+
+def _local_moves(ties: DataFrame, resolution: float, start: DataFrame | None = None, within: DataFrame | None = None, most_rounds: int = 400) -> DataFrame:
+    """(node, c) after moving nodes to the neighbouring community of the largest gain until none would move.
+
+    Nodes take turns in random halves, later in smaller parts, so that they do not
+    move past each other for ever. start: (node, c) to begin with, else each alone;
+    within: (node, g), moves only into communities of the same g.
+    """
     k = cut(ties.groupBy("src").agg(F.sum("w").alias("k")))
     m2 = k.agg(F.sum("k")).first()[0] or 1.0
-    own = k.select(F.col("src").alias("node"), F.col("src").alias("c"), "k")
-    quiet = 0
+    near = ties.filter("src <> dst")
+    if within is not None:
+        a, b = within.select(F.col("node").alias("src"), F.col("g").alias("gs")), within.select(F.col("node").alias("dst"), F.col("g").alias("gd"))
+        near = cut(near.join(a, "src").join(b, "dst").filter("gs = gd").select("src", "dst", "w"))
+    own = k.select(F.col("src").alias("node"), F.col("src").alias("c"), "k") if start is None else k.select(F.col("src").alias("node"), "k").join(start, "node").select("node", "c", "k")
     own = cut(own)
-    for i in range(rounds):
+    for i in range(most_rounds):
         total = own.groupBy("c").agg(F.sum("k").alias("tot"))
-        near = ties.filter("src <> dst").join(own.select(F.col("node").alias("dst"), F.col("c").alias("to")), "dst").groupBy("src", "to").agg(F.sum("w").alias("w"))
+        found = near.join(own.select(F.col("node").alias("dst"), F.col("c").alias("to")), "dst").groupBy("src", "to").agg(F.sum("w").alias("w"))
         stay = own.select(F.col("node").alias("src"), F.col("c").alias("to"), F.lit(0.0).alias("w"))
-        offers = near.union(stay).groupBy("src", "to").agg(F.sum("w").alias("w")).join(own.select(F.col("node").alias("src"), "c", "k"), "src").join(total.withColumnRenamed("c", "to"), "to")
+        offers = found.union(stay).groupBy("src", "to").agg(F.sum("w").alias("w")).join(own.select(F.col("node").alias("src"), "c", "k"), "src").join(total.withColumnRenamed("c", "to"), "to")
         rest = F.col("tot") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
-        gain = F.col("w") - resolution * F.col("k") * rest / m2
-        best = offers.withColumn("gain", gain).withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc(F.round("gain", 9)), (F.col("to") != F.col("c")).cast("int"), "to"))).filter("r = 1").select(F.col("src").alias("node"), F.col("to").alias("new"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == i % 2
-        nxt = cut(own.join(best, "node").select("node", F.when(turn, F.col("new")).otherwise(F.col("c")).alias("c"), "k", (turn & (F.col("new") != F.col("c"))).alias("moved")))
-        quiet = quiet + 1 if nxt.filter("moved").isEmpty() else 0
-        own = nxt.select("node", "c", "k")
-        if quiet == 2:
-            break
-    return own.select("node", "c")
+        gain = F.round(F.col("w") - resolution * F.col("k") * rest / m2, 9)
+        best = offers.groupBy(F.col("src").alias("node")).agg(F.min_by("to", F.struct(-gain, F.col("to") != F.col("c"), F.col("to"))).alias("new"))
+        parts = 2 + i // 12
+        turn = F.pmod(F.xxhash64("node", F.lit(i // parts)), F.lit(parts)) == i % parts
+        wants = F.col("new") != F.col("c")
+        own = cut(own.join(best, "node").select("node", F.when(turn, F.col("new")).otherwise(F.col("c")).alias("c"), "k", wants.alias("wants")), own)
+        if own.filter("wants").isEmpty():
+            return own.select("node", "c")
+    raise RuntimeError("moves did not settle")
 
 
-def louvain(net: Network, weighted: bool = True, resolution: float = 1.0, levels: int = 2, rounds: int = 8) -> DataFrame:
+def _between(ties: DataFrame, of: DataFrame) -> DataFrame:
+    """Ties of the network whose nodes are the communities (node, c)."""
+    a, b = of.select(F.col("node").alias("src"), F.col("c").alias("ca")), of.select(F.col("node").alias("dst"), F.col("c").alias("cb"))
+    return ties.join(a, "src").join(b, "dst").groupBy(F.col("ca").alias("src"), F.col("cb").alias("dst")).agg(F.sum("w").alias("w"))
+
+
+def _named(member: DataFrame) -> DataFrame:
+    least = member.groupBy("community").agg(F.min("node").alias("name"))
+    return member.join(least, "community").select("node", F.col("name").alias("community"))
+
+
+def louvain(net: Network, weighted: bool = True, resolution: float = 1.0, most_levels: int = 100) -> DataFrame:
     """(node, community): local moves, then the communities become nodes, until nothing moves."""
     ties = cut(_ties(net, weighted))
-    member = net.nodes.select("node", F.col("node").alias("community"))
-    for _ in range(levels):
-        moved = cut(_local_moves(ties, resolution, rounds))
+    member = cut(net.nodes.select("node", F.col("node").alias("community")))
+    for _ in range(most_levels):
+        moved = cut(_local_moves(ties, resolution))
         if moved.filter("node <> c").isEmpty():
-            break
-        member = cut(member.join(moved.withColumnRenamed("node", "community"), "community", "left").select("node", F.coalesce("c", "community").alias("community")))
-        a, b = moved.select(F.col("node").alias("src"), F.col("c").alias("ca")), moved.select(F.col("node").alias("dst"), F.col("c").alias("cb"))
-        ties = cut(ties.join(a, "src").join(b, "dst").groupBy(F.col("ca").alias("src"), F.col("cb").alias("dst")).agg(F.sum("w").alias("w")))
-    least = member.groupBy("community").agg(F.min("node").alias("name"))
-    return member.join(least, "community").select("node", F.col("name").alias("community"))
+            return _named(member)
+        member = cut(member.join(moved.withColumnRenamed("node", "community"), "community", "left").select("node", F.coalesce("c", "community").alias("community")), member)
+        ties = cut(_between(ties, moved), ties)
+    raise RuntimeError("levels did not end")
+
+
+def leiden(net: Network, weighted: bool = True, resolution: float = 1.0, most_levels: int = 100) -> DataFrame:
+    """(node, community): as louvain, but each community is refined before its parts become nodes.
+
+    Refining starts from single nodes and merges within the community only, so a part
+    is connected and can leave its community at the next level.
+    """
+    ties = cut(_ties(net, weighted))
+    member = cut(net.nodes.select("node", F.col("node").alias("part")))  # of which part each node is
+    start = None
+    for _ in range(most_levels):
+        moved = cut(_local_moves(ties, resolution, start))
+        parts = cut(_local_moves(ties, resolution, within=moved.withColumnRenamed("c", "g")))
+        whole = parts.select("node", "c").join(moved.select("node", F.col("c").alias("to")), "node")
+        member = cut(member.join(whole.select(F.col("node").alias("part"), "c", "to"), "part", "left").select("node", F.coalesce("c", "part").alias("part"), F.coalesce("to", "part").alias("community")), member)
+        if parts.filter("node <> c").isEmpty():
+            return _named(member.select("node", "community"))
+        start = cut(whole.select(F.col("c").alias("node"), F.col("to").alias("c")).distinct())
+        ties, member = cut(_between(ties, parts), ties), member.select("node", "part")
+    raise RuntimeError("levels did not end")
 
 
 def fast_greedy(net: Network, weighted: bool = True) -> DataFrame:
@@ -88,15 +130,15 @@ def fast_greedy(net: Network, weighted: bool = True) -> DataFrame:
         member = cut(member.withColumn("community", F.when(F.col("community") == best.b, F.lit(best.a)).otherwise(F.col("community"))))
 
 
-def edge_removal(net: Network, most: int = 1000) -> DataFrame:
-    """(node, community) of the best split of Girvan and Newman: edges of the highest betweenness go one by one."""
+def edge_removal(net: Network) -> DataFrame:
+    """(node, community) of the best split of Girvan and Newman: edges of the highest betweenness go one by one, until none is left."""
     from .cluster import modularity
     from .paths import edge_betweenness
     from .structure import components
 
     best, score, left = None, float("-inf"), net.with_edges(net.edges, True)
     flat = Network(net.nodes, net.edges, net.directed)
-    for _ in range(most):
+    while True:
         member = cut(components(left)).withColumnRenamed("component", "community")
         q = modularity(flat, member.withColumnRenamed("community", "cluster")).first()[0] or 0.0
         if q > score + 1e-12:
@@ -112,25 +154,54 @@ def edge_removal(net: Network, most: int = 1000) -> DataFrame:
     return best
 
 
-def leading_eigenvector(net: Network, weighted: bool = True, steps: int = 80) -> DataFrame:
-    """(node, community): one spectral bisection by the sign of the leading eigenvector of the modularity matrix (power steps, shifted)."""
+def leading_eigenvector(net: Network, weighted: bool = True, most_splits: int = 100) -> DataFrame:
+    """(node, community): communities are bisected by the sign of the leading eigenvector of their modularity matrix, all at once, while modularity rises."""
     ties = cut(_ties(net, weighted))
-    k = cut(net.nodes.select("node").join(ties.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")), "node", "left").fillna(0.0, ["k"]))
-    row = k.agg(F.sum("k").alias("m2"), F.max("k").alias("shift")).first()
-    m2, shift = row.m2 or 1.0, 2 * (row.shift or 0.0)
-    x = k.select("node", "k", (F.pmod(F.xxhash64("node"), F.lit(1000)) / 1000.0 - 0.5).alias("x"))
-    for _ in range(steps):
-        moved = ties.join(x.select(F.col("node").alias("dst"), "x"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("ax"))
-        kx = x.agg(F.sum(F.col("k") * F.col("x")).alias("kx"))
-        y = x.join(moved, "node", "left").fillna(0.0, ["ax"]).join(kx, how="cross").select("node", "k", (F.col("ax") - F.col("k") * F.col("kx") / m2 + shift * F.col("x")).alias("y"))
-        x = y.join(y.agg(F.max(F.abs("y")).alias("top")), how="cross").select("node", "k", F.coalesce(F.try_divide("y", "top"), F.lit(0.0)).alias("x"))
-        x = cut(x)
-    side = x.withColumn("side", F.col("x") >= 0)
-    return side.withColumn("community", F.min("node").over(Window.partitionBy("side"))).select("node", "community")
+    k = net.nodes.select("node").join(ties.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")), "node", "left").fillna(0.0, ["k"])
+    member = cut(k.withColumn("c", F.min("node").over(Window.partitionBy())).withColumn("open", F.lit(True)))
+    m2 = member.agg(F.sum("k")).first()[0] or 1.0
+    for _ in range(most_splits):
+        a, b = member.filter("open").select(F.col("node").alias("src"), F.col("c").alias("ca")), member.filter("open").select(F.col("node").alias("dst"), F.col("c").alias("cb"))
+        inner = cut(ties.join(a, "src").join(b, "dst").filter("ca = cb").select("src", "dst", "w"))
+        inside = inner.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("ki"))
+        total = member.filter("open").groupBy("c").agg(F.sum("k").alias("kc"))
+        base = member.filter("open").join(inside, "node", "left").join(total, "c").select("node", "c", "k", (F.coalesce("ki", F.lit(0.0)) - F.col("k") * F.col("kc") / m2).alias("d"))
+        # Rows of the matrix sum to nothing within a community; a shift makes the leading eigenvalue the largest one.
+        base = cut(base)
+        widest = (base.agg(F.max(F.col("k") + F.abs("d"))).first()[0] or 0.0) + 1e-9
+
+        def step(x: DataFrame, shift: float, base=base, inner=inner) -> DataFrame:
+            near = inner.join(x.select(F.col("node").alias("dst"), "x"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("ax"))
+            wide = base.join(x, "node").join(near, "node", "left")
+            kx = F.sum(F.col("k") * F.col("x")).over(Window.partitionBy("c"))
+            raw = wide.withColumn("y", F.coalesce("ax", F.lit(0.0)) - F.col("k") * kx / m2 + (shift - F.col("d")) * F.col("x"))
+            top = F.max(F.abs("y")).over(Window.partitionBy("c"))
+            return raw.select("node", F.coalesce(F.try_divide(F.col("y"), top), F.lit(0.0)).alias("x"))
+
+        seed = base.select("node", (F.pmod(F.xxhash64("node"), F.lit(1000)) / 1000.0 - 0.5).alias("x"))
+        for share in (0.3, 2.0):  # a small shift settles soon; where it finds the other end of the spectrum, a sure one
+            x = settled(seed, lambda x, s=share * widest: step(x, s), False, every=3, tolerance=5e-3)
+            after = step(x, 0.0).withColumnRenamed("x", "y").join(x, "node").agg(F.min(F.col("x") * F.col("y")).alias("m"), F.sum(F.col("x") * F.col("y")).alias("s")).first()
+            if (after.s or 0.0) > 0:
+                break
+        side = cut(base.join(x, "node").select("node", "c", "k", "d", (F.col("x") >= 0).alias("side")))
+        # The gain of a split: s'Bs over twice the weight, s being 1 and -1.
+        s = F.when(F.col("side"), 1.0).otherwise(-1.0)
+        sign = side.select("node", s.alias("s"))
+        pair = inner.join(sign.select(F.col("node").alias("src"), F.col("s").alias("sa")), "src").join(sign.select(F.col("node").alias("dst"), F.col("s").alias("sb")), "dst").join(side.select(F.col("node").alias("src"), "c"), "src").groupBy("c").agg(F.sum(F.col("w") * F.col("sa") * F.col("sb")).alias("q"))
+        sums = side.groupBy("c").agg(F.sum(F.col("k") * s).alias("ks"), F.sum("d").alias("d"), F.countDistinct("side").alias("n"))
+        gain = sums.join(pair, "c", "left").select("c", ((F.col("n") == 2) & (F.coalesce("q", F.lit(0.0)) - F.col("ks") * F.col("ks") / m2 - F.col("d") > 1e-9)).alias("split"))
+        placed = side.join(gain, "c").select("node", "k", "c", "side", "split")
+        named = placed.withColumn("new", F.min("node").over(Window.partitionBy("c", "side")))
+        now = named.select("node", "k", F.when(F.col("split"), F.col("new")).otherwise(F.col("c")).alias("c"), F.col("split").alias("open"))
+        member = cut(member.filter("not open").select("node", "k", "c", "open").unionByName(now))
+        if member.filter("open").isEmpty():
+            return member.select("node", F.col("c").alias("community"))
+    raise RuntimeError("splits did not end")
 
 
 #: Methods by name, each (net) -> (node, community).
-METHODS = {"louvain": louvain, "label_propagation": label_propagation, "fast_greedy": fast_greedy, "edge_betweenness": edge_removal, "leading_eigenvector": leading_eigenvector}
+METHODS = {"louvain": louvain, "leiden": leiden, "label_propagation": label_propagation, "fast_greedy": fast_greedy, "edge_betweenness": edge_removal, "leading_eigenvector": leading_eigenvector}
 
 
 def communities(net: Network, method: str = "louvain", **options) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..network import Network
+from ..session import cut
 
 
 def _ends(net: Network, mode: str) -> DataFrame:
@@ -64,6 +65,31 @@ def laplacian(net: Network) -> DataFrame:
     return deg.join(near, "node", "left").select("node", (F.col("degree") * F.col("degree") + F.col("degree") + 2 * F.coalesce("s", F.lit(0))).cast("double").alias("laplacian"))
 
 
+def voterank(net: Network, top: int | None = None) -> DataFrame:
+    """(node, voterank): nodes elected one after the other by the votes of their (in-)neighbours, the first 1, later ones less.
+
+    The elected vote no more, and the votes of their (out-)neighbours lose one over the
+    mean degree. Ties go by node. A round is a job; `top` ends the election early
+    (others 0), as do votes that have run out: the rest then follow by node.
+    """
+    arcs = cut(net.arcs().filter("src <> dst").select("src", "dst").distinct())
+    state = cut(net.nodes.select("node", F.lit(1.0).alias("power"), F.lit(None).cast("long").alias("rank")))
+    n = state.count()
+    mean = degree(net).agg(F.avg("degree")).first()[0] or 1.0
+    for turn in range(1, n + 1 if top is None else min(n, top) + 1):
+        free = state.filter("rank is null")
+        votes = arcs.join(free.select(F.col("node").alias("src"), "power"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("power").alias("votes"))
+        best = free.join(votes, "node").filter("votes > 1e-12").orderBy(F.desc(F.round("votes", 9)), "node").first()
+        if best is None:
+            order = Window.partitionBy(F.col("rank").isNull()).orderBy("node")
+            state = state.withColumn("rank", F.coalesce("rank", F.lit(turn - 1) + F.row_number().over(order)))
+            break
+        hit = arcs.filter(F.col("src") == best.node).select(F.col("dst").alias("node"), F.lit(1.0 / mean).alias("less"))
+        state = cut(state.join(hit, "node", "left").select("node", F.greatest(F.col("power") - F.coalesce("less", F.lit(0.0)), F.lit(0.0)).alias("power"), F.when(F.col("node") == best.node, F.lit(turn)).otherwise(F.col("rank")).cast("long").alias("rank")), state)
+    last = state.agg(F.max("rank").alias("m"))
+    return state.join(last, how="cross").select("node", F.coalesce((F.col("m") + 1 - F.col("rank")) / F.col("m"), F.lit(0.0)).alias("voterank"))
+
+
 def degree_distribution(net: Network, mode: str = "all") -> DataFrame:
     """How many nodes have each degree, and the share of nodes up to it."""
     counts = degree(net, mode).groupBy("degree").agg(F.count("*").alias("nodes"))

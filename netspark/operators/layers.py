@@ -29,13 +29,22 @@ def layer_similarity(one: DataFrame, two: DataFrame, n_nodes: int) -> DataFrame:
     )
 
 
-def layer_similarity_matrix(layers: DataFrame) -> DataFrame:
-    """(layer_a, layer_b, jaccard) of all ordered pairs of layers, on edges above 0; 1 with itself."""
-    e = layers.filter("weight > 0").select("layer", "src", "dst").distinct()
-    sizes = e.groupBy("layer").agg(F.count("*").alias("n"))
-    both = e.alias("a").join(e.alias("b"), (F.col("a.src") == F.col("b.src")) & (F.col("a.dst") == F.col("b.dst"))).groupBy(F.col("a.layer").alias("layer_a"), F.col("b.layer").alias("layer_b")).agg(F.count("*").alias("both"))
-    a, b = sizes.select(F.col("layer").alias("layer_a"), F.col("n").alias("na")), sizes.select(F.col("layer").alias("layer_b"), F.col("n").alias("nb"))
-    return a.join(b, how="cross").join(both, ["layer_a", "layer_b"], "left").fillna(0, ["both"]).select("layer_a", "layer_b", F.try_divide(F.col("both"), F.col("na") + F.col("nb") - F.col("both")).alias("jaccard"))
+def layer_similarity_matrix(layers: DataFrame, n_nodes: int) -> DataFrame:
+    """(layer_a, layer_b, jaccard, overlap, cosine, pearson) of all ordered pairs of layers, 1 with itself: as `layer_similarity`, from sums over the filled cells."""
+    e = layers.groupBy("layer", "src", "dst").agg(F.sum("weight").alias("w"))
+    up = (F.col("w") > 0).cast("long")
+    own = e.groupBy("layer").agg(F.sum(up).alias("n"), F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q"))
+    both = e.alias("a").join(e.alias("b"), (F.col("a.src") == F.col("b.src")) & (F.col("a.dst") == F.col("b.dst"))).groupBy(F.col("a.layer").alias("layer_a"), F.col("b.layer").alias("layer_b")).agg(F.sum(((F.col("a.w") > 0) & (F.col("b.w") > 0)).cast("long")).alias("both"), F.sum(F.col("a.w") * F.col("b.w")).alias("sxy"))
+    a, b = [own.select(F.col("layer").alias(f"layer_{x}"), *[F.col(c).alias(f"{c}{x}") for c in "nsq"]) for x in "ab"]
+    cells = float(n_nodes) ** 2
+    pairs = a.join(b, how="cross").join(both, ["layer_a", "layer_b"], "left").fillna(0, ["both"]).fillna(0.0, ["sxy"])
+    spread = (cells * F.col("qa") - F.col("sa") * F.col("sa")) * (cells * F.col("qb") - F.col("sb") * F.col("sb"))
+    found = {
+        "jaccard": F.try_divide(F.col("both"), F.col("na") + F.col("nb") - F.col("both")), "overlap": F.try_divide(F.col("both"), F.least("na", "nb")),
+        "cosine": F.try_divide(F.col("sxy"), F.sqrt(F.col("qa") * F.col("qb"))), "pearson": F.when(spread > 0, F.try_divide(cells * F.col("sxy") - F.col("sa") * F.col("sb"), F.sqrt(spread))),
+    }
+    same = F.col("layer_a") == F.col("layer_b")
+    return pairs.select("layer_a", "layer_b", *[F.when(same, 1.0).otherwise(v).alias(m) for m, v in found.items()])
 
 
 def layer_degree_correlation(layers: DataFrame, nodes: DataFrame, mode: str = "total") -> DataFrame:
@@ -47,11 +56,13 @@ def layer_degree_correlation(layers: DataFrame, nodes: DataFrame, mode: str = "t
     return s.alias("a").join(s.alias("b"), F.col("a.node") == F.col("b.node")).groupBy(F.col("a.layer").alias("layer_a"), F.col("b.layer").alias("layer_b")).agg(pearson(F.col("a.s"), F.col("b.s")).alias("correlation"))
 
 
-def supra_adjacency(layers: DataFrame, nodes: DataFrame, omega: float = 1.0, coupling: str = "diagonal") -> DataFrame:
-    """(src_layer, src, dst_layer, dst, weight): the layers' edges and couplings between different layers, diagonal or full."""
+def supra_adjacency(layers: DataFrame, nodes: DataFrame, omega: float = 1.0, coupling: str | DataFrame = "diagonal") -> DataFrame:
+    """(src_layer, src, dst_layer, dst, weight): the layers' edges and couplings between different layers: diagonal, full, or own (src, dst, weight) times omega."""
     intra = layers.select(F.col("layer").alias("src_layer"), "src", F.col("layer").alias("dst_layer"), "dst", F.col("weight").cast("double").alias("weight"))
     names = layers.select("layer").distinct()
     pairs = names.select(F.col("layer").alias("src_layer")).join(names.select(F.col("layer").alias("dst_layer")), F.col("src_layer") != F.col("dst_layer"))
+    if isinstance(coupling, DataFrame):
+        return intra.unionByName(pairs.join(coupling.select("src", "dst", (omega * F.col("weight")).alias("weight")), how="cross"))
     ends = nodes.select(F.col("node").alias("src"))
     ends = ends.withColumn("dst", F.col("src")) if coupling == "diagonal" else ends.join(nodes.select(F.col("node").alias("dst")), how="cross")
     return intra.unionByName(pairs.join(ends, how="cross").withColumn("weight", F.lit(float(omega))))

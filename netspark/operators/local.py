@@ -78,7 +78,7 @@ def rich_club(net: Network, k: int | None = None) -> DataFrame:
     return rich.agg(F.count("*").alias("n")).join(linked, how="cross").join(limit, how="cross").select("limit", "n", "m", F.try_divide(2 * F.col("m"), F.col("n") * (F.col("n") - 1)).alias("phi"))
 
 
-def clique_size(net: Network, most: int = 64) -> DataFrame:
+def clique_size(net: Network) -> DataFrame:
     """Size of the largest clique, by growing all cliques of a size by joins.
 
     A state is the set of nodes that can still extend a clique; memory follows
@@ -88,11 +88,11 @@ def clique_size(net: Network, most: int = 64) -> DataFrame:
 
     after = net.simple().groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("next"))
     best, state = (1 if not net.nodes.isEmpty() else 0), after.select(F.col("next").alias("can"))
-    for size in range(2, most):
+    while True:
         state = cut(state)
         if state.isEmpty():
             break
-        best = size
+        best += 1
         grown = state.select("can", F.explode("can").alias("x")).join(after, F.col("x") == F.col("src"))
         state = grown.select(F.array_intersect("can", "next").alias("can")).filter(F.size("can") > 0)
     return net.nodes.sparkSession.range(1).select(F.lit(best).cast("long").alias("clique_size"))

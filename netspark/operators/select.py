@@ -72,8 +72,8 @@ def filter_nodes(net: Network, *predicates: str, keep_edges: bool = True) -> Net
     return net.with_nodes(wide.select(*net.nodes.columns), keep_edges)
 
 
-def select_nodes(net: Network, *predicates: str, name: list | None = None, top: int | None = None, by: str = "degree", neighbors_of: list | None = None, order: int = 1, component=None, keep_edges: bool = True) -> Network:
-    """Name, component, neighbours, top and predicates, one after the other on what is left.
+def select_nodes(net: Network, *predicates: str, name: list | None = None, index: list[int] | None = None, top: int | None = None, by: str = "degree", neighbors_of: list | None = None, order: int = 1, component=None, keep_edges: bool = True) -> Network:
+    """Name, index (from 1, in the order of the nodes), component, neighbours, top and predicates, one after the other on what is left.
 
     Measures are those of the whole network; ties of `top` go by node.
     component: "largest" or a node.
@@ -81,6 +81,9 @@ def select_nodes(net: Network, *predicates: str, name: list | None = None, top:
     nodes = net.nodes
     if name is not None:
         nodes = nodes.filter(F.col("node").isin(list(name)))
+    if index is not None:
+        numbered = net.nodes.select("node").withColumn("__i", F.row_number().over(Window.orderBy("node")))
+        nodes = nodes.join(numbered.filter(F.col("__i").isin(list(index))).select("node"), "node", "left_semi")
     if component is not None:
         if component == "largest":
             inside = structure.largest_component(net).nodes
@@ -148,6 +151,8 @@ EDGE_METRICS: dict[str, Callable[[Network, DataFrame], DataFrame]] = {
     "from_strength": lambda n, e: _end(e, degree.strength(n), "strength", "from"),
     "to_strength": lambda n, e: _end(e, degree.strength(n), "strength", "to"),
     "edge_betweenness": _edge_betweenness,
+    "from_label": lambda n, e: e.withColumn("from_label", F.col("src")),
+    "to_label": lambda n, e: e.withColumn("to_label", F.col("dst")),
     "is_bridge": lambda n, e: _pair_flag(e, structure.bridges(n), "is_bridge"),
     "is_mutual": _mutual,
     "same_community": _same_community,

@@ -1,15 +1,21 @@
 """Measures that iterate a matrix: each step is a join with the arcs and a sum.
 
-A step reads its input more than once, so each ends in a cut of the lineage.
+A few steps run as one job and end in a stored table; the loops go on until the
+values settle, and raise if they do not within `most` steps.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..network import Network
-from ..session import cut
+from ..session import cut, discard
+
+#: Steps between two stored tables, the largest change (relative to the largest value) that counts as settled, and the bound on steps.
+EVERY, TOLERANCE, MOST = 8, 1e-8, 3000
 
 
 def _start(net: Network, value: float = 1.0) -> DataFrame:
@@ -17,9 +23,10 @@ def _start(net: Network, value: float = 1.0) -> DataFrame:
 
 
 def _apply(x: DataFrame, arcs: DataFrame, weight: str = "weight") -> DataFrame:
-    """(node, y): y_v = sum over arcs u -> v of x_u * weight, 0 without arcs."""
-    moved = arcs.join(x, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("x") * F.col(weight)).alias("y"))
-    return x.select("node", "x").join(moved, F.col("node") == F.col("to"), "left").select("node", "x", F.coalesce("y", F.lit(0.0)).alias("y"))
+    """(node, x, y): y_v = sum over arcs u -> v of x_u * weight, 0 without arcs."""
+    own = x.select("node", "x", F.lit(None).cast("double").alias("y"))
+    moved = arcs.join(x, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), F.lit(None).cast("double").alias("x"), (F.col("x") * F.col(weight)).alias("y"))
+    return own.union(moved).groupBy("node").agg(F.max("x").alias("x"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("y")).filter("x is not null")
 
 
 def _weights(net: Network, weighted: bool) -> DataFrame:
@@ -29,24 +36,46 @@ def _weights(net: Network, weighted: bool) -> DataFrame:
     return cut(arcs.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
 
 
-def pagerank(net: Network, damping: float = 0.85, personalized: DataFrame | None = None, weighted: bool = True, steps: int = 50) -> DataFrame:
-    """(node, pagerank), summing to 1; personalized: (node, weight). Rank without out-arcs is dealt out like jumps."""
+def _even(arcs: DataFrame) -> DataFrame:
+    """Weights over the largest sum at a node, so that steps neither grow nor vanish soon."""
+    top = arcs.groupBy("src").agg(F.sum(F.abs("weight")).alias("s")).agg(F.max("s").alias("top"))
+    return cut(arcs.join(top, how="cross").select("src", "dst", (F.col("weight") / F.col("top")).alias("weight")))
+
+
+def settled(x: DataFrame, step: Callable[[DataFrame], DataFrame], scaled: bool, every: int = EVERY, tolerance: float = TOLERANCE, most: int = MOST) -> DataFrame:
+    """(node, x) when the steps change it no more; with `scaled` the largest is made 1 between the jobs."""
+    x, old = cut(x), None
+    for _ in range(0, most, every):
+        y = x
+        for _ in range(every):
+            y = step(y)
+        y = made = cut(y)
+        if scaled:
+            top = y.agg(F.max(F.abs("x")).alias("top"))
+            y = y.join(top, how="cross").select("node", F.coalesce(F.try_divide("x", "top"), F.lit(0.0)).alias("x"))
+        both = y.join(x.withColumnRenamed("x", "before"), "node").agg(F.max(F.abs(F.col("x") - F.col("before"))).alias("gap"), F.max(F.abs("x")).alias("top")).first()
+        if old is not None:
+            discard(old)
+        x, old = y, made
+        if both.gap is None or both.gap <= tolerance * max(both.top, 1e-300):
+            return x
+    raise RuntimeError(f"values still change after {most} steps")
+
+
+def pagerank(net: Network, damping: float = 0.85, personalized: DataFrame | None = None, weighted: bool = True, tolerance: float = TOLERANCE) -> DataFrame:
+    """(node, pagerank), summing to 1; personalized: (node, weight). Rank without out-arcs is dealt out like jumps.
+
+    Dealing it out only scales the solution, so the steps are z = r + damping P'z
+    with the jumps r, and the sum is made 1 at the end.
+    """
     arcs = _weights(net, weighted)
-    share = arcs.join(arcs.groupBy("src").agg(F.sum("weight").alias("s")), "src").select("src", "dst", (F.col("weight") / F.col("s")).alias("weight"))
-    if personalized is None:
-        n = net.nodes.agg(F.count("*").alias("n"))
-        jump = net.nodes.select("node").join(n, how="cross").select("node", (1 / F.col("n")).alias("r"))
-    else:
-        total = personalized.agg(F.sum("weight").alias("s"))
-        jump = net.nodes.select("node").join(personalized, "node", "left").join(total, how="cross").select("node", (F.coalesce("weight", F.lit(0.0)) / F.col("s")).alias("r"))
-    dangling = net.nodes.select("node").join(arcs.select(F.col("src").alias("node")), "node", "left_anti").select("node", F.lit(1.0).alias("stuck"))
-    base = cut(jump.join(dangling, "node", "left").select("node", "r", F.coalesce("stuck", F.lit(0.0)).alias("stuck")))
-    share, x = cut(share), base.select("node", F.col("r").alias("x"))
-    for _ in range(steps):
-        moved = cut(_apply(x, share).join(base, "node"))
-        lost = moved.agg(F.sum(F.col("x") * F.col("stuck")).alias("lost"))
-        x = moved.join(lost, how="cross").select("node", ((1 - damping) * F.col("r") + damping * (F.col("y") + F.col("lost") * F.col("r"))).alias("x"))
-    return x.withColumnRenamed("x", "pagerank")
+    share = cut(arcs.join(arcs.groupBy("src").agg(F.sum("weight").alias("s")), "src").select("src", "dst", (F.col("weight") / F.col("s")).alias("weight")))
+    jump = net.nodes.select("node", F.lit(1.0).alias("r")) if personalized is None else net.nodes.select("node").join(personalized, "node", "left").select("node", F.coalesce("weight", F.lit(0.0)).alias("r"))
+    total = jump.agg(F.sum("r").alias("s"))
+    jump = cut(jump.join(total, how="cross").select("node", (F.col("r") / F.col("s")).alias("r")))
+    z = settled(jump.withColumnRenamed("r", "x"), lambda x: _apply(x, share).join(jump, "node").select("node", (F.col("r") + damping * F.col("y")).alias("x")), False, tolerance=tolerance)
+    total = z.agg(F.sum("x").alias("s"))
+    return z.join(total, how="cross").select("node", (F.col("x") / F.col("s")).alias("pagerank"))
 
 
 def _scaled(x: DataFrame, column: str, out: str) -> DataFrame:
@@ -54,58 +83,62 @@ def _scaled(x: DataFrame, column: str, out: str) -> DataFrame:
     return x.join(top, how="cross").select("node", F.coalesce(F.try_divide(column, "top"), F.lit(0.0)).alias(out))
 
 
-def eigenvector(net: Network, weighted: bool = True, steps: int = 60) -> DataFrame:
+def eigenvector(net: Network, weighted: bool = True) -> DataFrame:
     """(node, eigenvector): dominant eigenvector by in-links, largest 1; A + I keeps bipartite networks from swinging."""
-    arcs, x = _weights(net, weighted), _start(net)
-    for _ in range(steps):
-        x = _scaled(_apply(x, arcs).withColumn("z", F.col("x") + F.col("y")), "z", "x")
-        x = cut(x)
-    return x.withColumnRenamed("x", "eigenvector")
+    arcs = _even(_weights(net, weighted))
+    return settled(_start(net), lambda x: _apply(x, arcs).select("node", (F.col("x") + F.col("y")).alias("x")), True).withColumnRenamed("x", "eigenvector")
 
 
-def hits(net: Network, weighted: bool = True, steps: int = 40) -> DataFrame:
+def hits(net: Network, weighted: bool = True) -> DataFrame:
     """(node, hub, authority), each with largest 1."""
+    arcs = _even(_weights(net, weighted))
+    back = arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    only = lambda x: x.select("node", F.col("y").alias("x"))
+    hub = settled(_start(net), lambda x: only(_apply(only(_apply(x, arcs)), back)), True, every=EVERY // 2)
+    authority = _scaled(_apply(hub, arcs), "y", "authority")
+    return hub.withColumnRenamed("x", "hub").join(authority, "node")
+
+
+def hits_value(net: Network, weighted: bool = True) -> DataFrame:
+    """One row (value): the largest eigenvalue of A A', to which both scores of `hits` belong."""
     arcs = _weights(net, weighted)
     back = arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    hub = authority = _start(net)
-    for _ in range(steps):
-        authority = cut(_scaled(_apply(hub, arcs), "y", "x"))
-        hub = _scaled(_apply(authority, back), "y", "x")
-        hub = cut(hub)
-    authority = _scaled(_apply(hub, arcs), "y", "x")
-    return hub.withColumnRenamed("x", "hub").join(authority.withColumnRenamed("x", "authority"), "node")
-
-
-def alpha_centrality(net: Network, alpha: float = 0.1, exogenous: float = 1.0, weighted: bool = False, steps: int = 60) -> DataFrame:
-    """x = alpha A'x + e by fixed point; alpha must be below one over the spectral radius."""
-    arcs, x = _weights(net, weighted), _start(net, exogenous)
-    for _ in range(steps):
-        x = _apply(x, arcs).select("node", (alpha * F.col("y") + exogenous).alias("x"))
-        x = cut(x)
-    return x.withColumnRenamed("x", "alpha")
-
-
-def power_centrality(net: Network, exponent: float = 0.1, weighted: bool = False, steps: int = 60) -> DataFrame:
-    """Bonacich power c = A(1 + exponent c), scaled so that squares sum to n; converges for small exponents."""
+    hub = hits(net, weighted).select("node", F.col("hub").alias("x"))
+    there = _apply(hub, arcs).select("node", F.col("y").alias("x"))
+    return _apply(there, back).agg(F.coalesce(F.max("y"), F.lit(0.0)).alias("value"))
+
+
+def alpha_centrality(net: Network, alpha: float = 0.1, exogenous: float = 1.0, weighted: bool = False) -> DataFrame:
+    """x = alpha A'x + e by fixed point; raises where alpha is not below one over the spectral radius."""
+    arcs = _weights(net, weighted)
+    return settled(_start(net, exogenous), lambda x: _apply(x, arcs).select("node", (alpha * F.col("y") + exogenous).alias("x")), False, most=600).withColumnRenamed("x", "alpha")
+
+
+def power_centrality(net: Network, exponent: float = 0.1, weighted: bool = False) -> DataFrame:
+    """Bonacich power c = A(1 + exponent c), scaled so that squares sum to n; raises where the steps grow."""
     arcs = _weights(net, weighted).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    x = _start(net, 0.0)
-    for _ in range(steps):
-        x = _apply(x.select("node", (1 + exponent * F.col("x")).alias("x")), arcs).select("node", F.col("y").alias("x"))
-        x = cut(x)
+    x = settled(_start(net, 0.0), lambda x: _apply(x.select("node", (1 + exponent * F.col("x")).alias("x")), arcs).select("node", F.col("y").alias("x")), False, most=600)
     norm = x.agg(F.sqrt(F.try_divide(F.count("*"), F.sum(F.col("x") * F.col("x")))).alias("f"))
     return x.join(norm, how="cross").select("node", (F.col("x") * F.coalesce("f", F.lit(0.0))).alias("power"))
 
 
-def subgraph_centrality(net: Network, terms: int = 25) -> DataFrame:
+def subgraph_centrality(net: Network, tolerance: float = 1e-12, most: int = 500) -> DataFrame:
     """Closed walks at each node, those of length k weighed by 1 / k!: the diagonal of exp(A), loops left out.
 
-    The state is a row for each pair of nodes on a walk.
+    The state is a row for each pair of nodes on a walk; terms are added until all
+    walks of a length together weigh less than `tolerance` of what is there.
     """
     arcs = cut(Network(net.nodes, net.edges.filter("src <> dst"), net.directed).arcs().select("src", "dst").distinct())
     walks = net.nodes.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("c"))
-    total = net.nodes.select("node", F.lit(1.0).alias("c"))
-    for k in range(1, terms + 1):
-        walks = walks.join(arcs, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg((F.sum("c") / k).alias("c"))
-        walks = cut(walks)
+    total, sum_, last = net.nodes.select("node", F.lit(1.0).alias("c")), 1.0, None
+    for k in range(1, most):
+        walks = cut(walks.join(arcs, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg((F.sum("c") / k).alias("c")))
         total = total.union(walks.filter("source = node").select("node", "c"))
+        row = walks.agg(F.max("c").alias("m")).first().m or 0.0
+        sum_ += row
+        if row <= tolerance * sum_ and last is not None and row <= last:
+            break
+        last = row
+    else:
+        raise RuntimeError("walks still matter")
     return total.groupBy("node").agg(F.sum("c").alias("subgraph"))

@@ -27,18 +27,21 @@ def largest_component(net: Network) -> Network:
     return net.with_nodes(net.nodes.join(of.join(best, "component", "left_semi"), "node", "left_semi"))
 
 
-def coreness(net: Network, most_rounds: int = 1000) -> DataFrame:
-    """(node, coreness) of the simple undirected network: each node takes the h-index of its neighbours' values until none falls."""
+def coreness(net: Network, most_rounds: int = 10_000) -> DataFrame:
+    """(node, coreness) of the simple undirected network: each node takes the h-index of its neighbours' values until none falls.
+
+    Neighbours are counted by value first, so a hub costs a row for each different value around it.
+    """
     around = cut(net.around())
     core = cut(around.groupBy("node").agg(F.count("*").alias("core")))
     for _ in range(most_rounds):
-        theirs = around.join(core.select(F.col("node").alias("other"), F.col("core").alias("c")), "other")
-        ranked = theirs.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("c"))))
-        nxt = cut(ranked.groupBy("node").agg(F.max(F.when(F.col("c") >= F.col("r"), F.col("r")).otherwise(0)).cast("long").alias("h")).join(core, "node").select("node", F.least("h", "core").alias("core"), (F.col("h") < F.col("core")).alias("fell")))
-        done = nxt.filter("fell").isEmpty()
-        core = nxt.select("node", "core")
-        if done:
+        theirs = around.join(core.select(F.col("node").alias("other"), F.col("core").alias("c")), "other").groupBy("node", "c").agg(F.count("*").alias("n"))
+        upto = theirs.withColumn("r", F.sum("n").over(Window.partitionBy("node").orderBy(F.desc("c"))))
+        core = cut(upto.groupBy("node").agg(F.max(F.least("c", "r")).cast("long").alias("h")).join(core, "node").select("node", F.least("h", "core").alias("core"), (F.col("h") < F.col("core")).alias("fell")), core)
+        if core.filter("fell").isEmpty():
             break
+    else:
+        raise RuntimeError("cores did not settle")
     return net.nodes.select("node").join(core, "node", "left").select("node", F.coalesce("core", F.lit(0)).cast("long").alias("coreness"))
 
 

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..network import Network, simplify
-from ..operators import cluster, degree, local, paths, spectral, structure
+from ..operators import cluster, degree, flow, local, paths, spectral, structure
 from ..operators.select import NODE_METRICS
+from ..session import cut
 
 #: Measures of `centrality` beside those that selections may name.
 MORE = {
     "eccentricity": paths.eccentricity, "kreach": paths.kreach, "load": paths.load, "percolation": paths.percolation, "diffusion": degree.diffusion, "leverage": degree.leverage,
+    "voterank": degree.voterank, "current_flow_closeness": flow.current_flow_closeness, "current_flow_betweenness": flow.current_flow_betweenness,
     "laplacian": degree.laplacian, "constraint": local.constraint, "alpha": spectral.alpha_centrality, "power": spectral.power_centrality, "subgraph": spectral.subgraph_centrality,
 }
 MEASURES = {**NODE_METRICS, **MORE}
@@ -34,13 +36,47 @@ def centrality(net: Network, measures: list[str], normalized: bool = False, loop
     return out.orderBy(F.col(sort_by).desc_nulls_last(), "node") if sort_by else out
 
 
-def network_summary(net: Network) -> DataFrame:
-    """One row: node_count, edge_count, component_count and the network's measures."""
+def _centralization(values: DataFrame, value: str, most, name: str) -> DataFrame:
+    """Sum of distances from the largest value over the most that it can be, a function of n."""
+    found = values.agg(F.count("*").cast("double").alias("n"), F.max(value).alias("top"), F.sum(value).alias("s"))
+    return found.select(F.try_divide(F.col("n") * F.col("top") - F.col("s"), most(F.col("n"))).alias(name))
+
+
+def network_summary(net: Network, weighted: bool = True, detailed: bool = False, extended: bool = False) -> DataFrame:
+    """One row: counts, distances, centralizations, and the measures of the whole network.
+
+    extended adds girth, radius, clique size, cut vertices, bridges and efficiencies;
+    detailed adds means of the nodes' measures. Minimum cuts and vertex
+    connectivity are not among them.
+    """
     flat = simplify(net)
+    flat = Network(cut(flat.nodes), cut(flat.edges.select("src", "dst", "weight")), flat.directed, flat.meta)
+    directed = flat.directed
+    path = cut(paths.path_summary(flat, weighted))
+    none = lambda name: flat.nodes.agg(F.lit(None).cast("double").alias(name))
+    side = lambda mode: degree.centralization_degree(flat, mode).withColumnRenamed("centralization", f"centralization_{mode}_degree") if directed else none(f"centralization_{mode}_degree")
+    close = paths.closeness(flat, "all", normalized=True).select(F.coalesce(F.nanvl("closeness", F.lit(0.0)), F.lit(0.0)).alias("c"))
+    hub = spectral.hits_value(flat, weighted).select(F.col("value").alias("hub_score"), F.col("value").alias("authority_score"))
     parts = [
-        flat.nodes.agg(F.count("*").alias("node_count")), flat.edges.agg(F.count("*").alias("edge_count")), structure.components(flat).agg(F.countDistinct("component").alias("component_count")),
-        degree.density(flat), degree.reciprocity(flat), degree.assortativity(flat), degree.centralization_degree(flat), local.transitivity_global(flat), paths.path_summary(flat),
+        flat.nodes.agg(F.count("*").alias("node_count")), flat.edges.agg(F.count("*").alias("edge_count")), degree.density(flat), structure.components(flat).agg(F.countDistinct("component").alias("component_count")),
+        path.select("diameter", "mean_distance"), degree.centralization_degree(flat).withColumnRenamed("centralization", "centralization_degree"), side("in"), side("out"),
+        _centralization(paths.betweenness(flat), "betweenness", lambda n: (n - 1) * (n - 1) * (n - 2) / (1 if directed else 2), "centralization_betweenness"),
+        _centralization(close, "c", lambda n: (n - 1) * (n - 2) / (2 * n - 3), "centralization_closeness"),
+        _centralization(spectral.eigenvector(flat, weighted=False), "eigenvector", lambda n: n - (1 if directed else 2), "centralization_eigen"),
+        local.transitivity_global(flat), degree.reciprocity(flat) if directed else none("reciprocity"), degree.assortativity(flat).withColumnRenamed("assortativity", "assortativity_degree"), hub,
     ]
+    if extended:
+        parts += [
+            paths.girth(flat), path.select("radius"), local.clique_size(flat).withColumnRenamed("clique_size", "largest_clique_size"), structure.cut_vertices(flat).agg(F.count("*").alias("cut_vertex_count")),
+            structure.bridges(flat).agg(F.count("*").alias("bridge_count")), path.select("global_efficiency"), paths.local_efficiency(flat).agg(F.avg("efficiency").alias("local_efficiency")),
+        ]
+    if detailed:
+        mean = lambda df, column, name: df.agg(F.avg(F.when(~F.isnan(F.col(column).cast("double")), F.col(column))).alias(f"mean_{name}"))
+        parts += [
+            degree.degree(flat).agg(F.avg("degree").alias("mean_degree"), F.stddev_samp("degree").alias("sd_degree"), F.median("degree").alias("median_degree")), degree.strength(flat).agg(F.avg("strength").alias("mean_strength"), F.stddev_samp("strength").alias("sd_strength")),
+            mean(paths.betweenness(flat, weighted), "betweenness", "betweenness"), mean(paths.closeness(flat, "all", weighted=weighted), "closeness", "closeness"), mean(spectral.eigenvector(flat, weighted), "eigenvector", "eigenvector"),
+            mean(spectral.pagerank(flat, weighted=weighted), "pagerank", "pagerank"), mean(local.constraint(flat), "constraint", "constraint"), mean(local.transitivity_local(flat), "transitivity", "local_transitivity"),
+        ]
     return reduce(lambda a, b: a.join(b, how="cross"), parts)
 
 

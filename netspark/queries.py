@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import scales
 from .network import Network, adjacency, duplicate_edges, merge_duplicates
-from .operators import cluster, community, degree, layers, layout, local, paths, resample, robustness, select, sequences, spectral, structure
+from .operators import cluster, community, degree, flow, layers, layout, local, paths, resample, robustness, select, sequences, spectral, structure
 from .plans import summary
 from .sources import tables
 
@@ -140,7 +140,10 @@ SELECT v.node, coalesce(round(sum(power(p.p + coalesce(q, 0), 2)), 6), 'nan'::DO
 query("rich_club", on(tables.trade_flat, local.rich_club), f"""
 WITH {DEG}, m AS (SELECT median(k)::DOUBLE AS lim FROM k), r AS (SELECT node FROM k, m WHERE k > lim)
 SELECT lim AS "limit", n, m2 AS m, round(2 * m2 / nullif(n * (n - 1), 0), 6) AS phi FROM m, (SELECT count(*) AS n FROM r), (SELECT count(*) AS m2 FROM u WHERE a IN (SELECT node FROM r) AND b IN (SELECT node FROM r))""")
-query("clique_size", on(tables.trade_flat, local.clique_size))
+query("clique_size", on(tables.trade_flat, local.clique_size), f"""
+WITH RECURSIVE {FLAT}, adj AS (SELECT node, list(other) AS others FROM s GROUP BY 1),
+cl(last, members) AS (SELECT node, [node] FROM v UNION ALL SELECT a.node, list_append(cl.members, a.node) FROM cl JOIN adj a ON a.node > cl.last AND list_has_all(a.others, cl.members))
+SELECT max(len(members))::BIGINT AS clique_size FROM cl""")
 
 # --- selection -------------------------------------------------------------------
 query("filter_edges", on(tables.trade, lambda n: edges_of(select.filter_edges(n, "weight > 900", "src <> dst"))), f"WITH {TRADE} SELECT * FROM t WHERE weight > 900 AND src <> dst")
@@ -204,9 +207,11 @@ TWO = LAYERS + ", xy AS (SELECT coalesce(a.src, b.src) AS src, coalesce(a.dst, b
 query("layer_similarity", lambda s, d: rounded(layers.layer_similarity(*_two(s, d), 25)), f"""
 WITH {TWO}, k AS (SELECT count(*) FILTER (x > 0 AND y > 0) AS b, count(*) FILTER (x > 0 OR y > 0) AS a, count(*) FILTER (x > 0) AS nx, count(*) FILTER (y > 0) AS ny, sum(x) AS sx, sum(y) AS sy, sum(x * y) AS sxy, sum(x * x) AS sxx, sum(y * y) AS syy FROM xy)
 SELECT round(b / a, 6) AS jaccard, round(b / least(nx, ny), 6) AS overlap, (a - b)::BIGINT AS hamming, round(sxy / sqrt(sxx * syy), 6) AS cosine, round((625 * sxy - sx * sy) / sqrt((625 * sxx - sx * sx) * (625 * syy - sy * sy)), 6) AS pearson FROM k""")
-query("layer_similarity_matrix", lambda s, d: rounded(layers.layer_similarity_matrix(tables.trade_layers(s, d))), f"""
-WITH {LAYERS}, n AS (SELECT layer, count(*) AS n FROM l GROUP BY 1)
-SELECT x.layer AS layer_a, y.layer AS layer_b, round(k / (x.n + y.n - k), 6) AS jaccard FROM n x, n y, LATERAL (SELECT count(*) AS k FROM l a JOIN l b ON a.src = b.src AND a.dst = b.dst WHERE a.layer = x.layer AND b.layer = y.layer)""")
+query("layer_similarity_matrix", lambda s, d: rounded(layers.layer_similarity_matrix(tables.trade_layers(s, d), 25)), f"""
+WITH {LAYERS}, g AS (SELECT DISTINCT layer FROM l), d AS (SELECT g.layer, a.node AS src, b.node AS dst, coalesce(weight, 0) AS w FROM g CROSS JOIN v a CROSS JOIN v b LEFT JOIN l ON l.layer = g.layer AND l.src = a.node AND l.dst = b.node)
+SELECT x.layer AS layer_a, y.layer AS layer_b, round(count(*) FILTER (x.w > 0 AND y.w > 0) / count(*) FILTER (x.w > 0 OR y.w > 0), 6) AS jaccard,
+round(count(*) FILTER (x.w > 0 AND y.w > 0) / least(count(*) FILTER (x.w > 0), count(*) FILTER (y.w > 0)), 6) AS overlap,
+round(sum(x.w * y.w) / sqrt(sum(x.w * x.w) * sum(y.w * y.w)), 6) AS cosine, round(corr(x.w, y.w), 6) AS pearson FROM d x JOIN d y ON x.src = y.src AND x.dst = y.dst GROUP BY 1, 2""")
 query("layer_degree_correlation", lambda s, d: rounded(layers.layer_degree_correlation(tables.trade_layers(s, d), tables.nation_nodes(s, d))), f"""
 WITH {LAYERS}, h AS (SELECT layer, src AS node, weight FROM l UNION ALL SELECT layer, dst, weight FROM l),
 k AS (SELECT g.layer, v.node, coalesce(sum(weight), 0) AS s FROM (SELECT DISTINCT layer FROM l) g CROSS JOIN v LEFT JOIN h ON h.layer = g.layer AND h.node = v.node GROUP BY 1, 2)
@@ -268,7 +273,8 @@ query("eccentricity", on(tables.trade_top, lambda n: paths.eccentricity(n, "out"
 query("kreach_hops", on(tables.trade_top, lambda n: paths.kreach(n, 2, "out")), f"{_R} SELECT v.node, count(dist)::DOUBLE AS kreach FROM v LEFT JOIN dp ON source = v.node AND dist <= 2 GROUP BY 1")
 query("path_summary", on(tables.trade_top, paths.path_summary), f"""{_R}, ec AS (SELECT source, max(dist) AS e FROM dd GROUP BY 1)
 SELECT (SELECT min(e) FROM ec) AS radius, (SELECT max(e) FROM ec) AS diameter, round((SELECT avg(dist) FROM dp), 6) AS mean_distance, round((SELECT sum(1 / dist) FROM dp) / (n * (n - 1)), 6) AS global_efficiency FROM (SELECT count(*) AS n FROM v)""")
-query("distances_weighted", on(tables.trade_top, lambda n: paths.distances(n, weighted=True, invert=True)))
+_RELAX = "r0 AS MATERIALIZED (SELECT node AS source, node, 0.0::DOUBLE AS d FROM v)" + "".join(f", r{i} AS MATERIALIZED (SELECT source, node, min(d) AS d FROM (SELECT * FROM r{i - 1} UNION ALL SELECT source, dst, d + 1 / weight FROM r{i - 1} JOIN e ON src = node) GROUP BY 1, 2)" for i in range(1, 25))
+query("distances_weighted", on(tables.trade_top, lambda n: paths.distances(n, weighted=True, invert=True)), f"WITH {TOP}, {_RELAX} SELECT source, node, round(d, 6) AS dist FROM r24")
 
 _SIGMA = "s0 AS (SELECT source, node, 1.0::DOUBLE AS g FROM dd WHERE dist = 0)" + "".join(f", s{i} AS (SELECT * FROM s{i - 1} UNION ALL SELECT y.source, y.node, sum(x.g) FROM dd y JOIN e ON e.dst = y.node JOIN dd z ON z.source = y.source AND z.node = e.src AND z.dist = {i} - 1 JOIN s{i - 1} x ON x.source = y.source AND x.node = e.src WHERE y.dist = {i} GROUP BY 1, 2)" for i in range(1, 11))
 query("betweenness", on(tables.trade_top, paths.betweenness), f"""{_R}, {_SIGMA}, b AS (SELECT m.node, sum(sm.g * mt.g / st.g) AS b FROM dp st0 JOIN s10 st ON st.source = st0.source AND st.node = st0.node
@@ -277,30 +283,77 @@ SELECT v.node, round(coalesce(b, 0), 6) AS betweenness FROM v LEFT JOIN b USING
 query("edge_betweenness", on(tables.trade_top, paths.edge_betweenness), f"""{_R}, {_SIGMA}, b AS (SELECT e.src, e.dst, sum(sm.g * mt.g / st.g) AS b FROM dp st0 JOIN s10 st ON st.source = st0.source AND st.node = st0.node
 JOIN dd m ON m.source = st0.source JOIN s10 sm ON sm.source = m.source AND sm.node = m.node JOIN e ON e.src = m.node JOIN dd t2 ON t2.source = e.dst AND t2.node = st0.node AND m.dist + 1 + t2.dist = st0.dist JOIN s10 mt ON mt.source = t2.source AND mt.node = t2.node GROUP BY 1, 2)
 SELECT src, dst, round(b, 6) AS betweenness FROM b""")
-query("load", on(tables.trade_flat, paths.load))
-query("percolation", on(tables.trade_flat, paths.percolation))
-query("girth", on(tables.trade_flat, paths.girth))
-query("local_efficiency", on(tables.trade_flat, paths.local_efficiency))
+#: The same over the undirected network, whose edges both ways take the place of e.
+_F = f"WITH RECURSIVE {DIST.replace(TOP, FLAT).replace('JOIN e ON e.src = node', 'JOIN (SELECT node AS src, other AS dst FROM s) e ON e.src = node')}"
+_ARC = "tight AS (SELECT x.source, s.node AS u, s.other AS w, y.dist FROM s JOIN dd x ON x.node = s.node JOIN dd y ON y.source = x.source AND y.node = s.other AND y.dist = x.dist + 1)"
+_GAMMA = "g0 AS MATERIALIZED (SELECT source, node, 1.0::DOUBLE AS g FROM dd WHERE dist = 0)" + "".join(f", g{i} AS MATERIALIZED (SELECT * FROM g{i - 1} UNION ALL SELECT t.source, t.w, sum(g) FROM tight t JOIN g{i - 1} x ON x.source = t.source AND x.node = t.u WHERE t.dist = {i} GROUP BY 1, 2)" for i in range(1, 9))
+_THROUGH = "b AS (SELECT m.node, sum(sm.g * mt.g / st.g) AS b FROM dp st0 JOIN g8 st ON st.source = st0.source AND st.node = st0.node JOIN dp m ON m.source = st0.source JOIN g8 sm ON sm.source = m.source AND sm.node = m.node JOIN dp t2 ON t2.source = m.node AND t2.node = st0.node AND m.dist + t2.dist = st0.dist JOIN g8 mt ON mt.source = t2.source AND mt.node = t2.node GROUP BY 1)"
+_LOADS = "np AS (SELECT source, w, count(*) AS n FROM tight GROUP BY 1, 2), h8 AS MATERIALIZED (SELECT source, node, 0.0::DOUBLE AS h FROM dd WHERE dist >= 8)" + "".join(f", h{i} AS MATERIALIZED (SELECT * FROM h{i + 1} UNION ALL SELECT dd.source, dd.node, coalesce(sum((1 + h.h) / np.n), 0) FROM dd LEFT JOIN tight t ON t.source = dd.source AND t.u = dd.node LEFT JOIN h{i + 1} h ON h.source = t.source AND h.node = t.w LEFT JOIN np ON np.source = t.source AND np.w = t.w WHERE dd.dist = {i} GROUP BY 1, 2)" for i in range(7, -1, -1))
+query("load", on(tables.trade_flat, paths.load), f"{_F}, {_ARC}, {_LOADS} SELECT v.node, round(sum(h) + (SELECT count(*) FROM v), 6) AS load FROM v JOIN h0 USING (node) GROUP BY 1")
+query("percolation", on(tables.trade_flat, paths.percolation), f"{_F}, {_ARC}, {_GAMMA}, {_THROUGH}, n AS (SELECT count(*) AS n FROM v) SELECT v.node, round(coalesce(b, 0) / ((n - 1) * (n - 2)), 6) AS percolation FROM n, v LEFT JOIN b USING (node)")
+query("girth", on(tables.trade_flat, paths.girth), f"""
+WITH RECURSIVE {FLAT}, walk(a, b, node, d) AS (SELECT a, b, a, 0 FROM u UNION SELECT walk.a, walk.b, s.other, d + 1 FROM walk JOIN s ON s.node = walk.node AND NOT (least(s.node, s.other) = a AND greatest(s.node, s.other) = b) WHERE d < 12)
+SELECT coalesce(min(d) + 1, 'inf'::DOUBLE)::DOUBLE AS girth FROM walk WHERE node = b""")
+query("local_efficiency", on(tables.trade_flat, paths.local_efficiency), f"""
+WITH RECURSIVE {FLAT}, i AS (SELECT x.node AS z, s.node AS a, s.other AS b FROM s x JOIN s ON s.node = x.other JOIN s y ON y.node = x.node AND y.other = s.other),
+walk(z, source, node, d) AS (SELECT node, other, other, 0 FROM s UNION SELECT walk.z, source, i.b, d + 1 FROM walk JOIN i ON i.z = walk.z AND i.a = walk.node WHERE d < 10),
+m AS (SELECT z, source, node, min(d) AS d FROM walk GROUP BY 1, 2, 3), near AS (SELECT z, sum(1 / d) AS total FROM m WHERE d > 0 GROUP BY 1), k AS (SELECT node, count(*) AS k FROM s GROUP BY 1)
+SELECT v.node, CASE WHEN k > 1 THEN round(coalesce(total, 0) / (k * (k - 1)), 6) ELSE 0 END::DOUBLE AS efficiency FROM v LEFT JOIN k USING (node) LEFT JOIN near ON z = v.node""")
+query("current_flow_closeness", on(tables.trade_flat, flow.current_flow_closeness))
+query("current_flow_betweenness", on(tables.trade_flat, flow.current_flow_betweenness))
+query("voterank", on(tables.trade_top, degree.voterank))
 
 # --- iterations ----------------------------------------------------------------------------
-_PR = "w AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM e), x0 AS (SELECT node, 1.0 / (SELECT count(*) FROM v) AS x FROM v), dg AS (SELECT node FROM v WHERE node NOT IN (SELECT src FROM e))" + "".join(
-    f", x{i} AS (SELECT v.node, 0.15 / 25 + 0.85 * (coalesce((SELECT sum(a.x * w.p) FROM x{i - 1} a JOIN w ON w.src = a.node WHERE w.dst = v.node), 0) + (SELECT coalesce(sum(x), 0) FROM x{i - 1} JOIN dg USING (node)) / 25) AS x FROM v)" for i in range(1, 13))
-query("pagerank", on(tables.trade_top, lambda n: spectral.pagerank(n, steps=12)), f"WITH {TOP}, {_PR} SELECT node, round(x, 6) AS pagerank FROM x12")
-query("pagerank_personalized", on(tables.trade_top, lambda n: spectral.pagerank(n, personalized=n.nodes.filter("node < 'NATION_15'").select("node", F.lit(1.0).alias("weight")), steps=20)))
-query("hits", on(tables.trade_top, lambda n: spectral.hits(n, steps=20)))
-query("eigenvector", on(tables.trade_flat, lambda n: spectral.eigenvector(n, steps=30)))
-query("alpha_centrality", on(tables.trade_top, lambda n: spectral.alpha_centrality(n, 0.05, steps=30)))
-query("power_centrality", on(tables.trade_top, lambda n: spectral.power_centrality(n, 0.05, steps=30)))
-query("subgraph_centrality", on(tables.trade_flat, lambda n: spectral.subgraph_centrality(n, 20)))
-query("coreness", on(tables.trade_flat, structure.coreness))
-query("bridges", on(_heavy, structure.bridges))
-query("cut_vertices", on(_heavy, structure.cut_vertices))
+#: Steps of a matrix over all cells (src, dst, g), far beyond what settles to the digits shown.
+def _power(cells: str, start: str, steps: int, step: str = "sum(x * g)") -> str:
+    return f"g AS MATERIALIZED ({cells}), it(i, node, x) AS (SELECT 0, node, {start} FROM v UNION ALL SELECT i + 1, dst, {step} FROM it JOIN g ON src = node WHERE i < {steps} GROUP BY i + 1, dst)"
+
+
+_IN = "(SELECT a.node AS src, b.node AS dst, coalesce({w}, 0)::DOUBLE AS w FROM v a CROSS JOIN v b LEFT JOIN {e} ON src = a.node AND dst = b.node)"
+_DIRECTED, _LINKED = _IN.format(w="weight", e="e"), _IN.format(w="w", e="(SELECT node AS src, other AS dst, w FROM s) e")
+
+
+def _rank(jump: str, steps: int = 160) -> str:
+    """PageRank with the jumps r of each node; nodes without out-arcs jump."""
+    cells = f"SELECT m.src, m.dst, 0.15 * r.r + 0.85 * CASE WHEN t.t > 0 THEN m.w / t.t ELSE r.r END AS g FROM {_DIRECTED} m JOIN (SELECT src, sum(w) AS t FROM {_DIRECTED} GROUP BY 1) t ON t.src = m.src JOIN ({jump}) r ON r.node = m.dst"
+    return f"WITH RECURSIVE {TOP}, {_power(cells, '1.0::DOUBLE / 25', steps)} SELECT node, round(x, 6) AS pagerank FROM it WHERE i = {steps}"
+
+
+query("pagerank", on(tables.trade_top, spectral.pagerank), _rank("SELECT node, 1.0::DOUBLE / 25 AS r FROM v"))
+query("pagerank_personalized", on(tables.trade_top, lambda n: spectral.pagerank(n, personalized=n.nodes.filter("node < 'NATION_15'").select("node", F.lit(1.0).alias("weight")))), _rank("SELECT node, CASE WHEN node < 'NATION_15' THEN 1.0::DOUBLE / (SELECT count(*) FROM v WHERE node < 'NATION_15') ELSE 0 END AS r FROM v"))
+_HUB = f"SELECT y.src AS src, x.src AS dst, sum(x.w * y.w) / (SELECT max(t) FROM (SELECT sum(x.w * y.w) AS t FROM {_DIRECTED} x JOIN {_DIRECTED} y ON x.dst = y.dst GROUP BY x.src)) AS g FROM {_DIRECTED} x JOIN {_DIRECTED} y ON x.dst = y.dst GROUP BY 1, 2"
+query("hits", on(tables.trade_top, spectral.hits), f"""
+WITH RECURSIVE {TOP}, {_power(_HUB, "1.0::DOUBLE", 400)}, h AS (SELECT node, x / max(x) OVER () AS x FROM it WHERE i = 400),
+a AS (SELECT m.dst AS node, sum(h.x * m.w) AS y FROM h JOIN {_DIRECTED} m ON m.src = h.node GROUP BY 1)
+SELECT node, round(x, 6) AS hub, round(y / max(y) OVER (), 6) AS authority FROM h JOIN a USING (node)""")
+query("eigenvector", on(tables.trade_flat, spectral.eigenvector), f"""
+WITH RECURSIVE {FLAT}, {_power(f"SELECT src, dst, (w / (SELECT max(t) FROM (SELECT sum(w) AS t FROM {_LINKED} GROUP BY src)) + CASE WHEN src = dst THEN 1 ELSE 0 END) / 2 AS g FROM {_LINKED}", "1.0::DOUBLE", 1500)}
+SELECT node, round(x / max(x) OVER (), 6) AS eigenvector FROM it WHERE i = 1500""")
+query("alpha_centrality", on(tables.trade_top, lambda n: spectral.alpha_centrality(n, 0.05)), f"WITH RECURSIVE {TOP}, {_power(f'SELECT src, dst, 0.05 * (w > 0)::INT AS g FROM {_DIRECTED}', '1.0::DOUBLE', 100, '1 + sum(x * g)')} SELECT node, round(x, 6) AS alpha FROM it WHERE i = 100")
+query("power_centrality", on(tables.trade_top, lambda n: spectral.power_centrality(n, 0.05)), f"""
+WITH RECURSIVE {TOP}, {_power(f'SELECT dst AS src, src AS dst, (w > 0)::INT AS g FROM {_DIRECTED}', '0.0::DOUBLE', 100, 'sum((1 + 0.05 * x) * g)')}
+SELECT node, round(x * sqrt(25 / sum(x * x) OVER ()), 6) AS power FROM it WHERE i = 100""")
+query("subgraph_centrality", on(tables.trade_flat, spectral.subgraph_centrality), f"""
+WITH RECURSIVE {FLAT}, walk(k, source, node, c) AS (SELECT 0, node, node, 1.0::DOUBLE FROM v UNION ALL SELECT k + 1, source, s.other, sum(c) / (k + 1) FROM walk JOIN s ON s.node = walk.node WHERE k < 60 GROUP BY k, source, s.other)
+SELECT node, round(sum(c), 6) AS subgraph FROM walk WHERE source = node GROUP BY 1""")
+query("coreness", on(tables.trade_flat, structure.coreness), f"""
+WITH RECURSIVE {FLAT}, it(i, node, c) AS (SELECT 0, node, count(*) FROM s GROUP BY 2
+  UNION ALL SELECT i + 1, s.node, list_sum(list_transform(list_reverse_sort(list(c)), lambda x, j: CASE WHEN x >= j THEN 1 ELSE 0 END)) FROM it JOIN s ON s.other = it.node WHERE i < 40 GROUP BY i, s.node)
+SELECT v.node, coalesce(c, 0)::BIGINT AS coreness FROM v LEFT JOIN (SELECT * FROM it WHERE i = 40) USING (node)""")
+HU = HEAVY.split("reach(a, b)")[0].rstrip().rstrip(",") + ", uu AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM h), once AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM h GROUP BY 1, 2 HAVING count(*) = 1), ua AS (SELECT a, b FROM uu UNION ALL SELECT b, a FROM uu)"
+query("bridges", on(_heavy, structure.bridges), f"""
+WITH RECURSIVE {HU}, go(ra, rb, node) AS (SELECT a, b, a FROM once UNION SELECT ra, rb, ua.b FROM go JOIN ua ON ua.a = go.node AND NOT (least(ua.a, ua.b) = ra AND greatest(ua.a, ua.b) = rb))
+SELECT a AS src, b AS dst FROM once WHERE NOT EXISTS (SELECT 1 FROM go WHERE ra = a AND rb = b AND node = b)""")
+query("cut_vertices", on(_heavy, structure.cut_vertices), f"""
+WITH RECURSIVE {HU}, go(r, source, node) AS (SELECT a, b, b FROM ua UNION SELECT r, source, ua.b FROM go JOIN ua ON ua.a = go.node AND ua.b <> r)
+SELECT DISTINCT x.a AS node FROM ua x JOIN ua y ON x.a = y.a AND x.b < y.b WHERE NOT EXISTS (SELECT 1 FROM go WHERE r = x.a AND source = x.b AND node = y.b)""")
 
 # --- communities, robustness, resampling -----------------------------------------------------
 query("communities_louvain", on(tables.trade_flat, community.louvain))
 query("communities_label_propagation", on(tables.trade_flat, community.label_propagation))
 query("communities_fast_greedy", on(_heavy, community.fast_greedy))
-query("communities_leading_eigenvector", on(tables.trade_flat, lambda n: community.leading_eigenvector(n, steps=30)))
+query("communities_leiden", on(tables.trade_flat, community.leiden))
+query("communities_leading_eigenvector", on(tables.trade_flat, community.leading_eigenvector))
 query("robustness_random", on(tables.trade_flat, lambda n: robustness.random_attack(n, 3)))
 query("robustness_auc", on(tables.trade_flat, lambda n: robustness.summary(robustness.random_attack(n, 3))))
 
@@ -314,6 +367,16 @@ query("permutation_edges", lambda s, d: rounded(resample.permutation_edges(_case
 query("centrality_stability", lambda s, d: resample.stability(_cases(s, d), (0.1, 0.5, 0.9), 10))
 
 # --- several measures together -------------------------------------------------------------
-query("centrality", on(tables.trade_top, lambda n: summary.centrality(n, ["indegree", "outdegree", "strength", "diffusion", "leverage"], digits=6)))
+_ENDS = "k AS (SELECT v.node, count(e.src) AS k, coalesce(sum(weight), 0) AS w FROM v LEFT JOIN (SELECT src AS node, * FROM e UNION ALL SELECT dst, * FROM e) e USING (node) GROUP BY 1), near AS (SELECT src AS node, dst AS other FROM e UNION SELECT dst, src FROM e)"
+query("centrality", on(tables.trade_top, lambda n: summary.centrality(n, ["indegree", "outdegree", "strength", "diffusion", "leverage"], digits=6)), f"""
+WITH {TOP}, {_ENDS}, f AS (SELECT k.node, k.k + sum(o.k) AS diffusion, avg((k.k - o.k) / (k.k + o.k)) AS leverage FROM k JOIN near USING (node) JOIN k o ON o.node = near.other GROUP BY k.node, k.k)
+SELECT k.node, (SELECT count(*) FROM e WHERE dst = k.node) AS indegree, (SELECT count(*) FROM e WHERE src = k.node) AS outdegree, round(w, 6)::DOUBLE AS strength, round(diffusion, 6)::DOUBLE AS diffusion, round(leverage, 6) + 0.0 AS leverage FROM k JOIN f USING (node)""")
 query("network_summary", on(tables.trade_top, summary.network_summary))
-query("partition_summary", lambda s, d: rounded(summary.partition_summary(tables.trade(s, d), tables.regions(s, d)), 5))
+query("partition_summary", lambda s, d: rounded(summary.partition_summary(tables.trade(s, d), tables.regions(s, d)), 5), f"""
+WITH {PLACED}, o AS (SELECT ci AS cluster, sum(weight) AS o FROM p GROUP BY 1), i AS (SELECT cj AS cluster, sum(weight) AS i FROM p GROUP BY 1), w AS (SELECT ci AS cluster, sum(weight) AS s FROM p WHERE ci = cj GROUP BY 1), g AS (SELECT sum(weight) AS m FROM p)
+SELECT round(sum(coalesce(s, 0) / m - coalesce(o, 0) * coalesce(i, 0) / (m * m)), 5) AS modularity, round(sum(coalesce(s, 0)) / max(m), 5) AS coverage, count(*) AS clusters FROM z LEFT JOIN o USING (cluster) LEFT JOIN i USING (cluster) LEFT JOIN w USING (cluster), g""")
+query("layout_star", lambda s, d: rounded(layout.layout_star(tables.nation_nodes(s, d))), f"WITH {ROW} SELECT node, CASE WHEN i = 0 THEN 0.5 ELSE round(0.5 + 0.4 * cos(pi() / 2 + 2 * pi() * (i - 1) / (n - 1)), 6) + 0.0 END AS x, CASE WHEN i = 0 THEN 0.5 ELSE round(0.5 + 0.4 * sin(pi() / 2 + 2 * pi() * (i - 1) / (n - 1)), 6) + 0.0 END AS y FROM o")
+query("layout_bipartite", lambda s, d: rounded(layout.layout_bipartite(tables.nation_nodes(s, d))), f"WITH {ROW} SELECT node, CASE WHEN i % 2 = 0 THEN 0.2 ELSE 0.8 END::DOUBLE AS x, round(0.9 - 0.8 * (i // 2) / (CASE WHEN i % 2 = 0 THEN ceil(n / 2) ELSE floor(n / 2) END - 1), 6) AS y FROM o")
+query("layout_rescaled", lambda s, d: rounded(layout.rescale(layout.layout_oval(tables.nation_nodes(s, d)))), f"""
+WITH {ROW}, c AS (SELECT node, 0.5 + 0.4 * sqrt(1.5) * cos({_TURN}) AS x, 0.5 + 0.4 / sqrt(1.5) * sin({_TURN}) AS y FROM o), r AS (SELECT min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM c)
+SELECT node, round((x - (a + b) / 2) / greatest(b - a, d - c) * 1.8, 6) + 0.0 AS x, round((y - (c + d) / 2) / greatest(b - a, d - c) * 1.8, 6) + 0.0 AS y FROM c, r""")

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from netspark import queries
-from netspark.network import Network, adjacency, duplicate_edges, from_edges, from_matrix, from_wide, is_symmetric, merge_duplicates, simplify, undirected
-from netspark.operators import cluster, community, degree, layers, layout, local, paths, resample, robustness, select, sequences, spectral, structure
+from netspark.network import Network, adjacency, parse, from_model, duplicate_edges, from_edges, from_matrix, from_wide, is_symmetric, merge_duplicates, simplify, undirected
+from netspark.session import cut
+from netspark.operators import cluster, community, degree, flow, layers, layout, local, paths, resample, robustness, select, sequences, spectral, structure
 
 
 def graph(spark, pairs, directed=False):
@@ -30,7 +31,7 @@ def test_triangle(spark):
     net = graph(spark, TRIANGLE)
     assert set(values(degree.degree(net)).values()) == {2}
     assert set(values(local.transitivity_local(net)).values()) == {1.0}
-    assert set(values(spectral.pagerank(net, steps=5), 6).values()) == {round(1 / 3, 6)}
+    assert set(values(spectral.pagerank(net), 6).values()) == {round(1 / 3, 6)}
     assert degree.density(net).first()[0] == 1.0
     assert set(values(paths.closeness(net)).values()) == {0.5}
     assert local.clique_size(net).first()[0] == 3
@@ -172,3 +173,119 @@ def test_resampling(spark):
     assert {round(r.weight, 6) for r in boot} == {0.5, 1.0} and all(r.ci_lower <= r.mean <= r.ci_upper for r in boot)
     groups = spark.createDataFrame([(c, c % 2) for c in range(12)], "case long, grp int")
     assert all(r["diff"] == 0.0 and r.p_value == 1.0 for r in resample.permutation_edges(cases, groups, 10).collect())
+
+
+def test_stored_tables_have_their_real_size(spark):
+    """A loop that joins its own state must not make the planner's estimate grow."""
+    state = cut(spark.range(20).withColumn("x", F.col("id")))
+    sizes = []
+    for _ in range(15):
+        state = cut(state.alias("a").join(state.alias("b"), F.col("a.id") == F.col("b.x")).select("a.id", "b.x"), state)
+        sizes.append(int(str(state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+    assert max(sizes) < 1 << 16 and state.count() == 20
+
+
+def test_leiden_and_propagation(spark):
+    net = graph(spark, [("A", "B"), ("A", "C"), ("B", "C"), ("D", "E"), ("D", "F"), ("E", "F"), ("C", "D", 0.1)])
+    for found in (community.leiden(net), community.label_propagation(net), community.leading_eigenvector(net)):
+        groups = defaultdict(set)
+        for r in found.collect():
+            groups[r.community].add(r.node)
+        assert sorted(map(sorted, groups.values())) == [["A", "B", "C"], ["D", "E", "F"]]
+
+
+def test_current_flow_equals_the_pseudoinverse(spark):
+    import numpy as np
+
+    net = graph(spark, [("A", "B", 2.0), ("A", "C", 1.0), ("B", "C", 0.5), ("B", "D", 1.5), ("C", "D", 1.0), ("D", "E", 3.0)])
+    names, L = "ABCDE", np.zeros((5, 5))
+    for r in net.edges.collect():
+        i, j = names.index(r.src), names.index(r.dst)
+        L[i, j] = L[j, i] = -r.weight
+    L -= np.diag(L.sum(1))
+    P, n = np.linalg.pinv(L), 5
+    close = {names[i]: (n - 1) / sum(P[i, i] + P[j, j] - 2 * P[i, j] for j in range(n)) for i in range(n)}
+    got = values(flow.current_flow_closeness(net, weighted=True), 6)
+    assert got == {k: round(v, 6) for k, v in close.items()}
+    through = dict.fromkeys(names, 0.0)
+    for s in range(n):
+        for t in range(s + 1, n):
+            p = P[:, s] - P[:, t]
+            for v in set(range(n)) - {s, t}:
+                through[names[v]] += sum(abs(L[v, u] * (p[v] - p[u])) for u in range(n) if u != v) / 2
+    got = values(flow.current_flow_betweenness(net, weighted=True), 6)
+    assert got == {k: round(2 * v / ((n - 1) * (n - 2)), 6) for k, v in through.items()}
+    apart = graph(spark, [("A", "B"), ("C", "D")])
+    assert set(values(flow.current_flow_closeness(apart)).values()) == {None}
+
+
+def test_voterank(spark):
+    star = graph(spark, [("A", "B"), ("A", "C"), ("A", "D"), ("D", "E")])
+    rank = values(degree.voterank(star), 6)
+    assert rank["A"] == 1.0 and rank["D"] == 0.8 and len(set(rank.values())) == 5
+
+
+def test_groups_and_parsing(spark):
+    net = graph(spark, TRIANGLE)
+    groups = spark.createDataFrame([("A", "x"), ("B", "x"), ("C", "y")], "node string, layers string")
+    assert {tuple(r) for r in net.set_groups(groups, "layer").get_groups().collect()} == {("A", "x"), ("B", "x"), ("C", "y")}
+    for bad in (groups.limit(2), groups.union(groups.limit(1)), groups.union(spark.createDataFrame([("Z", "x")], groups.schema))):
+        with pytest.raises(ValueError):
+            net.set_groups(bad)
+    assert parse(net) is net and parse((net.nodes, net.edges)).n_edges() == 3
+    wide = spark.createDataFrame([("x", 0.0, 1.0), ("y", 1.0, 0.0)], "id string, x double, y double")
+    assert parse(wide).n_edges() == 1 and parse(spark.createDataFrame([("a", "b", 2.0)], "from string, to string, w double")).edges.first().weight == 2.0
+    model = from_model(spark.createDataFrame([("a", "b", 0.5), ("b", "a", 1.0)], "src string, dst string, weight double"), spark.createDataFrame([("a", 1.0), ("c", 0.0)], "state string, share double"))
+    assert values(model.nodes) == {"a": 1.0, "b": 0.0, "c": 0.0} and model.directed
+    assert {r.node for r in select.select_nodes(net, index=[1, 3]).nodes.collect()} == {"A", "C"}
+    doubled = net.edges.union(net.edges)
+    assert merge_duplicates(doubled, lambda w: F.sum(w) * 10).first().weight == 20.0
+
+
+def test_layouts_stand_where_they_should(spark):
+    nodes = lambda n: spark.createDataFrame([(f"n{i}",) for i in range(n)], "node string")
+    at = lambda df: {r.node: (round(r.x, 6) + 0.0, round(r.y, 6) + 0.0) for r in df.collect()}
+    # clockwise: the last angle first, so the top comes last
+    assert at(layout.layout_circle(nodes(4))) == {"n0": (0.9, 0.5), "n1": (0.5, 0.1), "n2": (0.1, 0.5), "n3": (0.5, 0.9)}
+    assert at(layout.layout_circle(nodes(4), clockwise=False))["n0"] == (0.5, 0.9)
+    assert at(layout.layout_grid(nodes(5))) == {"n0": (0.1, 0.9), "n1": (0.5, 0.9), "n2": (0.9, 0.9), "n3": (0.1, 0.1), "n4": (0.5, 0.1)}
+    assert at(layout.layout_grid(nodes(1))) == at(layout.layout_star(nodes(1))) == {"n0": (0.5, 0.5)}
+    one = spark.createDataFrame([("a", "g"), ("b", "g")], "node string, cluster string")
+    assert at(layout.layout_groups(one)) == {"a": (0.5, 0.65), "b": (0.5, 0.35)}
+    assert at(layout.layout_bipartite(nodes(3))) == {"n0": (0.2, 0.9), "n1": (0.8, 0.9), "n2": (0.2, 0.1)}
+    assert at(layout.rescale(layout.layout_grid(nodes(2)))) == {"n0": (-0.36, 0.0), "n1": (0.36, 0.0)}
+    layout.register("mine", layout.layout_grid)
+    assert layout.get("mine") is layout.layout_grid and "mine" in layout.names()
+    with pytest.raises(ValueError):
+        layout.get("none")
+
+
+def test_loops_count_where_the_matrix_counts_them(spark):
+    edges = spark.createDataFrame([("A", "A", 2.0), ("A", "B", 1.0), ("B", "C", 4.0), ("C", "A", 1.0), ("C", "C", 3.0)], "src string, dst string, weight double")
+    net = from_edges(edges, directed=True)
+    groups = spark.createDataFrame([("A", "x"), ("B", "x"), ("C", "y")], "node string, cluster string")
+    got = {r.cluster: r for r in cluster.cluster_quality(net, groups).collect()}
+    assert (got["x"].internal_edges, got["x"].cut_edges, got["x"].internal_density) == (3.0, 5.0, 1.5)
+    assert (got["y"].internal_edges, got["y"].internal_density, got["y"].conductance) == (3.0, None, 5 / 11)
+    p = {(r.src, r.dst): round(r.p, 9) for r in layers.disparity(net).collect()}
+    assert p == {("A", "B"): round(1 - 1 / 3, 9), ("B", "C"): round(min(1.0, 1 - 4 / 7), 9), ("C", "A"): round(min(1 - 1 / 4, 1 - 1 / 3), 9)}
+    # A: itself, B and C are its neighbours
+    assert values(degree.diffusion(net))["A"] == 4 + (4 + 2 + 4)
+    assert values(degree.leverage(net))["A"] == round((0 + 2 / 6 + 0) / 3, 9)
+
+
+def test_golden_graphs(spark):
+    """Girth, radius, largest clique, cut vertices and bridges of named graphs."""
+    name = lambda i: f"n{i:02d}"
+    ring = lambda n: [(name(i), name((i + 1) % n)) for i in range(n)]
+    path = lambda n: [(name(i), name(i + 1)) for i in range(n - 1)]
+    petersen = [(name(i), name((i + 1) % 5)) for i in range(5)] + [(name(i), name(i + 5)) for i in range(5)] + [(name(i + 5), name((i + 2) % 5 + 5)) for i in range(5)]
+    grid = [(name(3 * i + j), name(3 * i + j + 1)) for i in range(3) for j in range(2)] + [(name(3 * i + j), name(3 * i + j + 3)) for i in range(2) for j in range(3)]
+    golden = [
+        ([(name(i), name(j)) for i in range(5) for j in range(i + 1, 5)], 3, 1, 5, 0, 0), (path(5), math.inf, 2, 2, 3, 4), (ring(5), 5, 2, 2, 0, 0),
+        ([(name(0), name(i)) for i in range(1, 6)], math.inf, 1, 2, 1, 5), (grid, 4, 2, 2, 0, 0), (petersen, 5, 2, 2, 0, 0),
+    ]
+    for pairs, girth, radius, clique, cuts, bridges in golden:
+        net = graph(spark, pairs)
+        assert (paths.girth(net).first()[0], paths.path_summary(net).first().radius, local.clique_size(net).first()[0]) == (girth, radius, clique)
+        assert (structure.cut_vertices(net).count(), structure.bridges(net).count()) == (cuts, bridges)
