@@ -316,7 +316,8 @@ def _beside(by_text: DataFrame) -> DataFrame:
 def _with_paths(docs: DataFrame, k: int) -> DataFrame:
     """docs with `__ns_paths`: array of (start, n, digest) that go, if the words have the digest."""
     paths = repeated_paths(docs, k)
-    sure = paths.join(_source_digests(docs, paths, k), ["source_id", "source_mark", "source_start", "n_edges"])
+    digests = cut(_source_digests(docs, paths, k))  # a table of its own, so that a join can split a source that a third of all paths name
+    sure = paths.join(small(digests, 200_000), ["source_id", "source_mark", "source_start", "n_edges"])
     found = cut(sure.groupBy(F.col("doc_id").alias("__ns_id"), F.col("mark").alias("__ns_mark")).agg(F.collect_list(F.struct(F.col("start"), (F.col("n_edges") + k - 1).alias("n"), "digest")).alias("__ns_paths")))
     return _keyed(docs).join(_beside(found), ["__ns_id", "__ns_mark"], "left").drop("__ns_id", "__ns_mark")
 
