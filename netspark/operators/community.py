@@ -180,7 +180,7 @@ def leading_eigenvector(net: Network, weighted: bool = True, most_splits: int =
 
         seed = base.select("node", (F.pmod(F.xxhash64("node"), F.lit(1000)) / 1000.0 - 0.5).alias("x"))
         for share in (0.3, 2.0):  # a small shift settles soon; where it finds the other end of the spectrum, a sure one
-            x = settled(seed, lambda x, s=share * widest: step(x, s), False, every=3, tolerance=5e-3)
+            x = settled(seed, lambda x, s=share * widest: step(x, s), False, every=4, tolerance=5e-3, most=400)
             after = step(x, 0.0).withColumnRenamed("x", "y").join(x, "node").agg(F.min(F.col("x") * F.col("y")).alias("m"), F.sum(F.col("x") * F.col("y")).alias("s")).first()
             if (after.s or 0.0) > 0:
                 break

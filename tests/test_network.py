@@ -185,13 +185,13 @@ def test_stored_tables_have_their_real_size(spark):
     assert max(sizes) < 1 << 16 and state.count() == 20
 
 
-def test_leiden_and_propagation(spark):
+@pytest.mark.parametrize("method", ["leiden", "label_propagation", "leading_eigenvector"])
+def test_two_triangles_fall_apart(spark, method):
     net = graph(spark, [("A", "B"), ("A", "C"), ("B", "C"), ("D", "E"), ("D", "F"), ("E", "F"), ("C", "D", 0.1)])
-    for found in (community.leiden(net), community.label_propagation(net), community.leading_eigenvector(net)):
-        groups = defaultdict(set)
-        for r in found.collect():
-            groups[r.community].add(r.node)
-        assert sorted(map(sorted, groups.values())) == [["A", "B", "C"], ["D", "E", "F"]]
+    groups = defaultdict(set)
+    for r in community.communities(net, method).collect():
+        groups[r.community].add(r.node)
+    assert sorted(map(sorted, groups.values())) == [["A", "B", "C"], ["D", "E", "F"]]
 
 
 def test_current_flow_equals_the_pseudoinverse(spark):
