@@ -15,7 +15,7 @@ from ..network import Network
 from ..session import cut, discard
 
 #: Steps between two stored tables, the largest change (relative to the largest value) that counts as settled, and the bound on steps.
-EVERY, TOLERANCE, MOST = 8, 1e-8, 3000
+EVERY, TOLERANCE, MOST = 4, 1e-8, 3000
 
 
 def _start(net: Network, value: float = 1.0) -> DataFrame:
