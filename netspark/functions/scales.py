@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 def over_all(value: Column) -> Column:
@@ -38,6 +38,14 @@ def adaptive_edge_size(n_nodes: int, directed: bool = False) -> float:
     return max(1.0, 0.7 * size) if directed else size
 
 
+def curvatures(edges: DataFrame, curve: float = 0.0, default: float = 0.2) -> DataFrame:
+    """Edges with a column curve: where the given one is 0, an edge whose other direction is there too takes the default."""
+    back = edges.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(default).alias("__back")).distinct()
+    both = edges.join(back, ["src", "dst"], "left")
+    made = both.withColumn("curve", F.lit(float(curve)) if curve else F.coalesce("__back", F.lit(0.0)))
+    return made.select(*[c for c in edges.columns if c != "curve"], "curve")
+
+
 def edge_color(weight: Column, positive: str = "#2E7D32", negative: str = "#C62828", zero: str = "gray50") -> Column:
     return F.when(weight > 0, positive).when(weight < 0, negative).otherwise(zero)
 

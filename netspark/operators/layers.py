@@ -92,6 +92,26 @@ def difference(one: DataFrame, two: DataFrame) -> DataFrame:
     return _aligned(one, two).withColumn("diff", F.col("x") - F.col("y"))
 
 
+def differences(layers: DataFrame) -> DataFrame:
+    """(layer_a, layer_b, src, dst, x, y, diff) of all pairs of layers, a before b, over the cells that either holds."""
+    e = layers.groupBy("layer", "src", "dst").agg(F.sum("weight").alias("w"))
+    names = e.select("layer").distinct()
+    pairs = names.select(F.col("layer").alias("layer_a")).join(names.select(F.col("layer").alias("layer_b")), F.col("layer_a") < F.col("layer_b"))
+    nothing = F.lit(0.0)
+    one = pairs.join(e, F.col("layer_a") == F.col("layer")).select("layer_a", "layer_b", "src", "dst", F.col("w").alias("x"), nothing.alias("y"))
+    two = pairs.join(e, F.col("layer_b") == F.col("layer")).select("layer_a", "layer_b", "src", "dst", nothing.alias("x"), F.col("w").alias("y"))
+    return one.unionByName(two).groupBy("layer_a", "layer_b", "src", "dst").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).withColumn("diff", F.col("x") - F.col("y"))
+
+
+def mixed(sym: DataFrame, asym: DataFrame) -> DataFrame:
+    """(src, dst, weight, kind, mutual): undirected edges of one matrix's cells, each once, and directed ones of another's; mutual where the other way is there too."""
+    one = sym.filter("weight <> 0 and src < dst").select("src", "dst", "weight", F.lit("undirected").alias("kind"), F.lit(False).alias("mutual"))
+    arcs = asym.filter("weight <> 0 and src <> dst").select("src", "dst", "weight")
+    back = arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("mutual")).distinct()
+    two = arcs.join(back, ["src", "dst"], "left").select("src", "dst", "weight", F.lit("directed").alias("kind"), F.coalesce("mutual", F.lit(False)).alias("mutual"))
+    return one.unionByName(two)
+
+
 def disparity(net: Network, level: float = 0.05) -> DataFrame:
     """(src, dst, weight, p, significant) of edges between different nodes: the backbone test by the lesser of the two ends' chances; loops count in strengths and degrees."""
     e = net.arcs()

@@ -22,9 +22,9 @@ def distance_arcs(net: Network, weighted: bool = False, invert: bool = False, al
     return net.arcs().filter("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("v"), w.cast("double").alias("w")).groupBy("u", "v").agg(F.min("w").alias("w"))
 
 
-def distances(net: Network, weighted: bool = False, invert: bool = False, alpha: float = 1.0, cutoff: float | None = None, sources: DataFrame | None = None, most_passes: int = 10_000) -> DataFrame:
-    """(source, node, dist) for every node that a source reaches, itself at 0."""
-    arcs = cut(distance_arcs(net, weighted, invert, alpha))
+def distances(net: Network, weighted: bool = False, invert: bool = False, alpha: float = 1.0, cutoff: float | None = None, sources: DataFrame | None = None, most_passes: int = 10_000, arcs: DataFrame | None = None) -> DataFrame:
+    """(source, node, dist) for every node that a source reaches, itself at 0; arcs: those of `distance_arcs`, where they are stored already."""
+    arcs = arcs or cut(distance_arcs(net, weighted, invert, alpha))
     front = (sources or net.nodes).select(F.col("node").alias("source"), F.col("node"), F.lit(0.0).alias("dist"))
     known = front = cut(front)
     for _ in range(most_passes):
@@ -92,14 +92,14 @@ def path_summary(net: Network, weighted: bool = False) -> DataFrame:
     return ecc.join(pairs, how="cross").join(n, how="cross").select("radius", "diameter", "mean_distance", F.try_divide(F.coalesce("s", F.lit(0.0)), F.col("n") * (F.col("n") - 1)).alias("global_efficiency"))
 
 
-def _counted(net: Network, weighted: bool, invert: bool, sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
+def _counted(net: Network, weighted: bool, invert: bool, sources: DataFrame | None = None, cutoff: float | None = None, alpha: float = 1.0) -> tuple[DataFrame, DataFrame, int]:
     """Tight arcs (source, u, v), nodes (source, node, dist, sigma, level), and the number of levels.
 
     The level is the largest number of arcs on a shortest path, so that all
     predecessors of a node lie on lower levels.
     """
-    d = distances(net, weighted, invert, sources=sources)
-    arcs = distance_arcs(net, weighted, invert)
+    arcs = cut(distance_arcs(net, weighted, invert, alpha))
+    d = distances(net, cutoff=cutoff, sources=sources, arcs=arcs)
     du, dv = d.select("source", F.col("node").alias("u"), F.col("dist").alias("du")), d.select("source", F.col("node").alias("v"), F.col("dist").alias("dv"))
     tight = cut(du.join(arcs, "u").join(dv, ["source", "v"]).filter(F.abs(F.col("du") + F.col("w") - F.col("dv")) <= 1e-9 * F.greatest(F.lit(1.0), "dv")).select("source", "u", "v"))
     front = cut(d.filter("source = node").select("source", "node"))
@@ -125,13 +125,13 @@ def _counted(net: Network, weighted: bool, invert: bool, sources: DataFrame | No
     return placed, cut(levels.join(sigma, ["source", "node"]).join(d, ["source", "node"])), depth
 
 
-def _dependencies(net: Network, weighted: bool, invert: bool, share: str, sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _dependencies(net: Network, weighted: bool, invert: bool, share: str, sources: DataFrame | None = None, cutoff: float | None = None, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Per (source, node) dependency, and per (source, u, v) what flows over the arc.
 
     share 'paths' splits by path counts (betweenness); 'equal' splits what a node
     holds, itself included, evenly over its predecessors (load).
     """
-    placed, nodes, depth = _counted(net, weighted, invert, sources)
+    placed, nodes, depth = _counted(net, weighted, invert, sources, cutoff, alpha)
     sigma = nodes.select("source", F.col("node").alias("u"), F.col("sigma").alias("su"))
     below = nodes.select("source", F.col("node").alias("v"), F.col("sigma").alias("sv"))
     arcs = placed.join(sigma, ["source", "u"]).join(below, ["source", "v"])
@@ -155,16 +155,16 @@ def _dependencies(net: Network, weighted: bool, invert: bool, share: str, source
     return dep, flow
 
 
-def betweenness(net: Network, weighted: bool = False, invert: bool = False, sources: DataFrame | None = None) -> DataFrame:
-    """Shortest paths through each node (fractions of each pair's); unordered pairs once if undirected."""
-    dep, _ = _dependencies(net, weighted, invert, "paths", sources)
+def betweenness(net: Network, weighted: bool = False, invert: bool = False, sources: DataFrame | None = None, cutoff: float | None = None, alpha: float = 1.0) -> DataFrame:
+    """Shortest paths through each node (fractions of each pair's), none longer than the cutoff; unordered pairs once if undirected."""
+    dep, _ = _dependencies(net, weighted, invert, "paths", sources, cutoff, alpha)
     found = dep.filter("source <> node").groupBy("node").agg((F.sum("dependency") / (1 if net.directed else 2)).alias("betweenness"))
     return _per_node(net, found, "betweenness", 0.0)
 
 
-def edge_betweenness(net: Network, weighted: bool = False, invert: bool = False) -> DataFrame:
-    """(src, dst, betweenness) of the simple edges; undirected ones by least and greatest end."""
-    _, flow = _dependencies(net, weighted, invert, "paths")
+def edge_betweenness(net: Network, weighted: bool = False, invert: bool = False, cutoff: float | None = None, alpha: float = 1.0) -> DataFrame:
+    """(src, dst, betweenness) of the simple edges, paths longer than the cutoff left out; undirected ones by least and greatest end."""
+    _, flow = _dependencies(net, weighted, invert, "paths", cutoff=cutoff, alpha=alpha)
     if net.directed:
         return flow.groupBy(F.col("u").alias("src"), F.col("v").alias("dst")).agg(F.sum("flow").alias("betweenness"))
     return flow.groupBy(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).agg((F.sum("flow") / 2).alias("betweenness"))

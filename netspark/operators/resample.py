@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..network import Network
+from ..session import cut
+from . import paths
 from .degree import pearson
 
 
@@ -16,20 +19,25 @@ def _weights(counts: DataFrame, *keys: str) -> DataFrame:
     return counts.withColumn("weight", F.col("count") / F.sum("count").over(Window.partitionBy(*keys, "src")))
 
 
-def bootstrap_edges(cases: DataFrame, iterations: int = 200, level: float = 0.05, consistency: tuple[float, float] = (0.75, 1.25), seed: int = 1) -> DataFrame:
+def _numbered(cases: DataFrame, parts: int = 1024) -> DataFrame:
+    """(case, at): different cases numbered from 0, part after part, so that no task sorts them all."""
+    placed = cases.select("case").distinct().withColumn("part", F.pmod(F.xxhash64("case"), F.lit(parts)))
+    before = placed.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
+    ranked = placed.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("case")) - 1)
+    return ranked.join(F.broadcast(before), "part").select("case", (F.col("before") + F.col("r")).alias("at"))
+
+
+def bootstrap_edges(cases: DataFrame, iterations: int = 1000, level: float = 0.05, consistency: tuple[float, float] = (0.75, 1.25), seed: int = 1) -> DataFrame:
     """Stability of relative transition weights; cases (case, src, dst, count).
 
-    Each case stands in a replicate a Poisson(1) number of times, drawn by hash,
-    so replicates need no sorted list of cases. Columns: src, dst, weight, mean,
-    sd, ci_lower, ci_upper, p_value.
+    A replicate draws as many cases as there are, each with equal chance and put
+    back, by hash. Columns: src, dst, weight, mean, sd, ci_lower, ci_upper,
+    p_value.
     """
-    u = (F.pmod(F.xxhash64("iter", "case", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    times, upto, p = F.lit(0), 0.0, 2.718281828459045**-1
-    for k in range(8):
-        upto += p
-        times = times + F.when(u > upto, 1).otherwise(0)
-        p /= k + 1
-    drawn = _replicates(cases.select("case").distinct(), iterations).withColumn("times", times).filter("times > 0")
+    numbered = cut(_numbered(cases))
+    n = numbered.count()
+    draws = _replicates(numbered.select("at"), iterations).select("iter", F.pmod(F.xxhash64("iter", "at", F.lit(seed)), F.lit(max(n, 1))).alias("at"))
+    drawn = draws.groupBy("iter", "at").agg(F.count("*").alias("times")).join(numbered, "at")
     counts = cases.join(drawn, "case").groupBy("iter", "src", "dst").agg(F.sum(F.col("count") * F.col("times")).alias("count"))
     reps = _weights(counts, "iter").select("iter", "src", "dst", F.col("weight").alias("w"))
     seen = _weights(cases.groupBy("src", "dst").agg(F.sum("count").alias("count"))).select("src", "dst", "weight")
@@ -41,22 +49,30 @@ def bootstrap_edges(cases: DataFrame, iterations: int = 200, level: float = 0.05
     )
 
 
-def permutation_edges(cases: DataFrame, groups: DataFrame, iterations: int = 200, seed: int = 1) -> DataFrame:
+def permutation_edges(cases: DataFrame, groups: DataFrame, iterations: int = 1000, seed: int = 1, pairs: DataFrame | None = None, correction: str = "none") -> DataFrame:
     """Difference of two groups' transition weights against shuffled groups; groups (case, grp) with two values of grp.
 
-    Columns: src, dst, diff, effect, p_value. Group sizes stay as they are.
+    Columns: src, dst, diff, effect, p_value. Group sizes stay as they are. With
+    pairs (case, pair) the two cases of a pair change sides together; cases
+    without a pair are left out. correction as in `adjust`.
     """
     sides = groups.select("grp").distinct().orderBy("grp").limit(2).withColumn("side", F.row_number().over(Window.orderBy("grp")))
     placed = groups.join(sides, "grp").select("case", "side")
+    if pairs is not None:
+        placed = placed.join(pairs.select("case", "pair"), "case")
     first = placed.filter("side = 1").agg(F.count("*").alias("n1"))
     order = Window.partitionBy("iter").orderBy(F.xxhash64("iter", "case", F.lit(seed)), "case")
     shuffled = _replicates(placed.select("case"), iterations).withColumn("r", F.row_number().over(order)).join(first, how="cross").select("iter", "case", F.when(F.col("r") <= F.col("n1"), 1).otherwise(2).alias("side"))
+    if pairs is not None:
+        swap = F.pmod(F.xxhash64("iter", "pair", F.lit(seed)), F.lit(2)) == 0
+        shuffled = _replicates(placed, iterations).select("iter", "case", F.when(swap, 3 - F.col("side")).otherwise(F.col("side")).cast("int").alias("side"))
     every = shuffled.unionByName(placed.select(F.lit(0).cast("long").alias("iter"), "case", F.col("side").cast("int").alias("side")))
     counts = cases.join(every, "case").groupBy("iter", "side", "src", "dst").agg(F.sum("count").alias("count"))
     w = _weights(counts, "iter", "side").groupBy("iter", "src", "dst").agg(F.sum(F.when(F.col("side") == 1, F.col("weight")).otherwise(-F.col("weight"))).alias("d"))
     seen = w.filter("iter = 0").select("src", "dst", F.col("d").alias("diff"))
     full = _replicates(seen, iterations).join(w, ["iter", "src", "dst"], "left").fillna(0.0, ["d"])
-    return full.groupBy("src", "dst", "diff").agg(F.try_divide(F.col("diff"), F.stddev_samp("d")).alias("effect"), ((F.sum((F.abs("d") >= F.abs("diff") - 1e-12).cast("int")) + 1) / (iterations + 1)).alias("p_value"))
+    found = full.groupBy("src", "dst", "diff").agg(F.try_divide(F.col("diff"), F.stddev_samp("d")).alias("effect"), ((F.sum((F.abs("d") >= F.abs("diff") - 1e-12).cast("int")) + 1) / (iterations + 1)).alias("p_value"))
+    return adjust(found, correction)
 
 
 def adjust(p: DataFrame, method: str = "none") -> DataFrame:
@@ -74,8 +90,11 @@ def adjust(p: DataFrame, method: str = "none") -> DataFrame:
     return p
 
 
-def stability(cases: DataFrame, drops: tuple[float, ...] = (0.1, 0.3, 0.5, 0.7, 0.9), iterations: int = 50, threshold: float = 0.7, certainty: float = 0.95, seed: int = 1) -> DataFrame:
-    """(measure, cs): the largest share of cases that may go while strengths still correlate; in- and out-strength of relative weights, loops left out."""
+def stability(cases: DataFrame, drops: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), iterations: int = 1000, threshold: float = 0.7, certainty: float = 0.95, seed: int = 1) -> DataFrame:
+    """(measure, cs): the largest share of cases that may go while a measure still correlates: in- and out-strength and betweenness (heavy edges are short) of relative weights, loops left out.
+
+    The networks of all drops and iterations are one disjoint union, measured together.
+    """
     spark = cases.sparkSession
     grid = spark.createDataFrame([(float(d),) for d in drops], "drop double")
     n = cases.select("case").distinct()
@@ -90,7 +109,18 @@ def stability(cases: DataFrame, drops: tuple[float, ...] = (0.1, 0.3, 0.5, 0.7,
         ends = w.select(*keys, F.lit("InStrength").alias("measure"), F.col("dst").alias("node"), "weight").union(w.select(*keys, F.lit("OutStrength"), "src", "weight"))
         return ends.groupBy(*keys, "measure", "node").agg(F.sum("weight").alias("s"))
 
-    full, less = strengths(_weights(whole)), strengths(_weights(part, "drop", "iter"), "drop", "iter").withColumnRenamed("s", "t")
+    def between(w: DataFrame, *keys: str) -> DataFrame:
+        end = lambda c: F.struct(*[F.col(k) for k in keys], F.col(c).alias("at"))
+        edges = cut(w.filter("src <> dst and weight > 0").select(end("src").alias("src"), end("dst").alias("dst"), "weight"))
+        net = Network(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), edges, True)
+        found = paths.betweenness(net, weighted=True, invert=True)
+        return found.select(*[F.col(f"node.{k}").alias(k) for k in keys], F.lit("Betweenness").alias("measure"), F.col("node.at").alias("node"), F.col("betweenness").alias("s"))
+
+    def measured(w: DataFrame, *keys: str) -> DataFrame:
+        w = cut(w)
+        return strengths(w, *keys).unionByName(between(w, *keys))
+
+    full, less = measured(_weights(whole)), measured(_weights(part, "drop", "iter"), "drop", "iter").withColumnRenamed("s", "t")
     keys = kept.select("drop", "iter").distinct()
     both = full.join(keys, how="cross").join(less, ["drop", "iter", "measure", "node"], "left").fillna(0.0, ["t"])
     cors = both.groupBy("drop", "iter", "measure").agg(pearson(F.col("s"), F.col("t")).alias("r"))

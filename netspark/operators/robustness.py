@@ -34,7 +34,7 @@ def vertex_attack(net: Network, measure: str = "degree") -> DataFrame:
     return net.nodes.sparkSession.createDataFrame(rows, "step int, removed_pct double, comp_size long, comp_pct double")
 
 
-def random_attack(net: Network, runs: int = 10, seed: int = 1, by: str = "vertex") -> DataFrame:
+def random_attack(net: Network, runs: int = 100, seed: int = 1, by: str = "vertex") -> DataFrame:
     """(step, removed_pct, comp_size, comp_pct), means over runs of removals in random order.
 
     All runs and steps are one disjoint union of reduced networks: a part

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..network import Network, simplify
-from ..operators import cluster, degree, flow, local, paths, spectral, structure
+from ..functions import colors, scales
+from ..operators import cluster, community, connectivity, degree, flow, local, paths, spectral, structure
 from ..operators.select import NODE_METRICS
 from ..session import cut
 
@@ -36,6 +37,35 @@ def centrality(net: Network, measures: list[str], normalized: bool = False, loop
     return out.orderBy(F.col(sort_by).desc_nulls_last(), "node") if sort_by else out
 
 
+def edge_centrality(net: Network, measures: list[str] | None = None, weighted: bool = True, cutoff: float | None = None, invert: bool = False, alpha: float = 1.0, digits: int | None = None, sort_by: str | None = None) -> DataFrame:
+    """(src, dst, weight, betweenness) of the edges, each with itself as often as it stands there; unweighted ones weigh 1.
+
+    betweenness takes weights as lengths, or 1 / weight^alpha with `invert`; edges that stand more than once each show their pair's, loops have 0.
+    """
+    measures = measures or ["weight", "betweenness"]
+    if unknown := set(measures) - {"weight", "betweenness"}:
+        raise ValueError(f"unknown edge measures: {', '.join(sorted(unknown))}")
+    out = net.edges.select("src", "dst", (F.col("weight") if weighted else F.lit(1.0)).alias("weight"))
+    if "betweenness" in measures:
+        found = paths.edge_betweenness(net, weighted, invert, cutoff, alpha).select(F.col("src").alias("__a"), F.col("dst").alias("__b"), "betweenness")
+        ends = (F.col("src"), F.col("dst")) if net.directed else (F.least("src", "dst"), F.greatest("src", "dst"))
+        out = out.join(found, (ends[0] == F.col("__a")) & (ends[1] == F.col("__b")), "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0)))
+    out = out.select("src", "dst", *[(F.round(m, digits) if digits is not None else F.col(m)).alias(m) for m in measures])
+    return out.orderBy(F.desc(sort_by), "src", "dst") if sort_by else out
+
+
+def node_sizes(net: Network, measure: str, low: float = 2.0, high: float = 8.0) -> DataFrame:
+    """(node, value, size): a measure and its place between the sizes; nodes without one count as 0, all alike take the middle."""
+    found = centrality(net, [measure])
+    value = F.coalesce(F.nanvl(F.col(measure).cast("double"), F.lit(0.0)), F.lit(0.0))
+    return found.select("node", value.alias("value")).withColumn("size", scales.scale_size(F.col("value"), low, high))
+
+
+def community_colors(net: Network, method: str = "louvain", palette: list[str] | None = None) -> DataFrame:
+    """(node, community, color): communities in their order take the colours of the palette."""
+    return colors.color_levels(cut(community.communities(net, method)), "community", palette)
+
+
 def _centralization(values: DataFrame, value: str, most, name: str) -> DataFrame:
     """Sum of distances from the largest value over the most that it can be, a function of n."""
     found = values.agg(F.count("*").cast("double").alias("n"), F.max(value).alias("top"), F.sum(value).alias("s"))
@@ -46,8 +76,7 @@ def network_summary(net: Network, weighted: bool = True, detailed: bool = False,
     """One row: counts, distances, centralizations, and the measures of the whole network.
 
     extended adds girth, radius, clique size, cut vertices, bridges and efficiencies;
-    detailed adds means of the nodes' measures. Minimum cuts and vertex
-    connectivity are not among them.
+    detailed adds means of the nodes' measures.
     """
     flat = simplify(net)
     flat = Network(cut(flat.nodes), cut(flat.edges.select("src", "dst", "weight")), flat.directed, flat.meta)
@@ -59,7 +88,7 @@ def network_summary(net: Network, weighted: bool = True, detailed: bool = False,
     hub = spectral.hits_value(flat, weighted).select(F.col("value").alias("hub_score"), F.col("value").alias("authority_score"))
     parts = [
         flat.nodes.agg(F.count("*").alias("node_count")), flat.edges.agg(F.count("*").alias("edge_count")), degree.density(flat), structure.components(flat).agg(F.countDistinct("component").alias("component_count")),
-        path.select("diameter", "mean_distance"), degree.centralization_degree(flat).withColumnRenamed("centralization", "centralization_degree"), side("in"), side("out"),
+        path.select("diameter", "mean_distance"), connectivity.min_cut(flat), degree.centralization_degree(flat).withColumnRenamed("centralization", "centralization_degree"), side("in"), side("out"),
         _centralization(paths.betweenness(flat), "betweenness", lambda n: (n - 1) * (n - 1) * (n - 2) / (1 if directed else 2), "centralization_betweenness"),
         _centralization(close, "c", lambda n: (n - 1) * (n - 2) / (2 * n - 3), "centralization_closeness"),
         _centralization(spectral.eigenvector(flat, weighted=False), "eigenvector", lambda n: n - (1 if directed else 2), "centralization_eigen"),
@@ -67,7 +96,7 @@ def network_summary(net: Network, weighted: bool = True, detailed: bool = False,
     ]
     if extended:
         parts += [
-            paths.girth(flat), path.select("radius"), local.clique_size(flat).withColumnRenamed("clique_size", "largest_clique_size"), structure.cut_vertices(flat).agg(F.count("*").alias("cut_vertex_count")),
+            paths.girth(flat), path.select("radius"), connectivity.vertex_connectivity(flat), local.clique_size(flat).withColumnRenamed("clique_size", "largest_clique_size"), structure.cut_vertices(flat).agg(F.count("*").alias("cut_vertex_count")),
             structure.bridges(flat).agg(F.count("*").alias("bridge_count")), path.select("global_efficiency"), paths.local_efficiency(flat).agg(F.avg("efficiency").alias("local_efficiency")),
         ]
     if detailed:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import scales
+from .functions import colors, geometry, scales
 from .network import Network, adjacency, duplicate_edges, merge_duplicates
-from .operators import cluster, community, degree, flow, layers, layout, local, paths, resample, robustness, select, sequences, spectral, structure
+from .operators import cluster, community, connectivity, degree, flow, layers, layout, local, nulls, paths, resample, robustness, select, sequences, spectral, structure
 from .plans import summary
 from .sources import tables
 
@@ -246,7 +246,7 @@ WITH g AS (SELECT r_name AS cluster, row_number() OVER (ORDER BY r_name) - 1 AS
 m AS (SELECT n_name AS node, r_name AS cluster, row_number() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS i, count(*) OVER (PARTITION BY r_name) AS n FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT node, round(0.5 + 0.35 * cos(pi() / 2 + 2 * pi() * gi / gn) + CASE WHEN n = 1 THEN 0 ELSE 0.15 * cos(pi() / 2 + 2 * pi() * i / n) END, 6) + 0.0 AS x,
 round(0.5 + 0.35 * sin(pi() / 2 + 2 * pi() * gi / gn) + CASE WHEN n = 1 THEN 0 ELSE 0.15 * sin(pi() / 2 + 2 * pi() * i / n) END, 6) + 0.0 AS y FROM m JOIN g USING (cluster)""")
-query("layout_spring", lambda s, d: layout.layout_spring(tables.trade_flat(s, d), 10))
+query("layout_spring", lambda s, d: layout.layout_spring(tables.trade_flat(s, d)))
 
 # --- components and paths --------------------------------------------------------------
 def _heavy(spark: SparkSession, sf_dir: str) -> Network:
@@ -354,17 +354,17 @@ query("communities_label_propagation", on(tables.trade_flat, community.label_pro
 query("communities_fast_greedy", on(_heavy, community.fast_greedy))
 query("communities_leiden", on(tables.trade_flat, community.leiden))
 query("communities_leading_eigenvector", on(tables.trade_flat, community.leading_eigenvector))
-query("robustness_random", on(tables.trade_flat, lambda n: robustness.random_attack(n, 3)))
-query("robustness_auc", on(tables.trade_flat, lambda n: robustness.summary(robustness.random_attack(n, 3))))
+query("robustness_random", on(tables.trade_flat, lambda n: robustness.random_attack(n)))
+query("robustness_auc", on(tables.trade_flat, lambda n: robustness.summary(robustness.random_attack(n))))
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.case_transitions(tables.event_sequences(spark, sf_dir))
 
 
-query("bootstrap_edges", lambda s, d: rounded(resample.bootstrap_edges(_cases(s, d), 50)))
-query("permutation_edges", lambda s, d: rounded(resample.permutation_edges(_cases(s, d), tables.table(s, d, "events").select(F.col("user_id").alias("case"), (F.col("user_id") % 2).alias("grp")).distinct(), 50)))
-query("centrality_stability", lambda s, d: resample.stability(_cases(s, d), (0.1, 0.5, 0.9), 10))
+query("bootstrap_edges", lambda s, d: rounded(resample.bootstrap_edges(_cases(s, d))))
+query("permutation_edges", lambda s, d: rounded(resample.permutation_edges(_cases(s, d), tables.table(s, d, "events").select(F.col("user_id").alias("case"), (F.col("user_id") % 2).alias("grp")).distinct())))
+query("centrality_stability", lambda s, d: resample.stability(_cases(s, d)))
 
 # --- several measures together -------------------------------------------------------------
 _ENDS = "k AS (SELECT v.node, count(e.src) AS k, coalesce(sum(weight), 0) AS w FROM v LEFT JOIN (SELECT src AS node, * FROM e UNION ALL SELECT dst, * FROM e) e USING (node) GROUP BY 1), near AS (SELECT src AS node, dst AS other FROM e UNION SELECT dst, src FROM e)"
@@ -380,3 +380,56 @@ query("layout_bipartite", lambda s, d: rounded(layout.layout_bipartite(tables.na
 query("layout_rescaled", lambda s, d: rounded(layout.rescale(layout.layout_oval(tables.nation_nodes(s, d)))), f"""
 WITH {ROW}, c AS (SELECT node, 0.5 + 0.4 * sqrt(1.5) * cos({_TURN}) AS x, 0.5 + 0.4 / sqrt(1.5) * sin({_TURN}) AS y FROM o), r AS (SELECT min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM c)
 SELECT node, round((x - (a + b) / 2) / greatest(b - a, d - c) * 1.8, 6) + 0.0 AS x, round((y - (c + d) / 2) / greatest(b - a, d - c) * 1.8, 6) + 0.0 AS y FROM c, r""")
+
+# --- cuts and random networks ----------------------------------------------------------
+query("min_cut", on(tables.trade_flat, connectivity.min_cut))
+query("vertex_connectivity", on(tables.trade_flat, connectivity.vertex_connectivity))
+query("small_world", on(tables.trade_flat, nulls.small_world))
+query("rich_club_normalized", on(tables.trade_flat, nulls.rich_club_ratio))
+
+# --- edges and layers side by side -------------------------------------------------------
+query("edge_centrality", on(tables.trade_top, lambda n: summary.edge_centrality(n, weighted=False)), ORACLE_SQL["edge_betweenness"].replace("SELECT src, dst, round(b, 6) AS betweenness FROM b", "SELECT src, dst, 1.0::DOUBLE AS weight, round(b, 6) AS betweenness FROM b"))
+query("layer_differences", lambda s, d: rounded(layers.differences(tables.trade_layers(s, d))), f"""
+WITH {LAYERS}, p AS (SELECT DISTINCT a.layer AS layer_a, b.layer AS layer_b FROM l a JOIN l b ON a.layer < b.layer), c AS (SELECT DISTINCT layer_a, layer_b, src, dst FROM p JOIN l ON layer IN (layer_a, layer_b))
+SELECT layer_a, layer_b, c.src, c.dst, coalesce(a.weight, 0)::DOUBLE AS x, coalesce(b.weight, 0)::DOUBLE AS y, (coalesce(a.weight, 0) - coalesce(b.weight, 0))::DOUBLE AS diff
+FROM c LEFT JOIN l a ON a.layer = layer_a AND a.src = c.src AND a.dst = c.dst LEFT JOIN l b ON b.layer = layer_b AND b.src = c.src AND b.dst = c.dst""")
+query("mixed_network", lambda s, d: layers.mixed(adjacency(tables.trade_flat(s, d)), adjacency(tables.trade_top(s, d))), f"""
+WITH {FLAT} SELECT a AS src, b AS dst, w AS weight, 'undirected' AS kind, false AS mutual FROM u
+UNION ALL SELECT src, dst, weight, 'directed', EXISTS (SELECT 1 FROM e r WHERE r.src = e.dst AND r.dst = e.src) FROM e""")
+query("edge_curvatures", lambda s, d: scales.curvatures(edges_of(tables.trade_top(s, d))), f"""
+WITH {TOP} SELECT src, dst, weight, CASE WHEN EXISTS (SELECT 1 FROM e r WHERE r.src = e.dst AND r.dst = e.src) THEN 0.2 ELSE 0 END::DOUBLE AS curve FROM e""")
+
+# --- colours, sizes and points ---------------------------------------------------------------
+_STRENGTH = "k AS (SELECT node, sum(weight) AS strength FROM (SELECT src AS node, weight FROM e UNION ALL SELECT dst, weight FROM e) GROUP BY 1)"
+query("node_sizes", on(tables.trade_top, lambda n: summary.node_sizes(n, "strength")), f"""
+WITH {TOP}, {_STRENGTH}, a AS (SELECT v.node, coalesce(strength, 0)::DOUBLE AS value FROM v LEFT JOIN k USING (node)) SELECT node, value, round(2 + 6 * (value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()), 6) AS size FROM a""")
+_MIX = "printf('%02X', floor(({a}) + (({b}) - ({a})) * (s - step))::INT)"
+_RAMP = "'#' || " + " || ".join(_MIX.format(a=f"CASE step WHEN 0 THEN {x} ELSE {y} END", b=f"CASE step WHEN 0 THEN {y} ELSE {z} END") for x, y, z in ((255, 230, 0), (255, 159, 0), (255, 0, 0)))
+query("node_colors", lambda s, d: colors.scale_color(degree.strength(tables.trade_top(s, d)).select("node", F.col("strength").cast("double").alias("strength")), "strength", ["#FFFFFF", "#E69F00", "#000000"]), f"""
+WITH {TOP}, {_STRENGTH}, a AS (SELECT v.node, coalesce(strength, 0)::DOUBLE AS strength FROM v LEFT JOIN k USING (node)), b AS (SELECT *, (strength - min(strength) OVER ()) / (max(strength) OVER () - min(strength) OVER ()) * 2 AS s FROM a), c AS (SELECT *, least(floor(s), 1)::INT AS step FROM b)
+SELECT node, strength, {_RAMP} AS color FROM c""")
+_WONG = "[" + ", ".join(f"'{c}'" for c in colors.COLORBLIND) + "]"
+_GROUPED = f"g AS (SELECT n_name AS node, r_name AS cluster FROM nation JOIN region ON n_regionkey = r_regionkey), i AS (SELECT cluster, ({_WONG})[row_number() OVER (ORDER BY cluster)] AS color FROM (SELECT DISTINCT cluster FROM g)), c AS (SELECT node, cluster, color FROM g JOIN i USING (cluster))"
+query("group_colors", lambda s, d: colors.color_levels(tables.regions(s, d), "cluster"), f"WITH {_GROUPED} SELECT * FROM c")
+_HEX = ", ".join(f"('0x' || substr(color, {at}, 2))::INT AS {name}" for at, name in ((2, "r"), (4, "g"), (6, "b")))
+query("color_arithmetic", lambda s, d: colors.color_levels(tables.regions(s, d), "cluster").select("node", colors.with_alpha(F.col("color"), 0.5).alias("faint"), colors.brighten(F.col("color"), 0.25).alias("light"), colors.brighten(F.col("color"), -0.5).alias("dark"), colors.text_on(F.col("color")).alias("label")), f"""
+WITH {_GROUPED}, h AS (SELECT *, {_HEX} FROM c)
+SELECT node, color || '80' AS faint, '#' || printf('%02X', floor(r + (255 - r) * 0.25::DOUBLE)::INT) || printf('%02X', floor(g + (255 - g) * 0.25::DOUBLE)::INT) || printf('%02X', floor(b + (255 - b) * 0.25::DOUBLE)::INT) AS light,
+'#' || printf('%02X', floor(r / 2)::INT) || printf('%02X', floor(g / 2)::INT) || printf('%02X', floor(b / 2)::INT) AS dark, CASE WHEN (0.299 * r + 0.587 * g + 0.114 * b) / 255 > 0.5 THEN 'black' ELSE 'white' END AS label FROM h""")
+
+
+def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges with where they leave, bend and arrive, nodes of 0.05 on a circle."""
+    at = layout.layout_circle(tables.nation_nodes(spark, sf_dir))
+    ends = edges_of(tables.trade_top(spark, sf_dir)).join(at.toDF("src", "x1", "y1"), "src").join(at.toDF("dst", "x2", "y2"), "dst")
+    a, b = (F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2"))
+    points = {"from": geometry.border(a, b, 0.05), "mid": geometry.control(a, b, 0.2, shape=0.5), "to": geometry.toward(b, a, 0.05)}
+    return ends.select("src", "dst", geometry.distance(a, b).alias("length"), geometry.angle(a, b).alias("angle"), *[p[i].alias(f"{name}_{c}") for name, p in points.items() for i, c in enumerate("xy")])
+
+
+query("edge_geometry", lambda s, d: rounded(_drawn(s, d), 5), f"""
+WITH {TOP}, {ROW}, pt AS (SELECT node, 0.5 + 0.4 * cos({_TURN}) AS x, 0.5 + 0.4 * sin({_TURN}) AS y FROM o),
+p AS (SELECT src, dst, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS len FROM e JOIN pt a ON a.node = src JOIN pt b ON b.node = dst)
+SELECT src, dst, round(len, 5) + 0.0 AS length, round(atan2(y2 - y1, x2 - x1), 5) + 0.0 AS angle, round(x1 + 0.05 * (x2 - x1) / len, 5) + 0.0 AS from_x, round(y1 + 0.05 * (y2 - y1) / len, 5) + 0.0 AS from_y,
+round((x1 + x2) / 2 - 0.15 * (y2 - y1), 5) + 0.0 AS mid_x, round((y1 + y2) / 2 + 0.15 * (x2 - x1), 5) + 0.0 AS mid_y, round(x2 + 0.05 * (x1 - x2) / len, 5) + 0.0 AS to_x, round(y2 + 0.05 * (y1 - y2) / len, 5) + 0.0 AS to_y FROM p""")
+query("community_colors", on(tables.trade_flat, summary.community_colors))
