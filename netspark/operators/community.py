@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,26 +167,46 @@ def leading_eigenvector(net: Network, weighted: bool = True, most_splits: int =
         inner = cut(ties.join(a, "src").join(b, "dst").filter("ca = cb").select("src", "dst", "w"))
         inside = inner.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("ki"))
         total = member.filter("open").groupBy("c").agg(F.sum("k").alias("kc"))
-        base = member.filter("open").join(inside, "node", "left").join(total, "c").select("node", "c", "k", (F.coalesce("ki", F.lit(0.0)) - F.col("k") * F.col("kc") / m2).alias("d"))
+        base = member.filter("open").join(inside, "node", "left").join(total, "c").select("node", "c", "k", "kc", (F.coalesce("ki", F.lit(0.0)) - F.col("k") * F.col("kc") / m2).alias("d"))
         # Rows of the matrix sum to nothing within a community; a shift makes the leading eigenvalue the largest one.
         base = cut(base)
         widest = (base.agg(F.max(F.col("k") + F.abs("d"))).first()[0] or 0.0) + 1e-9
 
-        def step(x: DataFrame, shift: float, base=base, inner=inner) -> DataFrame:
-            near = inner.join(x.select(F.col("node").alias("dst"), "x"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("ax"))
-            wide = base.join(x, "node").join(near, "node", "left")
-            kx = F.sum(F.col("k") * F.col("x")).over(Window.partitionBy("c"))
-            raw = wide.withColumn("y", F.coalesce("ax", F.lit(0.0)) - F.col("k") * kx / m2 + (shift - F.col("d")) * F.col("x"))
-            top = F.max(F.abs("y")).over(Window.partitionBy("c"))
-            return raw.select("node", F.coalesce(F.try_divide(F.col("y"), top), F.lit(0.0)).alias("x"))
 
-        seed = base.select("node", (F.pmod(F.xxhash64("node"), F.lit(1000)) / 1000.0 - 0.5).alias("x"))
+        def matrix(shift: float, base=base, inner=inner) -> DataFrame:
+            """The shifted matrix of all communities as cells (src, dst, w, c). What a community takes off each node, its mean by degree, is an entry of the vector too, so a step is one join and one sum."""
+            one, whole = [lambda c, mean=mean: F.struct(F.col(c).alias("node"), F.lit(mean).alias("mean")) for mean in (False, True)]
+            own = shift - F.col("d")
+            into = inner.join(base.select(F.col("node").alias("src"), F.col("k").alias("ks")), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("ks") * F.col("w")).alias("q"))
+            cells = [
+                inner.join(base.select(F.col("node").alias("src"), "c"), "src").select(one("src").alias("src"), one("dst").alias("dst"), "w", "c"),
+                base.select(one("node"), one("node"), own, "c"),
+                base.select(one("node"), whole("c"), -F.col("k") * F.col("kc") / m2, "c"),
+                base.join(into, "node", "left").select(whole("c"), one("node"), F.try_divide(F.coalesce("q", F.lit(0.0)) + own * F.col("k"), F.col("kc")), "c"),
+                base.groupBy("c").agg((-F.sum(F.col("k") * F.col("k")) / m2).alias("w")).select(whole("c"), whole("c"), "w", "c"),
+            ]
+            return cut(reduce(DataFrame.union, cells))
+
+        def steps(x: DataFrame, cells: DataFrame, times: int) -> DataFrame:
+            for _ in range(times):
+                x = cells.join(x.select(F.col("node").alias("dst"), "x"), "dst").groupBy(F.col("src").alias("node"), "c").agg(F.coalesce(F.sum(F.col("w") * F.col("x")), F.lit(0.0)).alias("x"))
+            return x
+
+        def onward(x: DataFrame, cells: DataFrame) -> DataFrame:
+            """Eight steps; then the largest value of each community is 1."""
+            y = cut(steps(x, cells, 8))
+            top = y.filter("not node.mean").groupBy("c").agg(F.max(F.abs("x")).alias("top"))
+            return y.join(top, "c").select("node", "c", F.coalesce(F.try_divide("x", "top"), F.lit(0.0)).alias("x"))
+
+        entry = lambda c, mean, x: base.select(F.struct(F.col(c).alias("node"), F.lit(mean).alias("mean")).alias("node"), "c", x.alias("x"))  # noqa: B023, E731
+        seed = entry("node", False, F.pmod(F.xxhash64("node"), F.lit(1000)) / 1000.0 - 0.5).union(entry("c", True, F.lit(0.0)).distinct())
         for share in (0.3, 2.0):  # a small shift settles soon; where it finds the other end of the spectrum, a sure one
-            x = settled(seed, lambda x, s=share * widest: step(x, s), False, every=4, tolerance=5e-3, most=400)
-            after = step(x, 0.0).withColumnRenamed("x", "y").join(x, "node").agg(F.min(F.col("x") * F.col("y")).alias("m"), F.sum(F.col("x") * F.col("y")).alias("s")).first()
+            cells = matrix(share * widest)
+            x = settled(seed, lambda x, cells=cells: onward(x, cells), False, every=1, tolerance=5e-3, most=250)
+            after = steps(x, matrix(0.0), 1).select("node", F.col("x").alias("y")).join(x, "node").filter("not node.mean").agg(F.sum(F.col("x") * F.col("y")).alias("s")).first()
             if (after.s or 0.0) > 0:
                 break
-        side = cut(base.join(x, "node").select("node", "c", "k", "d", (F.col("x") >= 0).alias("side")))
+        side = cut(base.join(x.filter("not node.mean").select("node.node", "x"), "node").select("node", "c", "k", "d", (F.col("x") >= 0).alias("side")))
         # The gain of a split: s'Bs over twice the weight, s being 1 and -1.
         s = F.when(F.col("side"), 1.0).otherwise(-1.0)
         sign = side.select("node", s.alias("s"))
