@@ -7,18 +7,21 @@ sample of unequal chances: a document of n words has the chance min(1, c * n **
 c such that the expected words are what is left to the target, so longer documents
 are likelier and the longest may be certain. Documents are ranked by u / (1 - u) over
 p / (1 - p), u random by document and p its chance, and taken in this order while
-they fit into what is left: the size of the sample is fixed in words. The one
-document that comes closest to closing the gap that remains is taken too, if that
-brings the source nearer to its target. DataFrame expressions only.
+they fit into what is left; one that does not fit is passed over, and those behind it
+go on, round by round, until nothing left fits: the size of the sample is fixed in
+words. Then the document that comes closest to the gap that remains is taken too, if
+that brings the source nearer to its target. DataFrame expressions only.
 
 Ranks are never sorted within a source: words are summed over `BINS` intervals
-of the rank, and only the interval in which the target falls is put in order.
+of the rank, and only the interval in which the target falls is put in order. A round
+leaves a gap below the document that stopped it, about half of it on average, so there
+are about as many rounds as the longest document's size has bits.
 What a row gets depends on its rank and on a few figures of its source, so the
-texts are not shuffled, rows that agree in id and size are treated alike, and
-reruns agree. Null texts have size 0, the null source comes last, documents
-with a null id share a rank by size; empty tables give empty results; texts of any
-length are counted whole. Sources are put in order in one task (a row each), and
-so are the different sizes of a source.
+texts are not shuffled, rows that agree in id and size are treated alike (they go in
+together or not at all), and reruns agree. Null texts have size 0, the null source comes
+last, documents with a null id share a rank by size; empty tables give empty results;
+texts of any length are counted whole. Sources are put in order in one task (a row each),
+and so are the different sizes of a source.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 from ..session import cut, small
 
 BINS = 4096
+MOST_ROUNDS = 1000
 #: The power of its size to which a document's chance of a further copy is proportional.
 LEAN = 0.5
 WORD = r"[^\x20\x09-\x0D]+"
@@ -85,10 +89,43 @@ def with_pace(by_source: DataFrame, units: DataFrame) -> DataFrame:
     return by_source.alias("s").join(pace.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")), "left").select("s.*", F.when(F.col("left") > 0, F.greatest("pace", F.lit(0.0))).otherwise(0.0).alias("pace"))
 
 
-def plan(units: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seed: int = 9) -> DataFrame:
-    """A row for each source: target, certain copies, and which ranks get one copy more.
+def _fits(rounds: Column, rank: Column, words: Column) -> Column:
+    """Whether some round took a document of this rank and size."""
+    return F.exists(rounds, lambda r: (rank > r["above"]) & (rank <= r["upto"]) & (words <= r["most"]))
 
-    units: source, doc_id, size, n (rows that agree in these).
+
+def _round(ranked: DataFrame, state: DataFrame) -> DataFrame:
+    """state (source, gap, above, rounds, going) after one more stretch of ranks has been taken.
+
+    Of the documents behind `above` that fit into the gap one by one, those go in that fit
+    together, up to the first that no longer does. Words are summed by interval of the
+    rank, and only the interval in which the gap is filled is put in order.
+    """
+    open_ = ranked.alias("r").join(state.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).filter("s.going and r.rank > s.above and r.words <= s.gap").select("r.*", "gap")
+    bins = open_.groupBy("source", "bin", "gap").agg(F.sum("words").alias("words")).withColumn("sum", F.sum("words").over(Window.partitionBy("source").orderBy("bin")))
+    full = F.min(F.when(F.col("sum") > F.col("gap"), F.struct("bin", (F.col("sum") - F.col("words")).alias("before"))))
+    edge = bins.groupBy("source").agg(full.alias("e"), F.max("sum").alias("all")).select("source", "e.bin", "e.before", "all")
+    within = Window.partitionBy("source").orderBy("rank")  # rows of one rank count together
+    at_edge = open_.alias("r").join(edge.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")) & (F.col("r.bin") == F.col("e.bin"))).select("r.*", "before").withColumn("sum", F.sum("words").over(within) + F.col("before"))
+    last = at_edge.filter("sum <= gap").groupBy("source").agg(F.max(F.struct("rank", "sum")).alias("m"))
+    e, m = F.col("e.bin"), F.col("l.m")
+    upto = F.when(e.isNull(), 2.0).otherwise(F.coalesce(m["rank"], e / BINS - 1e-15))
+    got = F.when(e.isNull(), F.col("e.all")).otherwise(F.coalesce(m["sum"], F.col("e.before")))
+    met = state.alias("s").join(edge.alias("e"), F.col("s.source").eqNullSafe(F.col("e.source")), "left").join(last.alias("l"), F.col("s.source").eqNullSafe(F.col("l.source")), "left")
+    moved = F.col("e.all").isNotNull()
+    taken = F.struct(F.col("s.above").alias("above"), upto.alias("upto"), F.col("s.gap").alias("most"))
+    made = met.select(
+        "s.source", F.when(moved, F.col("s.gap") - got).otherwise(F.col("s.gap")).alias("gap"), F.when(moved, upto).otherwise(F.col("s.above")).alias("above"),
+        F.when(moved, F.concat("s.rounds", F.array(taken))).otherwise(F.col("s.rounds")).alias("rounds"), (moved & e.isNotNull()).alias("going"),
+    )
+    return cut(made, state)
+
+
+def plan(units: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seed: int = 9) -> tuple[DataFrame, DataFrame]:
+    """A row for each source (target, certain copies, and which ranks get one copy more), and the ranks that go out again.
+
+    units: source, doc_id, size, n (rows that agree in these). The second table,
+    (source, rank), has units of several rows that do not fit together where one would.
     """
     by_source = targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -98,26 +135,28 @@ def plan(units: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: f
     same = F.col("u.source").eqNullSafe(F.col("s.source"))
     ranked = (
         units.filter("size > 0").alias("u").join(by_source.alias("s"), same).filter("s.pace > 0")
-        .select("u.*", "s.left", rank_of(F.col("u.doc_id"), F.col("u.size"), chance_of(F.col("s.pace"), F.col("u.size")), seed).alias("rank"))
-        .withColumn("words", F.col("size") * F.col("n")).withColumn("bin", F.floor(F.col("rank") * BINS))
-    )
-    bins = ranked.groupBy("source", "bin", "left").agg(F.sum("words").alias("words"))
-    upto = Window.partitionBy("source").orderBy("bin")
-    edge = bins.withColumn("sum", F.sum("words").over(upto)).filter("sum > left").groupBy("source").agg(F.min(F.struct("bin", (F.col("sum") - F.col("words")).alias("before"))).alias("e")).select("source", "e.bin", "e.before")
-    within = Window.partitionBy("r.source").orderBy("rank")  # rows of one rank count together
-    at_edge = ranked.alias("r").join(small(edge).alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")) & (F.col("r.bin") == F.col("e.bin"))).select("r.*", (F.sum("words").over(within) + F.col("e.before")).alias("sum"))
-    last = at_edge.filter("sum <= left").groupBy("source").agg(F.max(F.struct("rank", "sum")).alias("m"))
-    cuts = edge.alias("e").join(last.alias("l"), F.col("e.source").eqNullSafe(F.col("l.source")), "left").select("e.source", F.coalesce("l.m.rank", F.col("e.bin") / BINS - 1e-15).alias("upto"), F.coalesce("l.m.sum", "e.before").alias("got"))
-    cuts = small(cut(cuts))
-    gap = F.col("r.left") - F.col("c.got")
-    filler = (
-        ranked.alias("r").join(cuts.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source"))).filter((F.col("r.rank") > F.col("c.upto")) & (F.col("r.words") < 2 * gap))
-        .groupBy(F.col("r.source").alias("source")).agg(F.min(F.struct(F.abs(F.col("r.words") - gap).alias("off"), F.col("r.rank"))).alias("f")).select("source", F.col("f.rank").alias("filler"))
+        .select("u.source", "u.size", (F.col("u.size") * F.col("u.n")).alias("words"), rank_of(F.col("u.doc_id"), F.col("u.size"), chance_of(F.col("s.pace"), F.col("u.size")), seed).alias("rank"))
+        .groupBy("source", "rank").agg(F.sum("words").alias("words"), F.min("size").alias("size")).withColumn("bin", F.floor(F.col("rank") * BINS))
     )
-    return (
-        by_source.alias("s").join(cuts.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")), "left").join(filler.alias("f"), F.col("s.source").eqNullSafe(F.col("f.source")), "left")
-        .select("s.source", "s.source_size", "s.target", "s.copies", "s.pace", F.coalesce("c.upto", F.when(F.col("s.pace") > 0, 2.0).otherwise(-1.0)).alias("upto"), F.coalesce("f.filler", F.lit(-1.0)).alias("filler"))
+    ranked = cut(ranked)
+    no_rounds = F.array().cast("array<struct<above:double,upto:double,most:double>>")
+    state = cut(by_source.select("source", F.col("left").alias("gap"), F.lit(-1.0).alias("above"), no_rounds.alias("rounds"), (F.col("pace") > 0).alias("going")))
+    for _ in range(MOST_ROUNDS):
+        if state.filter("going").isEmpty():
+            break
+        state = _round(ranked, state)
+    else:
+        raise RuntimeError("the mix did not settle")
+    state = small(state)
+    told = ranked.alias("r").join(state.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "s.gap", "s.rounds")
+    taken = _fits(F.col("rounds"), F.col("rank"), F.col("words"))
+    filler = told.filter(~taken & (F.col("words") < 2 * F.col("gap"))).groupBy("source").agg(F.min(F.struct(F.abs(F.col("words") - F.col("gap")).alias("off"), "rank")).alias("f")).select("source", F.col("f.rank").alias("filler"))
+    out = told.filter("size < words").filter(_fits(F.col("rounds"), F.col("rank"), F.col("size")) & ~taken).select("source", "rank")
+    chosen = (
+        by_source.alias("s").join(state.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source"))).join(filler.alias("f"), F.col("s.source").eqNullSafe(F.col("f.source")), "left")
+        .select("s.source", "s.source_size", "s.target", "s.copies", "s.pace", "c.rounds", F.coalesce("f.filler", F.lit(-1.0)).alias("filler"))
     )
+    return cut(chosen), cut(out)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seed: int = 9) -> DataFrame:
@@ -127,10 +166,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: flo
     """
     sized = docs.withColumn("__ns_size", size_of(F.col("text")))
     units = cut(sized.groupBy("source", "doc_id", F.col("__ns_size").alias("size")).agg(F.count("*").alias("n")))
-    chosen = small(cut(plan(units, weights, most, seed))).select(*[F.col(c).alias(f"__ns_{c}") for c in ("source", "source_size", "target", "copies", "pace", "upto", "filler")])
-    rank = rank_of(F.col("doc_id"), F.col("__ns_size"), chance_of(F.col("__ns_pace"), F.col("__ns_size")), seed)
-    extra = F.when((F.col("__ns_size") > 0) & (F.col("__ns_pace") > 0) & ((rank <= F.col("__ns_upto")) | (rank == F.col("__ns_filler"))), 1).otherwise(0)
+    chosen, out = plan(units, weights, most, seed)
+    chosen = small(chosen).select(*[F.col(c).alias(f"__ns_{c}") for c in ("source", "source_size", "target", "copies", "pace", "rounds", "filler")])
     mixed = sized.join(chosen, F.col("source").eqNullSafe(F.col("__ns_source")))
-    copies = (F.col("__ns_copies") + extra).cast("long")
+    mixed = mixed.withColumn("__ns_rank", rank_of(F.col("doc_id"), F.col("__ns_size"), chance_of(F.col("__ns_pace"), F.col("__ns_size")), seed))
+    rank, size = F.col("__ns_rank"), F.col("__ns_size")
+    extra = (size > 0) & (F.col("__ns_pace") > 0) & (_fits(F.col("__ns_rounds"), rank, size) | (rank == F.col("__ns_filler")))
+    if not out.isEmpty():
+        gone = small(out).select(F.col("source").alias("__ns_out"), F.col("rank").alias("__ns_out_rank"), F.lit(True).alias("__ns_gone"))
+        mixed = mixed.join(gone, F.col("source").eqNullSafe(F.col("__ns_out")) & (rank == F.col("__ns_out_rank")), "left")
+        extra = extra & (F.col("__ns_gone").isNull() | (rank == F.col("__ns_filler")))
+    copies = F.col("__ns_copies") + F.coalesce(extra.cast("long"), F.lit(0))
     own = ("size", "source_size", "target", "copies", "taken")
-    return mixed.select(*[F.col(c) for c in docs.columns if c not in own], F.col("__ns_size").alias("size"), F.col("__ns_source_size").alias("source_size"), F.col("__ns_target").alias("target"), copies.alias("copies"), (copies * F.col("__ns_size")).alias("taken"))
+    return mixed.select(*[F.col(c) for c in docs.columns if c not in own], size.alias("size"), F.col("__ns_source_size").alias("source_size"), F.col("__ns_target").alias("target"), copies.alias("copies"), (copies * size).alias("taken"))
