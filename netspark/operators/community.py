@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..network import Network
-from ..session import cut
+from ..session import cut, discard
 from .spectral import settled
 
 
@@ -39,15 +39,17 @@ def label_propagation(net: Network, weighted: bool = True, most_rounds: int = 10
     raise RuntimeError("labels did not settle")
 
 
-def _local_moves(ties: DataFrame, resolution: float, start: DataFrame | None = None, within: DataFrame | None = None, most_rounds: int = 400) -> DataFrame:
+def _local_moves(ties: DataFrame, resolution: float, start: DataFrame | None = None, within: DataFrame | None = None, most_rounds: int = 400, mass: DataFrame | None = None) -> DataFrame:
     """(node, c) after moving nodes to the neighbouring community of the largest gain until none would move.
 
     Nodes take turns in random halves, later in smaller parts, so that they do not
     move past each other for ever. start: (node, c) to begin with, else each alone;
-    within: (node, g), moves only into communities of the same g.
+    within: (node, g), moves only into communities of the same g. What a tie must
+    outweigh is resolution times the product of masses: (src, k), or else degrees, over
+    their sum (modularity).
     """
-    k = cut(ties.groupBy("src").agg(F.sum("w").alias("k")))
-    m2 = k.agg(F.sum("k")).first()[0] or 1.0
+    k = cut(ties.groupBy("src").agg(F.sum("w").alias("k"))) if mass is None else mass
+    m2 = (k.agg(F.sum("k")).first()[0] or 1.0) if mass is None else 1.0
     near = ties.filter("src <> dst")
     if within is not None:
         a, b = within.select(F.col("node").alias("src"), F.col("g").alias("gs")), within.select(F.col("node").alias("dst"), F.col("g").alias("gd"))
@@ -71,6 +73,36 @@ def _local_moves(ties: DataFrame, resolution: float, start: DataFrame | None = N
     raise RuntimeError("moves did not settle")
 
 
+def _refined(ties: DataFrame, resolution: float, within: DataFrame, mass: DataFrame, scale: float, beta: float, seed: int, rounds: int = 8) -> DataFrame:
+    """(node, c): parts of the communities `within` (node, g), merged at random from single nodes.
+
+    A node that is well tied to its community joins a part that is so too, with a chance
+    that grows with exp(gain / beta), among those that it does not lose by. Each node has
+    one turn; who is alone and on turn moves, the others stand still meanwhile.
+    """
+    g = within.select("node", "g")
+    near = cut(ties.filter("src <> dst").join(g.withColumnRenamed("node", "src"), "src").join(g.select(F.col("node").alias("dst"), F.col("g").alias("gd")), "dst").filter("g = gd").select("src", "dst", "w"))
+    own = cut(mass.select(F.col("src").alias("node"), "k").join(g, "node").withColumn("c", F.col("node")))
+    whole = cut(own.groupBy("g").agg(F.sum("k").alias("all")))
+    share = resolution / scale
+    for i in range(rounds):
+        placed = near.join(own.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(own.select(F.col("node").alias("dst"), F.col("c").alias("to")), "dst")
+        ends = placed.filter("cs <> to").groupBy(F.col("cs").alias("c")).agg(F.sum("w").alias("cutw"))
+        parts = own.groupBy("c", "g").agg(F.sum("k").alias("tot"), F.count("*").alias("n")).join(ends, "c", "left").fillna(0.0, ["cutw"]).join(whole, "g")
+        parts = cut(parts.withColumn("well", F.col("cutw") >= share * F.col("tot") * (F.col("all") - F.col("tot")) - 1e-9))
+        turn = lambda c: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(rounds)) == i  # noqa: B023, E731
+        movers = own.filter(turn("node")).join(parts.filter("n = 1 and well").select("c"), "c").select(F.col("node").alias("src"), "k")
+        goals = parts.filter(F.col("well") & ((F.col("n") > 1) | ~turn("c"))).select(F.col("c").alias("to"), "tot")
+        offers = placed.groupBy("src", "to").agg(F.sum("w").alias("w")).join(movers, "src").join(goals, "to").withColumn("gain", F.col("w") - share * F.col("k") * F.col("tot")).filter("gain >= -1e-9")
+        stays = movers.select(F.col("src").alias("to"), "src", F.lit(0.0).alias("gain"))
+        u = (F.shiftrightunsigned(F.xxhash64("src", "to", F.lit(seed + i)), 12).cast("double") + 0.5) / float(1 << 52)
+        drawn = offers.select("to", "src", "gain").union(stays).withColumn("luck", F.col("gain") / beta - F.ln(-F.ln(u)))
+        new = drawn.groupBy(F.col("src").alias("node")).agg(F.max_by("to", F.struct("luck", "to")).alias("new"))
+        own = cut(own.join(new, "node", "left").select("node", "k", "g", F.coalesce("new", "c").alias("c")), own)
+        discard(parts)
+    return own.select("node", "c")
+
+
 def _between(ties: DataFrame, of: DataFrame) -> DataFrame:
     """Ties of the network whose nodes are the communities (node, c)."""
     a, b = of.select(F.col("node").alias("src"), F.col("c").alias("ca")), of.select(F.col("node").alias("dst"), F.col("c").alias("cb"))
@@ -95,24 +127,57 @@ def louvain(net: Network, weighted: bool = True, resolution: float = 1.0, most_l
     raise RuntimeError("levels did not end")
 
 
-def leiden(net: Network, weighted: bool = True, resolution: float = 1.0, most_levels: int = 100) -> DataFrame:
+def leiden(net: Network, weighted: bool = True, resolution: float = 1.0, objective: str = "CPM", beta: float = 0.01, initial: DataFrame | None = None, n_iterations: int = 2, vertex_weights: DataFrame | None = None, seed: int = 1, most_levels: int = 100) -> DataFrame:
     """(node, community): as louvain, but each community is refined before its parts become nodes.
 
-    Refining starts from single nodes and merges within the community only, so a part
-    is connected and can leave its community at the next level.
+    Refining starts from single nodes and merges at random within the community only, so
+    a part is connected and can leave its community at the next level. objective: CPM (a
+    tie must outweigh resolution times the product of its ends' weights, which are 1 or
+    those of vertex_weights (node, weight)) or modularity. initial: (node, community) to
+    begin with; n_iterations: how often all is run, each from what the one before found;
+    below 0 until nothing changes.
     """
+    if objective not in ("CPM", "modularity"):
+        raise ValueError("the objective is CPM or modularity")
     ties = cut(_ties(net, weighted))
-    member = cut(net.nodes.select("node", F.col("node").alias("part")))  # of which part each node is
-    start = None
-    for _ in range(most_levels):
-        moved = cut(_local_moves(ties, resolution, start))
-        parts = cut(_local_moves(ties, resolution, within=moved.withColumnRenamed("c", "g")))
-        whole = parts.select("node", "c").join(moved.select("node", F.col("c").alias("to")), "node")
-        member = cut(member.join(whole.select(F.col("node").alias("part"), "c", "to"), "part", "left").select("node", F.coalesce("c", "part").alias("part"), F.coalesce("to", "part").alias("community")), member)
+    if objective == "CPM":
+        own = net.nodes.select("node") if vertex_weights is None else net.nodes.select("node").join(vertex_weights.select("node", F.col("weight").cast("double").alias("k")), "node", "left")
+        mass = own.select(F.col("node").alias("src"), F.lit(1.0).alias("k") if vertex_weights is None else F.coalesce("k", F.lit(1.0)).alias("k"))
+        scale = 1.0
+    else:
+        mass = net.nodes.select(F.col("node").alias("src")).join(ties.groupBy("src").agg(F.sum("w").alias("k")), "src", "left").fillna(0.0, ["k"])
+        scale = ties.agg(F.sum("w")).first()[0] or 1.0
+    mass = cut(mass)
+    member = net.nodes.select("node", F.col("node").alias("community"))
+    if initial is not None:
+        member = net.nodes.select("node").join(initial.select("node", F.col("community").cast("string").alias("__g")), "node", "left").withColumn("__g", F.coalesce("__g", F.col("node").cast("string")))
+        member = member.join(member.groupBy("__g").agg(F.min("node").alias("community")), "__g").select("node", "community")
+    member, turn = cut(member), 0
+    while n_iterations < 0 or turn < n_iterations:
+        found = cut(_named(_leiden_pass(ties, mass, scale, resolution, beta, member, seed + 1000 * turn, most_levels)))
+        same = found.join(member.withColumnRenamed("community", "before"), "node").filter("community <> before").isEmpty()
+        member, turn = found, turn + 1
+        if same:
+            break
+    return member
+
+
+def _leiden_pass(ties: DataFrame, mass: DataFrame, scale: float, resolution: float, beta: float, member: DataFrame, seed: int, most_levels: int) -> DataFrame:
+    """(node, community) after levels of moves, refinement and merging of parts, from a membership named by nodes."""
+    start, of = member.select("node", F.col("community").alias("c")), cut(member.select("node", F.col("node").alias("part")))
+    for level in range(most_levels):
+        moved = cut(_local_moves(ties, resolution / scale, start, mass=mass))
+        parts = cut(_refined(ties, resolution, moved.withColumnRenamed("c", "g"), mass, scale, beta, seed + level))
+        whole = parts.join(moved.select("node", F.col("c").alias("to")), "node")
+        of = cut(of.join(whole.select(F.col("node").alias("part"), "c", "to"), "part").select("node", F.col("c").alias("part"), F.col("to").alias("community")), of)
         if parts.filter("node <> c").isEmpty():
-            return _named(member.select("node", "community"))
-        start = cut(whole.select(F.col("c").alias("node"), F.col("to").alias("c")).distinct())
-        ties, member = cut(_between(ties, parts), ties), member.select("node", "part")
+            return of.select("node", "community")
+        # A community is named by the least of its parts, which are nodes of the next level.
+        pairs = whole.select(F.col("c").alias("node"), "to").distinct()
+        start = cut(pairs.join(pairs.groupBy("to").agg(F.min("node").alias("c")), "to").select("node", "c"))
+        ties = cut(_between(ties, parts))
+        mass = cut(mass.join(parts.withColumnRenamed("node", "src"), "src").groupBy("c").agg(F.sum("k").alias("k")).withColumnRenamed("c", "src"))
+        of = of.select("node", "part")
     raise RuntimeError("levels did not end")
 
 
@@ -222,12 +287,17 @@ def leading_eigenvector(net: Network, weighted: bool = True, most_splits: int =
     raise RuntimeError("splits did not end")
 
 
-#: Methods by name, each (net) -> (node, community).
-METHODS = {"louvain": louvain, "leiden": leiden, "label_propagation": label_propagation, "fast_greedy": fast_greedy, "edge_betweenness": edge_removal, "leading_eigenvector": leading_eigenvector}
-
-
 def communities(net: Network, method: str = "louvain", **options) -> DataFrame:
-    return METHODS[method](net, **options)
+    """(node, community) by the method of this name, with its own options; fluid needs k."""
+    from . import fluid, infomap, optimal, spinglass, walktrap
+
+    methods = {
+        "louvain": louvain, "leiden": leiden, "fast_greedy": fast_greedy, "walktrap": walktrap.walktrap, "infomap": infomap.infomap, "label_propagation": label_propagation,
+        "edge_betweenness": edge_removal, "leading_eigenvector": leading_eigenvector, "spinglass": spinglass.spinglass, "optimal": optimal.optimal, "fluid": fluid.fluid,
+    }
+    if method not in methods:
+        raise ValueError(f"a method is one of {', '.join(methods)}")
+    return methods[method](net, **options)
 
 
 def sizes(member: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .forces import layout_gephi_fr, layout_spring
+
 
 def _numbered(nodes: DataFrame, *keys: str) -> DataFrame:
     return nodes.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("node")) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
@@ -90,31 +92,8 @@ def normalize(coords: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFra
     return coords.select(*[c for c in coords.columns if c not in ("x", "y")], axis("x").alias("x"), axis("y").alias("y"))
 
 
-def layout_spring(net, iterations: int = 50, cooling: float = 0.95, seed: int = 42) -> DataFrame:
-    """(node, x, y) by Fruchterman and Reingold: repulsion over all pairs of nodes, attraction along edges, in each step a join and a sum."""
-    from ..session import cut
-
-    n = max(1, net.n_nodes())
-    k, heat = 1 / math.sqrt(n), 0.1
-    at = cut(net.nodes.select("node", (F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(10007)) / 10007.0).alias("x"), (F.pmod(F.xxhash64("node", F.lit(seed + 1)), F.lit(10007)) / 10007.0).alias("y")))
-    around = cut(net.around())
-    for _ in range(iterations):
-        other = at.select(F.col("node").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-        pull = around.join(at, "node").join(other, "other")
-        dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
-        d = F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(1e-6))
-        apart = at.join(other, F.col("node") != F.col("other")).select("node", (dx / d * k * k / d).alias("fx"), (dy / d * k * k / d).alias("fy"))
-        force = apart.union(pull.select("node", -dx * d / k, -dy * d / k)).groupBy("node").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
-        f = F.greatest(F.sqrt(F.col("fx") * F.col("fx") + F.col("fy") * F.col("fy")), F.lit(1e-9))
-        move = F.least(f, F.lit(heat)) / f
-        held = lambda c: F.least(F.greatest(c, F.lit(0.05)), F.lit(0.95))
-        at = cut(at.join(force, "node", "left").fillna(0.0, ["fx", "fy"]).select("node", held(F.col("x") + F.col("fx") * move).alias("x"), held(F.col("y") + F.col("fy") * move).alias("y")))
-        heat *= cooling
-    return at
-
-
 #: Layouts by name, each (nodes, ..) -> (node, x, y); `register` adds more.
-LAYOUTS = {"circle": layout_circle, "oval": layout_oval, "ellipse": layout_oval, "grid": layout_grid, "star": layout_star, "bipartite": layout_bipartite, "random": layout_random, "groups": layout_groups, "spring": layout_spring, "fr": layout_spring}
+LAYOUTS = {"circle": layout_circle, "oval": layout_oval, "ellipse": layout_oval, "grid": layout_grid, "star": layout_star, "bipartite": layout_bipartite, "random": layout_random, "groups": layout_groups, "spring": layout_spring, "fr": layout_spring, "gephi_fr": layout_gephi_fr}
 
 
 def register(name: str, made) -> None:

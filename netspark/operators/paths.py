@@ -35,8 +35,8 @@ def distances(net: Network, weighted: bool = False, invert: bool = False, alpha:
         merged = cut(known.join(step, ["source", "node"], "full_outer").select("source", "node", F.least("dist", "near").alias("dist"), (F.col("near").isNotNull() & (F.col("dist").isNull() | (F.col("near") < F.col("dist") - 1e-12))).alias("new")))
         known, front = merged.select("source", "node", "dist"), merged.filter("new").select("source", "node", "dist")
         if front.isEmpty():
-            break
-    return known
+            return known
+    raise RuntimeError(f"distances still fall after {most_passes} passes")
 
 
 def _pairs(dist: DataFrame) -> DataFrame:

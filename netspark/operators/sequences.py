@@ -49,20 +49,30 @@ def windows(seq: DataFrame, size: int, step: int, length: int | None = None) ->
     return seq.filter((F.col("t") >= 1) & (F.col("t") <= F.col("length"))).withColumn("lo", low).withColumn("hi", high).filter("lo <= hi").select(F.explode(F.sequence("lo", "hi")).alias("window"), "case", "t", "state")
 
 
-def window_transitions(seq: DataFrame, size: int = 5, step: int = 1, length: int | None = None, na_threshold: float | None = None) -> DataFrame:
-    """(window, src, dst, count, weight) of each window; with a threshold, windows end before the first with too many nulls."""
+def window_transitions(seq: DataFrame, size: int = 5, step: int = 1, length: int | None = None, na_threshold: float | None = 0.5) -> DataFrame:
+    """(window, src, dst, count, weight) of each window; the series ends before the first window with too many nulls (None: never)."""
+    if size < 2 or step < 1:
+        raise ValueError("a window has two time points at least, and starts are one apart at least")
     w = windows(seq, size, step, length)
     if na_threshold is not None:
-        w = w.join(usable_windows(w, na_threshold).filter("usable").select("window"), "window", "left_semi")
+        w = w.join(F.broadcast(usable_windows(seq, size, step, length, na_threshold).filter("usable").select("window")), "window", "left_semi")  # a row a window
     order = Window.partitionBy("window", "case").orderBy("t")
     pairs = w.select("window", F.col("state").alias("src"), F.lead("state").over(order).alias("dst")).filter("src is not null and dst is not null")
     return relative(pairs.groupBy("window", "src", "dst").agg(F.count("*").alias("count")), "window")
 
 
-def usable_windows(w: DataFrame, na_threshold: float = 0.5) -> DataFrame:
-    """(window, na_share, usable): a window whose share of nulls is above the threshold ends the series."""
-    share = w.groupBy("window").agg(F.avg(F.col("state").isNull().cast("int")).alias("na_share"))
-    return share.withColumn("usable", F.max((F.col("na_share") > na_threshold).cast("int")).over(Window.orderBy("window")) == 0)
+def usable_windows(seq: DataFrame, size: int = 5, step: int = 1, length: int | None = None, na_threshold: float = 0.5) -> DataFrame:
+    """(window, na_share, usable) of every window: the share of nulls among all cells of the table with a row for each case and a column for each time point.
+
+    Cells after a case's end are null too. The first window above the threshold ends the series.
+    """
+    whole = seq.agg(F.max("t").alias("last"), F.countDistinct("case").alias("cases"))
+    last = F.floor(((F.lit(length) if length else F.col("last")) - size) / step).cast("int")
+    every = whole.filter(last >= 0).select(F.explode(F.sequence(F.lit(0), last)).alias("window"), "cases")
+    told = windows(seq.filter("state is not null"), size, step, length) if length else windows(seq, size, step).filter("state is not null")
+    share = every.join(told.groupBy("window").agg(F.count("*").alias("n")), "window", "left").select("window", (1 - F.coalesce("n", F.lit(0)) / (F.col("cases") * size)).alias("na_share"))
+    first = share.filter(F.col("na_share") > na_threshold).agg(F.min("window").alias("first"))
+    return share.join(F.broadcast(first), how="cross").select("window", "na_share", (F.col("first").isNull() | (F.col("window") < F.col("first"))).alias("usable"))
 
 
 def cooccurrence(marks: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Components, cores, bridges and cut vertices."""
+"""Components and cores; bridges and cut vertices come from `blocks`."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..network import Network
 from ..session import cut
+from .blocks import bridges, cut_vertices  # noqa: F401
 from .components import connected_components
 
 
@@ -43,38 +44,3 @@ def coreness(net: Network, most_rounds: int = 10_000) -> DataFrame:
     else:
         raise RuntimeError("cores did not settle")
     return net.nodes.select("node").join(core, "node", "left").select("node", F.coalesce("core", F.lit(0)).cast("long").alias("coreness"))
-
-
-def _without(net: Network, removed: DataFrame, by_edge: bool) -> DataFrame:
-    """(removed, parts): components among the ends that are left when one node (or edge) is taken out, for each at once.
-
-    All reduced networks are searched together as one disjoint union, whose size
-    is the product of removals and edges: for networks of thousands of edges.
-    """
-    s = net.simple()
-    if by_edge:
-        rest = removed.join(s, ~((F.col("ra") == F.col("src")) & (F.col("rb") == F.col("dst"))))
-        key, nodes = F.struct("ra", "rb"), removed.join(net.nodes.select("node"), how="cross")
-    else:
-        rest = removed.join(s, (F.col("ra") != F.col("src")) & (F.col("ra") != F.col("dst")))
-        key, nodes = F.struct("ra"), removed.join(net.nodes.select("node"), F.col("ra") != F.col("node"))
-    edges = rest.select(F.struct(key.alias("r"), F.col("src").alias("n")).alias("src"), F.struct(key.alias("r"), F.col("dst").alias("n")).alias("dst"))
-    of = connected_components(edges)
-    placed = nodes.select(F.struct(key.alias("r"), F.col("node").alias("n")).alias("node")).join(of, "node", "left").select("node.r", F.coalesce("component", "node").alias("c"))
-    return placed.groupBy("r").agg(F.countDistinct("c").alias("parts"))
-
-
-def cut_vertices(net: Network) -> DataFrame:
-    """Nodes whose removal leaves more components than there were."""
-    parts = components(net).select("component").distinct().count()
-    alone = net.nodes.select("node").join(net.around().select("node").distinct(), "node", "left_semi")
-    found = _without(net, alone.select(F.col("node").alias("ra")), False)
-    return found.filter(F.col("parts") > parts).select(F.col("r.ra").alias("node"))
-
-
-def bridges(net: Network) -> DataFrame:
-    """(src, dst): edges whose removal leaves more components; parallel edges are no bridges."""
-    parts = components(net).select("component").distinct().count()
-    once = net.edges.filter("src <> dst").groupBy(F.least("src", "dst").alias("ra"), F.greatest("src", "dst").alias("rb")).agg(F.count("*").alias("n")).filter("n = 1").select("ra", "rb")
-    found = _without(net, once, True)
-    return found.filter(F.col("parts") > parts).select(F.col("r.ra").alias("src"), F.col("r.rb").alias("dst"))

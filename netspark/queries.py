@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import colors, geometry, scales
 from .network import Network, adjacency, duplicate_edges, merge_duplicates
-from .operators import cluster, community, connectivity, degree, flow, layers, layout, local, nulls, paths, resample, robustness, select, sequences, spectral, structure
+from .operators import blocks, cluster, community, connectivity, degree, flow, fluid, infomap, layers, layout, local, nulls, optimal, paths, resample, robustness, select, sequences, spectral, spinglass, structure, walktrap
 from .plans import summary
 from .sources import tables
 
@@ -67,10 +67,14 @@ SELECT src, dst, count, round(count / sum(count) OVER (PARTITION BY src), 6) AS
 query("transition_inits", _seq(sequences.initial_states), f"""
 WITH {SEQ}, f AS (SELECT case_, arg_min(state, t) AS state FROM seq WHERE state IS NOT NULL GROUP BY 1), c AS (SELECT state, count(*) AS count FROM f GROUP BY 1)
 SELECT state, count, round(count / sum(count) OVER (), 6) AS share FROM c""")
+#: Windows end before the first in which more than half of all cells (cases times time points) are empty.
+_CELLS = """r AS (SELECT unnest(range(0, (max(t) - {size}) // {step} + 1)) AS k FROM seq), w AS (SELECT k AS "window", case_, t, {state} AS state FROM seq, r WHERE t > k * {step} AND t <= k * {step} + {size}),
+h AS (SELECT r.k, 1 - count(w.state) / ((SELECT count(DISTINCT case_) FROM seq) * {size}) AS na FROM r LEFT JOIN w ON w."window" = r.k GROUP BY 1),
+f AS (SELECT coalesce(min(k), 1000000000) AS first FROM h WHERE na > 0.5)"""
 for _name, _size, _step in (("transition_windows_sliding", 5, 1), ("transition_windows_tumbling", 5, 5)):
     query(_name, _seq(lambda s, a=_size, b=_step: sequences.window_transitions(s, a, b)), f"""
-WITH {SEQ}, r AS (SELECT unnest(range(0, (max(t) - {_size}) // {_step} + 1)) AS k FROM seq), w AS (SELECT k AS "window", case_, t, state FROM seq, r WHERE t > k * {_step} AND t <= k * {_step} + {_size}),
-p AS (SELECT "window", state AS src, lead(state) OVER (PARTITION BY "window", case_ ORDER BY t) AS dst FROM w),
+WITH {SEQ}, {_CELLS.format(size=_size, step=_step, state="state")},
+p AS (SELECT "window", state AS src, lead(state) OVER (PARTITION BY "window", case_ ORDER BY t) AS dst FROM w, f WHERE "window" < first),
 c AS (SELECT "window", src, dst, count(*) AS count FROM p WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY 1, 2, 3)
 SELECT "window"::INT AS "window", src, dst, count, round(count / sum(count) OVER (PARTITION BY "window", src), 6) AS weight FROM c""")
 
@@ -80,10 +84,9 @@ def _gaps(seq: DataFrame) -> DataFrame:
     return seq.withColumn("state", F.when(~((F.col("t") >= 12) & F.col("state").isin("purchase", "click", "view")), F.col("state")))
 
 
-query("window_na_stop", _seq(lambda s: sequences.usable_windows(sequences.windows(_gaps(s), 5, 1), 0.5)), f"""
-WITH {SEQ}, r AS (SELECT unnest(range(0, max(t) - 4)) AS k FROM seq), w AS (SELECT k AS "window", CASE WHEN NOT (t >= 12 AND state IN ('purchase', 'click', 'view')) THEN state END AS state FROM seq, r WHERE t > k AND t <= k + 5),
-h AS (SELECT "window", avg(CASE WHEN state IS NULL THEN 1 ELSE 0 END) AS na FROM w GROUP BY 1)
-SELECT "window"::INT AS "window", round(na, 6) AS na_share, max(CASE WHEN na > 0.5 THEN 1 ELSE 0 END) OVER (ORDER BY "window") = 0 AS usable FROM h""")
+query("window_na_stop", _seq(lambda s: sequences.usable_windows(_gaps(s))), f"""
+WITH {SEQ}, {_CELLS.format(size=5, step=1, state="CASE WHEN NOT (t >= 12 AND state IN ('purchase', 'click', 'view')) THEN state END")}
+SELECT k::INT AS "window", round(na, 6) AS na_share, k < first AS usable FROM h, f""")
 MARKS = "m AS (SELECT DISTINCT user_id AS actor, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS w, event_type AS code FROM events)"
 query("cooccurrence", lambda s, d: sequences.cooccurrence(tables.event_marks(s, d).withColumn("window", F.struct("actor", "window"))), f"""
 WITH {MARKS} SELECT a.code AS src, b.code AS dst, count(*) AS count FROM m a JOIN m b ON a.actor = b.actor AND a.w = b.w AND a.code <= b.code GROUP BY 1, 2""")
@@ -246,7 +249,8 @@ WITH g AS (SELECT r_name AS cluster, row_number() OVER (ORDER BY r_name) - 1 AS
 m AS (SELECT n_name AS node, r_name AS cluster, row_number() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS i, count(*) OVER (PARTITION BY r_name) AS n FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT node, round(0.5 + 0.35 * cos(pi() / 2 + 2 * pi() * gi / gn) + CASE WHEN n = 1 THEN 0 ELSE 0.15 * cos(pi() / 2 + 2 * pi() * i / n) END, 6) + 0.0 AS x,
 round(0.5 + 0.35 * sin(pi() / 2 + 2 * pi() * gi / gn) + CASE WHEN n = 1 THEN 0 ELSE 0.15 * sin(pi() / 2 + 2 * pi() * i / n) END, 6) + 0.0 AS y FROM m JOIN g USING (cluster)""")
-query("layout_spring", lambda s, d: layout.layout_spring(tables.trade_flat(s, d)))
+query("layout_spring", on(tables.trade_flat, layout.layout_spring))
+query("layout_gephi_fr", on(tables.trade_flat, layout.layout_gephi_fr))
 
 # --- components and paths --------------------------------------------------------------
 def _heavy(spark: SparkSession, sf_dir: str) -> Network:
@@ -299,9 +303,26 @@ WITH RECURSIVE {FLAT}, i AS (SELECT x.node AS z, s.node AS a, s.other AS b FROM
 walk(z, source, node, d) AS (SELECT node, other, other, 0 FROM s UNION SELECT walk.z, source, i.b, d + 1 FROM walk JOIN i ON i.z = walk.z AND i.a = walk.node WHERE d < 10),
 m AS (SELECT z, source, node, min(d) AS d FROM walk GROUP BY 1, 2, 3), near AS (SELECT z, sum(1 / d) AS total FROM m WHERE d > 0 GROUP BY 1), k AS (SELECT node, count(*) AS k FROM s GROUP BY 1)
 SELECT v.node, CASE WHEN k > 1 THEN round(coalesce(total, 0) / (k * (k - 1)), 6) ELSE 0 END::DOUBLE AS efficiency FROM v LEFT JOIN k USING (node) LEFT JOIN near ON z = v.node""")
-query("current_flow_closeness", on(tables.trade_flat, flow.current_flow_closeness))
-query("current_flow_betweenness", on(tables.trade_flat, flow.current_flow_betweenness))
-query("voterank", on(tables.trade_top, degree.voterank))
+#: The pseudoinverse of the Laplacian: Gauss and Jordan on (L + 1/n | I), a column a step (positive definite, so no pivots).
+_PSEUDO = f"""
+WITH RECURSIVE {FLAT}, nn AS (SELECT count(*) AS n FROM v), ids AS (SELECT node, row_number() OVER (ORDER BY node) AS i FROM v),
+cell AS (SELECT x.i, y.i AS j, 1.0::DOUBLE / n + CASE WHEN x.i = y.i THEN coalesce(d.k, 0) ELSE 0 END - CASE WHEN s.node IS NULL THEN 0 ELSE 1 END AS a
+  FROM nn, ids x CROSS JOIN ids y LEFT JOIN (SELECT node, count(*) AS k FROM s GROUP BY 1) d ON d.node = x.node LEFT JOIN s ON s.node = x.node AND s.other = y.node),
+line AS (SELECT i, list_concat(list(a::DOUBLE ORDER BY j), list(CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ORDER BY j)) AS r FROM cell GROUP BY i),
+g(k, m) AS (SELECT 0::BIGINT, list(r ORDER BY i) FROM line UNION ALL SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda x: x / m[k + 1][k + 1]) ELSE list_transform(r, lambda x, j: x - r[k + 1] / m[k + 1][k + 1] * m[k + 1][j]) END) FROM g, nn WHERE k < n),
+p AS (SELECT x.node AS source, y.node, m[x.i][n + y.i] - 1.0 / n AS p FROM g, nn, ids x, ids y WHERE k = n)"""
+query("current_flow_closeness", on(tables.trade_flat, flow.current_flow_closeness), f"{_PSEUDO} SELECT node, round((n - 1) / (n * p + (SELECT sum(p) FROM p WHERE source = node)), 6) AS current_flow_closeness FROM p, nn WHERE source = node")
+query("current_flow_betweenness", on(tables.trade_flat, flow.current_flow_betweenness), f"""{_PSEUDO},
+d AS (SELECT s.node, s.other, x.source, x.p - y.p AS d FROM s JOIN p x ON x.node = s.node JOIN p y ON y.node = s.other AND y.source = x.source WHERE x.source <> s.node),
+f AS (SELECT x.node, sum(abs(x.d - y.d)) / 2 AS f FROM d x JOIN d y ON x.node = y.node AND x.other = y.other AND x.source < y.source GROUP BY 1)
+SELECT v.node, round(coalesce(2 * f / ((n - 1) * (n - 2)), 0), 6) + 0.0 AS current_flow_betweenness FROM v LEFT JOIN f USING (node), nn""")
+query("voterank", on(tables.trade_top, degree.voterank), f"""
+WITH RECURSIVE {TOP}, ids AS (SELECT node, row_number() OVER (ORDER BY node) AS pos FROM v), md AS (SELECT 2.0 * (SELECT count(*) FROM e) / (SELECT count(*) FROM v) AS mean),
+ins AS (SELECT dst AS node, list(src) AS ins FROM e GROUP BY 1), arc AS (SELECT e.src, e.dst, pos, coalesce(ins, []) AS ins FROM e JOIN ids ON ids.node = e.dst LEFT JOIN ins ON ins.node = e.src),
+it(i, el, out) AS (SELECT 0, []::VARCHAR[], false UNION ALL SELECT i + 1, list_append(el, coalesce(best, (SELECT min(node) FROM v WHERE NOT list_contains(el, node)))), best IS NULL FROM (SELECT i, el, (
+  SELECT arg_max(dst, (votes, -pos)) FROM (SELECT dst, any_value(pos) AS pos, round(sum(greatest(0, 1 - len(list_intersect(ins, el)) / mean)), 9) AS votes FROM arc, md WHERE NOT list_contains(el, dst) AND NOT list_contains(el, src) GROUP BY dst) WHERE votes > 1e-12) AS best FROM it WHERE i < (SELECT count(*) FROM v))),
+o AS (SELECT unnest(el) AS node, unnest(range(1, len(el) + 1)) AS rank, len(el) AS m FROM it WHERE i = (SELECT count(*) FROM v))
+SELECT node, round((m + 1 - rank) / m, 6) AS voterank FROM o""")
 
 # --- iterations ----------------------------------------------------------------------------
 #: Steps of a matrix over all cells (src, dst, g), far beyond what settles to the digits shown.
@@ -341,20 +362,53 @@ WITH RECURSIVE {FLAT}, it(i, node, c) AS (SELECT 0, node, count(*) FROM s GROUP
   UNION ALL SELECT i + 1, s.node, list_sum(list_transform(list_reverse_sort(list(c)), lambda x, j: CASE WHEN x >= j THEN 1 ELSE 0 END)) FROM it JOIN s ON s.other = it.node WHERE i < 40 GROUP BY i, s.node)
 SELECT v.node, coalesce(c, 0)::BIGINT AS coreness FROM v LEFT JOIN (SELECT * FROM it WHERE i = 40) USING (node)""")
 HU = HEAVY.split("reach(a, b)")[0].rstrip().rstrip(",") + ", uu AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM h), once AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM h GROUP BY 1, 2 HAVING count(*) = 1), ua AS (SELECT a, b FROM uu UNION ALL SELECT b, a FROM uu)"
-query("bridges", on(_heavy, structure.bridges), f"""
+query("bridges_heaviest", on(_heavy, structure.bridges), f"""
 WITH RECURSIVE {HU}, go(ra, rb, node) AS (SELECT a, b, a FROM once UNION SELECT ra, rb, ua.b FROM go JOIN ua ON ua.a = go.node AND NOT (least(ua.a, ua.b) = ra AND greatest(ua.a, ua.b) = rb))
 SELECT a AS src, b AS dst FROM once WHERE NOT EXISTS (SELECT 1 FROM go WHERE ra = a AND rb = b AND node = b)""")
-query("cut_vertices", on(_heavy, structure.cut_vertices), f"""
+query("cut_vertices_heaviest", on(_heavy, structure.cut_vertices), f"""
 WITH RECURSIVE {HU}, go(r, source, node) AS (SELECT a, b, b FROM ua UNION SELECT r, source, ua.b FROM go JOIN ua ON ua.a = go.node AND ua.b <> r)
 SELECT DISTINCT x.a AS node FROM ua x JOIN ua y ON x.a = y.a AND x.b < y.b WHERE NOT EXISTS (SELECT 1 FROM go WHERE r = x.a AND source = x.b AND node = y.b)""")
+query("bridges", on(tables.trade_flat, structure.bridges), f"""
+WITH RECURSIVE {FLAT}, go(ra, rb, node) AS (SELECT a, b, a FROM u UNION SELECT ra, rb, s.other FROM go JOIN s ON s.node = go.node AND NOT (least(s.node, s.other) = ra AND greatest(s.node, s.other) = rb))
+SELECT a AS src, b AS dst FROM u WHERE NOT EXISTS (SELECT 1 FROM go WHERE ra = a AND rb = b AND node = b)""")
+query("cut_vertices", on(tables.trade_flat, structure.cut_vertices), f"""
+WITH RECURSIVE {FLAT}, go(r, node) AS (SELECT node, min(other) FROM s GROUP BY 1 UNION SELECT r, s.other FROM go JOIN s ON s.node = go.node AND s.other <> r)
+SELECT DISTINCT node FROM s WHERE NOT EXISTS (SELECT 1 FROM go WHERE go.r = s.node AND go.node = s.other)""")
+#: Two edges are in one block if a cycle holds both: no third node parts them.
+query("block_sizes", on(tables.trade_flat, lambda n: blocks.blocks(n).groupBy("block").agg(F.count("*").alias("edges")).groupBy("edges").agg(F.count("*").alias("blocks"))), f"""
+WITH RECURSIVE {FLAT}, go(r, f, node) AS (SELECT node, other, other FROM s UNION SELECT r, f, s.other FROM go JOIN s ON s.node = go.node AND s.other <> r),
+near AS (SELECT x.a AS xa, x.b AS xb, y.a AS ya, y.b AS yb FROM u x JOIN u y ON x.a IN (y.a, y.b) OR x.b IN (y.a, y.b)),
+tie AS (SELECT * FROM near WHERE (xa = ya AND xb = yb) OR EXISTS (SELECT 1 FROM go WHERE r = CASE WHEN xa IN (ya, yb) THEN xa ELSE xb END AND f = CASE WHEN xa IN (ya, yb) THEN xb ELSE xa END AND node = CASE WHEN ya IN (xa, xb) THEN yb ELSE ya END)),
+one(a, b, c, d) AS (SELECT xa, xb, ya, yb FROM tie UNION SELECT one.a, one.b, tie.ya, tie.yb FROM one JOIN tie ON tie.xa = one.c AND tie.xb = one.d),
+named AS (SELECT a, b, min(c || '/' || d) AS block FROM one GROUP BY 1, 2)
+SELECT edges, count(*) AS blocks FROM (SELECT block, count(*) AS edges FROM named GROUP BY 1) GROUP BY 1""")
+query("bridges_copurchase", on(tables.co_purchases, structure.bridges))
+query("cut_vertices_copurchase", on(tables.co_purchases, structure.cut_vertices))
 
 # --- communities, robustness, resampling -----------------------------------------------------
 query("communities_louvain", on(tables.trade_flat, community.louvain))
 query("communities_label_propagation", on(tables.trade_flat, community.label_propagation))
-query("communities_fast_greedy", on(_heavy, community.fast_greedy))
-query("communities_leiden", on(tables.trade_flat, community.leiden))
+query("communities_fast_greedy", on(tables.trade_flat, community.fast_greedy))
+query("communities_leiden", on(tables.trade_flat, lambda n: community.leiden(n, objective="modularity")))
+query("communities_leiden_cpm", on(tables.trade_flat, lambda n: community.leiden(n, weighted=False, resolution=0.3)))
+query("communities_walktrap", on(tables.trade_flat, walktrap.walktrap))
+query("walktrap_merges", on(tables.trade_flat, walktrap.merges))
+query("communities_infomap", on(tables.trade_flat, infomap.infomap))
+query("communities_optimal", on(tables.trade_flat, optimal.optimal))
+query("communities_fluid", on(tables.trade_flat, lambda n: fluid.fluid(n, 5)))
+query("communities_spinglass", on(tables.trade_flat, lambda n: spinglass.spinglass(n, spins=10, cool_fact=0.8)))
 query("communities_leading_eigenvector", on(tables.trade_flat, community.leading_eigenvector))
 query("robustness_random", on(tables.trade_flat, lambda n: robustness.random_attack(n)))
+query("robustness_random_edges", on(tables.trade_flat, lambda n: robustness.random_attack(n, by="edge")))
+_ATTACK = f"""
+WITH RECURSIVE {FLAT}, it(step, gone) AS (SELECT 0, []::VARCHAR[] UNION ALL SELECT step + 1, list_append(gone, coalesce(
+    (SELECT arg_max(node, (k, -pos)) FROM (SELECT node, count(*) AS k, any_value(i) AS pos FROM s JOIN (SELECT node, row_number() OVER (ORDER BY node) AS i FROM v) USING (node) WHERE NOT list_contains(gone, node) AND NOT list_contains(gone, other) GROUP BY node)),
+    (SELECT min(node) FROM v WHERE NOT list_contains(gone, node)))) FROM it WHERE step < (SELECT count(*) FROM v)),
+go(step, a, b) AS (SELECT step, node, node FROM it, v WHERE NOT list_contains(gone, node) UNION SELECT go.step, go.a, s.other FROM go JOIN s ON s.node = go.b JOIN it ON it.step = go.step WHERE NOT list_contains(gone, s.other)),
+size AS (SELECT it.step, coalesce(max(n), 0)::DOUBLE AS m FROM it LEFT JOIN (SELECT step, a, count(*) AS n FROM go GROUP BY 1, 2) c ON c.step = it.step GROUP BY 1),
+curve AS (SELECT step::INT AS step, round(step / (SELECT count(*) FROM v), 6) AS removed_pct, m AS comp_size, round(m / (SELECT m FROM size WHERE step = 0), 6) AS comp_pct FROM size)"""
+query("robustness_degree", on(tables.trade_flat, robustness.robustness), f"{_ATTACK} SELECT * FROM curve")
+query("robustness_betweenness", on(tables.trade_flat, lambda n: robustness.robustness(n, "betweenness")))
 query("robustness_auc", on(tables.trade_flat, lambda n: robustness.summary(robustness.random_attack(n))))
 
 
@@ -382,8 +436,17 @@ WITH {ROW}, c AS (SELECT node, 0.5 + 0.4 * sqrt(1.5) * cos({_TURN}) AS x, 0.5 +
 SELECT node, round((x - (a + b) / 2) / greatest(b - a, d - c) * 1.8, 6) + 0.0 AS x, round((y - (c + d) / 2) / greatest(b - a, d - c) * 1.8, 6) + 0.0 AS y FROM c, r""")
 
 # --- cuts and random networks ----------------------------------------------------------
-query("min_cut", on(tables.trade_flat, connectivity.min_cut))
-query("vertex_connectivity", on(tables.trade_flat, connectivity.vertex_connectivity))
+#: Every node here has three edges at least, and one has three (FLAT keeps three a nation), so sets of two and the least degree decide.
+query("min_cut", on(tables.trade_flat, connectivity.min_cut), f"""
+WITH RECURSIVE {FLAT}, cuts AS (SELECT x.a AS a1, x.b AS b1, y.a AS a2, y.b AS b2 FROM u x JOIN u y ON (x.a, x.b) <= (y.a, y.b) UNION ALL SELECT '', '', '', ''),
+go(a1, b1, a2, b2, node) AS (SELECT *, (SELECT min(node) FROM v) FROM cuts UNION SELECT a1, b1, a2, b2, s.other FROM go JOIN s ON s.node = go.node AND NOT (least(s.node, s.other) = a1 AND greatest(s.node, s.other) = b1) AND NOT (least(s.node, s.other) = a2 AND greatest(s.node, s.other) = b2)),
+bad AS (SELECT CASE WHEN a1 = '' THEN 0 WHEN a1 = a2 AND b1 = b2 THEN 1 ELSE 2 END AS size FROM go GROUP BY a1, b1, a2, b2 HAVING count(*) < (SELECT count(*) FROM v))
+SELECT least((SELECT min(k) FROM (SELECT count(*) AS k FROM s GROUP BY node)), coalesce((SELECT min(size) FROM bad), 1000))::BIGINT AS min_cut""")
+query("vertex_connectivity", on(tables.trade_flat, connectivity.vertex_connectivity), f"""
+WITH RECURSIVE {FLAT}, cuts AS (SELECT x.node AS x, y.node AS y FROM v x JOIN v y ON x.node <= y.node UNION ALL SELECT '', ''),
+go(x, y, node) AS (SELECT x, y, (SELECT min(node) FROM v WHERE node NOT IN (x, y)) FROM cuts UNION SELECT x, y, s.other FROM go JOIN s ON s.node = go.node AND s.other NOT IN (x, y)),
+bad AS (SELECT CASE WHEN x = '' THEN 0 WHEN x = y THEN 1 ELSE 2 END AS size FROM go GROUP BY x, y HAVING count(*) < (SELECT count(*) FROM v) - CASE WHEN x = '' THEN 0 WHEN x = y THEN 1 ELSE 2 END)
+SELECT least((SELECT min(k) FROM (SELECT count(*) AS k FROM s GROUP BY node)), coalesce((SELECT min(size) FROM bad), 1000))::BIGINT AS vertex_connectivity""")
 query("small_world", on(tables.trade_flat, nulls.small_world))
 query("rich_club_normalized", on(tables.trade_flat, nulls.rich_club_ratio))
 
