@@ -1,36 +1,41 @@
-"""Values to sizes, widths, colours and labels: Column expressions over a whole table."""
+"""Values to sizes, widths, colours and labels."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-def over_all(value: Column) -> Column:
-    """An aggregate over the whole table, beside every row."""
-    return value.over(Window.partitionBy())
+from ..operators.ordered import running
 
 
-def scale_size(value: Column, low: float = 0.03, high: float = 0.1, trans: str = "linear") -> Column:
-    """Onto low .. high by the least and largest value, after sqrt or log1p; the middle without spread."""
-    v = {"linear": value, "sqrt": F.sqrt(F.greatest(value, F.lit(0.0))), "log": F.log1p(value)}[trans]
-    return F.coalesce(low + (high - low) * F.try_divide(v - over_all(F.min(v)), over_all(F.max(v)) - over_all(F.min(v))), F.lit((low + high) / 2))
+def scale_size(df: DataFrame, value: str, low: float = 0.03, high: float = 0.1, trans: str = "linear", name: str = "size") -> DataFrame:
+    """df with a column from low to high by the least and largest value, after sqrt or log1p; the middle without spread."""
+    v = {"linear": F.col(value), "sqrt": F.sqrt(F.greatest(value, F.lit(0.0))), "log": F.log1p(value)}[trans]
+    span = F.broadcast(df.agg(F.min(v).alias("__low"), F.max(v).alias("__high")))  # one row
+    share = F.try_divide(v - F.col("__low"), F.col("__high") - F.col("__low"))
+    return df.join(span, how="cross").withColumn(name, F.coalesce(low + (high - low) * share, F.lit((low + high) / 2))).drop("__low", "__high")
 
 
-def scale_edge_widths(weight: Column, mode: str = "linear", low: float = 0.5, high: float = 4.0, minimum: float = 0.0, maximum: float | None = None) -> Column:
-    """|weight| to low .. high: its ratio to the maximum, that of logarithms or roots, or the mean rank."""
-    w = F.abs(weight)
-    top = F.lit(maximum) if maximum is not None else over_all(F.max(w))
+def scale_edge_widths(df: DataFrame, weight: str = "weight", mode: str = "linear", low: float = 0.5, high: float = 4.0, minimum: float = 0.0, maximum: float | None = None, name: str = "width") -> DataFrame:
+    """df with |weight| brought to low .. high: its ratio to the maximum, that of logarithms or roots, or the mean rank.
+
+    Ranks are those of the different weights, so edges are only counted.
+    """
+    w = F.abs(F.col(weight))
     if mode == "rank":
-        order = Window.orderBy(w)
-        mean_rank = F.rank().over(order) + (F.count("*").over(Window.partitionBy(w)) - 1) / 2
-        share = F.try_divide(mean_rank - 1, over_all(F.count("*")) - 1)
+        counts = df.select(w.alias("__w")).filter("__w is not null").groupBy("__w").agg(F.count("*").alias("__n"))
+        ranks = running(counts, ["__w"], "__n", "__upto")
+        every = F.broadcast(df.agg(F.count("*").alias("__all")))
+        share = F.try_divide(F.col("__upto") - F.col("__n") + (F.col("__n") - 1) / 2, F.col("__all") - 1)
+        made = df.join(ranks, w == F.col("__w"), "left").join(every, how="cross")
     else:
         f = {"linear": lambda x: x, "log": F.log1p, "sqrt": F.sqrt}[mode]
-        share = F.try_divide(f(w), f(top))
+        top = df.agg(F.max(w).alias("__top")) if maximum is None else df.sparkSession.range(1).select(F.lit(float(maximum)).alias("__top"))
+        made, share = df.join(F.broadcast(top), how="cross"), F.try_divide(f(w), f(F.col("__top")))
     share = F.least(F.greatest(F.coalesce(share, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    return F.when(weight.isNull() | (w < minimum), low).otherwise(low + (high - low) * share)
+    return made.select(*df.columns, F.when(F.col(weight).isNull() | (w < minimum), low).otherwise(low + (high - low) * share).alias(name))
 
 
 def adaptive_edge_size(n_nodes: int, directed: bool = False) -> float:

@@ -20,22 +20,44 @@ def _ties(net: Network, weighted: bool) -> DataFrame:
     return both.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").union(both.select("b", "a", "w")).union(e.filter("a = b").select("a", "b", 2 * F.col("w")))
 
 
-def label_propagation(net: Network, weighted: bool = True, most_rounds: int = 1000) -> DataFrame:
+def label_propagation(net: Network, weighted: bool = True, mode: str = "out", initial: DataFrame | None = None, fixed: DataFrame | None = None, most_rounds: int = 1000) -> DataFrame:
     """(node, community): every node takes the heaviest label around it, its own among equal ones, then the least.
 
-    Nodes take turns in random halves until none would change; raises if that does not happen.
+    mode, for directed networks: labels go along the edges (out), against them (in) or
+    both ways (all). initial: (node, community) to begin with, null for none yet (without
+    it, and where it has no row, every node has its own name); fixed: (node) of nodes that
+    keep theirs. What no label reaches keeps its own name. Nodes take turns in random
+    halves until none would change; raises if that does not happen.
     """
-    ties = cut(_ties(net, weighted).filter("src <> dst"))
-    labels = cut(net.nodes.select("node", F.col("node").alias("community")))
+    if mode not in ("out", "in", "all"):
+        raise ValueError("a mode is out, in or all")
+    if net.directed and mode != "all":
+        to, from_ = ("dst", "src") if mode == "out" else ("src", "dst")
+        w = F.sum("weight") if weighted else F.count("*").cast("double")
+        ties = net.edges.filter("src <> dst").groupBy(F.col(to).alias("src"), F.col(from_).alias("dst")).agg(w.alias("w"))
+    else:
+        ties = _ties(net, weighted).filter("src <> dst")
+    ties = cut(ties)
+    labels = net.nodes.select("node", F.col("node").alias("community"))
+    if initial is not None:
+        given = initial.select("node", F.col("community").alias("__given"), F.lit(True).alias("__told"))
+        labels = net.nodes.select("node").join(given, "node", "left").select("node", F.when(F.col("__told"), F.col("__given")).otherwise(F.col("node")).alias("community"))
+    held = F.lit(False)
+    if fixed is not None:
+        labels, held = labels.join(fixed.select("node", F.lit(True).alias("__held")), "node", "left").select("node", "community", F.coalesce("__held", F.lit(False)).alias("held")), F.col("held")
+    else:
+        labels = labels.withColumn("held", held)
+    labels = cut(labels)
     for i in range(most_rounds):
         own = labels.select(F.col("node").alias("src"), F.col("community").alias("own"))
-        heard = ties.join(labels, F.col("dst") == F.col("node")).groupBy("src", "community").agg(F.round(F.sum("w"), 9).alias("w")).join(own, "src")
-        best = heard.groupBy("src").agg(F.min_by("community", F.struct(-F.col("w"), F.col("community") != F.col("own"), F.col("community"))).alias("new")).withColumnRenamed("src", "n")
-        wants = F.col("new").isNotNull() & (F.col("new") != F.col("community"))
+        told = labels.filter("community is not null").select(F.col("node").alias("dst"), "community")
+        heard = ties.join(told, "dst").groupBy("src", "community").agg(F.round(F.sum("w"), 9).alias("w")).join(own, "src")
+        best = heard.groupBy("src").agg(F.min_by("community", F.struct(-F.col("w"), ~F.col("community").eqNullSafe(F.col("own")), F.col("community"))).alias("new")).withColumnRenamed("src", "n")
+        wants = F.col("new").isNotNull() & ~F.col("new").eqNullSafe(F.col("community")) & ~F.col("held")
         turn = F.pmod(F.xxhash64("node", F.lit(i // 2)), F.lit(2)) == i % 2
-        labels = cut(labels.join(best, F.col("node") == F.col("n"), "left").select("node", F.when(turn & wants, F.col("new")).otherwise(F.col("community")).alias("community"), wants.alias("wants")), labels)
+        labels = cut(labels.join(best, F.col("node") == F.col("n"), "left").select("node", F.when(turn & wants, F.col("new")).otherwise(F.col("community")).alias("community"), "held", wants.alias("wants")), labels)
         if labels.filter("wants").isEmpty():
-            return labels.select("node", "community")
+            return labels.select("node", F.coalesce("community", "node").alias("community"))
     raise RuntimeError("labels did not settle")
 
 
@@ -225,7 +247,7 @@ def leading_eigenvector(net: Network, weighted: bool = True, most_splits: int =
     """(node, community): communities are bisected by the sign of the leading eigenvector of their modularity matrix, all at once, while modularity rises."""
     ties = cut(_ties(net, weighted))
     k = net.nodes.select("node").join(ties.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")), "node", "left").fillna(0.0, ["k"])
-    member = cut(k.withColumn("c", F.min("node").over(Window.partitionBy())).withColumn("open", F.lit(True)))
+    member = cut(k.join(F.broadcast(k.agg(F.min("node").alias("c"))), how="cross").withColumn("open", F.lit(True)))
     m2 = member.agg(F.sum("k")).first()[0] or 1.0
     for _ in range(most_splits):
         a, b = member.filter("open").select(F.col("node").alias("src"), F.col("c").alias("ca")), member.filter("open").select(F.col("node").alias("dst"), F.col("c").alias("cb"))

@@ -7,10 +7,16 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .forces import layout_gephi_fr, layout_spring
+from .ordered import running
 
 
 def _numbered(nodes: DataFrame, *keys: str) -> DataFrame:
+    """nodes with i, from 0 in the order of names (within the keys), and n, how many there are."""
+    if not keys:
+        count = F.broadcast(nodes.agg(F.count("*").alias("n")))  # one row
+        return running(nodes, ["node"], name="i").withColumn("i", F.col("i") - 1).join(count, how="cross")
     return nodes.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("node")) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
 
 
@@ -40,21 +46,29 @@ def layout_grid(nodes: DataFrame, columns: int | None = None) -> DataFrame:
 
 def layout_star(nodes: DataFrame, center=None) -> DataFrame:
     """(node, x, y): one node (the first by name) in the middle, the others counter-clockwise about it."""
-    first = F.col("node") == center if center is not None else F.col("i") == 0
-    ranked = _numbered(nodes.select("node")).withColumn("mid", first)
-    place = F.row_number().over(Window.partitionBy("mid").orderBy("node")) - 1
+    ranked = cut(_numbered(nodes.select("node")))
+    at = ranked.filter(F.col("node") == center if center is not None else F.col("i") == 0).select(F.col("i").alias("at")).limit(1)
+    ranked = ranked.join(F.broadcast(at), F.lit(True), "left").withColumn("mid", F.col("i").eqNullSafe(F.col("at")))
+    place = F.when(F.col("i") > F.col("at"), F.col("i") - 1).otherwise(F.col("i"))
     angle = math.pi / 2 + 2 * math.pi * place / (F.col("n") - 1)
     return ranked.select("node", F.when(F.col("mid"), 0.5).otherwise(0.5 + 0.4 * F.cos(angle)).alias("x"), F.when(F.col("mid"), 0.5).otherwise(0.5 + 0.4 * F.sin(angle)).alias("y"))
 
 
 def layout_bipartite(nodes: DataFrame, types: str | None = None) -> DataFrame:
     """(node, x, y): nodes of the first node's type (every second node, without a column of types) on the left, the others on the right."""
-    ranked = nodes.select("node", F.col(types).alias("type") if types else F.lit(None).alias("type"))
-    ranked = ranked.withColumn("i", F.row_number().over(Window.partitionBy().orderBy("node")) - 1)
-    first = F.first("type").over(Window.partitionBy().orderBy("node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ranked = ranked.withColumn("left", F.col("type").eqNullSafe(first) if types else F.col("i") % 2 == 0)
-    side = Window.partitionBy("left")
-    at, n = F.row_number().over(side.orderBy("node")) - 1, F.count("*").over(side)
+    ranked = nodes.select("node", F.col(types).alias("type") if types else F.lit(None).cast("string").alias("type"))
+    if types:
+        first = F.broadcast(ranked.agg(F.min_by("type", "node").alias("first")))  # one row
+        ranked = ranked.join(first, how="cross").withColumn("left", F.col("type").eqNullSafe(F.col("first")))
+    else:
+        ranked = _numbered(ranked).withColumn("left", F.col("i") % 2 == 0)
+    # Places on a side are places among all of it, less those before on the other one.
+    ranked = running(ranked.select("node", "left", F.col("left").cast("int").alias("one")), ["node"], name="i")
+    ranked = running(ranked, ["node"], "one", "l")
+    totals = F.broadcast(ranked.agg(F.sum("one").alias("ln"), F.count("*").alias("all")))
+    ranked = ranked.join(totals, how="cross")
+    at = F.when(F.col("left"), F.col("l") - 1).otherwise(F.col("i") - F.col("l") - 1)
+    n = F.when(F.col("left"), F.col("ln")).otherwise(F.col("all") - F.col("ln"))
     return ranked.select("node", F.when(F.col("left"), 0.2).otherwise(0.8).alias("x"), (0.9 - 0.8 * at / F.greatest(n - 1, F.lit(1))).alias("y"))
 
 
@@ -76,20 +90,22 @@ def layout_groups(membership: DataFrame, inner: float = 0.15, outer: float = 0.3
     return inside.select("node", (F.col("cx") + away * F.cos(around)).alias("x"), (F.col("cy") + away * F.sin(around)).alias("y"))
 
 
+def _spans(coords: DataFrame) -> DataFrame:
+    """coords beside one row of the least and largest x and y."""
+    return coords.join(F.broadcast(coords.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))), how="cross")
+
+
 def rescale(coords: DataFrame, margin: float = 0.1) -> DataFrame:
     """Both axes by one factor about the middle of their ranges, the larger range onto twice 1 - margin; an axis without spread counts as 2 wide."""
-    w = Window.partitionBy()
-    spread = lambda c: F.max(c).over(w) - F.min(c).over(w)
-    wide = lambda c: F.when(spread(c) < 1e-10, 2.0).otherwise(spread(c))
-    axis = lambda c: (F.col(c) - (F.max(c).over(w) + F.min(c).over(w)) / 2) / F.greatest(wide("x"), wide("y")) * 2 * (1 - margin)
-    return coords.select(*[c for c in coords.columns if c not in ("x", "y")], axis("x").alias("x"), axis("y").alias("y"))
+    wide = lambda c: F.when(F.col(f"{c}1") - F.col(f"{c}0") < 1e-10, 2.0).otherwise(F.col(f"{c}1") - F.col(f"{c}0"))
+    axis = lambda c: (F.col(c) - (F.col(f"{c}1") + F.col(f"{c}0")) / 2) / F.greatest(wide("x"), wide("y")) * 2 * (1 - margin)
+    return _spans(coords).select(*[c for c in coords.columns if c not in ("x", "y")], axis("x").alias("x"), axis("y").alias("y"))
 
 
 def normalize(coords: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """Each axis from its least to its largest value onto low .. high; an axis without spread to the middle."""
-    w = Window.partitionBy()
-    axis = lambda c: F.coalesce(low + (high - low) * F.try_divide(F.col(c) - F.min(c).over(w), F.max(c).over(w) - F.min(c).over(w)), F.lit((low + high) / 2))
-    return coords.select(*[c for c in coords.columns if c not in ("x", "y")], axis("x").alias("x"), axis("y").alias("y"))
+    axis = lambda c: F.coalesce(low + (high - low) * F.try_divide(F.col(c) - F.col(f"{c}0"), F.col(f"{c}1") - F.col(f"{c}0")), F.lit((low + high) / 2))
+    return _spans(coords).select(*[c for c in coords.columns if c not in ("x", "y")], axis("x").alias("x"), axis("y").alias("y"))
 
 
 #: Layouts by name, each (nodes, ..) -> (node, x, y); `register` adds more.

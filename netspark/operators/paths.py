@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from ..network import Network
 from ..session import cut
 
+#: Sources of which paths are held at once.
+BATCH = 2000
+
 
 def distance_arcs(net: Network, weighted: bool = False, invert: bool = False, alpha: float = 1.0) -> DataFrame:
     """(u, v, w): the shortest arc between two nodes; with `invert`, heavy edges are short."""
@@ -47,6 +50,19 @@ def _per_node(net: Network, found: DataFrame, name: str, none: float) -> DataFra
     return net.nodes.select("node").join(found, "node", "left").select("node", F.coalesce(name, F.lit(none)).cast("double").alias(name))
 
 
+def _from_sources(net: Network, mode: str, weighted: bool, invert: bool, alpha: float, cutoff: float | None, batch: int | None, told: list[Column], own: bool = False) -> DataFrame:
+    """(node, ..): aggregates over the distances from each source, batch by batch; own: its distance to itself counts."""
+    facing, each = _facing(net, mode), []
+    arcs = cut(distance_arcs(facing, weighted, invert, alpha))
+    for part in _batches(facing, None, batch):
+        d = distances(facing, cutoff=cutoff, sources=part, arcs=arcs)
+        each.append(cut((d if own else _pairs(d)).groupBy(F.col("source").alias("node")).agg(*told)))
+    made = each[0]
+    for more in each[1:]:
+        made = made.union(more)
+    return made
+
+
 def _facing(net: Network, mode: str) -> Network:
     """The network whose out-distances are the distances of the mode."""
     from ..network import undirected
@@ -58,38 +74,34 @@ def _facing(net: Network, mode: str) -> Network:
     return Network(net.nodes, net.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), True)
 
 
-def closeness(net: Network, mode: str = "all", normalized: bool = False, weighted: bool = False) -> DataFrame:
+def closeness(net: Network, mode: str = "all", normalized: bool = False, weighted: bool = False, cutoff: float | None = None, invert: bool = False, alpha: float = 1.0, batch: int | None = BATCH) -> DataFrame:
     """1 / sum of distances to what is reached (times how many, if normalized); NaN where nothing is."""
-    d = _pairs(distances(_facing(net, mode), weighted))
     top = F.count("*") if normalized else F.lit(1)
-    return _per_node(net, d.groupBy(F.col("source").alias("node")).agg((top / F.sum("dist")).alias("closeness")), "closeness", float("nan"))
+    return _per_node(net, _from_sources(net, mode, weighted, invert, alpha, cutoff, batch, [(top / F.sum("dist")).alias("closeness")]), "closeness", float("nan"))
 
 
-def harmonic(net: Network, mode: str = "all", weighted: bool = False) -> DataFrame:
+def harmonic(net: Network, mode: str = "all", weighted: bool = False, cutoff: float | None = None, invert: bool = False, alpha: float = 1.0, batch: int | None = BATCH) -> DataFrame:
     """Sum of 1 / distance."""
-    d = _pairs(distances(_facing(net, mode), weighted))
-    return _per_node(net, d.groupBy(F.col("source").alias("node")).agg(F.sum(1 / F.col("dist")).alias("harmonic")), "harmonic", 0.0)
+    return _per_node(net, _from_sources(net, mode, weighted, invert, alpha, cutoff, batch, [F.sum(1 / F.col("dist")).alias("harmonic")]), "harmonic", 0.0)
 
 
-def eccentricity(net: Network, mode: str = "all", weighted: bool = False) -> DataFrame:
+def eccentricity(net: Network, mode: str = "all", weighted: bool = False, cutoff: float | None = None, invert: bool = False, alpha: float = 1.0, batch: int | None = BATCH) -> DataFrame:
     """Largest distance to a reached node."""
-    d = distances(_facing(net, mode), weighted)
-    return _per_node(net, d.groupBy(F.col("source").alias("node")).agg(F.max("dist").alias("eccentricity")), "eccentricity", 0.0)
+    return _per_node(net, _from_sources(net, mode, weighted, invert, alpha, cutoff, batch, [F.max("dist").alias("eccentricity")], own=True), "eccentricity", 0.0)
 
 
-def kreach(net: Network, k: float = 3, mode: str = "all", weighted: bool = False) -> DataFrame:
+def kreach(net: Network, k: float = 3, mode: str = "all", weighted: bool = False, batch: int | None = BATCH) -> DataFrame:
     """Other nodes within distance k."""
-    d = _pairs(distances(_facing(net, mode), weighted, cutoff=k))
-    return _per_node(net, d.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("kreach")), "kreach", 0.0)
+    return _per_node(net, _from_sources(net, mode, weighted, False, 1.0, k, batch, [F.count("*").alias("kreach")]), "kreach", 0.0)
 
 
-def path_summary(net: Network, weighted: bool = False) -> DataFrame:
+def path_summary(net: Network, weighted: bool = False, batch: int | None = BATCH) -> DataFrame:
     """One row: radius, diameter, mean_distance, global_efficiency."""
-    d = cut(distances(net, weighted))
-    ecc = d.groupBy("source").agg(F.max("dist").alias("e")).agg(F.min("e").alias("radius"), F.max("e").alias("diameter"))
-    pairs = _pairs(d).agg(F.avg("dist").alias("mean_distance"), F.sum(1 / F.col("dist")).alias("s"))
-    n = net.nodes.agg(F.count("*").alias("n"))
-    return ecc.join(pairs, how="cross").join(n, how="cross").select("radius", "diameter", "mean_distance", F.try_divide(F.coalesce("s", F.lit(0.0)), F.col("n") * (F.col("n") - 1)).alias("global_efficiency"))
+    far = F.col("source") != F.col("node")
+    told = [F.max("dist").alias("e"), F.count(F.when(far, 1)).alias("m"), F.sum(F.when(far, F.col("dist"))).alias("s"), F.sum(F.when(far, 1 / F.col("dist"))).alias("i")]
+    each = _from_sources(net, "out", weighted, False, 1.0, None, batch, told, own=True)
+    n = F.count("*")
+    return each.agg(F.min("e").alias("radius"), F.max("e").alias("diameter"), F.try_divide(F.sum("s"), F.sum("m")).alias("mean_distance"), F.try_divide(F.coalesce(F.sum("i"), F.lit(0.0)), n * (n - 1)).alias("global_efficiency"))
 
 
 def _counted(net: Network, weighted: bool, invert: bool, sources: DataFrame | None = None, cutoff: float | None = None, alpha: float = 1.0) -> tuple[DataFrame, DataFrame, int]:
@@ -125,6 +137,21 @@ def _counted(net: Network, weighted: bool, invert: bool, sources: DataFrame | No
     return placed, cut(levels.join(sigma, ["source", "node"]).join(d, ["source", "node"])), depth
 
 
+def _batches(net: Network, sources: DataFrame | None, batch: int | None) -> list[DataFrame]:
+    """The sources in parts of about `batch`, by hash; one part where they are no more (or batch is None)."""
+    chosen = (sources or net.nodes).select("node")
+    parts = 1 if batch is None else max(1, -(-chosen.count() // batch))
+    return [chosen] if parts == 1 else [chosen.filter(F.pmod(F.xxhash64("node"), F.lit(parts)) == i) for i in range(parts)]
+
+
+def _summed(tables: list[DataFrame], keys: list[str], value: str) -> DataFrame:
+    """The sum of a column over tables of batches, each stored before the next batch begins."""
+    made = tables[0]
+    for more in tables[1:]:
+        made = made.union(more)
+    return made.groupBy(*keys).agg(F.sum(value).alias(value))
+
+
 def _dependencies(net: Network, weighted: bool, invert: bool, share: str, sources: DataFrame | None = None, cutoff: float | None = None, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Per (source, node) dependency, and per (source, u, v) what flows over the arc.
 
@@ -155,30 +182,39 @@ def _dependencies(net: Network, weighted: bool, invert: bool, share: str, source
     return dep, flow
 
 
-def betweenness(net: Network, weighted: bool = False, invert: bool = False, sources: DataFrame | None = None, cutoff: float | None = None, alpha: float = 1.0) -> DataFrame:
-    """Shortest paths through each node (fractions of each pair's), none longer than the cutoff; unordered pairs once if undirected."""
-    dep, _ = _dependencies(net, weighted, invert, "paths", sources, cutoff, alpha)
-    found = dep.filter("source <> node").groupBy("node").agg((F.sum("dependency") / (1 if net.directed else 2)).alias("betweenness"))
-    return _per_node(net, found, "betweenness", 0.0)
+def betweenness(net: Network, weighted: bool = False, invert: bool = False, sources: DataFrame | None = None, cutoff: float | None = None, alpha: float = 1.0, batch: int | None = BATCH) -> DataFrame:
+    """Shortest paths through each node (fractions of each pair's), none longer than the cutoff; unordered pairs once if undirected.
+
+    Sources run `batch` at a time and leave a row a node, so the state is batch times nodes.
+    """
+    each = []
+    for part in _batches(net, sources, batch):
+        dep, _ = _dependencies(net, weighted, invert, "paths", part, cutoff, alpha)
+        each.append(cut(dep.filter("source <> node").groupBy("node").agg((F.sum("dependency") / (1 if net.directed else 2)).alias("betweenness"))))
+    return _per_node(net, _summed(each, ["node"], "betweenness"), "betweenness", 0.0)
 
 
-def edge_betweenness(net: Network, weighted: bool = False, invert: bool = False, cutoff: float | None = None, alpha: float = 1.0) -> DataFrame:
+def edge_betweenness(net: Network, weighted: bool = False, invert: bool = False, cutoff: float | None = None, alpha: float = 1.0, batch: int | None = BATCH) -> DataFrame:
     """(src, dst, betweenness) of the simple edges, paths longer than the cutoff left out; undirected ones by least and greatest end."""
-    _, flow = _dependencies(net, weighted, invert, "paths", cutoff=cutoff, alpha=alpha)
-    if net.directed:
-        return flow.groupBy(F.col("u").alias("src"), F.col("v").alias("dst")).agg(F.sum("flow").alias("betweenness"))
-    return flow.groupBy(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).agg((F.sum("flow") / 2).alias("betweenness"))
+    ends = (F.col("u"), F.col("v")) if net.directed else (F.least("u", "v"), F.greatest("u", "v"))
+    each = []
+    for part in _batches(net, None, batch):
+        _, flow = _dependencies(net, weighted, invert, "paths", part, cutoff, alpha)
+        each.append(cut(flow.groupBy(ends[0].alias("src"), ends[1].alias("dst")).agg((F.sum("flow") / (1 if net.directed else 2)).alias("betweenness"))))
+    return _summed(each, ["src", "dst"], "betweenness")
 
 
-def load(net: Network, weighted: bool = False) -> DataFrame:
+def load(net: Network, weighted: bool = False, batch: int | None = BATCH) -> DataFrame:
     """What passes each node if every node sends one unit to every source, split evenly over predecessors.
 
     Each (source, node) pair holds one unit from the start, reached or not.
     """
-    dep, _ = _dependencies(net, weighted, False, "equal")
+    each = []
+    for part in _batches(net, None, batch):
+        dep, _ = _dependencies(net, weighted, False, "equal", part)
+        each.append(cut(dep.groupBy("node").agg(F.sum("dependency").alias("load"))))
     n = net.nodes.agg(F.count("*").alias("n"))
-    found = dep.groupBy("node").agg(F.sum("dependency").alias("load"))
-    return _per_node(net, found, "load", 0.0).join(n, how="cross").select("node", (F.col("load") + F.col("n")).alias("load"))
+    return _per_node(net, _summed(each, ["node"], "load"), "load", 0.0).join(n, how="cross").select("node", (F.col("load") + F.col("n")).alias("load"))
 
 
 def percolation(net: Network, states: DataFrame | None = None, weighted: bool = False) -> DataFrame:

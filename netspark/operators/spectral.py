@@ -16,6 +16,8 @@ from ..session import cut, discard
 
 #: Steps between two stored tables, the largest change (relative to the largest value) that counts as settled, and the bound on steps.
 EVERY, TOLERANCE, MOST = 4, 1e-8, 3000
+#: Steps between two stored tables where a step reads its table once.
+LONG = 8
 
 
 def _start(net: Network, value: float = 1.0) -> DataFrame:
@@ -42,6 +44,21 @@ def _even(arcs: DataFrame) -> DataFrame:
     return cut(arcs.join(top, how="cross").select("src", "dst", (F.col("weight") / F.col("top")).alias("weight")))
 
 
+def linear(arcs: DataFrame, nodes: DataFrame, own: float = 0.0, constant: DataFrame | None = None, scale: float = 1.0) -> Callable[[DataFrame], DataFrame]:
+    """The step x_v -> own * x_v + scale * (sum over arcs u -> v of x_u * weight) + constant_v.
+
+    Every node has a cell to itself and the constant stands beside the cells, so a step
+    reads x once: many steps make one plan, each a join and a sum.
+    """
+    cells = arcs.select("src", "dst", (scale * F.col("weight")).alias("weight")).union(nodes.select("node", F.col("node"), F.lit(float(own))))
+    if constant is None:
+        cells = cells.withColumn("more", F.lit(0.0))
+    else:
+        cells = cells.join(constant.select(F.col("node").alias("dst"), F.col("r").alias("more")), "dst").select("src", "dst", "weight", "more")
+    cells = cut(cells)
+    return lambda x: cells.join(x.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg((F.sum(F.col("x") * F.col("weight")) + F.max("more")).alias("x"))
+
+
 def settled(x: DataFrame, step: Callable[[DataFrame], DataFrame], scaled: bool, every: int = EVERY, tolerance: float = TOLERANCE, most: int = MOST) -> DataFrame:
     """(node, x) when the steps change it no more; with `scaled` the largest is made 1 between the jobs."""
     x, old = cut(x), None
@@ -73,7 +90,7 @@ def pagerank(net: Network, damping: float = 0.85, personalized: DataFrame | None
     jump = net.nodes.select("node", F.lit(1.0).alias("r")) if personalized is None else net.nodes.select("node").join(personalized, "node", "left").select("node", F.coalesce("weight", F.lit(0.0)).alias("r"))
     total = jump.agg(F.sum("r").alias("s"))
     jump = cut(jump.join(total, how="cross").select("node", (F.col("r") / F.col("s")).alias("r")))
-    z = settled(jump.withColumnRenamed("r", "x"), lambda x: _apply(x, share).join(jump, "node").select("node", (F.col("r") + damping * F.col("y")).alias("x")), False, tolerance=tolerance)
+    z = settled(jump.withColumnRenamed("r", "x"), linear(share, net.nodes, 0.0, jump, damping), False, LONG, tolerance)
     total = z.agg(F.sum("x").alias("s"))
     return z.join(total, how="cross").select("node", (F.col("x") / F.col("s")).alias("pagerank"))
 
@@ -86,15 +103,15 @@ def _scaled(x: DataFrame, column: str, out: str) -> DataFrame:
 def eigenvector(net: Network, weighted: bool = True) -> DataFrame:
     """(node, eigenvector): dominant eigenvector by in-links, largest 1; A + I keeps bipartite networks from swinging."""
     arcs = _even(_weights(net, weighted))
-    return settled(_start(net), lambda x: _apply(x, arcs).select("node", (F.col("x") + F.col("y")).alias("x")), True).withColumnRenamed("x", "eigenvector")
+    return settled(_start(net), linear(arcs, net.nodes, 1.0), True, LONG).withColumnRenamed("x", "eigenvector")
 
 
 def hits(net: Network, weighted: bool = True) -> DataFrame:
     """(node, hub, authority), each with largest 1."""
     arcs = _even(_weights(net, weighted))
     back = arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    only = lambda x: x.select("node", F.col("y").alias("x"))
-    hub = settled(_start(net), lambda x: only(_apply(only(_apply(x, arcs)), back)), True, every=EVERY // 2)
+    there, here = linear(arcs, net.nodes), linear(back, net.nodes)
+    hub = settled(_start(net), lambda x: here(there(x)), True, every=LONG // 2)
     authority = _scaled(_apply(hub, arcs), "y", "authority")
     return hub.withColumnRenamed("x", "hub").join(authority, "node")
 
@@ -108,16 +125,50 @@ def hits_value(net: Network, weighted: bool = True) -> DataFrame:
     return _apply(there, back).agg(F.coalesce(F.max("y"), F.lit(0.0)).alias("value"))
 
 
-def alpha_centrality(net: Network, alpha: float = 0.1, exogenous: float = 1.0, weighted: bool = False) -> DataFrame:
-    """x = alpha A'x + e by fixed point; raises where alpha is not below one over the spectral radius."""
-    arcs = _weights(net, weighted)
-    return settled(_start(net, exogenous), lambda x: _apply(x, arcs).select("node", (alpha * F.col("y") + exogenous).alias("x")), False, most=600).withColumnRenamed("x", "alpha")
+def _solved(net: Network, arcs: DataFrame, scale: float, right: DataFrame, tolerance: float = 1e-10, most: int = 2000) -> DataFrame:
+    """(node, x) with x_v - scale * (sum over arcs u -> v of x_u * weight) = right_v; right: (node, x).
+
+    Conjugate gradients on the normal equations, so any regular system is solved, the
+    scale being beyond the spectral radius or not. A step is one job: the matrix, its
+    transpose and two sums. Raises if the system has no solution.
+    """
+    back = arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+
+    def times(df: DataFrame, column: str, over: DataFrame) -> DataFrame:
+        """df with `mx`: the matrix (over arcs), or its transpose (over back), times a column."""
+        moved = over.join(df.select(F.col("node").alias("src"), F.col(column).alias("v")), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("v") * F.col("weight")).alias("y"))
+        return df.join(moved, "node", "left").withColumn("mx", F.col(column) - scale * F.coalesce("y", F.lit(0.0))).drop("y")
+
+    def with_sum(df: DataFrame, column: str, name: str) -> DataFrame:
+        return df.join(df.agg(F.sum(F.col(column) * F.col(column)).alias(name)), how="cross")
+
+    start = right.select("node", F.lit(0.0).alias("x"), F.col("x").alias("r"))
+    state = cut(with_sum(times(start, "r", back).withColumn("z", F.col("mx")).select("node", "x", "r", "z", F.col("z").alias("p")), "z", "zz"))
+    size = state.agg(F.max(F.abs("r"))).first()[0] or 0.0
+    for _ in range(most):
+        rest = state.agg(F.max(F.abs("r")).alias("r"), F.max("zz").alias("zz")).first()
+        if not rest.r or rest.r <= tolerance * size:
+            return state.select("node", "x")
+        if not rest.zz or rest.zz <= 1e-30 * size * size:
+            break
+        walked = with_sum(times(state, "p", arcs), "mx", "ww")
+        a = F.col("zz") / F.col("ww")
+        moved = walked.select("node", (F.col("x") + a * F.col("p")).alias("x"), (F.col("r") - a * F.col("mx")).alias("r"), "p", "zz")
+        turned = with_sum(times(moved, "r", back).withColumn("z", F.col("mx")).drop("mx"), "z", "new")
+        state = cut(turned.select("node", "x", "r", "z", (F.col("z") + F.col("new") / F.col("zz") * F.col("p")).alias("p"), F.col("new").alias("zz")), state)
+    raise RuntimeError("the system has no solution, or is too near to one without")
+
+
+def alpha_centrality(net: Network, alpha: float = 1.0, exogenous: float = 1.0, weighted: bool = False) -> DataFrame:
+    """(node, alpha): x = alpha A'x + e, for any alpha that is not one over an eigenvalue."""
+    return _solved(net, _weights(net, weighted), alpha, _start(net, exogenous)).withColumnRenamed("x", "alpha")
 
 
-def power_centrality(net: Network, exponent: float = 0.1, weighted: bool = False) -> DataFrame:
-    """Bonacich power c = A(1 + exponent c), scaled so that squares sum to n; raises where the steps grow."""
-    arcs = _weights(net, weighted).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    x = settled(_start(net, 0.0), lambda x: _apply(x.select("node", (1 + exponent * F.col("x")).alias("x")), arcs).select("node", F.col("y").alias("x")), False, most=600)
+def power_centrality(net: Network, exponent: float = 1.0, weighted: bool = False) -> DataFrame:
+    """(node, power): Bonacich power (I - exponent A) c = A 1, scaled so that squares sum to n."""
+    arcs = cut(_weights(net, weighted).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    ones = _apply(_start(net), arcs).select("node", F.col("y").alias("x"))
+    x = cut(_solved(net, arcs, exponent, ones))
     norm = x.agg(F.sqrt(F.try_divide(F.count("*"), F.sum(F.col("x") * F.col("x")))).alias("f"))
     return x.join(norm, how="cross").select("node", (F.col("x") * F.coalesce("f", F.lit(0.0))).alias("power"))
 

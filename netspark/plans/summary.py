@@ -22,13 +22,37 @@ MORE = {
 MEASURES = {**NODE_METRICS, **MORE}
 
 
-def centrality(net: Network, measures: list[str], normalized: bool = False, loops: bool = True, method: str = "sum", digits: int | None = None, sort_by: str | None = None) -> DataFrame:
-    """(node, one column a measure); parallel edges merge first; normalized divides by the largest (closeness aside)."""
+#: Which options of `centrality` a measure takes, by the names of its own function's parameters.
+_OPTIONS = {
+    **dict.fromkeys(("closeness", "harmonic", "eccentricity"), ("mode", "weighted", "cutoff", "invert", "alpha")), "betweenness": ("weighted", "cutoff", "invert", "alpha"),
+    "kreach": ("mode", "weighted", "k"), **dict.fromkeys(("degree", "strength", "diffusion", "leverage"), ("mode",)), **dict.fromkeys(("load", "percolation", "eigenvector"), ("weighted",)),
+    "pagerank": ("weighted", "damping", "personalized"), **dict.fromkeys(("current_flow_closeness", "current_flow_betweenness"), ("weighted",)), "alpha": ("weighted",), "power": ("weighted",),
+}
+
+
+def centrality(
+    net: Network, measures: list[str], normalized: bool = False, loops: bool = True, method: str = "sum", digits: int | None = None, sort_by: str | None = None,
+    mode: str | None = None, weighted: bool | None = None, cutoff: float | None = None, invert: bool | None = None, alpha: float = 1.0, damping: float = 0.85, personalized: DataFrame | None = None, k: float = 3,
+) -> DataFrame:
+    """(node, one column a measure); parallel edges merge first; normalized divides by the largest (closeness aside).
+
+    Measures take what applies to them: mode (in, out, all) of degrees and distances;
+    weighted; cutoff of path lengths; invert, with which paths have the lengths
+    1 / weight^alpha; damping and personalized of pagerank; k of kreach. What is None
+    stays as the measure has it by itself; invert is then true for models of transitions,
+    whose nodes have an `init`.
+    """
     unknown = [m for m in measures if m not in MEASURES]
     if unknown:
         raise ValueError(f"unknown measures: {', '.join(unknown)}")
+    if mode not in (None, "in", "out", "all"):
+        raise ValueError("a mode is in, out or all")
     flat = simplify(net, method, loops)
-    out = reduce(lambda a, b: a.join(b, "node", "left"), [MEASURES[m](flat) for m in measures], flat.nodes.select("node"))
+    flat = Network(cut(flat.nodes), cut(flat.edges), flat.directed, flat.meta)
+    invert = "init" in net.nodes.columns if invert is None else invert
+    told = {"mode": mode, "weighted": weighted, "cutoff": cutoff, "invert": invert or None, "alpha": alpha if invert else None, "damping": damping, "personalized": personalized, "k": k}
+    taken = lambda m: {o: told[o] for o in _OPTIONS.get(m, ()) if told[o] is not None}
+    out = reduce(lambda a, b: a.join(b, "node", "left"), [MEASURES[m](flat, **taken(m)) for m in measures], flat.nodes.select("node"))
     if normalized:
         top = out.agg(*[F.max(m).alias(f"top_{m}") for m in measures if m != "closeness"])
         out = out.join(top, how="cross").select("node", *[(F.col(m) if m == "closeness" else F.try_divide(m, f"top_{m}")).alias(m) for m in measures])
@@ -58,7 +82,7 @@ def node_sizes(net: Network, measure: str, low: float = 2.0, high: float = 8.0)
     """(node, value, size): a measure and its place between the sizes; nodes without one count as 0, all alike take the middle."""
     found = centrality(net, [measure])
     value = F.coalesce(F.nanvl(F.col(measure).cast("double"), F.lit(0.0)), F.lit(0.0))
-    return found.select("node", value.alias("value")).withColumn("size", scales.scale_size(F.col("value"), low, high))
+    return scales.scale_size(found.select("node", value.alias("value")), "value", low, high)
 
 
 def community_colors(net: Network, method: str = "louvain", palette: list[str] | None = None) -> DataFrame:
@@ -72,19 +96,26 @@ def _centralization(values: DataFrame, value: str, most, name: str) -> DataFrame
     return found.select(F.try_divide(F.col("n") * F.col("top") - F.col("s"), most(F.col("n"))).alias(name))
 
 
-def network_summary(net: Network, weighted: bool = True, detailed: bool = False, extended: bool = False) -> DataFrame:
+def network_summary(net: Network, weighted: bool = True, detailed: bool = False, extended: bool = False, mode: str = "all", loops: bool = True, method: str | None = "sum", digits: int | None = None) -> DataFrame:
     """One row: counts, distances, centralizations, and the measures of the whole network.
 
+    mode (in, out, all) is that of the closeness and of the degrees of `detailed`;
+    loops=False leaves loops out, method says how parallel edges merge (None: they stay);
+    digits rounds what is not a count.
+
     extended adds girth, radius, clique size, cut vertices, bridges and efficiencies;
     detailed adds means of the nodes' measures.
     """
-    flat = simplify(net)
-    flat = Network(cut(flat.nodes), cut(flat.edges.select("src", "dst", "weight")), flat.directed, flat.meta)
+    if mode not in ("in", "out", "all"):
+        raise ValueError("a mode is in, out or all")
+    flat = net if method is None else simplify(net, method)
+    edges = flat.edges if loops else flat.edges.filter("src <> dst")
+    flat = Network(cut(flat.nodes), cut(edges.select("src", "dst", "weight")), flat.directed, flat.meta)
     directed = flat.directed
     path = cut(paths.path_summary(flat, weighted))
     none = lambda name: flat.nodes.agg(F.lit(None).cast("double").alias(name))
     side = lambda mode: degree.centralization_degree(flat, mode).withColumnRenamed("centralization", f"centralization_{mode}_degree") if directed else none(f"centralization_{mode}_degree")
-    close = paths.closeness(flat, "all", normalized=True).select(F.coalesce(F.nanvl("closeness", F.lit(0.0)), F.lit(0.0)).alias("c"))
+    close = paths.closeness(flat, mode, normalized=True).select(F.coalesce(F.nanvl("closeness", F.lit(0.0)), F.lit(0.0)).alias("c"))
     hub = spectral.hits_value(flat, weighted).select(F.col("value").alias("hub_score"), F.col("value").alias("authority_score"))
     parts = [
         flat.nodes.agg(F.count("*").alias("node_count")), flat.edges.agg(F.count("*").alias("edge_count")), degree.density(flat), structure.components(flat).agg(F.countDistinct("component").alias("component_count")),
@@ -102,11 +133,12 @@ def network_summary(net: Network, weighted: bool = True, detailed: bool = False,
     if detailed:
         mean = lambda df, column, name: df.agg(F.avg(F.when(~F.isnan(F.col(column).cast("double")), F.col(column))).alias(f"mean_{name}"))
         parts += [
-            degree.degree(flat).agg(F.avg("degree").alias("mean_degree"), F.stddev_samp("degree").alias("sd_degree"), F.median("degree").alias("median_degree")), degree.strength(flat).agg(F.avg("strength").alias("mean_strength"), F.stddev_samp("strength").alias("sd_strength")),
-            mean(paths.betweenness(flat, weighted), "betweenness", "betweenness"), mean(paths.closeness(flat, "all", weighted=weighted), "closeness", "closeness"), mean(spectral.eigenvector(flat, weighted), "eigenvector", "eigenvector"),
+            degree.degree(flat, mode).agg(F.avg("degree").alias("mean_degree"), F.stddev_samp("degree").alias("sd_degree"), F.median("degree").alias("median_degree")), degree.strength(flat, mode).agg(F.avg("strength").alias("mean_strength"), F.stddev_samp("strength").alias("sd_strength")),
+            mean(paths.betweenness(flat, weighted), "betweenness", "betweenness"), mean(paths.closeness(flat, mode, weighted=weighted), "closeness", "closeness"), mean(spectral.eigenvector(flat, weighted), "eigenvector", "eigenvector"),
             mean(spectral.pagerank(flat, weighted=weighted), "pagerank", "pagerank"), mean(local.constraint(flat), "constraint", "constraint"), mean(local.transitivity_local(flat), "transitivity", "local_transitivity"),
         ]
-    return reduce(lambda a, b: a.join(b, how="cross"), parts)
+    made = reduce(lambda a, b: a.join(b, how="cross"), parts)
+    return made if digits is None else made.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in made.dtypes])
 
 
 def partition_summary(net: Network, membership: DataFrame) -> DataFrame:

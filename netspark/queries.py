@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from .functions import colors, geometry, scales
 from .network import Network, adjacency, duplicate_edges, merge_duplicates
 from .operators import blocks, cluster, community, connectivity, degree, flow, fluid, infomap, layers, layout, local, nulls, optimal, paths, resample, robustness, select, sequences, spectral, spinglass, structure, walktrap
 from .plans import summary
+from .session import cut
 from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,8 +49,14 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def on(graph: Callable[[SparkSession, str], Network], made: Callable[[Network], DataFrame]) -> Query:
-    return lambda spark, sf_dir: rounded(made(graph(spark, sf_dir)))
+def on(graph: Callable[[SparkSession, str], Network], made: Callable[[Network], DataFrame], once: bool = False) -> Query:
+    """A query on a network, which is stored first, unless the operator reads it once."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        net = graph(spark, sf_dir)
+        return rounded(made(net if once else replace(net, nodes=cut(net.nodes), edges=cut(net.edges))))
+
+    return run
 
 
 def edges_of(net: Network) -> DataFrame:
@@ -104,24 +112,24 @@ query("trajectories", _seq(sequences.trajectories), f"""
 WITH {SEQ} SELECT case_ AS "case", arg_min(state, t) AS first, arg_max(state, t) AS last, count(*) AS steps FROM seq GROUP BY 1""")
 
 # --- edges ---------------------------------------------------------------------
-query("edge_list", on(tables.trade, edges_of), f"WITH {TRADE} SELECT * FROM t")
-query("adjacency_long", on(tables.trade_flat, adjacency), f"WITH {FLAT} SELECT node AS src, other AS dst, w AS weight FROM s")
-query("duplicate_edges", on(tables.trade_top, lambda n: duplicate_edges(n.edges).select("a", "b", "count")), f"WITH {TOP} SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS count FROM e GROUP BY 1, 2 HAVING count(*) > 1")
+query("edge_list", on(tables.trade, edges_of, once=True), f"WITH {TRADE} SELECT * FROM t")
+query("adjacency_long", on(tables.trade_flat, adjacency, once=True), f"WITH {FLAT} SELECT node AS src, other AS dst, w AS weight FROM s")
+query("duplicate_edges", on(tables.trade_top, lambda n: duplicate_edges(n.edges).select("a", "b", "count"), once=True), f"WITH {TOP} SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS count FROM e GROUP BY 1, 2 HAVING count(*) > 1")
 for _m, _f in (("sum", "sum(weight)"), ("mean", "avg(weight)"), ("max", "max(weight)"), ("min", "min(weight)"), ("first", "arg_min(weight, src)")):
-    query(f"dedupe_edges_{_m}", on(tables.trade_top, lambda n, m=_m: merge_duplicates(n.edges, m, F.col("src"))), f"WITH {TOP} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, round({_f}, 6) AS weight FROM e GROUP BY 1, 2")
+    query(f"dedupe_edges_{_m}", on(tables.trade_top, lambda n, m=_m: merge_duplicates(n.edges, m, F.col("src")), once=True), f"WITH {TOP} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, round({_f}, 6) AS weight FROM e GROUP BY 1, 2")
 
 # --- degrees -------------------------------------------------------------------
 for _m, _ends in (("out", "SELECT src AS node, weight FROM t"), ("in", "SELECT dst, weight FROM t"), ("all", "SELECT src AS node, weight FROM t UNION ALL SELECT dst, weight FROM t")):
     _g = f"WITH {TRADE}, x(node, weight) AS ({_ends})"
-    query(f"degree_{_m}", on(tables.trade, lambda n, m=_m: degree.degree(n, m)), f"{_g} SELECT node, count(weight) AS degree FROM v LEFT JOIN x USING (node) GROUP BY 1")
-    query(f"strength_{_m}", on(tables.trade, lambda n, m=_m: degree.strength(n, m)), f"{_g} SELECT node, coalesce(sum(weight), 0)::DOUBLE AS strength FROM v LEFT JOIN x USING (node) GROUP BY 1")
+    query(f"degree_{_m}", on(tables.trade, lambda n, m=_m: degree.degree(n, m), once=True), f"{_g} SELECT node, count(weight) AS degree FROM v LEFT JOIN x USING (node) GROUP BY 1")
+    query(f"strength_{_m}", on(tables.trade, lambda n, m=_m: degree.strength(n, m), once=True), f"{_g} SELECT node, coalesce(sum(weight), 0)::DOUBLE AS strength FROM v LEFT JOIN x USING (node) GROUP BY 1")
 DEG = FLAT + ", k AS (SELECT v.node, count(s.other) AS k FROM v LEFT JOIN s USING (node) GROUP BY 1)"
 query("diffusion", on(tables.trade_flat, degree.diffusion), f"WITH {DEG} SELECT k.node, (k.k + coalesce(sum(o.k), 0))::DOUBLE AS diffusion FROM k LEFT JOIN s ON s.node = k.node LEFT JOIN k o ON o.node = s.other GROUP BY k.node, k.k")
 query("leverage", on(tables.trade_flat, degree.leverage), f"WITH {DEG} SELECT k.node, coalesce(round(avg((k.k - o.k) / (k.k + o.k)), 6) + 0.0, 'nan'::DOUBLE) AS leverage FROM k LEFT JOIN s ON s.node = k.node LEFT JOIN k o ON o.node = s.other GROUP BY k.node")
 query("laplacian_centrality", on(tables.trade_flat, degree.laplacian), f"WITH {DEG} SELECT k.node, (k.k * k.k + k.k + 2 * coalesce(sum(o.k), 0))::DOUBLE AS laplacian FROM k LEFT JOIN s ON s.node = k.node LEFT JOIN k o ON o.node = s.other GROUP BY k.node, k.k")
 query("degree_distribution", on(tables.trade_flat, degree.degree_distribution), f"WITH {DEG}, c AS (SELECT k AS degree, count(*) AS nodes FROM k GROUP BY 1) SELECT degree, nodes, round(sum(nodes) OVER (ORDER BY degree) / sum(nodes) OVER (), 6) AS cumulative FROM c")
-query("density", on(tables.trade_top, degree.density), f"WITH {TOP} SELECT round((SELECT count(*) FROM e) / (n * (n - 1)), 6) AS density FROM (SELECT count(*) AS n FROM v)")
-query("reciprocity", on(tables.trade_top, degree.reciprocity), f"WITH {TOP}, p AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n FROM e GROUP BY 1, 2) SELECT round(sum(CASE WHEN n = 2 THEN 1 ELSE 0 END) / count(*), 6) AS reciprocity FROM p")
+query("density", on(tables.trade_top, degree.density, once=True), f"WITH {TOP} SELECT round((SELECT count(*) FROM e) / (n * (n - 1)), 6) AS density FROM (SELECT count(*) AS n FROM v)")
+query("reciprocity", on(tables.trade_top, degree.reciprocity, once=True), f"WITH {TOP}, p AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n FROM e GROUP BY 1, 2) SELECT round(sum(CASE WHEN n = 2 THEN 1 ELSE 0 END) / count(*), 6) AS reciprocity FROM p")
 query("assortativity", on(tables.trade_flat, degree.assortativity), f"WITH {DEG} SELECT round(corr(x.k::DOUBLE, y.k::DOUBLE), 6) AS assortativity FROM s JOIN k x ON x.node = s.node JOIN k y ON y.node = s.other")
 query("centralization_degree", on(tables.trade_flat, degree.centralization_degree), f"WITH {DEG} SELECT round((count(*) * max(k) - sum(k)) / (count(*) * (count(*) - 1)), 6) AS centralization FROM k")
 
@@ -149,12 +157,12 @@ cl(last, members) AS (SELECT node, [node] FROM v UNION ALL SELECT a.node, list_a
 SELECT max(len(members))::BIGINT AS clique_size FROM cl""")
 
 # --- selection -------------------------------------------------------------------
-query("filter_edges", on(tables.trade, lambda n: edges_of(select.filter_edges(n, "weight > 900", "src <> dst"))), f"WITH {TRADE} SELECT * FROM t WHERE weight > 900 AND src <> dst")
+query("filter_edges", on(tables.trade, lambda n: edges_of(select.filter_edges(n, "weight > 900", "src <> dst")), once=True), f"WITH {TRADE} SELECT * FROM t WHERE weight > 900 AND src <> dst")
 query("filter_nodes", on(tables.trade_top, lambda n: select.filter_nodes(n, "indegree >= 3").nodes), f"WITH {TOP}, d AS (SELECT dst AS node, count(*) AS i FROM e GROUP BY 1) SELECT node FROM d WHERE i >= 3")
 query("select_top_nodes", on(tables.trade_top, lambda n: select.select_nodes(n, top=5, by="instrength").nodes), f"WITH {TOP}, d AS (SELECT node, coalesce(sum(weight), 0) AS i FROM v LEFT JOIN e ON dst = node GROUP BY 1) SELECT node FROM d ORDER BY i DESC, node LIMIT 5")
-query("select_top_edges", on(tables.trade, lambda n: edges_of(select.select_edges(n, top=10))), f"WITH {TRADE} SELECT * FROM t ORDER BY weight DESC, src, dst LIMIT 10")
-query("select_involving", on(tables.trade, lambda n: edges_of(select.select_edges(n, involving=["NATION_3", "NATION_7"]))), f"WITH {TRADE} SELECT * FROM t WHERE src IN ('NATION_3', 'NATION_7') OR dst IN ('NATION_3', 'NATION_7')")
-query("select_between", on(tables.trade, lambda n: edges_of(select.select_edges(n, between=(["NATION_3", "NATION_5"], ["NATION_7", "NATION_11"])))), f"WITH {TRADE} SELECT * FROM t WHERE (src IN ('NATION_3', 'NATION_5') AND dst IN ('NATION_7', 'NATION_11')) OR (dst IN ('NATION_3', 'NATION_5') AND src IN ('NATION_7', 'NATION_11'))")
+query("select_top_edges", on(tables.trade, lambda n: edges_of(select.select_edges(n, top=10)), once=True), f"WITH {TRADE} SELECT * FROM t ORDER BY weight DESC, src, dst LIMIT 10")
+query("select_involving", on(tables.trade, lambda n: edges_of(select.select_edges(n, involving=["NATION_3", "NATION_7"])), once=True), f"WITH {TRADE} SELECT * FROM t WHERE src IN ('NATION_3', 'NATION_7') OR dst IN ('NATION_3', 'NATION_7')")
+query("select_between", on(tables.trade, lambda n: edges_of(select.select_edges(n, between=(["NATION_3", "NATION_5"], ["NATION_7", "NATION_11"]))), once=True), f"WITH {TRADE} SELECT * FROM t WHERE (src IN ('NATION_3', 'NATION_5') AND dst IN ('NATION_7', 'NATION_11')) OR (dst IN ('NATION_3', 'NATION_5') AND src IN ('NATION_7', 'NATION_11'))")
 query("select_mutual", on(tables.trade_top, lambda n: edges_of(select.select_edges(n, mutual_only=True))), f"WITH {TOP} SELECT * FROM e WHERE EXISTS (SELECT 1 FROM e x WHERE x.src = e.dst AND x.dst = e.src)")
 for _k in (1, 2):
     _n1 = "SELECT 'NATION_3' AS node UNION SELECT other FROM s WHERE node = 'NATION_3'"
@@ -233,7 +241,7 @@ SELECT src, dst, weight, round(p, 6) AS p, p < 0.3 AS significant FROM r""")
 
 # --- scales and layouts -------------------------------------------------------------
 for _m, _f in (("linear", "weight / max(weight) OVER ()"), ("log", "ln(1 + weight) / ln(1 + max(weight) OVER ())"), ("sqrt", "sqrt(weight) / sqrt(max(weight) OVER ())"), ("rank", "(rank() OVER (ORDER BY weight) + (count(*) OVER (PARTITION BY weight) - 1) / 2 - 1) / (count(*) OVER () - 1)")):
-    query(f"scale_edge_{_m}", on(tables.trade, lambda n, m=_m: n.edges.select("src", "dst", scales.scale_edge_widths(F.col("weight"), m).alias("width"))), f"WITH {TRADE} SELECT src, dst, round(0.5 + 3.5 * ({_f}), 6) AS width FROM t")
+    query(f"scale_edge_{_m}", on(tables.trade, lambda n, m=_m: scales.scale_edge_widths(n.edges, "weight", m).select("src", "dst", "width")), f"WITH {TRADE} SELECT src, dst, round(0.5 + 3.5 * ({_f}), 6) AS width FROM t")
 query("significance_stars", on(tables.trade, lambda n: layers.disparity(n).select("src", "dst", scales.stars(F.col("p") / 20).alias("stars"))), f"""
 WITH {TRADE}, f AS (SELECT *, sum(weight) OVER (PARTITION BY src) AS so, count(*) OVER (PARTITION BY src) AS ko, sum(weight) OVER (PARTITION BY dst) AS si, count(*) OVER (PARTITION BY dst) AS ki FROM t),
 r AS (SELECT src, dst, least(power(1 - weight / so, ko - 1), power(1 - weight / si, ki - 1)) / 20 AS p FROM f WHERE src <> dst)
@@ -354,6 +362,18 @@ query("alpha_centrality", on(tables.trade_top, lambda n: spectral.alpha_centrali
 query("power_centrality", on(tables.trade_top, lambda n: spectral.power_centrality(n, 0.05)), f"""
 WITH RECURSIVE {TOP}, {_power(f'SELECT dst AS src, src AS dst, (w > 0)::INT AS g FROM {_DIRECTED}', '0.0::DOUBLE', 100, 'sum((1 + 0.05 * x) * g)')}
 SELECT node, round(x * sqrt(25 / sum(x * x) OVER ()), 6) AS power FROM it WHERE i = 100""")
+#: (I - scale A') x = e by Gauss and Jordan: scale 1 is beyond the spectral radius; the row of the largest entry is not sought, so pivots must not vanish.
+def _linear(scale: str, edges: str, right: str) -> str:
+    return f"""ids AS (SELECT node, row_number() OVER (ORDER BY node) AS i FROM v), nn AS (SELECT count(*) AS n FROM v), ee AS ({edges}),
+cell AS (SELECT x.i, y.i AS j, CASE WHEN x.i = y.i THEN 1.0::DOUBLE ELSE 0.0 END - {scale} * CASE WHEN ee.src IS NULL THEN 0 ELSE 1 END AS a FROM ids x CROSS JOIN ids y LEFT JOIN ee ON ee.src = y.node AND ee.dst = x.node),
+line AS (SELECT i, list_append(list(a::DOUBLE ORDER BY j), ({right})::DOUBLE) AS r FROM cell GROUP BY i),
+g(k, m) AS (SELECT 0::BIGINT, list(r ORDER BY i) FROM line UNION ALL SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda x: x / m[k + 1][k + 1]) ELSE list_transform(r, lambda x, j: x - r[k + 1] / m[k + 1][k + 1] * m[k + 1][j]) END) FROM g, nn WHERE k < n),
+sol AS (SELECT node, m[ids.i][n + 1] AS x FROM g, nn, ids WHERE k = n)"""
+
+
+query("alpha_centrality_default", lambda s, d: rounded(spectral.alpha_centrality(tables.trade_top(s, d)), 4), f"WITH RECURSIVE {TOP}, {_linear('1.0000000001', 'SELECT DISTINCT src, dst FROM e', '1')} SELECT node, round(x, 4) AS alpha FROM sol")
+query("power_centrality_default", lambda s, d: rounded(spectral.power_centrality(tables.trade_top(s, d)), 4), f"""WITH RECURSIVE {TOP}, {_linear('1.0000000001', 'SELECT DISTINCT dst AS src, src AS dst FROM e', '(SELECT count(*) FROM ee JOIN ids o ON o.node = ee.dst WHERE o.i = cell.i)')}
+SELECT node, round(x * sqrt(25 / sum(x * x) OVER ()), 4) AS power FROM sol""")
 query("subgraph_centrality", on(tables.trade_flat, spectral.subgraph_centrality), f"""
 WITH RECURSIVE {FLAT}, walk(k, source, node, c) AS (SELECT 0, node, node, 1.0::DOUBLE FROM v UNION ALL SELECT k + 1, source, s.other, sum(c) / (k + 1) FROM walk JOIN s ON s.node = walk.node WHERE k < 60 GROUP BY k, source, s.other)
 SELECT node, round(sum(c), 6) AS subgraph FROM walk WHERE source = node GROUP BY 1""")
