@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..network import Network
-from ..session import cut, discard
+from ..session import cut
 from .spectral import settled
 
 
@@ -95,7 +95,7 @@ def _local_moves(ties: DataFrame, resolution: float, start: DataFrame | None = N
     raise RuntimeError("moves did not settle")
 
 
-def _refined(ties: DataFrame, resolution: float, within: DataFrame, mass: DataFrame, scale: float, beta: float, seed: int, rounds: int = 8) -> DataFrame:
+def _refined(ties: DataFrame, resolution: float, within: DataFrame, mass: DataFrame, scale: float, beta: float, seed: int, rounds: int = 4) -> DataFrame:
     """(node, c): parts of the communities `within` (node, g), merged at random from single nodes.
 
     A node that is well tied to its community joins a part that is so too, with a chance
@@ -111,7 +111,7 @@ def _refined(ties: DataFrame, resolution: float, within: DataFrame, mass: DataFr
         placed = near.join(own.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(own.select(F.col("node").alias("dst"), F.col("c").alias("to")), "dst")
         ends = placed.filter("cs <> to").groupBy(F.col("cs").alias("c")).agg(F.sum("w").alias("cutw"))
         parts = own.groupBy("c", "g").agg(F.sum("k").alias("tot"), F.count("*").alias("n")).join(ends, "c", "left").fillna(0.0, ["cutw"]).join(whole, "g")
-        parts = cut(parts.withColumn("well", F.col("cutw") >= share * F.col("tot") * (F.col("all") - F.col("tot")) - 1e-9))
+        parts = parts.withColumn("well", F.col("cutw") >= share * F.col("tot") * (F.col("all") - F.col("tot")) - 1e-9)
         turn = lambda c: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(rounds)) == i  # noqa: B023, E731
         movers = own.filter(turn("node")).join(parts.filter("n = 1 and well").select("c"), "c").select(F.col("node").alias("src"), "k")
         goals = parts.filter(F.col("well") & ((F.col("n") > 1) | ~turn("c"))).select(F.col("c").alias("to"), "tot")
@@ -121,7 +121,6 @@ def _refined(ties: DataFrame, resolution: float, within: DataFrame, mass: DataFr
         drawn = offers.select("to", "src", "gain").union(stays).withColumn("luck", F.col("gain") / beta - F.ln(-F.ln(u)))
         new = drawn.groupBy(F.col("src").alias("node")).agg(F.max_by("to", F.struct("luck", "to")).alias("new"))
         own = cut(own.join(new, "node", "left").select("node", "k", "g", F.coalesce("new", "c").alias("c")), own)
-        discard(parts)
     return own.select("node", "c")
 
 
