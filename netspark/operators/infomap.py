@@ -28,7 +28,7 @@ def flow(net: Network, weighted: bool = True, jump: float = 0.15, v_weights: Dat
     jump ends there, f: how often a link between two nodes is taken. Jumps that are not
     recorded tell where the walk is, but count neither as visits nor as exits.
     """
-    rank = pagerank(net, 1 - jump, v_weights, weighted, tolerance=1e-12).withColumnRenamed("pagerank", "p")
+    rank = pagerank(net, 1 - jump, v_weights, weighted, tolerance=1e-10).withColumnRenamed("pagerank", "p")
     arcs = net.arcs().select("src", "dst", (F.col("weight") if weighted else F.lit(1.0)).alias("w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
     out = arcs.groupBy("src").agg(F.sum("w").alias("s"))
     to = net.nodes.select("node", F.lit(1.0).alias("t")) if v_weights is None else net.nodes.select("node").join(v_weights.select("node", F.col("weight").alias("t")), "node", "left").fillna(0.0, ["t"])
@@ -100,9 +100,9 @@ def _moves(nodes: DataFrame, links: DataFrame, most_rounds: int) -> DataFrame:
     raise RuntimeError("moves did not settle")
 
 
-def trials(net: Network, nb_trials: int = 10, weighted: bool = True, jump: float = 0.15, v_weights: DataFrame | None = None, recorded: bool = True, most_levels: int = 100, most_rounds: int = 400) -> tuple[DataFrame, DataFrame]:
-    """(trial, node, community) and (trial, bits) of every trial."""
-    nodes, links = flow(net, weighted, jump, v_weights, recorded)
+def trials(net: Network, nb_trials: int = 10, weighted: bool = True, jump: float = 0.15, v_weights: DataFrame | None = None, recorded: bool = True, most_levels: int = 100, most_rounds: int = 400, walk: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(trial, node, community) and (trial, bits) of every trial; walk: what `flow` gives, where it is known."""
+    nodes, links = walk or flow(net, weighted, jump, v_weights, recorded)
     entropy = nodes.agg(F.sum(plogp(F.col("p"))).alias("entropy"))
     numbers = F.broadcast(net.nodes.sparkSession.range(nb_trials).select(F.col("id").cast("int").alias("trial")))
     base, arcs = cut(nodes.join(numbers, how="cross")), cut(links.join(numbers, how="cross"))
@@ -123,11 +123,11 @@ def trials(net: Network, nb_trials: int = 10, weighted: bool = True, jump: float
 
 def infomap(net: Network, weighted: bool = True, nb_trials: int = 10, v_weights: DataFrame | None = None, jump: float = 0.15, recorded: bool = True) -> DataFrame:
     """(node, community) of the trial with the shortest code; one module of all nodes if no code is shorter than its."""
-    member, bits = trials(net, nb_trials, weighted, jump, v_weights, recorded)
+    walk = flow(net, weighted, jump, v_weights, recorded)
+    member, bits = trials(net, nb_trials, weighted, jump, v_weights, recorded, walk=walk)
     best = bits.orderBy(F.round("bits", 9), "trial").first()
     if best is None:
         return net.nodes.select("node", F.col("node").alias("community"))
-    nodes, _ = flow(net, weighted, jump, v_weights, recorded)
-    whole = -(nodes.agg(F.sum(plogp(F.col("p")))).first()[0] or 0.0)
+    whole = -(walk[0].agg(F.sum(plogp(F.col("p")))).first()[0] or 0.0)
     found = member.filter(F.col("trial") == best.trial).select("node", "community")
     return _named(found if best.bits < whole - 1e-9 else found.join(found.agg(F.min("node").alias("one")), how="cross").select("node", F.col("one").alias("community")))
