@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netspark.functions import colors, geometry, scales
-from netspark.operators import connectivity, layers, local, nulls, resample
+from netspark.operators import connectivity, draws, layers, local, nulls, resample
 from netspark.plans import summary
 
 from .test_network import FIVE, TREE, TRIANGLE, graph, values
@@ -152,7 +152,7 @@ def test_edges_side_by_side(spark):
 
 def test_replicates(spark):
     cases = spark.createDataFrame([(c, s, d, 1 + (c * 7 + len(s + d)) % 3) for c in range(40) for s, d in (("a", "b"), ("b", "a"), ("a", "aa"))], "case int, src string, dst string, count int")
-    at = sorted(r.at for r in resample._numbered(cases).collect())
+    at = sorted(r.at for r in draws.numbered(cases).collect())
     assert at == list(range(40))
     boot = {(r.src, r.dst): r for r in resample.bootstrap_edges(cases, 100).collect()}
     assert boot[("b", "a")].weight == 1.0 and boot[("b", "a")].sd == 0.0
