@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .blocks import spanning_forest
+from .components import connected_components
 from .forces import layout_gephi_fr, layout_spring
 from .ordered import running
+from .stress import layout_kamada_kawai, layout_mds
 
 
 def _numbered(nodes: DataFrame, *keys: str) -> DataFrame:
@@ -78,6 +81,33 @@ def layout_random(nodes: DataFrame, seed: int = 42) -> DataFrame:
     return nodes.select("node", part(0).alias("x"), part(1).alias("y"))
 
 
+def layout_sphere(nodes: DataFrame) -> DataFrame:
+    """(node, x, y, z) on a sphere, along a spiral from pole to pole."""
+    at = _numbered(nodes.select("node"))
+    height = F.when(F.col("n") > 1, -1 + 2 * F.col("i") / F.greatest(F.col("n") - 1, F.lit(1))).otherwise(-1.0)
+    at = at.withColumn("z", height).withColumn("r", F.sqrt(F.greatest(1 - F.col("z") * F.col("z"), F.lit(0.0))))
+    turn = F.when((F.col("i") > 0) & (F.col("i") < F.col("n") - 1), 3.6 / F.sqrt(F.col("n") * F.col("r") * F.col("r"))).otherwise(0.0)
+    at = running(at.withColumn("turn", turn), ["i"], "turn", "angle")
+    return at.select("node", (F.col("r") * F.cos("angle")).alias("x"), (F.col("r") * F.sin("angle")).alias("y"), "z")
+
+
+def layout_tree(net) -> DataFrame:
+    """(node, x, y): breadth-first trees from each component's least node, side by side, roots on top.
+
+    Leaves stand one apart, in the order in which the tree numbers them; a parent stands in
+    the middle between its first and last leaf. A node without edges is a tree of its own.
+    """
+    forest = net.nodes.select("node").join(spanning_forest(net), "node", "left")
+    roots = connected_components(net.simple())
+    at = forest.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("tree"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("pre", F.lit(0)).alias("pre"), F.coalesce("size", F.lit(1)).alias("size"))
+    at = cut(at.withColumn("leaf", (F.col("size") == 1).cast("long")))
+    upto = running(at, ["tree", "pre"], "leaf", "leaves")  # leaves up to a node, of all trees before too
+    last = upto.select("tree", (F.col("pre") + 1).alias("end"), F.col("leaves").alias("last"))
+    spans = upto.join(last, (upto["tree"] == last["tree"]) & (F.col("pre") + F.col("size") == F.col("end")), "inner").select("node", "depth", "leaf", "leaves", "last")
+    first = F.col("leaves") + 1 - F.col("leaf")
+    return spans.select("node", ((first + F.col("last")) / 2).alias("x"), (-F.col("depth")).cast("double").alias("y"))
+
+
 def layout_groups(membership: DataFrame, inner: float = 0.15, outer: float = 0.35) -> DataFrame:
     """(node, x, y): groups counter-clockwise on a circle (a single one in the middle), members likewise about them."""
     groups = _numbered(membership.select(F.col("cluster").alias("node")).distinct())
@@ -108,9 +138,26 @@ def normalize(coords: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFra
     return _spans(coords).select(*[c for c in coords.columns if c not in ("x", "y")], axis("x").alias("x"), axis("y").alias("y"))
 
 
+def _of_nodes(made):
+    return lambda net, **options: made(net.nodes, **options)
+
+
 #: Layouts by name, each (nodes, ..) -> (node, x, y); `register` adds more.
 LAYOUTS = {"circle": layout_circle, "oval": layout_oval, "ellipse": layout_oval, "grid": layout_grid, "star": layout_star, "bipartite": layout_bipartite, "random": layout_random, "groups": layout_groups, "spring": layout_spring, "fr": layout_spring, "gephi_fr": layout_gephi_fr}
 
+#: Layouts of a network by two letters; they end between 0.1 and 0.9. "ni" picks the spring layout, which has cells for large networks.
+CODES = {
+    "kk": layout_kamada_kawai, "fr": layout_spring, "mds": layout_mds, "tr": layout_tree, "ni": layout_spring,
+    "st": _of_nodes(layout_star), "gr": _of_nodes(layout_grid), "rd": _of_nodes(layout_random), "sp": _of_nodes(layout_sphere), "ci": _of_nodes(layout_circle),
+}
+
+
+def by_code(net, code: str, **options) -> DataFrame:
+    """(node, x, y): the layout of that code, each axis from 0.1 to 0.9, a single node in the middle."""
+    if code not in CODES:
+        raise ValueError(f"unknown layout: {code}; there are {', '.join(sorted(CODES))}")
+    return normalize(CODES[code](net, **options).select("node", "x", "y"))
+
 
 def register(name: str, made) -> None:
     """Adds a layout under a name; it replaces an older one."""

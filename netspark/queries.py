@@ -258,6 +258,14 @@ m AS (SELECT n_name AS node, r_name AS cluster, row_number() OVER (PARTITION BY
 SELECT node, round(0.5 + 0.35 * cos(pi() / 2 + 2 * pi() * gi / gn) + CASE WHEN n = 1 THEN 0 ELSE 0.15 * cos(pi() / 2 + 2 * pi() * i / n) END, 6) + 0.0 AS x,
 round(0.5 + 0.35 * sin(pi() / 2 + 2 * pi() * gi / gn) + CASE WHEN n = 1 THEN 0 ELSE 0.15 * sin(pi() / 2 + 2 * pi() * i / n) END, 6) + 0.0 AS y FROM m JOIN g USING (cluster)""")
 query("layout_spring", on(tables.trade_flat, layout.layout_spring))
+query("layout_mds", on(tables.trade_flat, layout.layout_mds))
+query("layout_kamada_kawai", on(tables.trade_flat, lambda n: layout.layout_kamada_kawai(n, weighted=False)))
+query("layout_mds_copurchase", on(tables.co_purchases, lambda n: layout.layout_mds(n, 50)))
+query("layout_tree", on(tables.trade_flat, layout.layout_tree))
+query("layout_sphere", on(tables.trade_flat, lambda n: layout.layout_sphere(n.nodes)), """
+WITH v AS (SELECT n_name AS node, row_number() OVER (ORDER BY n_name) - 1 AS i, count(*) OVER () AS n FROM nation), h AS (SELECT node, i, n, -1 + 2.0 * i / greatest(n - 1, 1) AS z FROM v),
+r AS (SELECT *, sqrt(greatest(1 - z * z, 0)) AS r FROM h), a AS (SELECT *, sum(CASE WHEN i > 0 AND i < n - 1 THEN 3.6 / sqrt(n * r * r) ELSE 0 END) OVER (ORDER BY i) AS angle FROM r)
+SELECT node, round(r * cos(angle), 6) + 0.0 AS x, round(r * sin(angle), 6) + 0.0 AS y, round(z, 6)::DOUBLE AS z FROM a""")
 query("layout_gephi_fr", on(tables.trade_flat, layout.layout_gephi_fr))
 
 # --- components and paths --------------------------------------------------------------
