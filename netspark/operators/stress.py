@@ -19,8 +19,10 @@ from .paths import _facing, distances
 
 #: Most pivots; their own distances, the square of it, are the only table that the driver reads.
 PIVOTS = 250
-#: Steps of stress majorization that make one plan.
-STEPS_A_JOB = 5
+#: Up to so many nodes a node gathers all that pull at it, so that a step reads the places once and many steps make one plan.
+GATHERED = 1000
+#: Gathering steps of stress majorization that make one plan.
+STEPS_A_JOB = 10
 
 
 def pivot_distances(net: Network, weighted: bool = False, pivots: int = PIVOTS) -> DataFrame:
@@ -122,6 +124,29 @@ def stress_step(at: DataFrame, d: DataFrame) -> DataFrame:
     return at.join(asked, "node", "left").select("node", move("x").alias("x"), move("y").alias("y"))
 
 
+def _both_ways(d: DataFrame) -> DataFrame:
+    """(node, other, d, w, own): each pair of `d` seen from both of its ends, and every node with itself."""
+    pairs = d.filter("node <> pivot")
+    seen = pairs.select("node", F.col("pivot").alias("other"), "d").union(pairs.select("pivot", "node", "d")).select("*", (1 / (F.col("d") * F.col("d"))).alias("w"), F.lit(False).alias("own"))
+    return seen.union(d.select("node").distinct().select("node", "node", F.lit(0.0), F.lit(0.0), F.lit(True)))
+
+
+def gathered_step(at: DataFrame, both: DataFrame) -> DataFrame:
+    """The same step as `stress_step` by gathering; both: the pairs of `_both_ways`."""
+    met = both.join(at.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.collect_list(F.struct("x", "y", "d", "w", "own")).alias("all"))
+    met = met.select("node", F.filter("all", lambda o: o["own"])[0].alias("me"), F.filter("all", lambda o: ~o["own"]).alias("rest"))
+
+    def add(sum_, o):
+        dx, dy = F.col("me.x") - o["x"], F.col("me.y") - o["y"]
+        far = F.hypot(dx, dy)
+        by = F.when(far > 1e-12, o["d"] / far - 1).otherwise(0.0) * o["w"]
+        return F.struct((sum_["fx"] + dx * by).alias("fx"), (sum_["fy"] + dy * by).alias("fy"), (sum_["w"] + o["w"]).alias("w"))
+
+    asked = met.withColumn("f", F.aggregate("rest", F.struct(F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"), F.lit(0.0).alias("w")), add))
+    move = lambda c: F.col(f"me.{c}") + F.coalesce(F.try_divide(F.col(f"f.f{c}"), 2 * F.col("f.w")), F.lit(0.0))
+    return asked.select("node", move("x").alias("x"), move("y").alias("y"))
+
+
 def layout_kamada_kawai(net: Network, iterations: int = 300, weighted: bool = True, initial: DataFrame | None = None, tolerance: float = 1e-3, pivots: int = PIVOTS) -> DataFrame:
     """(node, x, y) that minimise the stress of the distances, by majorization from `initial`, else from multidimensional scaling.
 
@@ -137,11 +162,15 @@ def layout_kamada_kawai(net: Network, iterations: int = 300, weighted: bool = Tr
         initial = _scaled(d).select("node", (F.col("x") + spread(1)).alias("x"), (F.col("y") + spread(2)).alias("y"))
     at = cut(net.nodes.select("node").join(initial.select("node", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "node"))
     before = stress(at, d).first().stress
+    few = net.n_nodes() <= GATHERED
+    both = cut(_both_ways(d)) if few else None
     for done in range(0, iterations, STEPS_A_JOB):
-        old = at
-        for _ in range(min(STEPS_A_JOB, iterations - done)):
-            at = stress_step(at, d)
-        at = cut(at, old)
+        for i in range(min(STEPS_A_JOB, iterations - done)):
+            if few:
+                at = gathered_step(at, both)
+            else:
+                at = cut(stress_step(at, d), at)
+        at = cut(at) if few else at
         now = stress(at, d).first().stress
         if not now or before - now < tolerance * before:
             break

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netspark.operators import layout, stress
+from netspark.session import cut
 
 from .test_network import TREE, TRIANGLE, graph
 
@@ -68,7 +69,9 @@ def test_stress_falls_each_step(spark):
             unit = {b: [(now[a][c] - now[b][c]) / math.dist(now[a], now[b]) for c in (0, 1)] for b, _ in asked}
             mean = [sum(w * (now[b][c] + table[a, b] * unit[b][c]) for b, w in asked) / sum(w for _, w in asked) for c in (0, 1)]
             step[a] = tuple((now[a][c] + mean[c]) / 2 for c in (0, 1))
-        at, now = stress.stress_step(at, d), step
+        gathered = places(stress.gathered_step(at, stress._both_ways(d)))
+        at, now = cut(stress.stress_step(at, d)), step
+        assert {k: pytest.approx(v) for k, v in now.items()} == gathered
         assert {k: pytest.approx(v) for k, v in now.items()} == places(at)
 
 
