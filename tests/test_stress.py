@@ -101,3 +101,28 @@ def test_trees_and_codes(spark):
     assert places(layout.by_code(one, "kk")) == places(layout.by_code(one, "mds")) == {"A": (0.5, 0.5)}
     with pytest.raises(ValueError):
         layout.by_code(one, "zz")
+
+
+def test_hops_are_counted_for_all_pivots_together(spark, monkeypatch):
+    """Hops from more pivots than a word has bits, without a table of pairs that grows in each pass."""
+
+    def pairs(*_, **__):
+        raise AssertionError("a pass held a row for each pair")
+
+    monkeypatch.setattr(stress, "distances", pairs)
+    tips = [(f"T{i:02}", f"T{(i + 1) % 9:02}") for i in range(9)]
+    net = graph(spark, [*((f"H{i % 3}", f"L{i:02}") for i in range(60)), ("H0", "H1"), ("H1", "H2"), *tips])
+    around = {}
+    for r in net.around().collect():
+        around.setdefault(r.node, set()).add(r.other)
+    want = {}
+    for a in around:
+        at, front, hops = {a: 0.0}, {a}, 0.0
+        while front:
+            hops += 1
+            front = {c for b in front for c in around[b]} - at.keys()
+            at |= dict.fromkeys(front, hops)
+        want |= {(a, b): at.get(b, 6.0) for b in around}  # once and a half the largest, 4
+    got = {(r.pivot, r.node): r.d for r in stress.pivot_distances(net, pivots=66).collect()}
+    assert len({p for p, _ in got}) == 66 and len(got) == 66 * 72
+    assert got == {k: want[k] for k in got}
