@@ -3,11 +3,12 @@
 from collections import Counter
 from itertools import combinations, permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from netspark.functions import colors, geometry, scales
-from netspark.operators import connectivity, draws, layers, local, nulls, resample
+from netspark.operators import connectivity, draws, layers, local, nulls, resample, spectral
 from netspark.plans import summary
 
 from .test_network import FIVE, TREE, TRIANGLE, graph, values
@@ -172,3 +173,17 @@ def test_stability_of_cases_that_are_alike(spark):
     rows = [(c, s, d, n) for c in range(12) for s, d, n in (("a", "b", 3), ("a", "c", 1), ("b", "c", 2), ("c", "a", 4), ("b", "a", 3))]
     found = values(resample.stability(spark.createDataFrame(rows, "case int, src string, dst string, count int"), (0.1, 0.5), 4))
     assert found == {"InStrength": 0.5, "OutStrength": 0.0, "Betweenness": 0.5}
+
+
+#: Two edges leave each node, 1 is an eigenvalue, and its eigenvector does not sum to 0.
+SINGULAR = ["AD", "AE", "BC", "BE", "CB", "CF", "DA", "DE", "EB", "EF", "FB", "FE"]
+
+
+def test_alpha_next_to_a_singular_system(spark):
+    net = graph(spark, SINGULAR, directed=True)
+    with pytest.raises(RuntimeError):
+        spectral.alpha_centrality(net, 1.0).collect()
+    table = np.array([[float(a + b in SINGULAR) for b in "ABCDEF"] for a in "ABCDEF"])
+    want = np.linalg.solve(np.eye(6) - 1.0000000001 * table.T, np.ones(6))
+    got = {r.node: r.alpha for r in spectral.alpha_centrality(net, 1.0000000001).collect()}
+    assert [got[a] for a in "ABCDEF"] == pytest.approx(list(want), rel=1e-5)
