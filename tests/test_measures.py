@@ -187,3 +187,9 @@ def test_alpha_next_to_a_singular_system(spark):
     want = np.linalg.solve(np.eye(6) - 1.0000000001 * table.T, np.ones(6))
     got = {r.node: r.alpha for r in spectral.alpha_centrality(net, 1.0000000001).collect()}
     assert [got[a] for a in "ABCDEF"] == pytest.approx(list(want), rel=1e-5)
+
+
+def test_power_next_to_a_singular_system(spark):
+    """Where all nodes have as many neighbours, all have the same power."""
+    got = {r.node: r.power for r in spectral.power_centrality(graph(spark, SINGULAR, directed=True), 1.0000000001).collect()}
+    assert got == pytest.approx(dict.fromkeys("ABCDEF", -1.0), abs=1e-4)
