@@ -290,3 +290,9 @@ def test_golden_graphs(spark):
         net = graph(spark, pairs)
         assert (paths.girth(net).first()[0], paths.path_summary(net).first().radius, local.clique_size(net).first()[0]) == (girth, radius, clique)
         assert (structure.cut_vertices(net).count(), structure.bridges(net).count()) == (cuts, bridges)
+
+
+def test_sliding_windows_go_on_where_most_cases_have_ended(spark):
+    at = "/root/testdata/sf0.001"
+    last = spark.read.parquet(f"{at}/events.parquet").groupBy("user_id").count().agg({"count": "max"}).first()[0]
+    assert queries.QUERIES["transition_windows_sliding"](spark, at).agg({"window": "max"}).first()[0] == last - 5
