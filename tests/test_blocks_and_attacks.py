@@ -6,6 +6,7 @@ import random
 import pytest
 
 from netspark.network import Network
+from netspark import queries
 from netspark.operators import blocks, robustness, structure
 from netspark.operators.ordered import running
 
@@ -143,3 +144,34 @@ def test_running_totals(spark):
         total += v
         want[i] = (total, at)
     assert {r.i: (r["sum"], r["at"]) for r in got} == want
+
+
+def _apart(nodes, edges):
+    """How many components nodes and edges make."""
+    of = {a: a for a in nodes}
+    for a, b in edges:
+        x, y = of[a], of[b]
+        of = {k: y if o == x else o for k, o in of.items()}
+    return len(set(of.values()))
+
+
+def test_thinned_networks_and_rings_keep_cuts(spark, tmp_path, monkeypatch):
+    from netspark.operators import components
+    from netspark.sources import tables
+
+    monkeypatch.setattr(components, "THIN", 0)
+    monkeypatch.setattr(components, "KEPT", 1)
+    orders = [[g * 8 + (i * k) % 8 for i in range(3 + k)] for g in range(3) for k in (1, 3, 4)] + [[3, 8], [8, 3], [20, 30], [30, 31, 32, 33, 34], [40, 41], [50]]
+    parts = sorted({p for o in orders for p in o})
+    spark.createDataFrame([(i, p) for i, o in enumerate(orders) for p in o], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p,) for p in parts], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    edges = {(min(a, b), max(a, b)) for o in orders for a in set(o) for b in set(o) if a != b}
+    all_ = _apart(parts, edges)
+    at = str(tmp_path)
+    got = {(r.src, r.dst) for r in queries.QUERIES["bridges_copurchase"](spark, at).collect()}
+    assert got == {e for e in edges if _apart(parts, edges - {e}) > all_} and len(got) > 2
+    got = {r.node for r in queries.QUERIES["cut_vertices_copurchase"](spark, at).collect()}
+    assert got == {p for p in parts if _apart(set(parts) - {p}, [e for e in edges if p not in e]) > all_} and got
+    assert sum(r.nodes for r in queries.QUERIES["components_copurchase"](spark, at).collect()) == len(parts)
+    assert queries.QUERIES["components_copurchase"](spark, at).count() == all_
+    assert tables.co_purchase_rings(spark, at).edges.count() < len(edges)
