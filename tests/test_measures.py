@@ -1,12 +1,14 @@
 """Cuts, random networks, colours, points and resampling against brute force and values that follow by hand."""
 
 from collections import Counter
+from fractions import Fraction
 from itertools import combinations, permutations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from netspark import queries
 from netspark.functions import colors, geometry, scales
 from netspark.operators import connectivity, draws, layers, local, nulls, resample, spectral
 from netspark.plans import summary
@@ -193,3 +195,36 @@ def test_power_next_to_a_singular_system(spark):
     """Where all nodes have as many neighbours, all have the same power."""
     got = {r.node: r.power for r in spectral.power_centrality(graph(spark, SINGULAR, directed=True), 1.0000000001).collect()}
     assert got == pytest.approx(dict.fromkeys("ABCDEF", -1.0), abs=1e-4)
+
+
+def test_alpha_where_values_reach_1e19(spark):
+    """1 is an eigenvalue twice over, so the pivots fall to 1e-20; the expected values are fractions."""
+    edges = ["AG", "AF", "BC", "BE", "CA", "CD", "DC", "DG", "EF", "EB", "FG", "FA", "GF", "GA"]
+    table = [[Fraction(a == b) - Fraction(1.0000000001) * (b + a in edges) for b in "ABCDEFG"] + [Fraction(1)] for a in "ABCDEFG"]
+    for k in range(7):
+        at = next(i for i in range(k, 7) if table[i][k])
+        table[k], table[at] = table[at], table[k]
+        table[k] = [x / table[k][k] for x in table[k]]
+        table = [row if i == k else [x - row[k] * y for x, y in zip(row, table[k])] for i, row in enumerate(table)]
+    got = {r.node: r.alpha for r in spectral.alpha_centrality(graph(spark, edges, directed=True), 1.0000000001).collect()}
+    assert [got[a] for a in "ABCDEFG"] == pytest.approx([float(row[-1]) for row in table], rel=1e-9)
+    assert max(map(abs, got.values())) > 1e19
+
+
+def test_alpha_default_has_the_digits_of_its_sql(spark, tmp_path):
+    """Next to a singular system the values reach 1e9, and their last digits hang on the order of the operations."""
+    duckdb = pytest.importorskip("duckdb")
+    edges = ["AF", "AD", "BD", "BC", "CB", "CF", "DC", "DE", "EF", "EA", "FE", "FA"]
+    own = list(enumerate("ABCDEF"))
+    tables = {
+        "nation": (own, "n_nationkey int, n_name string"), "supplier": ([(i, i) for i, _ in own], "s_suppkey int, s_nationkey int"),
+        "customer": ([(i, i) for i, _ in own], "c_custkey int, c_nationkey int"), "orders": ([(i, i) for i, _ in own], "o_orderkey int, o_custkey int"),
+        "lineitem": ([("ABCDEF".index(b), "ABCDEF".index(a), 1.0, "N") for a, b in edges], "l_orderkey int, l_suppkey int, l_quantity double, l_returnflag string"),
+    }
+    base = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        base.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = dict(base.execute(queries.ORACLE_SQL["alpha_centrality_default"]).fetchall())
+    assert len(want) == 6 and max(map(abs, want.values())) > 1e9
+    assert {r.node: r.alpha for r in queries.QUERIES["alpha_centrality_default"](spark, str(tmp_path)).collect()} == want
