@@ -228,3 +228,16 @@ def test_alpha_default_has_the_digits_of_its_sql(spark, tmp_path):
     want = dict(base.execute(queries.ORACLE_SQL["alpha_centrality_default"]).fetchall())
     assert len(want) == 6 and max(map(abs, want.values())) > 1e9
     assert {r.node: r.alpha for r in queries.QUERIES["alpha_centrality_default"](spark, str(tmp_path)).collect()} == want
+
+
+def test_power_where_pivots_are_rounding(spark):
+    """Two edges leave each node, so all have the same power; 1 is an eigenvalue twice over."""
+    for edges in ("AG AC BD BG CA CE DB DG EG EF FE FG GD GE", "AG AF BC BE CA CD DC DG EF EB FG FA GF GA", "AE AD BF BH CA CH DA DE EA EB FB FH GD GC HC HF"):
+        got = {r.node: r.power for r in spectral.power_centrality(graph(spark, edges.split(), directed=True), 1.0000000001).collect()}
+        assert got == pytest.approx(dict.fromkeys(sorted({a for e in edges.split() for a in e}), -1.0), abs=1e-9)
+
+
+def test_alpha_at_one_over_an_eigenvalue(spark):
+    """1/3 is no double, so the system has a solution of some 1e16 that hangs on the last digit: that is none."""
+    with pytest.raises(RuntimeError):
+        spectral.alpha_centrality(graph(spark, ["AB", "AC", "AD", "BC", "BD", "CD"]), 1 / 3).collect()
